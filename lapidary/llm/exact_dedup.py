@@ -26,6 +26,12 @@ from lapidary.llm.common import shared_path, text_or_empty, written
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Bytes of new rows that a micro-batch takes in; state, not this, limits what a stream can hold.
 TRIGGER_BYTES = 8 << 30
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Each of many small stores would else reserve megabytes that it never fills.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows of one group that are compared with the kept text in one task.
 ROWS_PER_PART = 1000
 
@@ -48,9 +54,9 @@ def digest_ledger(arrivals: DataFrame) -> DataFrame:
 
 def run_ledger_stream(spark: SparkSession, arrivals_path: str, schema, state_path: str) -> DataFrame:
     """Feeds the files under arrivals_path to the stateful ledger and returns its last state."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     ledger_path = f"{state_path}/ledger"
 
     def keep(changed: DataFrame, batch: int) -> None:
@@ -68,7 +74,8 @@ def run_ledger_stream(spark: SparkSession, arrivals_path: str, schema, state_pat
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     fields = digest_ledger(spark.createDataFrame([], schema)).schema
     if query.lastProgress is None or not any(p["numInputRows"] for p in query.recentProgress):
         return spark.createDataFrame([], fields)
@@ -92,14 +99,16 @@ def decisions(docs: DataFrame, digest=sha256_of) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, digest=sha256_of) -> DataFrame:
-    """docs with keep_id, group_size and kept, for every row."""
+    """docs with keep_id, group_size and kept, for every row; columns of docs with these names give way."""
+    return _marked(docs, digest).select(*(c for c in docs.columns if c not in ("keep_id", "group_size", "kept")), *_verdict())
+
+
+def _marked(docs: DataFrame, digest) -> DataFrame:
     _, ledger = _ledger(docs, digest)
     plain = _plain(docs, digest, *docs.columns)
     if _collisions(docs, ledger, digest):
-        marked = plain.join(_by_text(docs, digest), ["_digest", "_text"], "left")
-    else:
-        marked = plain.drop("_text").join(ledger, "_digest", "left")
-    return marked.select(*docs.columns, *_verdict())
+        return plain.join(_by_text(docs, digest), ["_digest", "_text"], "left")
+    return plain.drop("_text").join(ledger, "_digest", "left")
 
 
 def _plain(docs: DataFrame, digest, *more: str) -> DataFrame:
@@ -149,4 +158,4 @@ def _collisions(docs: DataFrame, ledger: DataFrame, digest) -> bool:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
-    return deduplicate(docs).filter("kept").select(*docs.columns)
+    return _marked(docs, sha256_of).filter(F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*docs.columns)
