@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import byte_bpe, decontaminate, exact_dedup, warc
-from lapidary.llm.common import table
+from lapidary.llm import byte_bpe, decontaminate, exact_dedup, language_id, quality, warc
+from lapidary.llm.common import crc_bucket, table
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket() == 2)
+    model = language_id.fit(docs.filter("NOT held_out"))
+    found = language_id.predicted(docs.select("doc_id", "held_out", "text"), model)
+    return found.drop("text")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(crc_bucket() != 2))
+    return quality.scored(docs.select("doc_id", (crc_bucket() == 2).alias("held_out"), "text"), model).drop("text")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.decisions(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -28,6 +41,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_language_id": op3_language_id,
+    "op5_quality": op5_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontamination": op9_decontamination,
