@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import byte_bpe, decontaminate, exact_dedup, language_id, quality, warc
+from lapidary.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, warc
 from lapidary.llm.common import crc_bucket, table
 
 
@@ -20,6 +20,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(crc_bucket() != 2))
@@ -42,6 +46,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_quality": op5_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
