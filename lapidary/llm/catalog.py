@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, warc
+from lapidary.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, suffix_dedup, warc
 from lapidary.llm.common import crc_bucket, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), keep="none", with_text=False)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
