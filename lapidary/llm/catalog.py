@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, suffix_dedup, warc
+from lapidary.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, pii, quality, quotes, suffix_dedup, warc
 from lapidary.llm.common import crc_bucket, table
 
 
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", (crc_bucket() == 2).alias("held_out"), "text"), model).drop("text")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.decisions(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -47,15 +51,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked_messages(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality": op5_quality,
+    "op6_pii": op6_pii,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontamination": op9_decontamination,
+    "op10_quotes": op10_quotes,
 }
 
 SQL = {

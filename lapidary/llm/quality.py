@@ -225,3 +225,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     out = docs.select(*kept, score_udf(sent)(text_or_empty()).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model, at_least: float) -> DataFrame:
+    """The rows of docs whose score is at_least or more, with the columns of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.filter(score_udf(sent)(text_or_empty()) >= at_least)
