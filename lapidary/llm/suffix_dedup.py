@@ -41,6 +41,8 @@ LENGTH = 200
 ANCHOR = 48
 #: Rows of one anchor that a task looks at together.
 HOT_ROWS = 20_000
+#: Bytes of text whose anchors a task looks for together.
+SCAN_BYTES = 512 << 10
 #: Bytes whose suffixes a task sorts together, unless one anchor has more.
 SORT_BYTES = 2 << 20
 
@@ -89,7 +91,7 @@ def anchor_rows(length: int, anchor: int, fold: bool) -> Callable[[Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, parts = 0, []
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", SCAN_BYTES):
                 found = anchored(*utf8(part.column("text")), length, anchor)
                 parts.append((found[0] + done, *found[1:]))
                 done += part.num_rows
