@@ -7,9 +7,9 @@ least the threshold.
 
 1. Texts with equal sets are folded into one representative, with map-side aggregation.
 2. Bands and rows are chosen for a target recall at the threshold.  Band hashes of
-   representatives are shuffled and counted; those that several have join each member to
-   the least one, which gives candidate clusters as connected components, in a number of
-   rows that follows the number of texts and not of pairs.
+   representatives are shuffled; those that several have tie each member to the least
+   one, which gives candidate clusters as connected components, in a number of rows that
+   follows the number of texts and not of pairs.
 3. Clusters are cut into blocks of bounded size, and a task gets one pair of blocks.  It
    compares, on their full sets of n-grams, the texts that share a band hash, and returns a
    number of links and one local label for each text, never a row for each pair.
@@ -233,8 +233,12 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int
     # Candidate clusters.
     banded = sets.filter("rep IS NOT NULL").select("k1", F.posexplode("bands").alias("band", "h"))
     least = banded.groupBy("h").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).filter("least < most")
-    stars = banded.join(least.select("h", "least"), "h").filter("k1 <> least").select(F.col("k1").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = components(stars)
+    # Each text meets the least members of its bands.  One edge leads to the least of these; the
+    # others among them are tied to it once, however many texts share them.
+    met = banded.join(least.select("h", "least"), "h").groupBy("k1").agg(F.collect_set("least").alias("met"))
+    met = written(met.select("k1", F.array_min("met").alias("b"), "met"), "met")
+    edges = met.select(F.col("k1").alias("a"), "b").union(met.select(F.explode("met").alias("a"), "b"))
+    clusters = components(edges.filter("a <> b").distinct())
     # Blocks: a cluster of c texts is cut into about c / block parts, by the hash of its members.
     sized = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     placed = clusters.join(sized, "root").select(F.col("v").alias("k1"), "root", "parts", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
