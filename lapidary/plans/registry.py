@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from lapidary.plans import relational
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES: dict = dict(relational.QUERIES)
+SQL: dict[str, str] = dict(relational.SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflict-aware selection of facts."""
+    return relational.l05_select_facts(spark, sf_dir)
