@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapidary.plans import relational
+from lapidary.plans import documents, relational
 
-QUERIES: dict = dict(relational.QUERIES)
-SQL: dict[str, str] = dict(relational.SQL)
+QUERIES: dict = relational.QUERIES | documents.QUERIES
+SQL: dict[str, str] = relational.SQL | documents.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
