@@ -68,7 +68,46 @@ QUERIES = {
     "op10_quotes": op10_quotes,
 }
 
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 SQL = {
+    "op1_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, h, unnest(range(0, greatest(0, len(h) // 2 - 199))) AS p FROM d),
+k AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 400)) AS m FROM w),
+x AS (SELECT r, p FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM x),
+i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS n FROM g),
+s AS (SELECT r, n, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY r, n),
+q AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM s),
+c AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS e, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS front FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN c.r IS NULL THEN h ELSE front || substr(h, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN c USING (r)
+""",
+    "op4_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+s AS (SELECT r, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE c >= 0.8 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(x, y) AS (SELECT r, r FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+k AS (SELECT x, min(doc_id) AS class_id, count(*) AS class_size FROM reach JOIN d ON d.r = y GROUP BY x)
+SELECT d.doc_id, k.class_id, (SELECT count(*) FROM e WHERE e.x = d.r) AS n_links, k.class_size FROM d JOIN k ON k.x = d.r
+""",
+    "op9_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+i AS (SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: w[i:i + 9])) AS v FROM b WHERE len(w) > 0),
+v AS (SELECT item_id, len(v) AS n, array_to_string(v, ' ') AS s FROM i),
+a AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM v)),
+h AS (SELECT a.r, a.n, a.p, v.item_id FROM a JOIN d ON d.r = a.r JOIN v ON v.n = a.n AND v.s = array_to_string(d.w[a.p:a.p + a.n - 1], ' ')),
+x AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x USING (r) LEFT JOIN t USING (r)
+""",
     "op7_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
