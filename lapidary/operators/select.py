@@ -42,12 +42,13 @@ def select_facts(facts: DataFrame, documents: DataFrame, retractions: DataFrame,
     excluded = judged.filter("excluded IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_excluded"))
     current = newest(judged.filter("excluded IS NULL"), [*keys, "document_id", "sheet_row"], [F.col("extractor_version")], [F.col("fact_id")])
     first = F.min_by(F.struct("fact_id", "numeric_value"), F.struct("document_id", "sheet_row", "fact_id"))
-    chosen = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_considered"), F.count_distinct(identity()).alias("n_claims"), first.alias("first"))
+    # The least and the greatest claim are equal if all are: no shuffle for distinct claims.
+    chosen = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_considered"), F.min(identity()).eqNullSafe(F.max(identity())).alias("agreed"), first.alias("first"))
     both = chosen.join(excluded, keys, "full")
-    resolved = F.col("n_claims") == 1
+    resolved = F.col("agreed")
     return both.select(
         *keys,
-        F.when(resolved, "resolved").when(F.col("n_claims") > 1, "conflicting").otherwise("unresolved").alias("status"),
+        F.when(resolved, "resolved").when(~F.col("agreed"), "conflicting").otherwise("unresolved").alias("status"),
         F.when(resolved, F.col("first.fact_id")).alias("fact_id"),
         F.when(resolved, F.col("first.numeric_value")).alias("numeric_value"),
         F.coalesce("n_considered", F.lit(0)).cast("long").alias("n_considered"),
@@ -57,8 +58,9 @@ def select_facts(facts: DataFrame, documents: DataFrame, retractions: DataFrame,
 
 def agreement(facts: DataFrame, group: Sequence[str]) -> DataFrame:
     """Across documents: pass if those that state a type agree, fail if not, inconclusive if fewer than two state it."""
-    stated = facts.groupBy(*group, "fact_type").agg(F.count_distinct("document_id").alias("n_documents"), F.count_distinct(identity()).alias("n_claims"))
-    outcome = F.when(F.col("n_documents") < 2, "inconclusive").when(F.col("n_claims") == 1, "pass").otherwise("fail")
+    one_document = F.min("document_id").eqNullSafe(F.max("document_id"))
+    stated = facts.groupBy(*group, "fact_type").agg(one_document.alias("one_document"), F.min(identity()).eqNullSafe(F.max(identity())).alias("agreed"))
+    outcome = F.when(F.col("one_document"), "inconclusive").when(F.col("agreed"), "pass").otherwise("fail")
     return stated.withColumn("outcome", outcome)
 
 
