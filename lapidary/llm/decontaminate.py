@@ -258,12 +258,12 @@ def searcher(block: Broadcast, cut: bool) -> Callable[[Column, Column], Column]:
     return udf
 
 
-def search(docs: DataFrame, benchmark: DataFrame, cut: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with a struct ``found``: words, hit words, items, merged spans (in words and in bytes) and, on request, the text without them."""
+def search(docs: DataFrame, benchmark: DataFrame, cut: bool = False, block_bytes: int = BLOCK_BYTES, name: str = "found") -> DataFrame:
+    """docs with a struct (``found``, or by another name): words, hit words, items, merged spans (in words and in bytes) and, on request, the text without them."""
     found: Column = F.expr(NOTHING)
     for block in blocks_of(benchmark, block_bytes):
         found = searcher(docs.sparkSession.sparkContext.broadcast(block), cut)(text_or_empty(), found)
-    return docs.withColumn("found", found)
+    return docs.withColumn(name, found)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -280,9 +280,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with hit words cut out of the text, and n_chars to match; other rows as they are."""
-    found = search(docs, benchmark, cut=True)
-    text = F.when(F.col("found.n_hit") > 0, F.col("found.clean")).otherwise(F.col("text"))
-    out = {c: F.col(c) for c in docs.columns} | {"text": text}
+    found = search(docs, benchmark, cut=True, name="_found")
+    hit = F.col("_found.n_hit") > 0
+    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col("_found.clean")).otherwise(F.col("text"))}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("found.n_hit") > 0, F.char_length("found.clean").cast("long")).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(hit, F.char_length("_found.clean").cast("long")).otherwise(F.col("n_chars"))
     return found.select(*(c.alias(k) for k, c in out.items()))

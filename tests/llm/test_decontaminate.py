@@ -56,7 +56,7 @@ def test_against_brute_force(spark):
 
 def test_cut(spark):
     passage = " ".join(f"p{i}" for i in range(12))
-    docs = spark.createDataFrame([(1, f"Straße, {passage}! end", "en", 1, 9), (2, "clean text", None, 2, 10)], "doc_id long, text string, lang string, source int, n_chars long")
+    docs = spark.createDataFrame([(1, f"Straße, {passage}! end", "en", 1, 9), (2, "clean text", None, 2, 10)], "doc_id long, text string, lang string, found int, n_chars long")
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     got = decontaminate.decontaminated(docs, bench).orderBy("doc_id").collect()
     assert got[0].text == "Straße, ! end" and got[0].n_chars == 13
