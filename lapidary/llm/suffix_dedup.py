@@ -223,7 +223,7 @@ def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     while size < length:
         step = min(size, length - size)
         after = np.zeros(len(rank), np.int64)
-        after[: len(rank) - step] = rank[step:] + 1
+        after[: max(0, len(rank) - step)] = rank[step:] + 1
         rank = dense(rank * (len(rank) + 1) + after)
         size += step
     return rank
