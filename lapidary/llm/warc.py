@@ -148,10 +148,11 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(pages: DataFrame, path: str) -> None:
     """Writes a record for each row of pages (page_id, url, html) as a table of bundles."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), text_or_empty("html").alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
-    firsts = pages.select("page_id", F.sha1(text_or_empty("html").cast("binary")).alias("sha1")).groupBy("sha1")
+    # SHA-1 is what WARC states; payloads with one SHA-1 can be made, so they are matched by SHA-256
+    rows = rows.withColumns({"sha1": F.sha1(F.col("payload").cast("binary")), "same": F.sha2(F.col("payload").cast("binary"), 256)})
+    firsts = pages.select("page_id", F.sha2(text_or_empty("html").cast("binary"), 256).alias("same")).groupBy("same")
     firsts = firsts.agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    linked = rows.join(firsts, "sha1", "left")
+    linked = rows.join(firsts, "same", "left")
     refers_to = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     linked.select("page_id", "url", "payload", "sha1", refers_to.alias("refers_to")).mapInArrow(packed, BUNDLES).write.parquet(path)
 
