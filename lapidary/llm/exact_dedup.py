@@ -150,7 +150,9 @@ def _collisions(docs: DataFrame, ledger: DataFrame, digest) -> bool:
     """
     shared = ledger.filter("_size > 1").withColumn("_parts", F.ceil(F.col("_size") / ROWS_PER_PART).cast("int"))
     hits = _plain(docs, digest).join(shared, "_digest")
-    kept = hits.filter(F.col("doc_id").eqNullSafe(F.col("_keep"))).groupBy("_digest", "_parts").agg(F.min("_text").alias("_kept_text"))
+    # Not an equality that a join would take for a key: both uses of the texts then share one shuffle.
+    is_kept = F.coalesce(F.array_contains(F.array("_keep"), F.col("doc_id")), F.col("doc_id").isNull() & F.col("_keep").isNull())
+    kept = hits.filter(is_kept).groupBy("_digest", "_parts").agg(F.min("_text").alias("_kept_text"))
     kept = kept.select("_digest", "_kept_text", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     dealt = hits.select("_digest", "_text", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int").alias("_part"))
     return bool(dealt.join(kept, ["_digest", "_part"]).filter(F.col("_text") != F.col("_kept_text")).limit(1).count())
