@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from lapidary.llm.common import mixed, steps, text_or_empty, written
 
 ORDER = 4
-HASH_BITS = 22
+HASH_BITS = 20
 MOST_LANGUAGES = 256
 CALIBRATION_ROWS = 4000
 REJECT_UNDER = 0.5
 #: Rows of distinct grams that a task holds before it hands them on.
-HELD_GRAMS = 2_000_000
+HELD_GRAMS = 500_000
 
 
 @lru_cache(1)
@@ -122,12 +122,13 @@ def together(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def table_of(x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["lang", *GRAM_COLUMNS, "n"])
+    small = [pa.array(v, pa.int32()) for v in x[:-1]]
+    return pa.RecordBatch.from_arrays([*small, pa.array(x[-1])], ["lang", *GRAM_COLUMNS, "n"])
 
 
 def gram_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
     """(lang, g4, g3, ..., c1, n): at most 2**HASH_BITS rows for each language, whatever the corpus."""
-    schema = ", ".join(f"{c} bigint" for c in ["lang", *GRAM_COLUMNS, "n"])
+    schema = ", ".join([*(f"{c} int" for c in ["lang", *GRAM_COLUMNS]), "n bigint"])
     parts = docs.select(text_or_empty().alias("text"), "lang").mapInArrow(counter(languages), schema)
     keys = F.min(F.struct(*GRAM_COLUMNS[1:])).alias("k")
     return parts.groupBy("lang", "g4").agg(F.sum("n").alias("n"), keys).select("lang", "g4", "k.*", "n")
@@ -215,7 +216,7 @@ class Model:
 
 def model_of(counts: pa.Table, languages: list[str]) -> Model:
     """Interpolated Kneser-Ney estimates from the counts of 4-grams."""
-    column = {c: counts.column(c).to_numpy() for c in counts.column_names}
+    column = {c: counts.column(c).to_numpy().astype(np.int64) for c in counts.column_names}
     n_lang = len(languages)
     grams, backoffs = [], []
     vocabulary = max(1, len(np.unique(column["g1"]))) + 1
