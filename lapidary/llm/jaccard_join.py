@@ -39,7 +39,7 @@ THRESHOLD = 0.8
 RECALL = 0.99999
 MOST_HASHES = 160
 #: Texts in a block; a task compares two blocks.
-BLOCK = 512
+BLOCK = 256
 #: N-grams are told apart by so many bits.
 GRAM_BITS = 44
 
