@@ -33,7 +33,7 @@ from lapidary.llm.language_id import logistic
 WORD_BITS = 17
 SHAPE_BITS = 12
 DIMENSIONS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 6_000
 #: Share of the sample that calibrates.
 CALIBRATION = 0.25
 EPOCHS = 12
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     found = rows.select(F.xxhash64("doc_id", F.lit(1)).alias("o"), "quality", feature_udf()(text_or_empty()).alias("f")).toArrow().sort_by("o")
     lists = found.column("f").combine_chunks()
-    flat, ends = np.asarray(lists.values, np.int64) if len(lists) else np.zeros(0, np.int64), np.asarray(lists.offsets) if len(lists) else [0]
+    flat, ends = (np.asarray(lists.values), np.asarray(lists.offsets)) if len(lists) else (np.zeros(0, np.int32), [0])
     return fit_rows([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], found.column("quality").to_numpy().astype(np.int64))
 
 
