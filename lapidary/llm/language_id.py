@@ -2,11 +2,11 @@
 
 Texts are lower-cased; every run of characters that are no letters is one blank.  All
 training texts are counted: each task counts its character 4-grams, and Spark adds the
-counts up.  A gram is known by a :data:`HASH_BITS`-bit hash, so a language has at most
-2**HASH_BITS rows whatever the size of the corpus, and the model that is sent to the executors is
-bounded by that and the number of languages.  Lower orders use continuation counts, from
-the distinct 4-grams.  The tables are sorted by hash, one row of log probabilities with a
-column for each language.
+counts up.  A gram is counted as its first three characters, packed into 63 bits, and its
+last; no gram is another one.  Lower orders use continuation counts, from the distinct
+4-grams.  The tables have one row of log probabilities for each distinct gram, with a column
+for each language, and grow with the distinct grams of the corpus.  They are built on the
+driver and sent whole; only 4-grams are looked up by a 64-bit hash.
 
 The prediction is the language with the lowest cross-entropy per character.  The score is
 a logistic fit, on a bounded sample of training rows, of the lead over the second-best
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from lapidary.llm.common import mixed, steps, text_or_empty, written
 
 ORDER = 4
-HASH_BITS = 20
+#: Bits of a code point in a packed key.
+BITS = 21
 MOST_LANGUAGES = 256
 CALIBRATION_ROWS = 4000
 REJECT_UNDER = 0.5
@@ -59,25 +60,45 @@ def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, zeros
 
 
-def gram_keys(codes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the ``size`` characters that end at each position from ORDER - 1 on."""
-    n = len(codes) - ORDER + 1
-    key = np.full(n, size, np.uint64)
-    for i in range(ORDER - size, ORDER):
-        key = key * np.uint64(0x100000001B3) + codes[i : i + n].astype(np.uint64)
-    return (mixed(key) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-
-
-def context_keys(codes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the ``size`` characters before each position from ORDER - 1 on."""
-    n = len(codes) - ORDER + 1
-    key = np.full(n, size + 16, np.uint64)
-    for i in range(ORDER - 1 - size, ORDER - 1):
-        key = key * np.uint64(0x100000001B3) + codes[i : i + n].astype(np.uint64)
-    return (mixed(key) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-
-
-GRAM_COLUMNS = [f"g{k}" for k in range(ORDER, 0, -1)] + [f"c{k}" for k in range(ORDER - 1, 0, -1)]
+def packed(codes: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` characters, three at most, that end at each of the given places, as one number."""
+    key = np.zeros(len(last), np.int64)
+    for i in range(size - 1, -1, -1):
+        key = key << BITS | codes[last - i]
+    return key
+
+
+def gram_hash(first: np.ndarray, char: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 4-grams, from their first three characters, packed, and the last one."""
+    x = mixed(first.astype(np.uint64) + np.uint64(1)) + char.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x.view(np.int64)
+
+
+class Index:
+    """Where keys stand among some distinct ones: sorted by hash, with the bounds of each bucket."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        hashes = mixed(keys.view(np.uint64))
+        self.shift = np.uint64(63 - max(1, len(keys)).bit_length())
+        self.rows = np.argsort(hashes).astype(np.int32)
+        self.keys = keys[self.rows]
+        buckets = (hashes[self.rows] >> self.shift).astype(np.int64)
+        self.bounds = np.zeros((1 << (64 - int(self.shift))) + 1, np.int32)
+        self.bounds[1:] = np.cumsum(np.bincount(buckets, minlength=len(self.bounds) - 1))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        bucket = (mixed(keys.view(np.uint64)) >> self.shift).astype(np.int64)
+        at, end = self.bounds[bucket], self.bounds[bucket + 1]
+        out = np.full(len(keys), -1, np.int32)
+        open_ = np.flatnonzero(at < end)
+        at, end = at[open_], end[open_]
+        while len(open_):
+            same = self.keys[at] == keys[open_]
+            out[open_[same]] = self.rows[at[same]]
+            more = ~same & (at + 1 < end)
+            open_, at, end = open_[more], at[more] + 1, end[more]
+        return out
 
 
 def counter(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -94,11 +115,11 @@ def counter(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 lang = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
                 real = np.flatnonzero(codes[ORDER - 1 :])
                 row = np.searchsorted(zeros, real + ORDER - 1, side="right") - 1
-                key = lang[row] << HASH_BITS | gram_keys(codes, ORDER)[real]
-                _, first, count = np.unique(key, return_index=True, return_counts=True)
-                at = real[first]
-                found = [lang[row[first]], *(gram_keys(codes, k)[at] for k in range(ORDER, 0, -1)), *(context_keys(codes, k)[at] for k in range(ORDER - 1, 0, -1)), count]
-                held.append(np.stack(found))
+                last = real + ORDER - 1
+                before, char = packed(codes, last - 1, ORDER - 1), codes[last].astype(np.int64)
+                key = lang_hash(lang[row], gram_hash(before, char))
+                _, at, count = np.unique(key, return_index=True, return_counts=True)
+                held.append(np.stack([key[at], lang[row[at]], before[at], char[at], count]))
                 size += len(at)
                 if size > HELD_GRAMS:
                     held = [together(held)]
@@ -115,42 +136,38 @@ def counter(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def together(parts: list[np.ndarray]) -> np.ndarray:
     """One column for each (language, gram), with the sum of its counts."""
     x = np.concatenate(parts, axis=1)
-    _, first, inverse = np.unique(x[0] << HASH_BITS | x[1], return_index=True, return_inverse=True)
+    _, first, inverse = np.unique(x[0], return_index=True, return_inverse=True)
     out = x[:, first]
     out[-1] = np.bincount(inverse, weights=x[-1]).astype(np.int64)
     return out
 
 
+def lang_hash(lang: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return mixed(key.view(np.uint64) ^ (lang.astype(np.uint64) << np.uint64(56))).view(np.int64)
+
+
 def table_of(x: np.ndarray) -> pa.RecordBatch:
-    small = [pa.array(v, pa.int32()) for v in x[:-1]]
-    return pa.RecordBatch.from_arrays([*small, pa.array(x[-1])], ["lang", *GRAM_COLUMNS, "n"])
+    return pa.RecordBatch.from_arrays([pa.array(x[1], pa.int32()), pa.array(x[2]), pa.array(x[3], pa.int32()), pa.array(x[4])], ["lang", "before", "char", "n"])
 
 
 def gram_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """(lang, g4, g3, ..., c1, n): at most 2**HASH_BITS rows for each language, whatever the corpus."""
-    schema = ", ".join([*(f"{c} int" for c in ["lang", *GRAM_COLUMNS]), "n bigint"])
-    parts = docs.select(text_or_empty().alias("text"), "lang").mapInArrow(counter(languages), schema)
-    keys = F.min(F.struct(*GRAM_COLUMNS[1:])).alias("k")
-    return parts.groupBy("lang", "g4").agg(F.sum("n").alias("n"), keys).select("lang", "g4", "k.*", "n")
+    """(lang, before, char, n): one row for each different 4-gram of each language, by its first three characters and its last."""
+    parts = docs.select(text_or_empty().alias("text"), "lang").mapInArrow(counter(languages), "lang int, before bigint, char int, n bigint")
+    return parts.groupBy("lang", "before", "char").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]]  # by order from ORDER down: sorted hashes, log probabilities
-    backoffs: list[tuple[np.ndarray, np.ndarray]]  # by order down to 2: sorted hashes of contexts, log weights
+    grams: list[tuple[np.ndarray, np.ndarray]]  # by order from ORDER down: sorted keys, log probabilities
+    backoffs: list[tuple[np.ndarray, np.ndarray]]  # by order down to 2: sorted contexts, log weights
     unseen: float  # log probability of a character that no text has
     slope: float = 1.0
     offset: float = 0.0
 
-    def indexed(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each table, where a hash stands in it (or -1)."""
+    def indexed(self) -> list[Index]:
         if not hasattr(self, "_where"):
-            self._where = []
-            for keys, _ in [*self.grams, *self.backoffs]:
-                where = np.full(1 << HASH_BITS, -1, np.int32)
-                where[keys] = np.arange(len(keys))
-                self._where.append(where)
+            self._where = [Index(keys) for keys, _ in [*self.grams, *self.backoffs]]
         return self._where
 
     def log_probabilities(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -159,30 +176,20 @@ class Model:
         out = np.zeros((len(at), len(self.languages)), np.float32)
         open_ = np.arange(len(at))
         for i, size in enumerate(range(ORDER, 0, -1)):
-            if i == 0:
-                row = where[i][gram_keys(codes, size)[at]]
-            else:
-                row = where[i][self.keys_at(codes, at[open_], size, False)]
+            last = at[open_] + ORDER - 1
+            row = where[i].find(gram_hash(packed(codes, last - 1, size - 1), codes[last]) if size == ORDER else packed(codes, last, size))
             hit = row >= 0
             out[open_[hit]] += self.grams[i][1][row[hit]]
             open_ = open_[~hit]
             if not len(open_):
                 return out
             if size > 1:
-                row = where[ORDER + i][self.keys_at(codes, at[open_], size - 1, True)]
+                row = where[ORDER + i].find(packed(codes, at[open_] + ORDER - 2, size - 1))
                 known = row >= 0
                 out[open_[known]] += self.backoffs[i][1][row[known]]
         out[open_] += self.unseen
         return out
 
-    @staticmethod
-    def keys_at(codes: np.ndarray, at: np.ndarray, size: int, context: bool) -> np.ndarray:
-        last = at + ORDER - 1 - context
-        key = np.full(len(at), size + 16 * context, np.uint64)
-        for i in range(size - 1, -1, -1):
-            key = key * np.uint64(0x100000001B3) + codes[last - i].astype(np.uint64)
-        return (mixed(key) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(bits per character in each language, number of characters) of each text; no characters without letters."""
         rows = len(texts)
@@ -214,9 +221,23 @@ class Model:
         return best, (two[:, 1] - two[:, 0]) * np.sqrt(np.minimum(sizes, 400))
 
 
+def first_of_each(lang: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row, number of rows) of each different (lang, key)."""
+    order = np.lexsort((key, lang))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(lang[order]) != 0) | (np.diff(key[order]) != 0)
+    starts = np.flatnonzero(new)
+    return order[starts], np.diff(np.append(starts, len(order)))
+
+
 def model_of(counts: pa.Table, languages: list[str]) -> Model:
     """Interpolated Kneser-Ney estimates from the counts of 4-grams."""
     column = {c: counts.column(c).to_numpy().astype(np.int64) for c in counts.column_names}
+    whole = column["before"] << BITS | column["char"]
+    column["g4"] = gram_hash(column["before"], column["char"])
+    for k in range(1, ORDER):
+        column[f"g{k}"] = whole & ((1 << BITS * k) - 1)
+        column[f"c{k}"] = column["before"] & ((1 << BITS * k) - 1)
     n_lang = len(languages)
     grams, backoffs = [], []
     vocabulary = max(1, len(np.unique(column["g1"]))) + 1
@@ -230,12 +251,10 @@ def model_of(counts: pa.Table, languages: list[str]) -> Model:
             pick = np.arange(len(lang))
         else:
             # distinct grams one longer; each is one continuation
-            longer = column[f"g{size + 1}"]
-            _, pick = np.unique(lang << HASH_BITS | longer, return_index=True)
-            pair = lang[pick] << HASH_BITS | column[f"g{size}"][pick]
-            unique, first, number = np.unique(pair, return_index=True, return_counts=True)
+            pick, _ = first_of_each(lang, column[f"g{size + 1}"])
+            first, number = first_of_each(lang[pick], column[f"g{size}"][pick])
             pick = pick[first]
-            own_lang, key, count = unique >> HASH_BITS, unique & ((1 << HASH_BITS) - 1), number.astype(np.float64)
+            own_lang, key, count = lang[pick], column[f"g{size}"][pick], number.astype(np.float64)
         context = column[f"c{size - 1}"][pick] if size > 1 else np.zeros(len(pick), np.int64)
         discount = np.empty(n_lang)
         for i in range(n_lang):

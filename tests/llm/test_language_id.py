@@ -56,3 +56,21 @@ def test_result_does_not_depend_on_batches(model):
     together, _ = model.entropies(pa.array(texts))
     alone = np.concatenate([model.entropies(pa.array([t]))[0] for t in texts])
     assert np.allclose(together, alone)
+
+
+def test_every_gram_has_its_own_row(spark):
+    """More different 4-grams than 2**20, each counted as itself."""
+    chars = [chr(0x4E00 + i) for i in range(1100)]
+    rows = [("".join(chars[i] + c for c in chars), "aa") for i in range(1100)]
+    frame = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    grams = {t[i : i + 4] for t, _ in rows for i in range(-3, len(t) - 3) if i >= 0}
+    starts = {"\0" * (3 - k) + t[: k + 1] for t, _ in rows for k in range(3)}
+    got = language_id.gram_counts(frame, ["aa"])
+    assert len(grams | starts) > 1 << 20 and got.count() == len(grams | starts)
+    assert got.agg({"n": "sum"}).first()[0] == sum(len(t) for t, _ in rows)
+    model = language_id.model_of(got.toArrow(), ["aa"])
+    assert [len(keys) for keys, _ in model.grams] == [len({g[-k:] for g in grams | starts}) for k in (4, 3, 2, 1)]
+    # what no text has is not among the seen grams
+    unseen = np.array([ord(c) for c in "一丁丂七"], np.int64)
+    key = language_id.gram_hash(language_id.packed(unseen, np.array([2]), 3), unseen[3:])
+    assert (model.indexed()[0].find(key) < 0).all() == ("一丁丂七" not in grams)
