@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapidary.functions import text as T
+
 STORED = "decimal(28,10)"
 
 
@@ -31,6 +33,11 @@ def same_unit(left: Column, right: Column) -> Column:
     return F.coalesce(F.lower(F.trim(left)) == F.lower(F.trim(right)), F.lit(True))
 
 
+def either_unit(left: Column, right: Column) -> Column:
+    """The unit of a comparable pair, as the first document that states one wrote it."""
+    return F.coalesce(left, right)
+
+
 def difference(left: Column, right: Column, left_unit: Column | None = None, right_unit: Column | None = None) -> Column:
     """left - right; null where units are stated and differ."""
     value = left - right
@@ -48,25 +55,32 @@ def places(literal: Column) -> Column:
 
 
 def half_unit(literal: Column) -> Column:
-    """Half of the last printed place, in steps of 10**-10."""
-    return F.element_at(F.array(*(F.lit(str(5 / 10 ** (n + 1)) if n < 4 else f"0.{'0' * n}5").cast("decimal(12,10)") for n in range(7))), F.least(places(literal), F.lit(6)) + 1)
+    """Half of the last printed place; beyond nine places it is too small to matter."""
+    return F.concat(F.lit("0."), F.repeat(F.lit("0"), F.least(places(literal), F.lit(9))), F.lit("5")).cast("decimal(12,10)")
 
 
-def row_arithmetic(quantity: str, rate: str, amount: str) -> list[Column]:
-    """consistency and implied_rate of a printed row (quantity, rate and amount are literals).
+def consistency(quantity: Column, rate: Column, amount: Column) -> Column:
+    """exact, consistent_with_display_rounding or review, from three printed figures.
 
-    The row is exact, or some quantity and rate that print as these give an amount that
-    prints as this, or it is for review.
+    A rate and an amount stand for all values that print alike; the quantity is what it says.
     """
-    q, r, a = (F.col(c).cast("decimal(18,6)") for c in (quantity, rate, amount))
-    hq, hr, ha = (half_unit(F.col(c)) for c in (quantity, rate, amount))
-    corners = [(q + x * hq).cast("decimal(18,8)") * (r + y * hr).cast("decimal(18,8)") for x in (-1, 1) for y in (-1, 1)]
-    low, high = F.least(*corners), F.greatest(*corners)
-    consistent = (low <= a + ha) & (high >= a - ha)
-    verdict = F.when(q * r == a, "exact").when(consistent, "consistent_with_display_rounding").otherwise("review")
-    # one step more than is kept, then half to even
-    implied = F.when(q != 0, F.bround(F.try_divide(F.col(amount).cast("decimal(20,4)"), F.col(quantity).cast("decimal(12,4)")), 10).cast(STORED))
-    return [verdict.alias("consistency"), implied.alias("implied_rate")]
+    q, r, a = T.accounting_number(quantity, "decimal(16,4)"), *(T.accounting_number(x, "decimal(18,6)") for x in (rate, amount))
+    half = half_unit(rate)
+    ends = [q * (r + sign * half).cast("decimal(20,10)") for sign in (-1, 1)]
+    meets = (F.least(*ends) <= a + half_unit(amount)) & (F.greatest(*ends) >= a - half_unit(amount))
+    return F.when(q * r == a, "exact").when(meets, "consistent_with_display_rounding").when(meets.isNotNull(), "review")
+
+
+def implied_rate(quantity: Column, amount: Column) -> Column:
+    """amount / quantity at ten places, half to even; null without a quantity."""
+    q, a = T.accounting_number(quantity, "decimal(12,4)"), T.accounting_number(amount, "decimal(20,4)")
+    return F.when(q != 0, F.bround(F.try_divide(a, q), 10).cast(STORED))
+
+
+def row_arithmetic(quantity: str, rate: str, amount: str) -> list[Column]:
+    """consistency and implied_rate of a printed row (the columns are literals)."""
+    q, r, a = map(F.col, (quantity, rate, amount))
+    return [consistency(q, r, a).alias("consistency"), implied_rate(q, a).alias("implied_rate")]
 
 
 def line_sum(rows: DataFrame, key: Sequence[str], amount: Column, order: Sequence[Column], places_shown: int = 2) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,29 +40,47 @@ def unambiguous(n_conflicting: Column, n_resolved: Column) -> Column:
     return F.when(n_conflicting > 0, "review").when(n_resolved > 0, "pass").otherwise("inconclusive")
 
 
-def claim_within_measured(conflicting: Column, variance: Column) -> Column:
-    return F.when(conflicting, "review").when(variance.isNull(), "inconclusive").when(variance <= 0, "pass").otherwise("review")
+def judged(disputed: Column, gap: Column, fine: Column) -> Column:
+    """review where the rule's own facts are in conflict, inconclusive where one is missing, else by the test."""
+    return F.when(disputed, "review").when(gap.isNull(), "inconclusive").when(fine, "pass").otherwise("review")
 
 
-def rate_matches(conflicting: Column, variance: Column) -> Column:
-    return F.when(conflicting, "review").when(variance.isNull(), "inconclusive").when(variance == 0, "pass").otherwise("review")
+def disputed(*types: str) -> Column:
+    """Is one of these types in conflict?  Conflicts of other types are no concern of a rule."""
+    return reduce(or_, (F.col(f"{t}_disputed") for t in types))
 
 
-def not_below_previous(conflicting: Column, cumulative: Column, previous: Column) -> Column:
-    gap = cumulative - previous
-    return F.when(conflicting, "review").when(gap.isNull(), "inconclusive").when(gap >= 0, "pass").otherwise("review")
+def claim_within_measured() -> Column:
+    variance = F.col("quantity_variance")
+    return judged(disputed("cumulative_claim", "measured_quantity"), variance, variance <= 0)
+
+
+def rate_matches() -> Column:
+    variance = F.col("rate_variance")
+    return judged(disputed("claimed_rate", "contract_rate"), variance, variance == 0)
+
+
+def not_below_previous() -> Column:
+    gap = F.col("cumulative_claim") - F.col("previous_certified")
+    return judged(disputed("cumulative_claim", "previous_certified"), gap, gap >= 0)
+
+
+def against_estimate() -> Column:
+    """An estimate binds nobody: the difference is shown and never judged."""
+    return F.lit("inconclusive")
 
 
 #: Rules by scope; each takes the scope's wide rows and gives an outcome.
 DOCUMENT_RULES: dict[str, Callable[[], Column]] = {
+    "bid_security_matches_reference_policy": lambda: stated_security(F.col("bid_security"), F.col("required_security")),
+    "bid_security_share_of_estimated_cost": lambda: share_of_cost(F.col("bid_security_share"), F.col("prescribed_share")),
     "bill_items_reconcile_to_stated_total": lambda: bill_total(F.col("bill_total"), F.col("stated_total"), F.col("refused_rows")),
-    "security_matches_policy": lambda: stated_security(F.col("stated_security"), F.col("required_security")),
-    "security_share_of_cost": lambda: share_of_cost(F.col("stated_share"), F.col("required_share")),
+    "priced_bill_matches_advertised_estimate": against_estimate,
 }
 ITEM_RULES: dict[str, Callable[[], Column]] = {
-    "claim_within_measured_quantity": lambda: claim_within_measured(F.col("conflicting"), F.col("quantity_variance")),
-    "claimed_rate_matches_contract_rate": lambda: rate_matches(F.col("conflicting"), F.col("rate_variance")),
-    "cumulative_claim_not_below_previous_certified": lambda: not_below_previous(F.col("conflicting"), F.col("cumulative_claim"), F.col("previous_certified")),
+    "claim_within_measured_quantity": claim_within_measured,
+    "claimed_rate_matches_contract_rate": rate_matches,
+    "cumulative_claim_not_below_previous_certified": not_below_previous,
     "work_item_evidence_unambiguous": lambda: unambiguous(F.col("n_conflicting"), F.col("n_resolved")),
 }
 

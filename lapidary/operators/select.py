@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.operators.latest import newest
@@ -35,33 +35,45 @@ def select_facts(facts: DataFrame, documents: DataFrame, retractions: DataFrame,
     """One row for each subject and fact type: resolved, conflicting or unresolved.
 
     Of each document's row only the newest reading counts.  Equal claims resolve to the
-    first of them; different claims are a conflict, and none is selected.
+    first of them; different claims are a conflict, and none is selected.  Excluded readings
+    sort behind all others, so that one pass over the facts is enough.
     """
     keys = [*subject, "fact_type"]
     judged = judged_sources(facts, documents, retractions)
-    excluded = judged.filter("excluded IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_excluded"))
-    current = newest(judged.filter("excluded IS NULL"), [*keys, "document_id", "sheet_row"], [F.col("extractor_version")], [F.col("fact_id")])
-    first = F.min_by(F.struct("fact_id", "numeric_value"), F.struct("document_id", "sheet_row", "fact_id"))
+    usable = F.col("excluded").isNull()
+    reading = Window.partitionBy(*keys, "document_id", "sheet_row").orderBy(usable.desc(), F.col("extractor_version").desc_nulls_last(), "fact_id")
+    counts = usable & (F.col("_place") == 1)
+    claim = F.when(counts, identity())
+    first = F.min_by(F.when(counts, F.struct("fact_id", "numeric_value", "unit")), F.when(counts, F.struct("document_id", "sheet_row", "fact_id")))
     # The least and the greatest claim are equal if all are: no shuffle for distinct claims.
-    chosen = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_considered"), F.min(identity()).eqNullSafe(F.max(identity())).alias("agreed"), first.alias("first"))
-    both = chosen.join(excluded, keys, "full")
-    resolved = F.col("agreed")
-    return both.select(
+    chosen = judged.withColumn("_place", F.row_number().over(reading)).groupBy(*keys).agg(
+        F.count_if(counts).alias("n_considered"), F.count_if(~usable).alias("n_excluded"), (F.min(claim) == F.max(claim)).alias("agreed"), first.alias("first")
+    )
+    resolved = F.coalesce("agreed", F.lit(False))
+    return chosen.select(
         *keys,
-        F.when(resolved, "resolved").when(~F.col("agreed"), "conflicting").otherwise("unresolved").alias("status"),
-        F.when(resolved, F.col("first.fact_id")).alias("fact_id"),
-        F.when(resolved, F.col("first.numeric_value")).alias("numeric_value"),
-        F.coalesce("n_considered", F.lit(0)).cast("long").alias("n_considered"),
-        F.coalesce("n_excluded", F.lit(0)).cast("long").alias("n_excluded"),
+        F.when(resolved, "resolved").when(F.col("n_considered") > 0, "conflicting").otherwise("unresolved").alias("status"),
+        *(F.when(resolved, F.col(f"first.{c}")).alias(c) for c in ("fact_id", "numeric_value", "unit")),
+        "n_considered",
+        "n_excluded",
     )
 
 
-def agreement(facts: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Across documents: pass if those that state a type agree, fail if not, inconclusive if fewer than two state it."""
-    one_document = F.min("document_id").eqNullSafe(F.max("document_id"))
-    stated = facts.groupBy(*group, "fact_type").agg(one_document.alias("one_document"), F.min(identity()).eqNullSafe(F.max(identity())).alias("agreed"))
-    outcome = F.when(F.col("one_document"), "inconclusive").when(F.col("agreed"), "pass").otherwise("fail")
-    return stated.withColumn("outcome", outcome)
+#: Kinds of facts that have a magnitude; only these can agree or disagree.
+COMPARED_KINDS = ("money", "quantity", "percentage", "duration")
+
+
+def agreement(facts: DataFrame, retractions: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Per fact type: pass if the documents that state it agree in number, fail if not, inconclusive if it cannot be compared.
+
+    Facts of work items and withdrawn facts are left out, and of each document only the
+    newest reading counts.  A type is compared if two documents state it, all as numbers.
+    """
+    own = facts.filter("work_item_id IS NULL").join(retractions.select("fact_id"), "fact_id", "left_anti")
+    current = newest(own, [*group, "fact_type", "document_id"], [F.col("extractor_version")], [F.col("fact_id")])
+    comparable = (F.count(F.lit(1)) > 1) & F.every(F.col("kind").isin(*COMPARED_KINDS) & F.col("numeric_value").isNotNull())
+    agreed = F.min("numeric_value") == F.max("numeric_value")
+    return current.groupBy(*group, "fact_type").agg(F.when(~comparable, "inconclusive").when(agreed, "pass").otherwise("fail").alias("outcome"))
 
 
 def overall(agreements: DataFrame, group: Sequence[str]) -> DataFrame:

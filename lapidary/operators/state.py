@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 #: The states that may follow each state of a document.
 TRANSITIONS = {
-    "discovered": ["downloaded", "failed", "quarantined"],
+    "discovered": ["downloading", "failed"],
+    "downloading": ["downloaded", "failed", "quarantined"],
     "downloaded": ["validated", "failed", "quarantined"],
-    "validated": ["processing", "failed", "quarantined"],
-    "processing": ["processed", "failed"],
-    "failed": ["discovered", "processing"],
+    "validated": ["processing", "failed"],
+    "processing": ["processed", "failed", "quarantined"],
     "processed": [],
+    "failed": ["downloading", "processing"],
     "quarantined": [],
 }
 
@@ -32,9 +33,20 @@ def upserted(known: DataFrame, incoming: DataFrame, key: Sequence[str], order: C
 
 
 def allowed_transition(old: Column, new: Column) -> Column:
-    """May a document go from one state to the other?  Staying processed is allowed."""
+    """May a document go from one state to the other?"""
     pairs = [f"{a}>{b}" for a, nexts in TRANSITIONS.items() for b in nexts]
-    return F.concat(old, F.lit(">"), new).isin(pairs) | ((old == new) & (new == "processed"))
+    return F.concat(old, F.lit(">"), new).isin(pairs)
+
+
+def advanced(old: Column, target: Column) -> Column:
+    """The state after an advance: what is satisfied already stays, and null is a step that must not be made."""
+    through = (old == "downloaded") & (target == "processing")  # validation happened on the way in
+    return F.when((old == target) | (old == "processed"), old).when(allowed_transition(old, target) | through, target)
+
+
+def after_failure(old: Column) -> Column:
+    """failed where that is a legal step, else what was: a failed second reading keeps the first."""
+    return F.when(allowed_transition(old, F.lit("failed")), "failed").otherwise(old)
 
 
 def fingerprint(parts: Sequence[Column]) -> Column:

@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import text as T
 from lapidary.functions import urls
 from lapidary.operators import calc, extract, frontier, reconcile, resolve, rules, select, state
-from lapidary.plans.tables import money, table
+from lapidary.plans.tables import money, registration, retractions, sources, table
 from lapidary.sources import objects, shared
 from lapidary.streaming import windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Registers a function under its name, with the SQL that its rows equal."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = registration(QUERIES, SQL)
 
 
 @query(r"""
@@ -164,24 +153,31 @@ TYPES = ("contracted_quantity", "measured_quantity", "cumulative_claim", "previo
 
 
 @query("""
-WITH f AS (SELECT DISTINCT l_partkey AS item, CASE (l_linenumber - 1) % 6 WHEN 0 THEN 'contracted' WHEN 1 THEN 'measured' WHEN 2 THEN 'claim' WHEN 3 THEN 'previous' WHEN 4 THEN 'rate' ELSE 'claimed' END AS t, floor(l_quantity / 25) AS v FROM lineitem),
-s AS (SELECT item, t, CASE WHEN count(*) = 1 THEN min(v) END AS v FROM f GROUP BY ALL),
-w AS (SELECT item, max(v) FILTER (t = 'measured') AS m, max(v) FILTER (t = 'claim') AS c, max(v) FILTER (t = 'previous') AS p, max(v) FILTER (t = 'rate') AS r, max(v) FILTER (t = 'claimed') AS cr, count(*) FILTER (v IS NULL) AS nc, count(*) FILTER (v IS NOT NULL) AS nr FROM s GROUP BY item)
-SELECT item, 'claim_within_measured_quantity' AS rule_id, CASE WHEN nc > 0 THEN 'review' WHEN c - m IS NULL THEN 'inconclusive' WHEN c - m <= 0 THEN 'pass' ELSE 'review' END AS outcome FROM w
-UNION ALL SELECT item, 'claimed_rate_matches_contract_rate', CASE WHEN nc > 0 THEN 'review' WHEN cr - r IS NULL THEN 'inconclusive' WHEN cr = r THEN 'pass' ELSE 'review' END FROM w
-UNION ALL SELECT item, 'cumulative_claim_not_below_previous_certified', CASE WHEN nc > 0 THEN 'review' WHEN c - p IS NULL THEN 'inconclusive' WHEN c >= p THEN 'pass' ELSE 'review' END FROM w
-UNION ALL SELECT item, 'work_item_evidence_unambiguous', CASE WHEN nc > 0 THEN 'review' WHEN nr > 0 THEN 'pass' ELSE 'inconclusive' END FROM w""")
+WITH f AS (SELECT l_partkey * 5 + l_orderkey % 5 AS item, CASE (l_linenumber - 1) % 6 WHEN 0 THEN 'contracted' WHEN 1 THEN 'measured' WHEN 2 THEN 'claim' WHEN 3 THEN 'previous' WHEN 4 THEN 'rate' ELSE 'claimed' END AS t,
+  l_suppkey AS d, strftime(l_shipdate, '%Y%m%d') AS version, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, floor(l_quantity / 25) AS v, l_returnflag = 'R' AS gone,
+  CASE WHEN (l_linenumber - 1) % 6 < 4 AND l_orderkey % 4 > 0 THEN CASE WHEN l_orderkey % 8 < 6 THEN 'm3' ELSE 'MT' END END AS u FROM lineitem),
+ok AS (SELECT f.* FROM f JOIN supplier ON d = s_suppkey WHERE s_acctbal >= 0 AND NOT gone),
+now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item, t, d ORDER BY version DESC, id) AS n FROM ok) WHERE n = 1),
+s AS (SELECT item, t, count(DISTINCT v || '/' || coalesce(u, '')) > 1 AS x, CASE WHEN count(DISTINCT v || '/' || coalesce(u, '')) = 1 THEN min(v) END AS v, CASE WHEN count(DISTINCT v || '/' || coalesce(u, '')) = 1 THEN min(u) END AS u FROM now GROUP BY ALL),
+w AS (SELECT i.item, coalesce(bool_or(x) FILTER (t IN ('measured', 'claim')), false) AS xq, coalesce(bool_or(x) FILTER (t IN ('rate', 'claimed')), false) AS xr, coalesce(bool_or(x) FILTER (t IN ('previous', 'claim')), false) AS xp,
+  max(v) FILTER (t = 'measured') AS m, max(u) FILTER (t = 'measured') AS um, max(v) FILTER (t = 'claim') AS c, max(u) FILTER (t = 'claim') AS uc, max(v) FILTER (t = 'previous') AS p, max(v) FILTER (t = 'rate') AS r, max(v) FILTER (t = 'claimed') AS cr,
+  count(*) FILTER (x) AS nc, count(*) FILTER (NOT x) AS nr FROM (SELECT DISTINCT item FROM f) i LEFT JOIN s ON s.item = i.item GROUP BY i.item),
+y AS (SELECT *, CASE WHEN um = uc OR um IS NULL OR uc IS NULL THEN c - m END AS gap FROM w)
+SELECT item, 'claim_within_measured_quantity' AS rule_id, CASE WHEN xq THEN 'review' WHEN gap IS NULL THEN 'inconclusive' WHEN gap <= 0 THEN 'pass' ELSE 'review' END AS outcome FROM y
+UNION ALL SELECT item, 'claimed_rate_matches_contract_rate', CASE WHEN xr THEN 'review' WHEN cr - r IS NULL THEN 'inconclusive' WHEN cr = r THEN 'pass' ELSE 'review' END FROM y
+UNION ALL SELECT item, 'cumulative_claim_not_below_previous_certified', CASE WHEN xp THEN 'review' WHEN c - p IS NULL THEN 'inconclusive' WHEN c >= p THEN 'pass' ELSE 'review' END FROM y
+UNION ALL SELECT item, 'work_item_evidence_unambiguous', CASE WHEN nc > 0 THEN 'review' WHEN nr > 0 THEN 'pass' ELSE 'inconclusive' END FROM y""")
 def k13_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Select, calculate and judge every work item by every rule."""
-    kinds = F.array(*map(F.lit, TYPES))
+    """Select, calculate and judge every work item by every rule, conflicts by the rule's own types."""
+    kinds, place = F.array(*map(F.lit, TYPES)), F.pmod(F.col("l_linenumber") - 1, F.lit(6))
+    unit = F.when((place < 4) & (F.col("l_orderkey") % 4 > 0), F.when(F.col("l_orderkey") % 8 < 6, "m3").otherwise("MT"))
     facts = table(spark, sf_dir, "lineitem").select(
-        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"), F.col("l_partkey").alias("item"),
-        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("document_id"), F.lit(1).alias("sheet_row"), F.lit("1").alias("extractor_version"),
-        F.get(kinds, F.pmod(F.col("l_linenumber") - 1, F.lit(6))).alias("fact_type"), F.floor(F.col("l_quantity") / 25).cast("decimal(20,2)").alias("numeric_value"),
-        F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("currency"), F.lit(None).cast("string").alias("literal"),
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"), (F.col("l_partkey") * 5 + F.col("l_orderkey") % 5).alias("item"),
+        F.col("l_suppkey").alias("document_id"), F.lit(1).alias("sheet_row"), F.date_format("l_shipdate", "yyyyMMdd").alias("extractor_version"),
+        F.get(kinds, place).alias("fact_type"), F.floor(F.col("l_quantity") / 25).cast("decimal(20,2)").alias("numeric_value"),
+        unit.alias("unit"), F.lit(None).cast("string").alias("currency"), F.lit(None).cast("string").alias("literal"),
     )
-    documents = facts.select("document_id", F.lit("active").alias("version_state")).distinct()
-    selected = select.select_facts(facts, documents, facts.select("fact_id").limit(0), ["item"])
+    selected = select.select_facts(facts, sources(spark, sf_dir), retractions(spark, sf_dir), ["item"])
     return reconcile.findings(reconcile.wide(selected, ["item"]), ["item"])
 
 
@@ -241,19 +237,36 @@ def m02_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
 
 
-@query("""
-WITH s AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'discovered' WHEN 'click' THEN 'downloaded' WHEN 'purchase' THEN 'processed' ELSE 'failed' END AS st, lag(CASE event_type WHEN 'view' THEN 'discovered' WHEN 'click' THEN 'downloaded' WHEN 'purchase' THEN 'processed' ELSE 'failed' END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT before, st AS state, count(*) AS n FROM s WHERE before IS NOT NULL AND NOT ((before, st) IN (('discovered', 'downloaded'), ('discovered', 'failed'), ('downloaded', 'failed'), ('failed', 'discovered'), ('processed', 'processed'))) GROUP BY ALL""")
+STATES = ("discovered", "downloading", "downloaded", "validated", "processing", "processed", "failed", "quarantined")
+STEPS_SQL = f"""
+legal(a, b) AS (VALUES ('discovered','downloading'),('discovered','failed'),('downloading','downloaded'),('downloading','failed'),('downloading','quarantined'),('downloaded','validated'),('downloaded','failed'),('downloaded','quarantined'),('validated','processing'),('validated','failed'),('processing','processed'),('processing','failed'),('processing','quarantined'),('failed','downloading'),('failed','processing')),
+e AS (SELECT user_id, ts, event_id, {list(STATES)}[1 + (event_id * event_id + user_id) % 8] AS state FROM events),
+s AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e),
+x AS (SELECT s.*, legal.a IS NOT NULL AS ok FROM s LEFT JOIN legal ON before = a AND state = b WHERE before IS NOT NULL)"""
+
+
+@query(f"WITH {STEPS_SQL} SELECT before, state, count(*) AS n FROM x WHERE NOT ok GROUP BY ALL")
 def m12_illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of state that the state machine does not have."""
-    from pyspark.sql import Window
+    """Changes of state that the state machine does not have."""
+    rows = steps(spark, sf_dir)
+    return rows.filter(~state.allowed_transition(F.col("before"), F.col("state"))).groupBy("before", "state").agg(F.count(F.lit(1)).alias("n"))
+
 
-    kind = F.col("event_type")
-    now = F.when(kind == "view", "discovered").when(kind == "click", "downloaded").when(kind == "purchase", "processed").otherwise("failed")
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the states that documents are in one after the other."""
+    now = F.get(F.array(*map(F.lit, STATES)), ((F.col("event_id") * F.col("event_id") + F.col("user_id")) % 8).cast("int"))
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", now.alias("state"))
-    rows = rows.withColumn("before", F.lag("state").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("before IS NOT NULL")
-    bad = rows.filter(~state.allowed_transition(F.col("before"), F.col("state")))
-    return bad.groupBy("before", "state").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("before", F.lag("state").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("before IS NOT NULL")
+
+
+@query(f"""
+WITH {STEPS_SQL}, y AS (SELECT before, state, CASE WHEN before = state OR before = 'processed' THEN before WHEN ok OR (before = 'downloaded' AND state = 'processing') THEN state END AS advanced,
+  CASE WHEN EXISTS (SELECT 1 FROM legal WHERE a = before AND b = 'failed') THEN 'failed' ELSE before END AS after_failure FROM x)
+SELECT before, state, advanced, after_failure, count(*) AS n FROM y GROUP BY ALL""")
+def m13_advances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An advance that is satisfied already stays, downloaded goes through validated, and a failure is recorded only where that is legal."""
+    rows = steps(spark, sf_dir).select("before", "state", state.advanced(F.col("before"), F.col("state")).alias("advanced"), state.after_failure(F.col("before")).alias("after_failure"))
+    return rows.groupBy("before", "state", "advanced", "after_failure").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""

@@ -5,23 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lapidary.functions import text as T
 from lapidary.operators import bands, calc, latest, resolve, rules, select
-from lapidary.plans.tables import FACTS_SQL, facts, money, retractions, sources, table
+from lapidary.plans.tables import FACTS_SQL, STATED_SQL, facts, money, registration, retractions, sources, stated_facts, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Registers a function under its name, with the SQL that its rows equal."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = registration(QUERIES, SQL)
 
 
 @query("""
@@ -94,16 +84,19 @@ def d17_distinctness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("all_distinct", F.col("n_rows") == F.col("n_digests"))
 
 
-@query("""
-WITH k AS (SELECT regexp_replace(trim(regexp_replace(upper(p_type), '[^0-9A-Z]+', ' ', 'g')), ' ', '.', 'g') AS item_key, p_type, p_partkey FROM part)
-SELECT item_key, arg_min(p_type, p_partkey) AS first_spelling, count(*) AS n_facts,
-       CASE WHEN count(DISTINCT p_type) = 1 THEN 'exact_identifier' ELSE 'normalised_identifier' END AS match FROM k GROUP BY item_key""")
+SPELLED = """CASE p_partkey % 4 WHEN 0 THEN '0' || p_size || '-' || p_partkey % 7 WHEN 1 THEN p_size || '.0' || p_partkey % 7
+  WHEN 2 THEN p_size || ' / ' || p_partkey % 7 || '(a)' ELSE ' ' || p_size || '_' || p_partkey % 7 END"""
+
+
+@query(rf"""
+WITH s AS (SELECT p_partkey, {SPELLED} AS literal FROM part),
+k AS (SELECT p_partkey, literal, array_to_string(list_transform(list_filter(string_split(upper(regexp_replace(trim(literal), '[\s\-/_]+', '.', 'g')), '.'), lambda x: x <> ''), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END), '.') AS item_key FROM s)
+SELECT item_key, arg_min(literal, p_partkey) AS first_spelling, count(*) AS n_facts,
+       CASE WHEN count(DISTINCT literal) = 1 THEN 'exact_identifier' ELSE 'normalised_identifier' END AS match FROM k GROUP BY item_key""")
 def d19_first_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work items by normalised identifier, first spelling, and whether spellings differ."""
-    from lapidary.functions.text import item_key
-
-    parts = table(spark, sf_dir, "part").select(F.lit(1).alias("scope"), F.col("p_type").alias("literal"), "p_partkey")
-    return resolve.linked_items(parts, item_key(F.col("literal")), "scope", F.col("p_partkey")).select("item_key", "first_spelling", "n_facts", "match")
+    parts = table(spark, sf_dir, "part").select(F.lit(1).alias("scope"), F.expr(SPELLED).alias("literal"), "p_partkey")
+    return resolve.linked_items(parts, T.item_key(F.col("literal")), "scope", F.col("p_partkey")).select("item_key", "first_spelling", "n_facts", "match")
 
 
 @query("""
@@ -214,7 +207,7 @@ def b09_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1""")
 def e01_newest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest reading of each row, ties to the first."""
+    """The newest reading of each row, ties to the first."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     return latest.newest(lines, ["l_orderkey", "l_linenumber"], [F.col("l_shipdate")], [F.col("l_partkey"), F.col("l_suppkey")]).drop("l_shipdate")
 
@@ -223,7 +216,7 @@ def e01_newest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY
   CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 9 END, o_orderkey) AS n FROM orders) WHERE n = 1""")
 def e04_best_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best-ranked key of each document."""
+    """The best-ranked key of each document."""
     rank = F.when(F.col("o_orderpriority") == "1-URGENT", 1).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(9)
     return latest.best_ranked(table(spark, sf_dir, "orders"), "o_custkey", rank, [F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
 
@@ -255,7 +248,7 @@ def e09_strict_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS n_recent FROM events""")
 def e12_trailing_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user in the trailing hour."""
+    """Events of a user in the trailing hour."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-3_600_000_000, 0)
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("n_recent"))
@@ -264,7 +257,7 @@ def e12_trailing_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT least(500, greatest(1, 700)) OFFSET greatest(0, -3)""")
 def f01_catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page in total order; limit within 1 and 500, offset from 0 (a page is the feature here)."""
+    """A page in total order; limit within 1 and 500, offset from 0 (a page is the feature here)."""
     limit, offset = min(500, max(1, 700)), max(0, -3)
     ordered = table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(offset).limit(limit)
     return ordered.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
@@ -312,25 +305,29 @@ def l05_select_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {FACTS_SQL}, a AS (SELECT project_id, item, count(DISTINCT document_id) AS n_documents, count(DISTINCT numeric_value) AS n_claims FROM facts GROUP BY ALL
-), o AS (SELECT *, CASE WHEN n_documents < 2 THEN 'inconclusive' WHEN n_claims = 1 THEN 'pass' ELSE 'fail' END AS outcome FROM a)
+WITH {STATED_SQL}, c AS (SELECT * FROM stated WHERE work_item_id IS NULL AND NOT withdrawn),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, fact_type, document_id ORDER BY extractor_version DESC, fact_id) AS place FROM c) WHERE place = 1),
+a AS (SELECT project_id, fact_type, count(*) > 1 AND bool_and(kind IN ('money', 'quantity', 'percentage', 'duration') AND numeric_value IS NOT NULL) AS comparable, count(DISTINCT numeric_value) AS n_values FROM n GROUP BY ALL),
+o AS (SELECT project_id, CASE WHEN NOT comparable THEN 'inconclusive' WHEN n_values = 1 THEN 'pass' ELSE 'fail' END AS outcome FROM a)
 SELECT project_id, count(*) FILTER (outcome = 'fail') AS n_fail, count(*) FILTER (outcome = 'pass') AS n_pass,
        CASE WHEN count(*) FILTER (outcome = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (outcome = 'pass') > 0 THEN 'pass' ELSE 'inconclusive' END AS outcome FROM o GROUP BY project_id""")
 def k05_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Do the documents of a project agree on what several of them state?"""
-    stated = select.agreement(facts(spark, sf_dir), ["project_id", "item"])
-    return select.overall(stated, ["project_id"])
+    """Do the documents of a project agree on what several of them state, by their newest readings?"""
+    found = stated_facts(spark, sf_dir)
+    withdrawn = found.filter("withdrawn").select("fact_id")
+    return select.overall(select.agreement(found, withdrawn, ["project_id"]), ["project_id"])
 
 
 @query("""
-WITH t AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(20,2))) AS bill FROM lineitem GROUP BY 1)
-SELECT o_orderkey, CAST(bill AS DOUBLE) AS bill_total, CASE WHEN bill IS NULL THEN 'inconclusive' WHEN abs(bill - CAST(o_totalprice AS DECIMAL(20,2))) <= 1.00 THEN 'pass' ELSE 'review' END AS outcome
-FROM orders LEFT JOIN t ON o_orderkey = l_orderkey""")
+WITH t AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(20,2))) AS bill, count(*) FILTER (l_quantity = 50) AS refused FROM lineitem GROUP BY 1),
+s AS (SELECT o_orderkey, bill, refused, CASE o_orderkey % 3 WHEN 0 THEN bill + 1 WHEN 1 THEN bill - 1.01 END AS stated FROM orders LEFT JOIN t ON o_orderkey = l_orderkey)
+SELECT o_orderkey, CAST(bill AS DOUBLE) AS bill_total, CASE WHEN refused > 0 OR bill IS NULL OR stated IS NULL THEN 'inconclusive' WHEN abs(bill - stated) <= 1.00 THEN 'pass' ELSE 'review' END AS outcome FROM s""")
 def k03_bill_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: do a bill's lines add up to the total that it states?"""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(money("l_extendedprice")).alias("bill"))
-    joined = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
-    return joined.select("o_orderkey", F.col("bill").cast("double").alias("bill_total"), rules.bill_total(F.col("bill"), money("o_totalprice"), F.lit(0)).alias("outcome"))
+    """K3: do a bill's lines add up to the total that it states?  A refused line leaves the sum incomplete."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(money("l_extendedprice")).alias("bill"), F.count_if(F.col("l_quantity") == 50).alias("refused"))
+    joined = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    off = F.when(F.col("o_orderkey") % 3 == 0, F.lit("1.00")).when(F.col("o_orderkey") % 3 == 1, F.lit("-1.01")).cast("decimal(20,2)")
+    return joined.select("o_orderkey", F.col("bill").cast("double").alias("bill_total"), rules.bill_total(F.col("bill"), F.col("bill") + off, F.col("refused")).alias("outcome"))
 
 
 @query(f"""
@@ -349,32 +346,33 @@ def k02_policy_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DECIMAL(20,2)) AS q, CAST(l_extendedprice AS DECIMAL(20,2)) AS a FROM lineitem),
-r AS (SELECT *, round(a / q, 2)::DECIMAL(20,2) AS rate FROM (SELECT *, CAST(round(CAST(a AS DOUBLE) / CAST(q AS DOUBLE), 2) AS DECIMAL(20,2)) AS rate_ FROM l)),
-s AS (SELECT *, rate_ AS x FROM r)
-SELECT CASE WHEN q * x = a THEN 'exact'
-  WHEN (q - 0.5) * (x - 0.005) <= a + 0.005 AND (q + 0.5) * (x + 0.005) >= a - 0.005 THEN 'consistent_with_display_rounding' ELSE 'review' END AS consistency, count(*) AS n
-FROM s GROUP BY 1""")
+WITH l AS (SELECT CAST(l_quantity AS DECIMAL(20,2)) AS q, CAST(round(l_extendedprice / l_quantity, 2) AS DECIMAL(20,2)) AS r, CAST(l_extendedprice AS DECIMAL(20,2)) + CASE l_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.3 ELSE 7 END AS a FROM lineitem)
+SELECT CASE WHEN q * r = a THEN 'exact' WHEN least(q * (r - 0.005), q * (r + 0.005)) <= a + 0.005 AND greatest(q * (r - 0.005), q * (r + 0.005)) >= a - 0.005 THEN 'consistent_with_display_rounding' ELSE 'review' END AS consistency,
+       count(*) AS n FROM l GROUP BY 1""")
 def j08_row_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does quantity times rate give the amount, within what printing hides?"""
+    """Does quantity times rate give the amount, within what printing the rate and the amount hides?"""
+    off = F.when(F.col("l_orderkey") % 3 == 0, F.lit("0.00")).when(F.col("l_orderkey") % 3 == 1, F.lit("0.30")).otherwise("7.00").cast("decimal(20,2)")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_quantity").cast("int").cast("string").alias("quantity"),
-        F.round(money("l_extendedprice").cast("double") / money("l_quantity").cast("double"), 2).cast("decimal(20,2)").cast("string").alias("rate"),
-        money("l_extendedprice").cast("string").alias("amount"),
+        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(20,2)").cast("string").alias("rate"),
+        (money("l_extendedprice") + off).cast("decimal(20,2)").cast("string").alias("amount"),
     )
     consistency, _ = calc.row_arithmetic("quantity", "rate", "amount")
     return lines.select(consistency).groupBy("consistency").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-       CAST(CAST(l_quantity AS DECIMAL(20,2)) - 25 AS DOUBLE) AS variance,
-       CAST(greatest(CAST(l_quantity AS DECIMAL(20,2)) - 25, 0) * CAST(l_tax AS DECIMAL(20,2)) AS DOUBLE) AS exposure
-FROM lineitem""")
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DECIMAL(20,2)) - 25 AS gap, CASE l_orderkey % 3 WHEN 0 THEN 'Cum' WHEN 1 THEN 'MT' END AS unit, CAST(l_tax AS DECIMAL(20,2)) AS rate FROM lineitem),
+v AS (SELECT *, CASE WHEN unit IS NULL OR lower(unit) = 'cum' THEN gap END AS variance FROM l)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(variance AS DOUBLE) AS variance, CASE WHEN variance IS NOT NULL THEN coalesce(unit, 'cum ') END AS unit, CAST(greatest(variance, CASE WHEN variance IS NOT NULL THEN 0 END) * rate AS DOUBLE) AS exposure FROM v""")
 def j07_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed variance, and what the part above zero costs."""
-    variance = calc.difference(money("l_quantity"), F.lit(25).cast("decimal(20,2)"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", variance.cast("double").alias("variance"), calc.exposure(variance, money("l_tax")).cast("double").alias("exposure"))
+    """Signed variance of comparable quantities, the unit as written, and what the part above zero costs."""
+    unit, other = F.when(F.col("l_orderkey") % 3 == 0, "Cum").when(F.col("l_orderkey") % 3 == 1, "MT"), F.lit("cum ")
+    variance = calc.difference(money("l_quantity"), F.lit(25).cast("decimal(20,2)"), unit, other)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", variance.cast("double").alias("variance"),
+        F.when(variance.isNotNull(), calc.either_unit(unit, other)).alias("unit"), calc.exposure(variance, money("l_tax")).cast("double").alias("exposure"),
+    )
 
 
 @query("""

@@ -7,22 +7,11 @@ from pyspark.sql import functions as F
 
 from lapidary.functions import text as T
 from lapidary.operators import findings, latest
-from lapidary.plans.tables import money, table
+from lapidary.plans.tables import money, registration, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Registers a function under its name, with the SQL that its rows equal."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = registration(QUERIES, SQL)
 
 
 @query("""

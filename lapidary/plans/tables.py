@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def registration(queries: dict, sql: dict[str, str]) -> Callable:
+    """A decorator that registers a query under its name, with the SQL that its rows equal."""
+
+    def query(text: str | None) -> Callable:
+        def add(f: Callable) -> Callable:
+            queries[f.__name__] = f
+            if text:
+                sql[f.__name__] = text
+            return f
+
+        return add
+
+    return query
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,3 +73,22 @@ def retractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned lines are withdrawn facts."""
     returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
     return returned.select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id")).distinct()
+
+
+STATED_SQL = """
+stated AS (
+  SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fact_id, l_orderkey AS project_id, l_suppkey % 5 AS document_id, 't' || l_linenumber % 3 AS fact_type,
+         CASE WHEN l_linenumber % 3 = 2 AND l_orderkey % 2 = 0 THEN 'identifier' ELSE 'money' END AS kind, CASE WHEN l_discount > 0 THEN floor(l_quantity / 25) END AS numeric_value,
+         strftime(l_shipdate, '%Y%m%d') AS extractor_version, l_returnflag = 'R' AS withdrawn, CASE WHEN l_tax >= 0.08 THEN l_partkey END AS work_item_id FROM lineitem)"""
+
+
+def stated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as what documents of a project state: some of work items, some withdrawn, some without a number."""
+    lines = table(spark, sf_dir, "lineitem")
+    kind = F.when((F.col("l_linenumber") % 3 == 2) & (F.col("l_orderkey") % 2 == 0), "identifier").otherwise("money")
+    return lines.select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"), F.col("l_orderkey").alias("project_id"),
+        (F.col("l_suppkey") % 5).alias("document_id"), F.concat(F.lit("t"), F.col("l_linenumber") % 3).alias("fact_type"), kind.alias("kind"),
+        F.when(F.col("l_discount") > 0, F.floor(F.col("l_quantity") / 25)).alias("numeric_value"), F.date_format("l_shipdate", "yyyyMMdd").alias("extractor_version"),
+        (F.col("l_returnflag") == "R").alias("withdrawn"), F.when(F.col("l_tax") >= 0.08, F.col("l_partkey")).alias("work_item_id"),
+    )

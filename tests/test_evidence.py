@@ -65,16 +65,63 @@ ROWS = [
     ("67", "3260.60", "216960.10", "review"),
     ("86", "631.00", "54518.40", "review"),
     ("1", "5528.09", "5532.59", "review"),
+    ("115", "8556.6500", "984014.26", "review"),
     ("0", "100.00", "500.00", "review"),
+    ("661.50", "(1,785.60)", "(11,81,174.40)", "exact"),
 ]
 
 
 def test_row_arithmetic(spark):
-    frame = spark.createDataFrame([r[:3] for r in ROWS], "q string, r string, a string")
-    got = frame.select(*calc.row_arithmetic("q", "r", "a")).collect()
-    # a quantity printed as a whole number may hide a half
-    assert [g.consistency for g in got[2:4]] == ["exact", "exact"]
-    assert got[4].implied_rate == Decimal("3238.2104477612") and got[7].implied_rate is None
+    frame = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(ROWS)], "i int, q string, r string, a string")
+    got = frame.select("i", *calc.row_arithmetic("q", "r", "a")).orderBy("i").collect()
+    assert [g.consistency for g in got] == [r[3] for r in ROWS]
+    assert got[4].implied_rate == Decimal("3238.2104477612") and got[8].implied_rate is None
+
+
+def judged_items(spark, rows, states):
+    selected = select.select_facts(facts(spark, rows), documents(spark, **states), spark.createDataFrame([], "fact_id string"), ["item"])
+    items = reconcile.wide(selected, ["item"])
+    return reconcile.calculated(items).first(), {r.rule_id: r.outcome for r in reconcile.findings(items, ["item"]).collect()}
+
+
+def test_units_and_conflicts_by_type(spark):
+    both = {"a": "active", "b": "active"}
+    claim, measured = ("a", 1, "cumulative_claim", "x", "520", "m3", "1"), lambda u: ("a", 2, "measured_quantity", "x", "470", u, "1")
+    rate = ("a", 3, "contract_rate", "x", "8000", None, "1")
+    item, found = judged_items(spark, [claim, measured("MT"), rate], both)
+    assert (item.quantity_variance, item.unsupported_amount, found["claim_within_measured_quantity"]) == (None, None, "inconclusive")
+    item, found = judged_items(spark, [("a", 1, "cumulative_claim", "x", "520", "Cum", "1"), measured("cum"), rate], both)
+    assert (int(item.quantity_variance), item.variance_unit, int(item.unsupported_amount), found["claim_within_measured_quantity"]) == (50, "Cum", 400000, "review")
+    # contract rates in conflict are no concern of the claim
+    item, found = judged_items(spark, [("a", 1, "cumulative_claim", "x", "400", "m3", "1"), measured("m3"), rate, ("b", 3, "contract_rate", "x", "9000", None, "1"), ("a", 4, "claimed_rate", "x", "8000", None, "1")], both)
+    assert found == {"claim_within_measured_quantity": "pass", "claimed_rate_matches_contract_rate": "review", "cumulative_claim_not_below_previous_certified": "inconclusive", "work_item_evidence_unambiguous": "review"}
+    item, found = judged_items(spark, [("a", 1, "cumulative_claim", "x", "380", "m3", "1"), ("a", 2, "previous_certified", "x", "420", "m3", "1")], both)
+    assert found["cumulative_claim_not_below_previous_certified"] == "review" and found["claim_within_measured_quantity"] == "inconclusive"
+
+
+def agreed(spark, rows, gone=()):
+    schema = "fact_id string, project_id string, document_id string, fact_type string, kind string, numeric_value decimal(20,2), extractor_version string, work_item_id string"
+    frame = spark.createDataFrame([(f"f{i}", "p", d, t, k, None if v is None else Decimal(v), ver, w) for i, (d, t, k, v, ver, w) in enumerate(rows)], schema)
+    per_type = select.agreement(frame, spark.createDataFrame([(x,) for x in gone], "fact_id string"), ["project_id"])
+    return select.overall(per_type, ["project_id"]).first().outcome
+
+
+def test_agreement_across_documents(spark):
+    cost = lambda d, v, ver="1", item=None, kind="money": (d, "estimated_cost", kind, v, ver, item)
+    assert agreed(spark, [cost("a", "5"), cost("b", "6")]) == "fail"
+    assert agreed(spark, [cost("a", "6"), cost("b", "6.00")]) == "pass"
+    assert agreed(spark, [cost("a", "6")]) == "inconclusive"
+    assert agreed(spark, [cost("a", "6", kind="identifier"), cost("b", "7", kind="identifier")]) == "inconclusive"
+    assert agreed(spark, [cost("a", "6"), cost("b", None)]) == "inconclusive"
+    assert agreed(spark, [cost("a", "5", "1"), cost("a", "6", "2"), cost("b", "6")]) == "pass"  # two readings of one document
+    assert agreed(spark, [cost("a", "5"), cost("b", "6"), cost("b", "5", item="i")]) == "fail"
+    assert agreed(spark, [cost("a", "5"), cost("b", "6"), cost("c", "5")], gone=["f1"]) == "pass"
+
+
+def test_item_keys(spark):
+    keys = {"4.7.2": "4.7.2", "4-7-2": "4.7.2", "04.07.02": "4.7.2", "1(a)": "1(A)", " 21 / b ": "21.B", "0.10": "0.10", "00": "0", "4.7.20": "4.7.20"}
+    frame = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert {r.k: r.v for r in frame.select("k", T.item_key(F.col("k")).alias("v")).collect()} == keys
 
 
 def test_bands(spark):

@@ -1,5 +1,6 @@
 import datetime
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,11 +11,17 @@ from lapidary.sources import listings
 from lapidary.streaming import windows
 
 
-def test_names_and_addresses():
-    assert net.safe_name("a/b\\ﬁle?.pdf") == "file_.pdf" and net.safe_name("CON.pdf") == "_CON.pdf" and net.safe_name(None) is None
-    assert len(net.safe_name("x" * 300 + ".pdf")) == 128
-    reasons = {"127.0.0.1": "loopback", "10.1.1.1": "private", "8.8.8.8": None, "::ffff:10.0.0.1": "private", "0.0.0.0": "unspecified", "x": "malformed", "169.254.1.1": "link_local"}
+def test_names_and_addresses(spark):
+    names = {"a/b\\\ufb01le?.pdf": "file_.pdf", "CON.pdf": "CON_file.pdf", "nul": "nul_file", "a b.pdf": "a_b.pdf", "-_x_-": "x", "..": None, "": None, "con.tar.gz": "con.tar.gz"}
+    assert {n: net.safe_name(n) for n in names} == names and net.safe_name(None) is None
+    assert net.safe_name("x" * 300 + ".pdf") == "x" * 124 + ".pdf" and net.safe_name("y" * 300) == "y" * 128
+    reasons = {
+        "127.0.0.1": "loopback", "10.1.1.1": "private", "8.8.8.8": None, "0.0.0.0": "unspecified", "x": "malformed", "169.254.1.1": "link_local", "224.0.0.1": "multicast", "100.64.1.1": "carrier_grade_nat",
+        "192.0.2.7": "documentation", "2001:db8::1": "documentation", "255.255.255.255": "reserved", "::ffff:8.8.8.8": "ipv4_mapped", "::ffff:10.0.0.1": "ipv4_mapped", "64:ff9b::808:808": "embedded_ipv4", "2002:808:808::1": "embedded_ipv4", "2606:4700::1": None,
+    }
     assert {a: net.address_reason(a) for a in reasons} == reasons
+    shown = spark.createDataFrame([("C:\\x\\a  b.pdf",), ("\x01..",)], "n string").select(net.shown_name(F.col("n")).alias("s")).collect()
+    assert [r.s for r in shown] == ["a b.pdf", "upload"]
 
 
 def test_headers(spark):
@@ -27,7 +34,7 @@ def test_headers(spark):
     with pytest.raises(Exception, match="no content length"):
         spark.range(1).select(net.content_length(F.lit("1x"))).collect()
     ids = spark.createDataFrame([("ab",), ("ab",), (None,)], "d string").select(net.document_id(F.col("d")).alias("i"), net.safe_filename(F.col("d")).alias("n")).collect()
-    assert ids[0].i == ids[1].i and ids[2].i is None
+    assert ids[0].i == ids[1].i == str(uuid.uuid5(uuid.UUID("852e666c-780a-5903-85c4-d357129f3878"), "ab")) and ids[2].i is None
 
 
 def test_listings(spark):
