@@ -2,78 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.functions import text as T
 
-#: Fixed value: units that a priced line may state.
-LINE_UNITS = "m3|m2|m|cum|sqm|rmt|kg|MT|nos|no|each|job|set|ls"
-NUMBER = r"\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?"
-LINE = rf"(?i)^\s*(?:([0-9]+(?:\.[0-9]+)*)\s+)?(.*?)\s*\b({LINE_UNITS})\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})\s*$"
+#: Issuing authorities by how documents name them.
+AUTHORITIES = [(r"National\s+Highways?\s+Authority\s+of\s+India|\bNHAI\b", "nhai", "IN")]
+#: Fixed value: how a sheet names its project.
+PROJECT_LINE = r"(?i)project\s*(?:reference|ref|no|number)?\s*[:\-]\s*([A-Za-z0-9][A-Za-z0-9\-_/]*)"
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """(document_id, page, line, text) of the lines of pages that say anything."""
-    split = pages.select("document_id", "page", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return split.filter(F.trim("text") != "")
+def authority(pages: DataFrame, known: list[tuple[str, str, str]] = AUTHORITIES) -> DataFrame:
+    """(document_id, authority, jurisdiction) of documents that name a known authority, by the first page that does."""
+    found = F.coalesce(*(F.when(F.col("text").rlike(pattern), F.struct(F.lit(who).alias("authority"), F.lit(where).alias("jurisdiction"))) for pattern, who, where in known))
+    first = pages.select("document_id", "page", found.alias("found")).filter("found IS NOT NULL").groupBy("document_id").agg(F.min_by("found", "page").alias("found"))
+    return first.select("document_id", "found.*")
 
 
-def bill_lines(pages: DataFrame) -> DataFrame:
-    """Priced lines of bills: unit, quantity, rate and amount end the line; an item number is carried to lines without one."""
-    lines = page_lines(pages)
-    part = lambda i: F.regexp_extract("text", LINE, i)
-    order = Window.partitionBy("document_id").orderBy("page", "line")
-    leading = F.nullif(F.regexp_extract("text", r"^\s*([0-9]+(?:\.[0-9]+)*)\s+\S", 1), F.lit(""))
-    read = lines.withColumn("item", F.last(leading, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    priced = read.filter(F.col("text").rlike(LINE))
-    return priced.select(
-        "document_id", "page", "line", "item",
-        T.even_spaces(part(2)).alias("description"),
-        part(3).alias("unit"),
-        *(part(i).alias(f"{name}_literal") for i, name in ((4, "quantity"), (5, "rate"), (6, "amount"))),
-        *(T.accounting_number(part(i), "decimal(20,4)").alias(name) for i, name in ((4, "quantity"), (5, "rate"), (6, "amount"))),
-    )
+def project_reference(cells: DataFrame) -> DataFrame:
+    """(document_id, reference, row, col) of the first cell, by row and column, that names a project."""
+    named = cells.select("document_id", "row", "col", F.regexp_extract("value", PROJECT_LINE, 1).alias("reference")).filter("reference <> ''")
+    return named.groupBy("document_id").agg(F.min(F.struct("row", "col", "reference")).alias("x")).select("document_id", "x.reference", "x.row", "x.col")
 
 
-def bill_facts(rows: DataFrame) -> DataFrame:
-    """One row for each figure of a priced line; money is in rupees, and only quantities have the unit."""
-    return rows.select(
-        "document_id", "page", "line", "item",
-        F.expr("stack(3, 'quantity', quantity, quantity_literal, unit, NULL, 'rate', rate, rate_literal, NULL, 'INR', 'amount', amount, amount_literal, NULL, 'INR') AS (fact_type, numeric_value, literal, unit, currency)"),
-    )
-
-
-REFERENCE = r"(?i)\b(?:NIT|Tender)\s*(?:No\.?|Number)\s*:?\s*([A-Z0-9]+(?:\s?\([A-Z]+\))?(?:[/-][A-Z0-9]+(?:\s?\([A-Z]+\))?)+)"
-SHARE = r"(?i)(?:Bid\s+Security|EMD)([^.]{0,60}?)@?\s*([0-9]+(?:\.[0-9]+)?)\s*%\s*of\s+(?:the\s+)?estimated\s+cost"
-OTHER_INSTRUMENT = r"(?i)Performance\s+Security|Retention|Liquidated|Advance|Turnover|Similar\s+Work"
-#: How far behind a label its amount may stand.
-REACH = 120
-
-
-def amount_after(text: Column, label: str) -> Column:
-    """The only amount in reach behind a label; null where there are none or several."""
-    behind = F.regexp_extract(text, rf"(?is)(?:{label})(.{{0,{REACH}}})", 1)
-    return T.the_amount(F.regexp_replace(behind, r"(?i)(?:Estimated\s+Cost|Bid\s+Security|Earnest\s+Money|\bEMD\b).*$", ""))
-
-
-def tender_notice(pages: DataFrame) -> DataFrame:
-    """One row for each document: reference, date, cost, security and prescribed share, each from the first page that has it."""
-    even = pages.withColumn("text", T.even_spaces(F.col("text")))
-    share = F.when(~F.regexp_extract("text", SHARE, 1).rlike(OTHER_INSTRUMENT), F.regexp_extract("text", SHARE, 2).try_cast("decimal(12,4)") / 100)
-    read = even.select(
-        "document_id", "page",
-        F.nullif(F.regexp_extract("text", REFERENCE, 1), F.lit("")).alias("reference"),
-        T.document_date(F.col("text")).alias("document_date"),
-        amount_after(F.col("text"), r"Estimated\s+Cost").alias("estimated_cost"),
-        amount_after(F.col("text"), r"Bid\s+Security|Earnest\s+Money|\bEMD\b").alias("bid_security"),
-        share.cast("decimal(12,8)").alias("prescribed_share"),
-    )
-    fields = ("reference", "document_date", "estimated_cost", "bid_security", "prescribed_share")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("page"))).alias(c)
-    out = read.groupBy("document_id").agg(*(first(c) for c in fields))
-    missing = F.filter(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in fields)), lambda x: x.isNotNull())
-    return out.withColumn("missing", missing)
+def stamped(method: Column, transcription: Column) -> Column:
+    """How a value was read; one from a transcription names that first."""
+    return F.concat_ws(" | ", transcription, method)
 
 
 def provisions(pages: DataFrame) -> DataFrame:
@@ -111,9 +66,14 @@ def sheet_rows(cells: DataFrame, header: DataFrame) -> DataFrame:
     return wide.filter(F.col("item").rlike(r"^[0-9]+([.\-(][0-9a-z)]+)*$")).withColumns({f"{c}_value": v for c, v in numbers.items()})
 
 
+def column_letters(col: Column) -> Column:
+    """A for 1, Z for 26, AA for 27: up to three letters, which is what sheets have."""
+    letter = lambda n: F.char((n % 26 + 65).cast("int"))
+    n = (col - 1).cast("long")
+    third, second = F.floor((n - 26) / 676) - 1, F.floor(n / 26) - 1
+    return F.concat(F.when(n >= 702, letter(third + 0)).otherwise(""), F.when(n >= 26, letter(F.pmod(second, F.lit(26)))).otherwise(""), letter(n))
+
+
 def cell_reference(sheet: Column, row: Column, col: Column) -> Column:
     """Sheet!D6 for row 6 and column 4."""
-    letter = lambda n: F.char(n + 64)
-    first = F.floor((col - 1) / 26).cast("int")
-    name = F.concat(F.when(first > 0, letter(first)).otherwise(""), letter(F.pmod(col - 1, F.lit(26)) + 1))
-    return F.concat(sheet, F.lit("!"), name, row.cast("string"))
+    return F.concat(sheet, F.lit("!"), column_letters(col), row.cast("string"))
