@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapidary.functions import urls
+
 MOST_ATTEMPTS = 5
 LEASE_SECONDS = 900
 
@@ -55,6 +57,41 @@ def robots_access(status: Column) -> Column:
     return F.when(status.isNull() | (status == 429) | (status >= 500), "deny").when(status >= 400, "allow").otherwise("parse")
 
 
+#: Statuses that may be followed, how far, and the longest delay that is waited for.
+FOLLOWED = (301, 302, 303, 307, 308)
+MOST_HOPS = 5
+MOST_DELAY_SECONDS = 300.0
+
+
+def redirect(status: Column, location: Column, current: Column, history: Column, downgrade: Column) -> Column:
+    """struct(follow, url, reason): the first reason against following a redirect; history has the URLs of the chain, the current one among them."""
+    target = urls.canonical(urls.resolved(current, F.trim(location)))
+    no = lambda reason: F.struct(F.lit(False).alias("follow"), F.lit(None).cast("string").alias("url"), F.lit(reason).alias("reason"))
+    lower = (urls.scheme(current) == "https") & (urls.scheme(target) == "http") & ~downgrade
+    return (
+        F.when(~F.coalesce(status.isin(*FOLLOWED), F.lit(False)), no("status")).when(F.coalesce(F.trim(location), F.lit("")) == "", no("no location"))
+        .when(F.size(history) - 1 >= MOST_HOPS, no("hops")).when(target.isNull(), no("location")).when(F.array_contains(history, target), no("loop")).when(lower, no("downgrade"))
+        .otherwise(F.struct(F.lit(True).alias("follow"), target.alias("url"), F.lit(None).cast("string").alias("reason")))
+    )
+
+
+def polite_limits(per_minute: Column, concurrency: Column, delay: Column, asked: Column) -> Column:
+    """struct(per_minute, concurrency, delay, refused): limits after a crawl delay, which only ever slows down; one that is too long is refused."""
+    slower = F.coalesce(asked > delay, F.lit(False))
+    reachable = F.greatest(F.lit(1), F.floor(60 / asked).cast("int"))
+    return F.struct(
+        F.when(slower, F.least(per_minute, reachable)).otherwise(per_minute).alias("per_minute"), F.when(slower, F.lit(1)).otherwise(concurrency).alias("concurrency"),
+        F.when(slower, asked).otherwise(delay).alias("delay"), F.coalesce(slower & (asked > MOST_DELAY_SECONDS), F.lit(False)).alias("refused"),
+    )
+
+
+def crawl_delays(lines: DataFrame, agent: str) -> DataFrame:
+    """(authority, seconds) of the group that holds for the agent; lines: authority, line, text."""
+    kv, chosen = robots_groups(lines, agent)
+    asked = kv.filter("name = 'crawl-delay'").join(chosen, ["authority", "block"])
+    return asked.groupBy("authority").agg(F.max(F.col("value").try_cast("double")).alias("seconds")).filter("seconds >= 0")
+
+
 def pattern_regex(pattern: str) -> str:
     """A robots path pattern as a regular expression: * is any run, a final $ is the end."""
     body = "".join(".*" if c == "*" else re.escape(c) for c in pattern.removesuffix("$"))
@@ -68,8 +105,8 @@ def robots_decision(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return F.coalesce(best["allow"], F.lit(True))
 
 
-def parsed_robots(lines: DataFrame, agent: str) -> DataFrame:
-    """(authority, allow, pattern) for the most specific group that names the agent; lines: authority, line, text.
+def robots_groups(lines: DataFrame, agent: str) -> tuple[DataFrame, DataFrame]:
+    """(named values with their block, blocks of the most specific group that names the agent); lines: authority, line, text.
 
     Consecutive agent lines share the rules that follow.
     """
@@ -83,5 +120,11 @@ def parsed_robots(lines: DataFrame, agent: str) -> DataFrame:
     fit = named.filter((F.col("who") == "*") | F.lit(agent.lower()).startswith(F.col("who")))
     best = fit.groupBy("authority").agg(F.max(F.when(F.col("who") == "*", 0).otherwise(F.length("who"))).alias("length"))
     chosen = fit.withColumn("length", F.when(F.col("who") == "*", 0).otherwise(F.length("who"))).join(best, ["authority", "length"]).select("authority", "block").distinct()
+    return kv, chosen
+
+
+def parsed_robots(lines: DataFrame, agent: str) -> DataFrame:
+    """(authority, allow, pattern) for the most specific group that names the agent; lines: authority, line, text."""
+    kv, chosen = robots_groups(lines, agent)
     rules = kv.filter("name IN ('allow', 'disallow') AND value <> ''").join(chosen, ["authority", "block"])
     return rules.select("authority", (F.col("name") == "allow").alias("allow"), F.col("value").alias("pattern"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapidary.functions.text import project_key
+
 
 def key_id(*parts: Column) -> Column:
     """A deterministic id: the same parts give the same id in every run."""
@@ -53,3 +55,29 @@ def row_anchors(facts: DataFrame, identifiers: DataFrame) -> DataFrame:
     """facts with the item that their document's row names; rows without a number name none."""
     newest = identifiers.filter("sheet_row IS NOT NULL").groupBy("document_id", "sheet_row").agg(F.max_by("literal", F.struct("extractor_version", "fact_id")).alias("item"))
     return facts.join(newest, ["document_id", "sheet_row"], "left")
+
+
+#: Facts that name a project, the strongest first, and what documents are to each other that share one.
+PROJECT_KEYS = {"nit_number": "same_tender", "project_reference": "same_contract"}
+
+
+def projects(facts: DataFrame, origins: DataFrame, retractions: DataFrame) -> DataFrame:
+    """(document_id, source_id, external_ref, keyed_by, relationship): documents in the project that their strongest identifier names.
+
+    Sources are kept apart, withdrawn identifiers group nothing.  Of one rank the first fact by
+    id counts; a document without an identifier has no row.
+    """
+    ranks = F.create_map(*(F.lit(x) for i, k in enumerate(PROJECT_KEYS) for x in (k, i)))
+    named = facts.filter(F.col("fact_type").isin(*PROJECT_KEYS)).join(retractions.select("fact_id"), "fact_id", "left_anti")
+    best = named.groupBy("document_id").agg(F.min(F.struct(F.element_at(ranks, F.col("fact_type")).alias("rank"), "fact_id", "fact_type", "literal")).alias("best"))
+    placed = best.join(origins.groupBy("document_id").agg(F.min("source_id").alias("source_id")), "document_id")
+    placed = placed.select("document_id", "source_id", project_key(F.col("best.literal")).alias("external_ref"), "best.fact_type")
+    first = placed.groupBy("source_id", "external_ref").agg(F.min_by("fact_type", "document_id").alias("keyed_by"))
+    kinds = F.create_map(*(F.lit(x) for pair in PROJECT_KEYS.items() for x in pair))
+    return placed.drop("fact_type").join(first, ["source_id", "external_ref"]).withColumn("relationship", F.element_at(kinds, F.col("keyed_by")))
+
+
+def sole_origin(origins: DataFrame) -> DataFrame:
+    """(document_id, source_id, ambiguous): the origin of each document that has one only; several are never chosen from."""
+    one = F.min("source_id") == F.max("source_id")
+    return origins.groupBy("document_id").agg(F.when(one, F.min("source_id")).alias("source_id"), F.coalesce(~one, F.lit(False)).alias("ambiguous"))

@@ -49,9 +49,63 @@ def after_failure(old: Column) -> Column:
     return F.when(allowed_transition(old, F.lit("failed")), "failed").otherwise(old)
 
 
-def fingerprint(parts: Sequence[Column]) -> Column:
-    """Digest of a conclusion: JSON with null fields kept, in the order given."""
-    return F.sha2(F.to_json(F.struct(*(c.cast("string").alias(f"p{i:02d}") for i, c in enumerate(parts))), {"ignoreNullFields": "false"}), 256)
+def conclusion_fingerprint(rule: Sequence[Column], verdict: Sequence[Column], detail: Column, evidence: Column) -> Column:
+    """Digest of what a reviewer sees: rule and version, outcome with what was expected and observed, the rule's numbers and its evidence.
+
+    Canonical JSON: keys in order, nothing between tokens, absent values as null.  detail is
+    a map of strings; evidence an array of arrays of strings, in the order of the caller.
+    """
+    text = lambda columns: F.array(*(c.cast("string") for c in columns))
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(detail)))
+    body = F.struct(ordered.alias("detail"), evidence.alias("evidence"), text(rule).alias("rule"), text(verdict).alias("verdict"))
+    return F.sha2(F.to_json(body, {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def inputs_fingerprint(inputs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, fingerprint): digest of which facts and provisions fed a calculation, and in which role; inputs: role, fact_id, provision_id."""
+    part = F.when(F.col("fact_id").isNotNull(), F.struct(F.lit(0).alias("k"), "role", F.concat("role", F.lit("="), "fact_id").alias("shown")))
+    part = part.otherwise(F.struct(F.lit(1).alias("k"), "role", F.concat(F.lit("provision:"), "role", F.lit("="), "provision_id").alias("shown")))
+    listed = inputs.groupBy(*key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return listed.select(*key, F.sha2(F.array_join(F.transform("parts", lambda x: x["shown"]), "|").cast("binary"), 256).alias("fingerprint"))
+
+
+def withdrawn(facts: DataFrame, retractions: DataFrame, suppressed: DataFrame, reason: str, version: str) -> DataFrame:
+    """New rows (fact_id, reason, version) for facts of documents, of any version, whose type is suppressed now and that are not withdrawn yet."""
+    own = facts.filter("sheet_row IS NULL").join(suppressed.select("document_id", "fact_type").distinct(), ["document_id", "fact_type"], "left_semi")
+    return own.join(retractions.select("fact_id"), "fact_id", "left_anti").select("fact_id", F.lit(reason).alias("reason"), F.lit(version).alias("version"))
+
+
+#: What a finding is about: a document, a project, or a work item of a project.
+FINDING_KEY = ("scope", "scope_id", "rule_id", "rule_version")
+
+
+def stored_findings(known: DataFrame, incoming: DataFrame, order: Column) -> DataFrame:
+    """Findings after a run: one for each scope, rule and version, the incoming one in place of the known one."""
+    return upserted(known, incoming, FINDING_KEY, order)
+
+
+def rebuilt_evidence(known: DataFrame, incoming: DataFrame, findings: DataFrame) -> DataFrame:
+    """Evidence after a run: what the run's findings cite, and what other findings cited before; all have FINDING_KEY."""
+    return known.join(findings.select(*FINDING_KEY).distinct(), [*FINDING_KEY], "left_anti").unionByName(incoming.join(findings.select(*FINDING_KEY).distinct(), [*FINDING_KEY], "left_semi"))
+
+
+def recorded_reviews(findings: DataFrame, asked: DataFrame) -> DataFrame:
+    """New review rows: each captures the conclusion as it stands; asked: finding_id, decision, note, reviewer, asked_at.
+
+    ``refused`` says why one is not recorded: no such finding, or a blank note or reviewer.
+    """
+    seen = findings.select("finding_id", F.col("fingerprint").alias("reviewed_fingerprint"), F.col("outcome").alias("reviewed_outcome"), F.col("rule_version").alias("reviewed_rule_version"))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    why = F.when(F.col("reviewed_fingerprint").isNull(), "no finding").when(blank("note"), "no note").when(blank("reviewer"), "no reviewer")
+    return asked.join(seen, "finding_id", "left").withColumns({"refused": why, "reviewer": F.trim("reviewer")})
+
+
+def confirmed_types(documents: DataFrame, confirmations: DataFrame) -> DataFrame:
+    """documents with the type that a named person confirmed last; what was suggested stays as it was."""
+    named = confirmations.filter(F.coalesce(F.trim("confirmed_by"), F.lit("")) != "")
+    last = named.groupBy("document_id").agg(F.max_by("document_type", F.struct("confirmed_at", "document_type")).alias("confirmed"))
+    joined = documents.join(last, "document_id", "left")
+    return joined.withColumns({"document_type": F.coalesce("confirmed", "document_type"), "type_authority": F.when(F.col("confirmed").isNotNull(), "human_confirmed").otherwise(F.col("type_authority"))}).drop("confirmed")
 
 
 def current_reviews(findings: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import text as T
 from lapidary.functions import urls
-from lapidary.operators import calc, extract, frontier, reconcile, resolve, rules, select, state
+from lapidary.operators import frontier, reconcile, resolve, select, state
 from lapidary.plans.tables import money, registration, retractions, sources, table
 from lapidary.sources import objects, shared
 from lapidary.streaming import windows
@@ -94,61 +94,12 @@ def h25_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT sha256(html) AS sha256, min(page_id) AS first_page, count(*) AS n_pages, 'raw/crawl/' || substr(sha256(html), 1, 2) || '/' || substr(sha256(html), 3, 2) || '/' || sha256(html) || '.html' AS key FROM pages GROUP BY ALL""")
 def a08_content_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by content, with the key under which each is stored once."""
+    """Documents by content, with the key under which each is stored once."""
     rows = table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
     kept = rows.groupBy("sha256").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n_pages"))
     return kept.withColumn("key", objects.raw_key(F.lit("crawl"), F.col("sha256"), F.lit(".html")))
 
 
-def bill_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as pages of text, one priced line for each order line."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("document_id"), "l_linenumber", "l_partkey", "l_suppkey",
-        F.format_string("%d Supply of part %d by %d m3 %d %s %s", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(20,2)").cast("string"), money("l_extendedprice").cast("string")).alias("shown"),
-    )
-    listed = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "shown"))).alias("v"))
-    return listed.select("document_id", F.lit(1).alias("page"), F.concat(F.lit("BILL OF QUANTITIES\n"), F.array_join(F.transform("v", lambda x: x["shown"]), "\n")).alias("text"))
-
-
-@query("""
-SELECT l_orderkey AS document_id, CAST(l_linenumber AS VARCHAR) AS item, 'm3' AS unit, CAST(CAST(l_quantity AS DECIMAL(20,4)) AS DOUBLE) AS quantity, CAST(CAST(l_extendedprice AS DECIMAL(20,4)) AS DOUBLE) AS amount,
-       'Supply of part ' || l_partkey || ' by ' || l_suppkey AS description FROM lineitem""")
-def i07_bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Priced lines read back from pages of text."""
-    read = extract.bill_lines(bill_pages(spark, sf_dir))
-    return read.select("document_id", "item", "unit", F.col("quantity").cast("double").alias("quantity"), F.col("amount").cast("double").alias("amount"), "description")
-
-
-@query("""
-SELECT l_orderkey AS document_id, CAST(sum(CAST(l_quantity AS DECIMAL(20,2))) AS DOUBLE) AS quantity, CAST(sum(CAST(l_extendedprice AS DECIMAL(20,2))) AS DOUBLE) AS amount, 3 * count(*) AS n_facts FROM lineitem GROUP BY 1""")
-def i17_bill_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each priced line as three facts, and sums by type."""
-    found = extract.bill_facts(extract.bill_lines(bill_pages(spark, sf_dir)))
-    of = lambda t: F.sum(F.when(F.col("fact_type") == t, F.col("numeric_value"))).cast("double").alias(t)
-    return found.groupBy("document_id").agg(of("quantity"), of("amount"), F.count(F.lit(1)).alias("n_facts"))
-
-
-@query("""
-WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(20,2)) AS cost, o_orderdate, o_orderkey % 3 AS k FROM orders)
-SELECT o_orderkey AS document_id, CAST(o_orderdate AS DATE) AS document_date, CAST(cost AS DOUBLE) AS estimated_cost, CAST(CASE WHEN k < 2 THEN round(cost * (0.02 + 0.003 * k), 2) END AS DOUBLE) AS bid_security,
-       CASE WHEN k = 0 THEN 'pass' WHEN k = 1 THEN 'fail' ELSE 'inconclusive' END AS outcome FROM o""")
-def k01_tender_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices written from orders, read back, and judged by the share that they prescribe."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", money("o_totalprice").alias("cost"), "o_orderdate", (F.col("o_orderkey") % 3).alias("k"))
-    rate = F.lit("0.02").cast("decimal(6,3)") + F.lit("0.003").cast("decimal(6,3)") * F.col("k")
-    security = F.when(F.col("k") < 2, F.concat(F.lit("Bid Security: Rs. "), F.format_number(F.round(F.col("cost") * rate, 2), 2))).otherwise("")
-    pages = orders.select(
-        F.col("o_orderkey").alias("document_id"), F.lit(1).alias("page"),
-        F.concat(F.lit("Tender No. AB/"), "o_orderkey", F.lit(" dated "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(".\nEstimated Cost: Rs. "), F.format_number("cost", 2), F.lit("\n"), security, F.lit("\nEMD @ 2% of estimated cost.")).alias("text"),
-    )
-    read = extract.tender_notice(pages)
-    share = calc.share(F.col("bid_security"), F.col("estimated_cost"))
-    return read.select(
-        "document_id", "document_date", F.col("estimated_cost").cast("double").alias("estimated_cost"), F.col("bid_security").cast("double").alias("bid_security"),
-        rules.share_of_cost(share, F.col("prescribed_share")).alias("outcome"),
-    )
-
-
 TYPES = ("contracted_quantity", "measured_quantity", "cumulative_claim", "previous_certified", "contract_rate", "claimed_rate")
 
 
@@ -231,7 +182,7 @@ def n08_retry_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH k AS (SELECT l_orderkey, l_linenumber, max(l_shipdate) FILTER (l_returnflag <> 'N') AS old, max(l_shipdate) FILTER (l_returnflag = 'N') AS new FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, CAST(coalesce(new, old) AS DATE) AS day FROM k""")
 def m02_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2 M4 M7 M8: an incoming row replaces the known one with its key, the last of them winning."""
+    """M2 M7 M8: an incoming row replaces the known one with its key, the last of them winning."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")
     rows = state.upserted(lines.filter("l_returnflag <> 'N'"), lines.filter("l_returnflag = 'N'"), ["l_orderkey", "l_linenumber"], F.col("l_shipdate"))
     return rows.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
@@ -272,7 +223,7 @@ def m13_advances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS total FROM events GROUP BY ALL""")
 def n05_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream over the events, with checkpointed state, until all that is there has been read."""
+    """A stream over the events, with checkpointed state, until all that is there has been read."""
     # a pattern, as a stream's path is else taken for a folder
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     out = windows.run_available(spark, source, windows.tumbling, "complete", shared.new_path(spark, "windows"))
@@ -284,7 +235,7 @@ WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT user_id, epoch_us(min(ts)) AS session_us, count(*) AS n FROM s GROUP BY user_id, k""")
 def n06_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of users by gaps, in one aggregation."""
+    """Sessions of users by gaps, in one aggregation."""
     found = windows.sessions(table(spark, sf_dir, "events"))
     return found.select("user_id", F.unix_micros("session_start").alias("session_us"), "n")
 
@@ -302,13 +253,18 @@ WITH f AS (SELECT o_orderkey AS id, o_custkey, o_orderstatus AS outcome, o_order
 SELECT c_custkey AS finding_id, coalesce(n, 0) AS n_current, CASE WHEN r.id IS NOT NULL THEN 'noted ' || m END AS decision, c_acctbal < 0 AND r.id IS NULL AS reviewable
 FROM customer LEFT JOIN (SELECT o_custkey AS id, max(o_orderkey) AS m, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) r ON c_custkey = r.id""")
 def e05_current_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest review of a conclusion as it stands; reviews of older ones are stale."""
+    """The newest review of a conclusion as it stands; reviews of older ones are stale."""
+
+    def conclusion(key: str, seen: Column) -> Column:
+        nothing = F.lit(None).cast("map<string,string>")
+        return state.conclusion_fingerprint([F.lit("r"), F.lit("1")], [F.col(key), seen], nothing, F.array(F.array(seen)))
+
     outcome = F.when(F.col("c_acctbal") < 0, "review").otherwise("pass")
     findings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("finding_id"), outcome.alias("outcome"), F.lit("1").alias("rule_version"))
-    findings = findings.withColumn("fingerprint", state.fingerprint([F.col("finding_id"), F.lit("F")]))
+    findings = findings.withColumn("fingerprint", conclusion("finding_id", F.lit("F")))
     reviews = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("review_id"), F.col("o_custkey").alias("finding_id"), F.concat(F.lit("noted "), "o_orderkey").alias("decision"), F.lit("x").alias("reviewer"),
-        F.col("o_orderkey").alias("reviewed_at"), state.fingerprint([F.col("o_custkey"), F.col("o_orderstatus")]).alias("reviewed_fingerprint"), F.lit("1").alias("reviewed_rule_version"),
+        F.col("o_orderkey").alias("reviewed_at"), conclusion("o_custkey", F.col("o_orderstatus")).alias("reviewed_fingerprint"), F.lit("1").alias("reviewed_rule_version"),
     )
     reviews = reviews.join(findings.select("finding_id", F.col("outcome").alias("reviewed_outcome")), "finding_id")
     return state.current_reviews(findings, reviews).select("finding_id", "n_current", "decision", "reviewable")
@@ -317,6 +273,6 @@ def e05_current_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT o_custkey, sha256(o_custkey || '|' || min(o_orderpriority)) AS project_id, count(*) AS n FROM orders GROUP BY o_custkey""")
 def l01_project_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projects get the same id in every run."""
+    """L1: projects get the same id in every run."""
     grouped = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("p"), F.count(F.lit(1)).alias("n"))
     return grouped.select("o_custkey", resolve.key_id(F.col("o_custkey").cast("string"), F.col("p")).alias("project_id"), "n")

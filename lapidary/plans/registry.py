@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapidary.plans import documents, relational, shapes
+from lapidary.plans import documents, records, relational, shapes
 
-QUERIES: dict = relational.QUERIES | documents.QUERIES | shapes.QUERIES
-SQL: dict[str, str] = relational.SQL | documents.SQL | shapes.SQL
+QUERIES: dict = relational.QUERIES | documents.QUERIES | shapes.QUERIES | records.QUERIES
+SQL: dict[str, str] = relational.SQL | documents.SQL | shapes.SQL | records.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

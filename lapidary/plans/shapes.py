@@ -30,7 +30,7 @@ def b02_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN n_chars > 20000 THEN 'failed' WHEN text LIKE '%|%' THEN 'quarantined' WHEN n_chars = 0 THEN 'unreadable' WHEN lang <> 'en' THEN 'processing' ELSE 'processed' END AS status,
        source IS NOT NULL AND source <> 'src0' AS differs FROM documents""")
 def b16_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One status by precedence, and flags."""
+    """One status by precedence, and flags."""
     status = (
         F.when(F.col("n_chars") > 20_000, "failed").when(F.col("text").contains("|"), "quarantined")
         .when(F.col("n_chars") == 0, "unreadable").when(F.col("lang") != "en", "processing").otherwise("processed")
@@ -42,7 +42,7 @@ def b16_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k, arg_max(name, (priority, key)) AS name, max(priority) AS priority FROM (
   SELECT c_nationkey AS k, c_name AS name, 1 AS priority, c_custkey AS key FROM customer UNION ALL SELECT s_nationkey, s_name, 2, s_suppkey FROM supplier) GROUP BY k""")
 def c13_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One kind of origin overrides the other, and of each the latest counts."""
+    """One kind of origin overrides the other, and of each the latest counts."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"), F.lit(1).alias("priority"), F.col("c_custkey").alias("key"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"), F.lit(2).alias("priority"), F.col("s_suppkey").alias("key"))
     both = customers.unionByName(suppliers)
@@ -53,7 +53,7 @@ def c13_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT doc_id, quality, row_number() OVER (ORDER BY CASE WHEN quality = 1 THEN NULL ELSE doc_id END NULLS FIRST, doc_id) AS place FROM labels)
 SELECT doc_id, place FROM l WHERE place <= 100""")
 def f07_null_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without a number first, then by number; the first hundred (a list of that length is the feature)."""
+    """Rows without a number first, then by number; the first hundred (a list of that length is the feature)."""
     number = F.when(F.col("quality") != 1, F.col("doc_id"))
     top = table(spark, sf_dir, "labels").orderBy(number.asc_nulls_first(), "doc_id").limit(100)
     return top.select("doc_id", F.row_number().over(Window.orderBy(number.asc_nulls_first(), "doc_id")).cast("long").alias("place"))
@@ -114,7 +114,7 @@ def h10_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) FILTER (n > 1) AS repeated_keys, count(*) FILTER (o_custkey IS NULL) AS orphans, count(*) FILTER (bad) AS below_zero FROM (
   SELECT l_orderkey, l_linenumber, count(*) AS n, any_value(o_custkey) AS o_custkey, bool_or(l_quantity <= 0) AS bad FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)""")
 def p05_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invariants as counts of what breaks them: repeated keys, orphans, impossible values."""
+    """Invariants as counts of what breaks them: repeated keys, orphans, impossible values."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("l_quantity") <= 0).alias("bad"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     joined = lines.join(orders, "l_orderkey", "left")
