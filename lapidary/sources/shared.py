@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a local one only where that is not set."""
+    """A fresh path under spark.checkpoint.dir; a local folder serves only a session that runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -132,6 +132,22 @@ def test_bands(spark):
     assert got == {0: (1, 1, "applicable"), 1: (2, None, "ambiguous"), 2: (2, None, "ambiguous")}
 
 
+def test_many_bands(spark):
+    import random
+
+    rng = random.Random(4)
+    pick = lambda: None if rng.random() < 0.1 else Decimal(rng.randrange(200))
+    steps = [(i, *sorted((pick(), pick()), key=lambda x: x or 0)) for i in range(300)]
+    values = [(i, pick()) for i in range(100)]
+    frame = spark.createDataFrame(values, "id int, v decimal(20,2)")
+    side = spark.createDataFrame(steps, "band int, low decimal(20,2), high decimal(20,2)")
+    want = sorted((i, k) for i, v in values for k, a, b in steps if (a is None or (v is not None and v >= a)) and (b is None or (v is not None and v <= b)))
+    for sent in (10_000, 10):
+        got = bands.band_join(frame, "v", side, "low", "high", sent=sent)
+        assert sorted((r.id, r.band) for r in got.collect() if r.band is not None) == want
+        assert got.select("id").distinct().count() == len(values)
+
+
 @pytest.mark.parametrize(("text", "value"), [("Rs. 16.93 Lacs", 1693000), ("Rs. 8,46,49,969 only", 84649969), ("INR 2 crore", 20000000), ("1488 Km", None), ("Rs. 5 and Rs. 6", None)])
 def test_amounts(spark, text, value):
     got = spark.createDataFrame([(text,)], "t string").select(T.the_amount(F.col("t")).alias("v")).first().v
