@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one serves only a session that runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,6 +42,34 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than one in so many of the rows; there are at most so many hot keys.
+HOT_SHARE = 10_000
+
+
+def hot_keys(counts: DataFrame, key: str, number: str) -> DataFrame:
+    """The keys of counts (one row each) with more than 1 / HOT_SHARE of all rows: at most HOT_SHARE of them, whatever the input."""
+    total = counts.agg(F.sum(number)).first()[0] or 0
+    return counts.filter(F.col(number) * HOT_SHARE > F.lit(total)).select(key)
+
+
+def dealt_join(rows: DataFrame, other: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined to other, which has each key at most once: hot keys are sent to the rows, where these are, and the rest is shuffled.
+
+    So no task gets more rows of one key than a share of 1 / HOT_SHARE.  how: inner or left.
+    """
+    sent = F.broadcast(hot)
+    apart = rows.join(F.broadcast(other.join(sent, key, "left_semi")), key)
+    return apart.unionByName(rows.join(sent, key, "left_anti").join(other, key, how))
+
+
+def free_name(wanted: str, columns: list[str]) -> str:
+    """A column name that none of the columns has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def crc_bucket(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 4; rows without an id count as bucket 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4, F.lit(0))
@@ -128,3 +158,53 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+#: For each length up to 8, the bits of so many bytes.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; beyond the end there are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data), np.dtype("<u8"), padded, 0, (1,)) if len(data) else np.zeros(0, np.uint64)
+
+
+def chunked(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, bytes, number within the span, first of each span) of the pieces of eight bytes of each span, which has a byte at least."""
+    count = (lengths + 7) >> 3
+    first = np.cumsum(count) - count
+    nth = np.arange(int(count.sum()), dtype=np.int64) - np.repeat(first, count)
+    return np.repeat(starts, count) + 8 * nth, np.minimum(np.repeat(lengths, count) - 8 * nth, 8), nth, first
+
+
+def mixed_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span that has any, in which each piece of eight bytes is mixed with its place before they are added."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place, size, nth, first = chunked(starts, ends - starts)
+    piece = eights(data)[place] & MASKS[size]
+    sums = np.add.reduceat(mixed(piece + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), first)
+    return mixed(sums + (ends - starts).astype(np.uint64))
+
+
+def same_bytes(one: np.ndarray, starts: np.ndarray, two: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Does each span of one (start, length) hold the same bytes as that of two?  Spans have a byte at least."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    place, size, _, first = chunked(starts, lengths)
+    shift = np.repeat(others - starts, (lengths + 7) >> 3)
+    return np.logical_and.reduceat((eights(one)[place] ^ eights(two)[place + shift]) & MASKS[size] == 0, first)
+
+
+def exact_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each span that spans with the same bytes share and no others: by hash, and the bytes are compared."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths, model = ends - starts, first[number]
+    fits = (lengths == lengths[model]) & (lengths > 0)
+    fits[fits] = same_bytes(data, starts[fits], data, starts[model[fits]], lengths[fits])
+    seen: dict[bytes, int] = {}
+    for i in np.flatnonzero(~fits).tolist():  # spans that only share a hash
+        number[i] = seen.setdefault(data[starts[i] : ends[i]].tobytes(), len(first) + len(seen))
+    return number

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.llm.common import offsets, prefix_hashes, ranges, span_hashes, steps, text_or_empty, utf8
+from lapidary.llm.common import free_name, mixed_hashes, offsets, ranges, same_bytes, steps, text_or_empty, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -56,7 +56,7 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before[bounds] = after[bounds] = False
     starts = np.flatnonzero(inside & ~before[:-1])
     ends = np.flatnonzero(inside & ~after[1:]) + 1
-    return starts, ends, span_hashes(prefix_hashes(low), starts, ends), np.searchsorted(starts, bounds)
+    return starts, ends, mixed_hashes(low, starts, ends), np.searchsorted(starts, bounds)
 
 
 @dataclass

@@ -5,23 +5,31 @@ The n-grams of a text are its runs of :data:`NGRAM` words (runs of the bytes of
 words.  Two texts are linked when the Jaccard similarity of their sets of n-grams is at
 least the threshold.
 
-1. Texts with equal sets are folded into one representative, with map-side aggregation.
-2. Bands and rows are chosen for a target recall at the threshold.  Band hashes of
-   representatives are shuffled; those that several have tie each member to the least
-   one, which gives candidate clusters as connected components, in a number of rows that
-   follows the number of texts and not of pairs.
-3. Clusters are cut into blocks of bounded size, and a task gets one pair of blocks.  It
-   compares, on their full sets of n-grams, the texts that share a band hash, and returns a
-   number of links and one local label for each text, never a row for each pair.
+1. Texts with the same words in the same order are folded into one, by a 128-bit digest of
+   their words, with map-side aggregation.
+2. Bands and rows are chosen for a target recall at the threshold.  Band hashes of the folded
+   texts are shuffled; those that several have tie each member to the least one, which gives
+   candidate clusters as connected components, in a number of rows that follows the number
+   of texts and not of pairs.
+3. Clusters of more than :data:`BLOCK` texts or :data:`BLOCK_BYTES` are cut into blocks of texts
+   that have the same least neighbour.  A task gets two blocks, and of these only the texts
+   that share a band hash with one of the other block: a text is copied once for each block
+   in which it has candidates, so that a long chain of texts is not copied all to all.  Each
+   candidate pair meets in one pair of blocks.  There words are numbered by their bytes and
+   n-grams by their words, and full sets are compared.  A task returns a number of links and
+   one local label for each text, never a row for each pair.
 4. Labels from all pairs of blocks are joined into the final classes.
 
+A key that a large share of the rows has is sent to these rows and not shuffled.
+
 Nulls and ties: a text without words (or null) links to nothing and is its own class.  Rows
-without an id count as copies of texts that have an id; texts that only such rows have are
-not compared, and their class is null.  The class id is the least id in the class.
+without an id are compared like all others; a class of which no row has an id has a null
+class id.  Of equal rows one stands for all.  The class id is the least id in the class.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -30,18 +38,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.llm.common import mixed, ranges, steps, text_or_empty, utf8, written
+from lapidary.llm.common import dealt_join, exact_numbers, hot_keys, mixed, ranges, steps, text_or_empty, utf8, written
 from lapidary.llm.components import components
-from lapidary.llm.decontaminate import words_of
+from lapidary.llm.decontaminate import LOWER, words_of
 
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
 MOST_HASHES = 160
-#: Texts in a block; a task compares two blocks.
+#: Texts, and bytes of text, in a block; a text that is longer is a block of its own.
 BLOCK = 256
-#: N-grams are told apart by so many bits.
-GRAM_BITS = 44
+BLOCK_BYTES = 2 << 20
 
 
 def bands_and_rows(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -57,30 +64,59 @@ def bands_and_rows(threshold: float, recall: float, most: int = MOST_HASHES) ->
     return best
 
 
-def gram_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, bounds): the different n-grams of each row, sorted, end to end."""
-    _, _, word, at = words_of(data, bounds)
+def gram_places(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of words, row) of each n-gram of rows whose words are bounded by at."""
     count = np.diff(at)
     own = np.minimum(count, size)
-    first = ranges(at[:-1], count - own + (count > 0))
-    row = np.repeat(np.arange(len(count)), count - own + (count > 0))
+    number = count - own + (count > 0)
+    row = np.repeat(np.arange(len(count)), number)
+    return ranges(at[:-1], number), own[row], row
+
+
+def gram_hashes(word: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): a hash of each n-gram of each row, repeated ones too."""
+    first, own, row = gram_places(at, size)
     gram = np.zeros(len(first), np.uint64)
     for i in range(size):
-        on = i < own[row]
-        step = word[np.minimum(first + i, max(0, len(word) - 1))] if len(word) else gram
-        gram = np.where(on, mixed(gram * np.uint64(0x100000001B3) + step), gram)
-    key = np.unique(row.astype(np.uint64) << np.uint64(GRAM_BITS) | gram >> np.uint64(64 - GRAM_BITS))
-    rows = (key >> np.uint64(GRAM_BITS)).astype(np.int64)
-    return key & np.uint64((1 << GRAM_BITS) - 1), np.searchsorted(rows, np.arange(len(count) + 1))
+        on = np.flatnonzero(i < own)
+        gram[on] = mixed(gram[on] * np.uint64(0x100000001B3) + word[first[on] + i].astype(np.uint64) + np.uint64(1))
+    return gram, np.searchsorted(row, np.arange(len(at)))
 
 
-def set_keys(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each set, whatever the order."""
-    out = []
-    for salt in (0x51ED270B1, 0x2545F4914F6CDD1D):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(grams + np.uint64(salt)))])
-        out.append(mixed(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+def gram_sets(number: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, bounds): the different n-grams of each row, sorted, end to end.  number has a number for each different word.
+
+    An n-gram's number is the place of the first one with the same words: found by hash, and
+    the words are compared.
+    """
+    first, own, row = gram_places(at, size)
+    gram, _ = gram_hashes(number, at, size)
+    _, model, found = np.unique(gram, return_index=True, return_inverse=True)
+    differs = own != own[model[found]]
+    for i in range(size):
+        on = np.flatnonzero((i < own) & ~differs)
+        differs[on] = number[first[on] + i] != number[first[model[found[on]]] + i]
+    seen: dict[tuple[int, ...], int] = {}
+    for i in np.flatnonzero(differs).tolist():  # n-grams that only share a hash
+        found[i] = seen.setdefault(tuple(number[first[i] : first[i] + own[i]].tolist()), len(model) + len(seen))
+    wide = np.int64(len(model) + len(seen) + 1)
+    key = np.unique(row * wide + found)
+    return key % wide, np.searchsorted(key // wide, np.arange(len(at)))
+
+
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """128 bits for each row, from all its words in order."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    letters = LOWER[data[np.cumsum(inside[:-1], dtype=np.int8) > 0]].tobytes()
+    lengths = (ends - starts).astype("<u4")
+    ends_of = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[at].tolist()
+    sizes, places = lengths.tobytes(), at.tolist()
+    return [
+        hashlib.blake2b(letters[a:b], digest_size=16, key=hashlib.blake2b(sizes[4 * i : 4 * j], digest_size=32).digest()).digest()
+        for a, b, i, j in zip(ends_of, ends_of[1:], places, places[1:], strict=False)
+    ]
 
 
 def min_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -99,16 +135,21 @@ def min_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int) ->
 
 
 def signature_udf(size: int, bands: int, rows: int) -> Callable[[Column], Column]:
-    @F.arrow_udf("k1 bigint, k2 bigint, n int, bands array<bigint>")
+    kind = pa.struct([("k", pa.binary()), ("v", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("k binary, v bigint, n int, bands array<bigint>")
     def udf(texts: pa.Array) -> pa.Array:
         parts = []
         for part in steps(pa.RecordBatch.from_arrays([texts], ["t"]), "t"):
-            grams, at = gram_sets(*utf8(part.column(0)), size)
-            k1, k2 = set_keys(grams, at)
-            hashes = min_hashes(grams, at, bands, rows)
+            data, bounds = utf8(part.column(0))
+            starts, ends, word, at = words_of(data, bounds)
+            grams, of = gram_hashes(word, at, size)
+            hashes = min_hashes(grams, of, bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * bands, pa.int32()), pa.array(hashes.ravel()))
-            parts.append(pa.StructArray.from_arrays([pa.array(k1), pa.array(k2), pa.array(np.diff(at), pa.int32()), lists], ["k1", "k2", "n", "bands"]))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))]))
+            keys = word_digests(data, starts, ends, at)
+            short = np.frombuffer(b"".join(x[:8] for x in keys), "<i8")
+            parts.append(pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(short), pa.array(np.diff(at), pa.int32()), lists], ["k", "v", "n", "bands"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return udf
 
@@ -153,53 +194,45 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
 
 
 def compare_blocks(size: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows sorted by group: (k1, near, links) of each text in each pair of blocks that it is in."""
+    """Over rows sorted by group: (k, near, links) of each text in each pair of blocks that it is in."""
 
     def compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        parts, keys = [], []
-        for batch in t.to_batches():
-            for part in steps(batch, "text"):
-                grams, at = gram_sets(*utf8(part.column("text")), size)
-                keys.append(set_keys(grams, at)[0])
-                parts.append((grams, at))
-        key, want = np.concatenate(keys), t.column("k1").to_numpy()
+        t = pa.Table.from_batches(rows).combine_chunks()
+        if not t.num_rows:
+            return table([], [], [])
+        k = t.column("k").chunk(0)
         side, weight = t.column("side").to_numpy(), t.column("n_docs").to_numpy()
-        # One row for each set; rows whose text is another one than the signature's are not it.
-        _, first = np.unique(np.stack([side, key]), axis=1, return_index=True)
-        keep = np.sort(first[key[first] == want[first]])
-        bounds = np.concatenate([[0], *(at[1:] + off for (_, at), off in zip(parts, np.cumsum([0, *(len(g) for g, _ in parts)][:-1]), strict=True))])
-        grams = np.concatenate([g for g, _ in parts])
-        bands = np.stack(t.column("bands").to_numpy())[keep] if len(keep) else np.zeros((0, 1), np.int64)
-        side, key, weight = side[keep], key[keep], weight[keep]
-
-        def sets(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            start, n = bounds[keep[which]], bounds[keep[which] + 1] - bounds[keep[which]]
-            return grams[ranges(start, n)], np.concatenate([[0], np.cumsum(n)])
-
+        bands = np.stack(t.column("bands").to_numpy())
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        diagonal = not len(two)
-        if diagonal:
+        within = not len(two)
+        if within:
             two = one
         candidate = np.zeros((len(one), len(two)), bool)
         for band in range(bands.shape[1]):
             candidate |= bands[one, band][:, None] == bands[two, band][None, :]
-        if diagonal:
+        if within:
             np.fill_diagonal(candidate, False)
         if not candidate.any():
             return table([], [], [])
+        data, bounds = utf8(t.column("text").chunk(0))
+        starts, ends, word, at = words_of(data, bounds)
+        grams, of = gram_sets(exact_numbers(LOWER[data], starts, ends, word), at, size)
+
+        def sets(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            start, n = of[which], of[which + 1] - of[which]
+            return grams[ranges(start, n)], np.concatenate([[0], np.cumsum(n)])
+
         linked = similar_in(sets(one), sets(two), candidate, threshold)
-        if diagonal:
-            root = local_roots(linked)
-            return table(key[one], key[one][root], linked @ weight[one])
+        if within:
+            return table(k.take(pa.array(one)), k.take(pa.array(one[local_roots(linked)])), linked @ weight[one])
         n1 = len(one)
         square = np.zeros((n1 + len(two),) * 2, bool)
         square[:n1, n1:], square[n1:, :n1] = linked, linked.T
-        all_keys = np.concatenate([key[one], key[two]])
-        return table(all_keys, all_keys[local_roots(square)], np.concatenate([linked @ weight[two], linked.T @ weight[one]]))
+        both = np.concatenate([one, two])
+        return table(k.take(pa.array(both)), k.take(pa.array(both[local_roots(square)])), np.concatenate([linked @ weight[two], linked.T @ weight[one]]))
 
-    def table(k1, near, links) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (k1, near, links)], ["k1", "near", "links"])
+    def table(k, near, links) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(near, pa.binary()), pa.array(np.asarray(links, np.int64))], ["k", "near", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -219,46 +252,75 @@ def compare_blocks(size: int, threshold: float) -> Callable[[Iterator[pa.RecordB
     return run
 
 
-def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = NGRAM, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def candidate_blocks(sets: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """(v, g, side): the pairs of blocks (g) that each text is compared in.  sets: v, n_bytes, bands.
+
+    v is 64 bits of a text's digest: texts that share them would only be looked at together.
+    """
+    banded = sets.select("v", F.explode("bands").alias("h"))
+    least = banded.groupBy("h").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most")
+    least = written(least.select("h", "least", "n"), "buckets")
+    # Each text meets the least members of its bands.  One edge leads to the least of these; the
+    # others among them are tied to it once, however many texts share them.
+    met = dealt_join(banded, least.select("h", "least"), "h", hot_keys(least, "h", "n")).groupBy("v").agg(F.collect_set("least").alias("met"))
+    met = written(met.select("v", F.array_min("met").alias("hub"), "met"), "met")
+    edges = met.select(F.col("v").alias("a"), F.col("hub").alias("b")).union(met.select(F.explode("met").alias("a"), F.col("hub").alias("b")))
+    clusters = components(edges.filter("a <> b").distinct())
+    members = clusters.join(sets.groupBy("v").agg(F.sum("n_bytes").alias("n_bytes")), "v").join(met.select("v", "hub"), "v")
+    members = written(members, "members")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n_bytes") / block_bytes)).cast("int").alias("parts")
+    sized = written(members.groupBy("root").agg(parts, F.count(F.lit(1)).alias("n")), "sized")
+    large_roots = hot_keys(sized, "root", "n")
+    known = dealt_join(members, sized.select("root", "parts"), "root", large_roots)
+    alone = known.filter("parts = 1").select("v", F.xxhash64("root").alias("g"), F.lit(0).alias("side"))
+    # Large clusters: texts with one hub are together, as far as they fit.
+    large = written(known.filter("parts > 1"), "large")
+    hubs = large.groupBy("hub").agg(parts.alias("cuts"), F.count(F.lit(1)).alias("n"))
+    placed = dealt_join(large, hubs.select("hub", "cuts"), "hub", hot_keys(hubs, "hub", "n"))
+    cut = F.pmod(F.xxhash64("v", F.lit(1)), F.col("cuts"))
+    placed = written(placed.select("v", "root", F.pmod(F.xxhash64("hub", cut), F.col("parts")).cast("int").alias("part")), "placed")
+    shared = banded.join(placed, "v")
+    present = shared.groupBy("h").agg(F.collect_set("part").alias("there"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    present = written(present, "present")
+    around = dealt_join(shared, present.select("h", "there"), "h", hot_keys(present, "h", "n")).groupBy("v", "root", "part").agg(F.collect_set("there").alias("there"))
+    pairs = around.select("v", "root", "part", F.explode(F.array_distinct(F.flatten("there"))).alias("other"))
+    g = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
+    return alone.unionByName(pairs.select("v", g.alias("g"), (F.col("part") > F.col("other")).cast("int").alias("side")))
+
+
+def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = NGRAM, recall: float = RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, class_id, n_links, class_size) of every row of docs.
 
     n_links counts the other rows whose text has the similarity, copies of the own text
     among them.
     """
     bands, rows = bands_and_rows(threshold, recall)
-    signed = docs.select("doc_id", signature_udf(size, bands, rows)(text_or_empty()).alias("s"))
-    signed = written(signed.select("doc_id", "s.*"), "signatures")
-    sets = signed.filter("n > 0").groupBy("k1", "k2")
-    sets = written(sets.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.min("bands").alias("bands")), "sets")
-    # Candidate clusters.
-    banded = sets.filter("rep IS NOT NULL").select("k1", F.posexplode("bands").alias("band", "h"))
-    least = banded.groupBy("h").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).filter("least < most")
-    # Each text meets the least members of its bands.  One edge leads to the least of these; the
-    # others among them are tied to it once, however many texts share them.
-    met = banded.join(least.select("h", "least"), "h").groupBy("k1").agg(F.collect_set("least").alias("met"))
-    met = written(met.select("k1", F.array_min("met").alias("b"), "met"), "met")
-    edges = met.select(F.col("k1").alias("a"), "b").union(met.select(F.explode("met").alias("a"), "b"))
-    clusters = components(edges.filter("a <> b").distinct())
-    # Blocks: a cluster of c texts is cut into about c / block parts, by the hash of its members.
-    sized = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    placed = clusters.join(sized, "root").select(F.col("v").alias("k1"), "root", "parts", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
-    member = sets.join(placed, "k1").select("k1", "rep", "n_docs", "bands", "root", "parts", "part")
-    text = docs.select("doc_id", text_or_empty().alias("text")).join(member, F.col("doc_id") == F.col("rep"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = text.select("k1", "n_docs", "bands", "text", "root", "part", other).select(
-        F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("g"),
-        (F.col("part") > F.col("other")).cast("int").alias("side"), "k1", "n_docs", "bands", "text",
-    )
-    compared = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(compare_blocks(size, threshold), "k1 bigint, near bigint, links bigint")
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    same = F.xxhash64("text")
+    signed = texts.select("doc_id", same.alias("t"), F.octet_length("text").cast("long").alias("n_bytes"), signature_udf(size, bands, rows)(F.col("text")).alias("s"))
+    signed = written(signed.select("doc_id", "t", "n_bytes", "s.*"), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "n_bytes")).alias("first")
+    sets = signed.filter("n > 0").groupBy("k", "v").agg(first, F.count(F.lit(1)).alias("n_docs"), F.min("bands").alias("bands"))
+    sets = written(sets.select("k", "v", F.col("first.doc_id").alias("rep"), F.col("first.t").alias("t"), F.col("first.n_bytes").alias("n_bytes"), "n_docs", "bands"), "sets")
+    groups = written(candidate_blocks(sets, block, block_bytes), "groups")
+    wanted = groups.select("v").distinct().join(sets, "v").select("k", "rep", F.col("t").alias("of"))
+    # One row for each text, also where a table repeats rows; then its copies for the pairs of blocks.
+    own = (F.col("t") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    chosen = texts.withColumn("t", same).join(wanted, own).groupBy("k").agg(F.first("text").alias("text"))
+    placed = groups.join(sets.select("v", "k", "n_docs", "bands"), "v").drop("v")
+    dealt = placed.join(chosen, "k").select("g", "side", "k", "n_docs", "bands", "text")
+    compared = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(compare_blocks(size, threshold), "k binary, near binary, links bigint")
     compared = written(compared, "compared")
-    linked = components(compared.filter("k1 <> near").select(F.col("k1").alias("a"), F.col("near").alias("b")))
-    links = compared.groupBy("k1").agg(F.sum("links").alias("links"))
-    known = sets.join(linked, sets["k1"] == linked["v"], "left").drop("v").join(links, "k1", "left")
-    known = known.select("k1", "k2", "rep", "n_docs", F.coalesce("root", "k1").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    classes = known.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n_docs").alias("class_size"))
-    known = known.join(classes, "root").select("k1", "k2", "class_id", "class_size", (F.col("links") + F.col("n_docs") - 1).alias("links"))
+    linked = components(compared.filter("k <> near").select(F.col("k").alias("a"), F.col("near").alias("b"))).withColumnRenamed("v", "k")
+    links = compared.groupBy("k").agg(F.sum("links").alias("links"))
+    known = sets.select("k", "rep", "n_docs").join(linked, "k", "left").join(links, "k", "left")
+    known = written(known.select("k", "rep", "n_docs", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "known")
+    classes = written(known.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n_docs").alias("class_size"), F.count(F.lit(1)).alias("n")), "classes")
+    own = dealt_join(known, classes.select("root", "class_id", "class_size"), "root", hot_keys(classes, "root", "n"))
+    own = own.select("k", "class_id", "class_size", (F.col("links") + F.col("n_docs") - 1).alias("links"))
     empty = F.col("n") == 0
-    return signed.join(known, ["k1", "k2"], "left").select(
+    slim = signed.select("doc_id", "n", "k")
+    return dealt_join(slim, own, "k", hot_keys(known.select("k", "n_docs"), "k", "n_docs"), "left").select(
         "doc_id",
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
@@ -269,5 +331,5 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose id is the least of their class; rows without an id stay."""
     classes = similarity_classes(docs.select("doc_id", "text"))
-    gone = classes.filter("doc_id <> class_id").select("doc_id", F.lit(True).alias("_gone")).distinct()
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -1,10 +1,15 @@
 import random
 import re
+import string
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lapidary.llm import jaccard_join
+from lapidary.llm import common, jaccard_join
 from lapidary.llm.components import components
+from lapidary.llm.decontaminate import LOWER, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -46,18 +51,59 @@ def made():
     for i in range(30):  # each is near the next, the ends are not
         rows.append((1000 + i, " ".join(chain)))
         chain = chain[1:] + text(1)
-    rows += [rows[20], rows[20], (None, rows[25][1])]
+    rows += [rows[20], rows[20], (None, rows[25][1]), (None, "only rows without an id say this"), (None, "only rows without an id say this")]
+    rows += [(2000, "A b A b A b A b"), (2001, "a b a b a b a b a b"), (2002, "b a b a b a")]  # equal sets, other words
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_against_brute_force(spark, block):
+def thue_morse(letters, n=1024):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize(("block", "block_bytes"), [(512, 1 << 20), (7, 1 << 20), (100, 900)])
+def test_against_brute_force(spark, block, block_bytes):
     rows = made()
     frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(3)
-    got = jaccard_join.similarity_classes(frame, block=block).collect()
+    got = jaccard_join.similarity_classes(frame, block=block, block_bytes=block_bytes).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str(x) for x in brute(rows))
 
 
+def test_words_are_told_apart_by_their_bytes():
+    """Words that many hashes take for the same, and hashes that tell nothing apart."""
+    one, two = thue_morse("ab"), thue_morse("ba")
+    texts = pa.array([f"{one} x y z u", f"{two} x y z u", f"{one} x y z u", ""])
+    data, bounds = common.utf8(texts)
+    starts, ends, word, at = words_of(data, bounds)
+    assert len(set(word.tolist())) == 6
+    for hashes in (word, np.zeros(len(word), np.uint64), word & np.uint64(1)):
+        number = common.exact_numbers(LOWER[data], starts, ends, hashes)
+        assert number[0] == number[10] != number[5] and len(set(number.tolist())) == 6
+        grams, of = jaccard_join.gram_sets(number, at, 5)
+        assert [grams[a:b].tolist() for a, b in zip(of, of[1:], strict=False)] == [[grams[0]], [grams[1]], [grams[0]], []] and grams[0] != grams[1]
+
+
+def test_grams_are_told_apart_by_their_words(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "gram_hashes", lambda word, at, size: (np.zeros(max(0, at[-1] - 4), np.uint64), None))
+    rng = np.random.default_rng(5)
+    number = rng.integers(0, 3, 60)
+    grams, of = jaccard_join.gram_sets(number, np.array([0, 60]), 5)
+    assert len(grams) == len({tuple(number[i : i + 5]) for i in range(56)}) and of.tolist() == [0, len(grams)]
+
+
+def test_a_chain_is_not_copied_all_to_all(spark):
+    """Each text is near its neighbours only: copies follow the number of texts and not its square."""
+    rng = random.Random(2)
+    words = [rng.choice(string.ascii_lowercase) + str(i) for i in range(60 + 900)]
+    rows = [(i, " ".join(words[i : i + 60])) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    size, counts = len(rows), []
+    for block in (16, 1000):
+        signed = frame.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), jaccard_join.signature_udf(5, *jaccard_join.bands_and_rows(0.8, 0.99999))(F.col("text")).alias("s")).select("n_bytes", "s.*")
+        counts.append(jaccard_join.candidate_blocks(signed, block, 1 << 20).count())
+    assert counts[1] == size and counts[0] < 15 * size  # some 56 blocks
+    assert {r.class_id for r in jaccard_join.similarity_classes(frame, block=16).collect()} == {0}
+
+
 def test_one_of_each(spark):
     rows = made()
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, class_id string")
@@ -73,6 +119,17 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99999 and bands * rows <= jaccard_join.MOST_HASHES
 
 
+def test_joins_of_hot_keys(spark):
+    rows = spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(200)] + [(None, 1)], "k long, v long")
+    few = spark.createDataFrame([(7, "hot"), (1, "x"), (9, "none")], "k long, name string")
+    hot = spark.createDataFrame([(7,), (50,)], "k long")
+    for how in ("inner", "left"):
+        got = common.dealt_join(rows, few, "k", hot, how).select("k", "v", "name").collect()
+        assert sorted(map(str, got)) == sorted(map(str, rows.join(few, "k", how).select("k", "v", "name").collect()))
+    counts = spark.createDataFrame([(i, 1) for i in range(30_000)] + [(30_000, 40)], "k long, n long")
+    assert [r.k for r in common.hot_keys(counts, "k", "n").collect()] == [30_000]
+
+
 def test_components_of_a_path(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102)]
     got = {r.v: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
