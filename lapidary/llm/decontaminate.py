@@ -10,29 +10,35 @@ the wavelet matrix; their occurrences are found by walking to sampled suffix pos
 Spans of hit words are merged, and can be cut out of the text.
 
 The benchmark is the stated query set.  It is read in blocks of at most
-:data:`BLOCK_BYTES` of text, each small enough to send to all executors; a longer benchmark
-only means more blocks, each applied to all documents in the same pass.  Documents are
-never shuffled.  Words are compared by 64-bit hashes.
+:data:`BLOCK_BYTES` of text or one item.  The driver holds one block at a time, and a pass
+over the documents takes :data:`SENT_BLOCKS` blocks at most; a longer benchmark means more
+passes, with what was found so far written in between.  Documents are never shuffled.
+Words are found by hash, and their bytes are compared.
 
 Nulls and ties: a null text has no words.  An item without words has no window.  Items
 without an id mark words as hit and are not listed.  Items that repeat an id count once.
+Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapidary.llm.common import free_name, mixed_hashes, offsets, ranges, same_bytes, steps, text_or_empty, utf8
+from lapidary.llm.common import exact_numbers, free_name, mixed_hashes, offsets, ranges, same_bytes, steps, text_or_empty, utf8, written
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Blocks that are sent to all tasks of one pass.
+SENT_BLOCKS = 4
+#: Bytes of documents that one index covers, or one longer text.
+SHARD_BYTES = 4 << 20
 #: Every so many positions of a shard's text keep their place in it.
 SAMPLE = 8
 
@@ -61,18 +67,43 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Block:
-    """Windows of some benchmark items, over a vocabulary of sorted word hashes."""
+    """Windows of some benchmark items, over a vocabulary in order of word hashes."""
 
-    vocabulary: np.ndarray  # a word's number is its place here, plus 1
+    vocabulary: np.ndarray  # a word's number is its place here, plus 1; words that share a hash stand side by side
+    letters: np.ndarray  # the words' bytes, end to end
+    starts: np.ndarray  # where each word begins in them
+    lengths: np.ndarray
     windows: dict[int, np.ndarray]  # by length: one row of word numbers for each different window
     items: dict[int, list[list[str]]]  # by length: the ids of the items that have the window
 
+    def numbers(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, or 0 for one that no item has."""
+        out = np.zeros(len(hashes), np.int64)
+        at, lengths = np.searchsorted(self.vocabulary, hashes), ends - starts
+        open_ = np.flatnonzero(at < len(self.vocabulary))
+        while len(open_ := open_[self.vocabulary[at[open_]] == hashes[open_]]):
+            fits = self.lengths[at[open_]] == lengths[open_]
+            own = open_[fits]
+            fits[fits] = same_bytes(low, starts[own], self.letters, self.starts[at[own]], lengths[own])
+            out[open_[fits]] = at[open_[fits]] + 1
+            open_ = open_[~fits]
+            at[open_] += 1
+            open_ = open_[at[open_] < len(self.vocabulary)]
+        return out
+
 
 def block_of(rows: list[tuple[str | None, str]]) -> Block:
-    texts = pa.array([t for _, t in rows], pa.string())
-    _, _, hashes, bounds = words_of(*utf8(texts))
-    vocabulary = np.unique(hashes)
-    numbers = np.searchsorted(vocabulary, hashes) + 1
+    data, row_bounds = utf8(pa.array([t for _, t in rows], pa.string()))
+    starts, ends, hashes, bounds = words_of(data, row_bounds)
+    low = LOWER[data]
+    same = exact_numbers(low, starts, ends, hashes)
+    _, model, same = np.unique(same, return_index=True, return_inverse=True)
+    order = np.argsort(hashes[model], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    numbers = place[same] + 1
+    model = model[order]
+    lengths = ends[model] - starts[model]
     seen: dict[tuple[int, ...], set[str]] = {}
     for (item, _), a, b in zip(rows, bounds, bounds[1:], strict=False):
         own = numbers[a:b].tolist()
@@ -82,7 +113,7 @@ def block_of(rows: list[tuple[str | None, str]]) -> Block:
     for size in {len(w) for w in seen}:
         these = [w for w in seen if len(w) == size]
         windows[size], items[size] = np.array(these, np.int64), [sorted(seen[w]) for w in these]
-    return Block(vocabulary, windows, items)
+    return Block(hashes[model], low[ranges(starts[model], lengths)], np.cumsum(lengths) - lengths, lengths, windows, items)
 
 
 class ShardIndex:
@@ -154,54 +185,51 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
 def hits_in(block: Block, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list[set[str]]]:
     """(starts, ends, bounds of each row's words, hits as (word, length), items of each row) of a shard."""
+    data, row_bounds = utf8(texts)
+    starts, ends, hashes, bounds = words_of(data, row_bounds)
     least = min(block.windows, default=None)
-    starts, ends, bounds, parts, first, words, size = [], [], [np.zeros(1, np.int64)], [], [], 0, 0
-    for part in steps(pa.RecordBatch.from_arrays([texts], ["t"]), "t"):
-        own_starts, own_ends, hashes, own_bounds = words_of(*utf8(part.column(0)))
-        starts.append(own_starts + size)
-        ends.append(own_ends + size)
-        bounds.append(own_bounds[1:] + words)
-        if least and len(hashes):
-            number = np.searchsorted(block.vocabulary, hashes)
-            number[number == len(block.vocabulary)] = 0
-            number = np.where(block.vocabulary[number] == hashes, number + 1, 0)
-            breaks = np.zeros(len(number) + 1, bool)
-            breaks[own_bounds] = breaks[0] = breaks[-1] = True
-            known = number > 0
-            breaks[:-1] |= ~known
-            breaks[1:] |= ~known
-            edges = np.flatnonzero(breaks)
-            lengths = np.diff(edges)
-            keep = (lengths >= least) & known[edges[:-1]]
-            run, length = edges[:-1][keep], lengths[keep]
-            if len(run):
-                # each run, then one separator
-                at = ranges(run, length + 1)
-                stop = np.cumsum(length + 1) - 1
-                values = number[np.minimum(at, len(number) - 1)]
-                values[stop] = 0
-                parts.append(values)
-                first.append(at + words)
-        words += len(hashes)
-        size += int(offsets(part.column(0))[-1] - offsets(part.column(0))[0])
-    starts, ends, bounds = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, bounds))
     items: list[set[str]] = [set() for _ in range(len(texts))]
-    hits = []
-    if parts:
-        index, place = ShardIndex(np.concatenate(parts)), np.concatenate(first)
-        for length, windows in block.windows.items():
-            low, high = index.search(windows)
-            which = np.repeat(np.arange(len(windows)), high - low)
-            word = place[index.locate(ranges(low, high - low))]
-            hits.append((word, length))
-            row = np.searchsorted(bounds, word, side="right") - 1
-            for r, w in np.unique(np.stack([row, which], 1), axis=0).tolist() if len(row) else []:
-                items[r].update(block.items[length][w])
+    hits: list[tuple[np.ndarray, int]] = []
+    if not least or not len(hashes):
+        return starts, ends, bounds, hits, items
+    number = block.numbers(LOWER[data], starts, ends, hashes)
+    breaks = np.zeros(len(number) + 1, bool)
+    breaks[bounds] = breaks[0] = breaks[-1] = True
+    known = number > 0
+    breaks[:-1] |= ~known
+    breaks[1:] |= ~known
+    edges = np.flatnonzero(breaks)
+    lengths = np.diff(edges)
+    keep = (lengths >= least) & known[edges[:-1]]
+    run, length = edges[:-1][keep], lengths[keep]
+    if not len(run):
+        return starts, ends, bounds, hits, items
+    # each run, then one separator
+    place = ranges(run, length + 1)
+    values = number[np.minimum(place, len(number) - 1)]
+    values[np.cumsum(length + 1) - 1] = 0
+    index = ShardIndex(values)
+    for size, windows in block.windows.items():
+        low, high = index.search(windows)
+        which = np.repeat(np.arange(len(windows)), high - low)
+        word = place[index.locate(ranges(low, high - low))]
+        hits.append((word, size))
+        row = np.searchsorted(bounds, word, side="right") - 1
+        for r, w in np.unique(np.stack([row, which], 1), axis=0).tolist() if len(row) else []:
+            items[r].update(block.items[size][w])
     return starts, ends, bounds, hits, items
 
 
 def search_block(block: Block, texts: pa.Array, earlier: list, cut: bool) -> pa.Array:
-    """What the block finds in each text, together with what earlier blocks found there."""
+    """What the block finds in each text, together with what earlier blocks found there, shard by shard."""
+    found, done = [], 0
+    for part in steps(pa.RecordBatch.from_arrays([texts], ["t"]), "t", SHARD_BYTES):
+        found.append(search_shard(block, part.column(0), earlier[done : done + part.num_rows], cut))
+        done += part.num_rows
+    return pa.concat_arrays(found) if found else search_shard(block, texts, [], cut)
+
+
+def search_shard(block: Block, texts: pa.Array, earlier: list, cut: bool) -> pa.Array:
     starts, ends, bounds, hits, items = hits_in(block, texts)
     change = np.zeros(len(starts) + 1, np.int64)
     for word, length in hits:
@@ -239,15 +267,24 @@ def search_block(block: Block, texts: pa.Array, earlier: list, cut: bool) -> pa.
     return pa.StructArray.from_arrays(columns, ["n_words", "n_hit", "items", "words", "bytes", "clean"])
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Block]:
-    """The benchmark in blocks, each with an item at least and else with at most about block_bytes of text."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_or_empty().alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The benchmark in blocks, one after the other: each with an item at least and else with at most block_bytes of text.
+
+    Items are dealt by running sums of their sizes within parts that a hash makes, so that
+    equal rows are spread as well.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_or_empty().alias("text")).distinct()
+    items = items.withColumn("size", F.octet_length("text"))
+    total = items.agg(F.sum("size")).first()[0] or 0
     n = -(-total // block_bytes)
     if n <= 1:
-        return [block_of([tuple(r) for r in items.collect()])]
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [block_of([tuple(r) for r in items.filter(part == k).collect()]) for k in range(n)]
+        yield block_of([(r.item, r.text) for r in items.collect()])
+        return
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    before = F.sum("size").over(Window.partitionBy("part").orderBy("item", "text")) - F.col("size")
+    dealt = written(dealt.withColumn("nth", F.floor(before / block_bytes)), "benchmark")
+    for part, nth in sorted(tuple(r) for r in dealt.select("part", "nth").distinct().collect()):
+        yield block_of([(r.item, r.text) for r in dealt.filter((F.col("part") == part) & (F.col("nth") == nth)).collect()])
 
 
 def searcher(block: Broadcast, cut: bool) -> Callable[[Column, Column], Column]:
@@ -260,10 +297,15 @@ def searcher(block: Broadcast, cut: bool) -> Callable[[Column, Column], Column]:
 
 def search(docs: DataFrame, benchmark: DataFrame, cut: bool = False, block_bytes: int = BLOCK_BYTES, name: str = "found") -> DataFrame:
     """docs with a struct (``found``, or by another name): words, hit words, items, merged spans (in words and in bytes) and, on request, the text without them."""
+    spark = docs.sparkSession
     found: Column = F.expr(NOTHING)
+    out, sent = docs.withColumn(name, found), 0
     for block in blocks_of(benchmark, block_bytes):
-        found = searcher(docs.sparkSession.sparkContext.broadcast(block), cut)(text_or_empty(), found)
-    return docs.withColumn(name, found)
+        if sent == SENT_BLOCKS:
+            out, sent = written(out, "found"), 0
+        out = out.withColumn(name, searcher(spark.sparkContext.broadcast(block), cut)(text_or_empty(), F.col(name)))
+        sent += 1
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -278,11 +320,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with hit words cut out of the text, and n_chars to match; other rows as they are."""
-    found = search(docs, benchmark, cut=True, name="_found")
-    hit = F.col("_found.n_hit") > 0
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col("_found.clean")).otherwise(F.col("text"))}
+    name = free_name("found", docs.columns)
+    found = search(docs, benchmark, cut=True, block_bytes=block_bytes, name=name)
+    hit = F.col(f"{name}.n_hit") > 0
+    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(hit, F.col(f"{name}.clean")).otherwise(F.col("text"))}
     if "n_chars" in out:
-        out["n_chars"] = F.when(hit, F.char_length("_found.clean").cast("long")).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(hit, F.char_length(f"{name}.clean").cast("long")).otherwise(F.col("n_chars"))
     return found.select(*(c.alias(k) for k, c in out.items()))

@@ -3,8 +3,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from lapidary.llm import decontaminate
+from tests.llm.test_jaccard_join import thue_morse
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -39,15 +41,27 @@ def made():
         parts = [text(rng.randint(0, 40)), rng.choice(items)[1] or "", text(3), rng.choice(items)[1] or ""]
         docs.append((i + 3, " , ".join(parts)))
     docs.append((100, "One, only! zq " + text(3000)))
+    # long words that many hashes take for the same; one is an item, the other is clean
+    docs += [(101, "a " + thue_morse("ab") + " b"), (102, "a " + thue_morse("ba") + " b"), (103, "W1 zz " * 40)]
+    items += [(24, thue_morse("ab")), (25, " ".join(["w1", "zz"] * 6))]
     return docs, items
 
 
-def test_against_brute_force(spark):
+def test_words_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(decontaminate, "mixed_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) & np.uint64(3))
+    docs, items = made()
+    found = decontaminate.search_block(decontaminate.block_of([(None if i is None else str(i), t or "") for i, t in items]), pa.array([t or "" for _, t in docs]), [None] * len(docs), False)
+    for r, (_, n_words, n_hit, n_items, _, _) in zip(found.to_pylist(), brute(docs, items), strict=True):
+        assert (r["n_words"], r["n_hit"], len(r["items"])) == (n_words, n_hit, n_items)
+
+
+def test_against_brute_force(spark, monkeypatch):
     docs, items = made()
     frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, n_words string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = sorted(map(str, brute(docs, items)))
-    for block_bytes in (1 << 20, 300):
+    for block_bytes, sent in ((1 << 20, 4), (300, 4), (900, 1)):
+        monkeypatch.setattr(decontaminate, "SENT_BLOCKS", sent)
         got = decontaminate.contamination(frame, bench, block_bytes)
         assert sorted(str(tuple(r)) for r in got.collect()) == expected
     assert decontaminate.contamination(frame.limit(0), bench).collect() == []
@@ -56,7 +70,7 @@ def test_against_brute_force(spark):
 
 def test_cut(spark):
     passage = " ".join(f"p{i}" for i in range(12))
-    docs = spark.createDataFrame([(1, f"Straße, {passage}! end", "en", 1, 9), (2, "clean text", None, 2, 10)], "doc_id long, text string, lang string, found int, n_chars long")
+    docs = spark.createDataFrame([(1, f"Straße, {passage}! end", "en", 1, 9), (2, "clean text", None, 2, 10)], "doc_id long, text string, _found string, Found int, n_chars long")
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     got = decontaminate.decontaminated(docs, bench).orderBy("doc_id").collect()
     assert got[0].text == "Straße, ! end" and got[0].n_chars == 13
