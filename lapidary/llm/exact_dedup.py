@@ -8,20 +8,24 @@ checkpoint lets a restarted stream go on with the state it had.  The map side of
 aggregation folds copies before they are shuffled, so that a text which a third of all
 rows share reaches its state as one row for each task.
 
-A digest only nominates: every row that hits a kept text is compared with that text,
-byte by byte.  Rows whose bytes differ (texts that collide) are grouped by their texts.
+A digest only nominates.  Every row of a group of several is a hit: the kept text is fetched
+from where the state says it is, and the row is compared with it byte by byte.  Rows whose
+bytes differ (texts that collide) are grouped by their texts.  Groups with a large share of
+all rows are dealt out over tasks before their texts are shuffled.
 
 Nulls and ties: a null text counts as empty.  A null id is never kept if any equal text
 has an id; a group without ids keeps a null.  Rows that repeat the kept id all count as
-kept.  Other columns are carried along, whatever their names.
+kept in the decisions; of these, :func:`kept_documents` lets one row stay.  Other columns
+are carried along, whatever their names; columns named keep_id, group_size or kept give way
+where these are added.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapidary.llm.common import shared_path, text_or_empty, written
+from lapidary.llm.common import HOT_SHARE, dealt_join, hot_keys, shared_path, text_or_empty, written
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Bytes of new rows that a micro-batch takes in; state, not this, limits what a stream can hold.
@@ -32,10 +36,6 @@ STATE_STORE = {
     # Each of many small stores would else reserve megabytes that it never fills.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Rows of one group that are compared with the kept text in one task.
-ROWS_PER_PART = 1000
-
-
 def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_RUN, " ")
 
@@ -92,72 +92,83 @@ def decisions(docs: DataFrame, digest=sha256_of) -> DataFrame:
     """
     arrivals, ledger = _ledger(docs, digest)
     if _collisions(docs, ledger, digest):
-        marked = _plain(docs, digest).join(_by_text(docs, digest), ["_digest", "_text"], "left")
+        marked = _rows(docs.select("doc_id", "text"), digest).join(_by_text(docs, digest), ["digest", "norm"], "left").withColumn("doc_id", F.col("row.doc_id"))
     else:
-        marked = arrivals.join(ledger, "_digest", "left")
-    return marked.select(F.col("_digest").alias("digest"), "doc_id", *_verdict())
+        marked = dealt_join(arrivals, ledger, "digest", hot_keys(ledger, "digest", "size"))
+    return marked.select("digest", "doc_id", *_verdict(F.col("doc_id")))
 
 
 def deduplicate(docs: DataFrame, digest=sha256_of) -> DataFrame:
     """docs with keep_id, group_size and kept, for every row; columns of docs with these names give way."""
-    return _marked(docs, digest).select(*(c for c in docs.columns if c not in ("keep_id", "group_size", "kept")), *_verdict())
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("keep_id", "group_size", "kept")]
+    parts = [part.select(*own, *_verdict(F.col("row.doc_id"))) for part in _marked(docs, digest)]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
 
+def kept_documents(docs: DataFrame, digest=sha256_of) -> DataFrame:
+    """One row of docs for each different text, with the columns of docs: the first of those with the kept id."""
+    parts = []
+    for marked in _marked(docs, digest):
+        kept = marked.filter(F.col("row.doc_id").eqNullSafe(F.col("keep")))
+        keys = [c for c in ("digest", "norm") if c in marked.columns]
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+        parts.append(kept.withColumn("nth", first).filter("nth = 1").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-def _marked(docs: DataFrame, digest) -> DataFrame:
+
+def _marked(docs: DataFrame, digest) -> list[DataFrame]:
+    """(row, digest, keep, size) of every row of docs, those of hot groups apart from the others."""
     _, ledger = _ledger(docs, digest)
-    plain = _plain(docs, digest, *docs.columns)
+    rows = _rows(docs, digest)
     if _collisions(docs, ledger, digest):
-        return plain.join(_by_text(docs, digest), ["_digest", "_text"], "left")
-    return plain.drop("_text").join(ledger, "_digest", "left")
+        return [rows.join(_by_text(docs, digest), ["digest", "norm"], "left")]
+    hot = F.broadcast(hot_keys(ledger, "digest", "size"))
+    slim = rows.drop("norm")
+    return [slim.join(F.broadcast(ledger.join(hot, "digest", "left_semi")), "digest"), slim.join(hot, "digest", "left_anti").join(ledger, "digest")]
 
 
-def _plain(docs: DataFrame, digest, *more: str) -> DataFrame:
-    columns = dict.fromkeys(more or ("doc_id",))
-    return docs.select(*columns, normalised(text_or_empty()).alias("_text")).withColumn("_digest", digest(F.col("_text")))
+def _rows(docs: DataFrame, digest) -> DataFrame:
+    """(row, norm, digest): each row as a struct, so that its columns may have any names."""
+    norm = normalised(text_or_empty())
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), norm.alias("norm"), digest(norm).alias("digest"))
 
 
-def _verdict() -> list[Column]:
-    return [
-        F.col("_keep").alias("keep_id"),
-        F.col("_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("_keep")).alias("kept"),
-    ]
+def _verdict(doc_id: Column) -> list[Column]:
+    return [F.col("keep").alias("keep_id"), F.col("size").cast("long").alias("group_size"), doc_id.eqNullSafe(F.col("keep")).alias("kept")]
 
 
 def _ledger(docs: DataFrame, digest) -> tuple[DataFrame, DataFrame]:
+    """((digest, doc_id) of every row, (digest, keep, place, size) of every group)."""
     spark = docs.sparkSession
-    slim = docs.select(
-        digest(normalised(text_or_empty())).alias("digest"), "doc_id", F.input_file_name().alias("locator")
-    )
+    slim = docs.select(digest(normalised(text_or_empty())).alias("digest"), "doc_id", F.input_file_name().alias("locator"))
     path = shared_path(spark, "arrivals")
     slim.write.parquet(path)
     ledger = run_ledger_stream(spark, path, slim.schema, shared_path(spark, "dedup-stream"))
-    ledger = written(ledger, "ledger").select(
-        F.col("digest").alias("_digest"), F.col("first.doc_id").alias("_keep"), F.col("group_size").alias("_size")
-    )
-    return spark.read.schema(slim.schema).parquet(path).withColumnRenamed("digest", "_digest"), ledger
+    ledger = ledger.select("digest", F.col("first.doc_id").alias("keep"), F.col("first.locator").alias("place"), F.col("group_size").alias("size"))
+    return spark.read.schema(slim.schema).parquet(path).select("digest", "doc_id"), written(ledger, "ledger")
 
 
 def _by_text(docs: DataFrame, digest) -> DataFrame:
     """The exact way for keys that different texts share: groups by what the texts say."""
-    return _plain(docs, digest).groupBy("_digest", "_text").agg(F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    return _rows(docs.select("doc_id", "text"), digest).groupBy("digest", "norm").agg(F.min("row.doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
 
 
 def _collisions(docs: DataFrame, ledger: DataFrame, digest) -> bool:
     """Does any row that hits a kept text differ from it in its bytes?
 
-    Large groups are dealt out over several tasks, each with its own copy of the kept text.
+    Each row of a hot group goes to one of the group's parts, and the kept text to all of them.
     """
-    shared = ledger.filter("_size > 1").withColumn("_parts", F.ceil(F.col("_size") / ROWS_PER_PART).cast("int"))
-    hits = _plain(docs, digest).join(shared, "_digest")
-    # Not an equality that a join would take for a key: both uses of the texts then share one shuffle.
-    is_kept = F.coalesce(F.array_contains(F.array("_keep"), F.col("doc_id")), F.col("doc_id").isNull() & F.col("_keep").isNull())
-    kept = hits.filter(is_kept).groupBy("_digest", "_parts").agg(F.min("_text").alias("_kept_text"))
-    kept = kept.select("_digest", "_kept_text", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    dealt = hits.select("_digest", "_text", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int").alias("_part"))
-    return bool(dealt.join(kept, ["_digest", "_part"]).filter(F.col("_text") != F.col("_kept_text")).limit(1).count())
-
-
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
-    return _marked(docs, sha256_of).filter(F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*docs.columns)
+    total = ledger.agg(F.sum("size")).first()[0] or 0
+    shared = ledger.filter("size > 1").withColumn("parts", F.ceil(F.col("size") * HOT_SHARE / max(1, total)).cast("int"))
+    hot = F.broadcast(shared.filter("parts > 1").select("digest", "parts"))
+    norm = normalised(text_or_empty())
+    texts = docs.select("doc_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("nth"), norm.alias("norm"), digest(norm).alias("digest"))
+    texts = texts.join(hot, "digest", "left").withColumn("part", F.pmod("nth", F.coalesce("parts", F.lit(1))).cast("int")).drop("nth", "parts")
+    asked = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hits = texts.join(asked, ["digest", "part"])
+    # Not equalities that a join would take for keys: both uses of the texts then share one shuffle.
+    at_place = F.array_contains(F.array("place"), F.col("file")) & F.coalesce(F.array_contains(F.array("keep"), F.col("doc_id")), F.col("doc_id").isNull() & F.col("keep").isNull())
+    kept = hits.filter(at_place).groupBy("digest", "parts").agg(F.min("norm").alias("kept"))
+    kept = kept.select("digest", "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    compared = hits.select("digest", "part", "norm").join(kept, ["digest", "part"], "left")
+    return bool(compared.filter(~F.col("norm").eqNullSafe(F.col("kept"))).limit(1).count())
