@@ -8,15 +8,18 @@ same text or another.  Whole texts are compared, never across their ends.
    only meet at that anchor.  One row goes out for each stretch of windows with one anchor:
    some hundredth of the bytes.  Within a batch, equal stretches are folded first.
 2. Rows meet by anchor.  An anchor that stands once ends there.  Stretches with equal
-   neighbourhoods are repeated as a whole.  Anchors with different neighbourhoods go on,
-   one row for each different one.
-3. Only these fetch their bytes, at most 2 * LENGTH each.  Tasks sort all suffixes of their
-   stretches by prefix doubling up to LENGTH bytes.  In suffix order, with equal prefixes
-   in order of position, the previous smaller position of a suffix with the same LENGTH bytes
-   is an earlier match: its longest previous factor is that long.  The next one is a later
-   match.
+   neighbourhoods (by 128 bits of BLAKE2b) are repeated as a whole.  Anchors with different
+   neighbourhoods go on, one row for each different one.
+3. Only these fetch their bytes, at most 2 * LENGTH each.  Tasks sort the suffixes of their
+   stretches by prefix doubling up to LENGTH bytes and fill the array of longest previous
+   factors: in suffix order, the nearest suffixes before and behind that stand at smaller
+   positions hold the longest earlier match, and its length is read from the doubling's
+   ranks.  A window whose previous factor has LENGTH bytes is a later copy.  With positions
+   counted backwards the same array finds later matches.
 4. Anchors with more different neighbourhoods than a task should hold (:data:`HOT_ROWS`) are
-   dealt out again by the hash of each window, which splits them without loss.
+   dealt out again by the digest of each window, which splits them without loss.  Anchors that
+   a sample of the texts shows to be that common are dealt out before they meet in one task.
+   Which way an anchor takes has no influence on what is found.
 
 ``keep="first"`` removes windows that an earlier place has (in order of doc_id, digest,
 position), so that the first copy stays; ``keep="none"`` removes every copy.
@@ -32,28 +35,38 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.llm.common import BASE_INVERSE, mixed, powers, prefix_hashes, span_hashes, steps, text_or_empty, utf8, written
+from lapidary.llm.common import BASE_INVERSE, HOT_SHARE, mixed, powers, prefix_hashes, steps, text_or_empty, utf8, written
 
 LENGTH = 200
 ANCHOR = 48
 #: Rows of one anchor that a task looks at together.
 HOT_ROWS = 20_000
+#: One text in so many is looked at to find anchors to deal out, and the rows that make one so.
+SAMPLED, COMMON_ROWS = 64, 16
 #: Bytes of text whose anchors a task looks for together.
 SCAN_BYTES = 512 << 10
 #: Bytes whose suffixes a task sorts together, unless one anchor has more.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each span, as two numbers."""
+    blake2b, view = hashlib.blake2b, memoryview(raw)
+    both = np.frombuffer(b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), "<u8")
+    return both[::2], both[1::2]
 
 
 def anchored(data: np.ndarray, bounds: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(row, lo, hi, left, h, g) of each stretch of windows with one anchor.
+    """(row, lo, hi, left, h, g, g2) of each stretch of windows with one anchor.
 
     lo and hi bound the stretch in its text, left is where the anchor stands in it, h
-    names the anchor and g the whole stretch.
+    names the anchor, g and g2 the whole stretch with its anchor.
     """
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(3))
     if len(data) < length:
         return none
     sums = prefix_hashes(data)
@@ -77,16 +90,27 @@ def anchored(data: np.ndarray, bounds: np.ndarray, length: int, anchor: int) ->
     keep = valid[first]
     first, last = first[keep], last[keep]
     lo, hi, left = first, last + length, at[first] - first
-    g = mixed(span_hashes(sums, lo, hi) + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    g, g2 = digests(data.tobytes(), lo, hi)
+    g = g ^ mixed(left.astype(np.uint64) + np.uint64(1))
     start = bounds[row[first]]
-    return row[first], lo - start, hi - start, left, piece[at[first]], g
+    return row[first], lo - start, hi - start, left, piece[at[first]], g, g2
+
+
+#: kind: 0 a stretch, 2 a stretch that stands for several, 1 a span that is known to be repeated.  at: where it begins, and ends.
+ANCHORS = "kind tinyint, h bigint, g bigint, g2 bigint, doc_id {id}, d bigint, at bigint"
+SPANS = "doc_id {id}, d bigint, at bigint"
+
 
+def placed(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return lo.astype(np.int64) << 32 | hi.astype(np.int64)
 
-ANCHORS = "kind tinyint, h bigint, g bigint, doc_id {id}, d binary, lo int, hi int, left int, n int"
 
+def place(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return at >> 32, at & 0xFFFFFFFF
 
-def anchor_rows(length: int, anchor: int, fold: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (doc_id, d, text): a row of kind 0 for each stretch, or of kind 1 for spans that are known to be repeated."""
+
+def anchor_rows(length: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (doc_id, d, text): stretches, of equal ones in a batch the first by (doc_id, d, place), and the spans of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,26 +121,27 @@ def anchor_rows(length: int, anchor: int, fold: bool) -> Callable[[Iterator[pa.R
                 done += part.num_rows
             if not parts:
                 continue
-            row, lo, hi, left, h, g = (np.concatenate(x) for x in zip(*parts, strict=True))
-            count, kind = np.ones(len(row), np.int64), np.zeros(len(row), np.int64)
-            if fold and len(row):
-                # equal stretches of this batch: the first goes on for all, the others are known to be repeated
-                order = np.lexsort((g, h))
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-                first = np.flatnonzero(new)
-                count[order[first]] = np.diff(np.append(first, len(order)))
-                kind[order[~new]] = 1
-                late = np.flatnonzero(kind)
-                r, a, b = merged(row[late], lo[late], hi[late])
-                stay = np.flatnonzero(kind == 0)
-                pad = np.zeros(len(r), np.int64)
-                row, lo, hi, left = (np.concatenate([x[stay], y]) for x, y in ((row, r), (lo, a), (hi, b), (left, pad)))
-                h, g = (np.concatenate([x[stay], pad.astype(np.uint64)]) for x in (h, g))
-                count, kind = np.concatenate([count[stay], pad]), np.concatenate([kind[stay], pad + 1])
-            ids = pa.array(row)
-            columns = [pa.array(kind, pa.int8()), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), batch.column("doc_id").take(ids), batch.column("d").take(ids)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int32()) for x in (lo, hi, left, np.minimum(count, 2)))], ["kind", "h", "g", "doc_id", "d", "lo", "hi", "left", "n"])
+            row, lo, hi, _, h, g, g2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if not len(row):
+                continue
+            ids = pa.table({"doc_id": batch.column("doc_id"), "d": batch.column("d")})
+            rank = np.empty(batch.num_rows, np.int64)
+            rank[pc.sort_indices(ids, sort_keys=[("doc_id", "ascending"), ("d", "ascending")], null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
+            order = np.lexsort((lo, rank[row], g2, g, h))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0) | (np.diff(g2[order]) != 0)
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(order)))
+            late, first = order[~new], order[first]
+            r, a, b = merged(row[late], lo[late], hi[late])
+            # known spans go along under any key
+            away = mixed(np.arange(len(r), dtype=np.uint64) + g[:1])
+            kinds = np.concatenate([np.where(count > 1, 2, 0), np.ones(len(r), np.int64)])
+            keys = [np.concatenate([x[first], away]).view(np.int64) for x in (h, g, g2)]
+            source = pa.array(np.concatenate([row[first], r]))
+            at = placed(np.concatenate([lo[first], a]), np.concatenate([hi[first], b]))
+            columns = [pa.array(kinds, pa.int8()), *map(pa.array, keys), batch.column("doc_id").take(source), batch.column("d").take(source), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "h", "g", "g2", "doc_id", "d", "at"])
 
     return run
 
@@ -135,41 +160,49 @@ def merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return row[first], lo[first], reach[np.append(first[1:], len(row)) - 1]
 
 
-MET = "kind tinyint, h bigint, doc_id {id}, d binary, lo int, hi int, left int, need boolean"
+MET = "kind tinyint, h bigint, doc_id {id}, d bigint, at bigint, need boolean"
 
 
 def meet(keep_first: bool, hot_rows: int = HOT_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows sorted by (h, g, doc_id, d, lo): kind 1 for repeated spans, kind 0 for stretches to compare, kind 2 for those of hot anchors."""
+    """Over rows sorted by (h, g, g2, doc_id, d, at): kind 1 for repeated spans, kind 0 for stretches to compare, kind 2 for those of hot anchors.
+
+    Rows marked as dealt belong to an anchor whose other stretches are elsewhere: a hot one.
+    """
 
-    def judge(t: pa.RecordBatch, hot: bool, before: int | None) -> pa.RecordBatch:
-        h, g, n = (t.column(c).to_numpy() for c in ("h", "g", "n"))
+    def judge(t: pa.RecordBatch, hot: bool, before: tuple[int, int] | None) -> pa.RecordBatch:
+        h, g, g2, kind, dealt = (t.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "g2", "kind", "dealt"))
         new_h = np.ones(len(h), bool)
         new_h[1:] = h[1:] != h[:-1]
         new_g = new_h.copy()
-        new_g[1:] |= g[1:] != g[:-1]
+        new_g[1:] |= (g[1:] != g[:-1]) | (g2[1:] != g2[:-1])
         first = np.flatnonzero(new_g)
         run = np.cumsum(new_g) - 1
-        total = np.add.reduceat(n, first)
+        total = np.add.reduceat(np.where(kind == 2, 2, 1), first)
         group = np.cumsum(new_h) - 1
         runs = np.bincount(group[first])
-        again = ~new_g | (g == before if before is not None else False)
+        again = ~new_g | ((g == before[0]) & (g2 == before[1]) if before is not None else False)
         covered = again if keep_first else (total[run] > 1) | again
-        on = new_g & (hot | (runs[group] > 1))
+        on = new_g & (hot | dealt | (runs[group] > 1))
         a, b = np.flatnonzero(covered), np.flatnonzero(on)
-        at = pa.array(np.concatenate([a, b]))
-        kind = np.concatenate([np.ones(len(a), np.int64), np.full(len(b), 2 if hot else 0)])
+        rows = pa.array(np.concatenate([a, b]))
+        kinds = np.concatenate([np.ones(len(a), np.int64), np.where(hot | dealt[b], 2, 0)])
         need = np.concatenate([np.zeros(len(a), bool), ~covered[b]])
-        take = {c: t.column(c).take(at) for c in ("h", "doc_id", "d", "lo", "hi", "left")}
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), *take.values(), pa.array(need)], ["kind", *take, "need"])
+        take = {c: t.column(c).take(rows) for c in ("h", "doc_id", "d", "at")}
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int8()), *take.values(), pa.array(need)], ["kind", *take, "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        hot: tuple[int, int] | None = None  # the hot anchor being read, and the last g of it
+        hot: tuple[int, tuple[int, int]] | None = None  # the hot anchor being read, and the last stretch of it
 
         def joined() -> pa.RecordBatch:
             return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
         for batch in batches:
+            known = batch.filter(pc.equal(batch.column("kind"), 1))
+            if known.num_rows:
+                take = {c: known.column(c) for c in ("kind", "h", "doc_id", "d", "at")}
+                yield pa.RecordBatch.from_arrays([*take.values(), pa.array(np.zeros(known.num_rows, bool))], [*take, "need"])
+                batch = batch.filter(pc.not_equal(batch.column("kind"), 1))
             if not batch.num_rows:
                 continue
             h = batch.column("h").to_numpy()
@@ -181,23 +214,23 @@ def meet(keep_first: bool, hot_rows: int = HOT_ROWS) -> Callable[[Iterator[pa.Re
             last = int(np.searchsorted(-(h != h[-1]).astype(np.int8), 0))  # where the last anchor begins
             if last:
                 held.append(batch.slice(0, last))
-                yield judge(joined(), bool(hot) and last == 0, None) if not hot else from_hot(joined(), hot, judge)
+                yield judge(joined(), False, None) if not hot else from_hot(joined(), hot, judge)
                 held, hot = [], None
             held.append(batch.slice(last))
             if sum(x.num_rows for x in held) >= hot_rows:
                 # equal stretches stay together, unless there are none else
                 t = joined()
-                g = t.column("g").to_numpy()
-                cut = int(np.searchsorted(g, g[-1])) or t.num_rows
+                g, g2 = (t.column(c).to_numpy() for c in ("g", "g2"))
+                cut = int(np.flatnonzero((g == g[-1]) & (g2 == g2[-1]))[0]) or t.num_rows
                 yield judge(t.slice(0, cut), True, hot[1] if hot else None)
-                hot, held = (int(h[-1]), int(g[cut - 1])), [t.slice(cut)] if cut < t.num_rows else []
+                hot, held = (int(h[-1]), (int(g[cut - 1]), int(g2[cut - 1]))), [t.slice(cut)] if cut < t.num_rows else []
         if held:
             yield judge(joined(), bool(hot), hot[1] if hot else None)
 
     return run
 
 
-def from_hot(t: pa.RecordBatch, hot: tuple[int, int], judge) -> pa.RecordBatch:
+def from_hot(t: pa.RecordBatch, hot: tuple[int, tuple[int, int]], judge) -> pa.RecordBatch:
     """Rows that begin with the rest of a hot anchor."""
     n = int((t.column("h").to_numpy() == hot[0]).sum())
     return pa.Table.from_batches([judge(t.slice(0, n), True, hot[1]), *([judge(t.slice(n), False, None)] if n < t.num_rows else [])]).combine_chunks().to_batches()[0]
@@ -212,52 +245,98 @@ def dense(values: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``length`` bytes, by doubling; those that reach past the end count the end as zeros."""
+def ranks_by_length(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(size, ranks of all suffixes by their first ``size`` bytes), by doubling up to ``length``; what reaches past the end counts the end as zeros."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     size = min(8, length)
     first = np.zeros(len(data), np.uint64)
     for i in range(size):
         first = first << np.uint64(8) | padded[i : i + len(data)].astype(np.uint64)
-    rank = dense(first)
+    levels = [(size, dense(first).astype(np.int32))]
     while size < length:
+        rank = levels[-1][1].astype(np.int64)
         step = min(size, length - size)
         after = np.zeros(len(rank), np.int64)
         after[: max(0, len(rank) - step)] = rank[step:] + 1
-        rank = dense(rank * (len(rank) + 1) + after)
         size += step
-    return rank
+        levels.append((size, dense(rank * (len(rank) + 1) + after).astype(np.int32)))
+    return levels
+
+
+def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    return ranks_by_length(data, length)[-1][1]
 
 
-def matched(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place, the nearest place before it with a smaller value, or -1.
+
+    All places jump at once: what stands between a place and its pointer is greater, so a
+    pointer to a greater value may be replaced by that one's own pointer.
+    """
+    before = np.arange(-1, len(values) - 1)
+    open_ = np.flatnonzero(before >= 0)
+    while len(open_ := open_[before[open_] >= 0]) and len(open_ := open_[values[before[open_]] > values[open_]]):
+        before[open_] = before[before[open_]]
+    return before
+
+
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes, ``length`` at most, the suffixes at a and b share; both hold that many."""
+    size, rank = levels[-1]
+    out = np.where(rank[a] == rank[b], size, 0)
+    open_ = np.flatnonzero(out < size)
+    for size, rank in levels[-2::-1]:
+        here = open_[out[open_] + size <= length]
+        here = here[rank[a[here] + out[here]] == rank[b[here] + out[here]]]
+        out[here] += size
+    for _ in range(7):  # fewer bytes than the first ranks have
+        here = open_[out[open_] < length]
+        here = here[data[a[here] + out[here]] == data[b[here] + out[here]]]
+        out[here] += 1
+        open_ = here
+    return out
+
+
+def longest_previous(data: np.ndarray, levels: list[tuple[int, np.ndarray]], windows: np.ndarray, length: int, backwards: bool = False) -> np.ndarray:
+    """For each window, the longest prefix, ``length`` at most, that a window at a smaller place shares (a greater one, if backwards)."""
+    rank = levels[-1][1][windows]
+    position = -windows if backwards else windows
+    order = np.lexsort((position, rank))  # suffix order; equal prefixes by position
+    inverse = position[order]
+    longest = np.zeros(len(windows), np.int64)
+    smaller = [previous_smaller(inverse), len(order) - 1 - previous_smaller(inverse[::-1])[::-1]]
+    for near in smaller:
+        some = np.flatnonzero((near >= 0) & (near < len(order)))
+        own = order[some]
+        longest[own] = np.maximum(longest[own], common_prefixes(data, levels, windows[own], windows[order[near[some]]], length))
+    return longest
+
+
+def matched(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, later: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, has an earlier match, has a later match) for every window within the stretches [start, end)."""
     windows = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(starts, ends, strict=True)]) if len(starts) else np.zeros(0, np.int64)
-    rank = prefix_ranks(data, length)[windows]
-    order = np.lexsort((windows, rank))  # suffix order; equal prefixes by position
-    same = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.zeros(len(windows), bool), np.zeros(len(windows), bool)
-    earlier[order[1:][same]] = True  # the previous smaller position has the same bytes
-    later[order[:-1][same]] = True
-    return windows, earlier, later
+    levels = ranks_by_length(data, length)
+    earlier = longest_previous(data, levels, windows, length) >= length
+    return windows, earlier, longest_previous(data, levels, windows, length, True) >= length if later else np.zeros(len(windows), bool)
 
 
 def compare(length: int, keep_first: bool, sort_bytes: int = SORT_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over stretches with their bytes, sorted by (h, doc_id, d, lo): the repeated spans of those that need it."""
+    """Over stretches with their bytes, sorted by (h, doc_id, d, at): the repeated spans of those that need it."""
 
     def judge(t: pa.Table) -> pa.RecordBatch:
         # equal parts of a column are end to end already
         t = t.combine_chunks()
         region = t.column("region").chunk(0)
         data, bounds = utf8(region)
-        need, lo = t.column("need").to_numpy(zero_copy_only=False), t.column("lo").to_numpy()
-        windows, earlier, later = matched(data, bounds[:-1], bounds[1:], length)
+        need, lo = t.column("need").to_numpy(zero_copy_only=False), place(t.column("at").to_numpy())[0]
+        windows, earlier, later = matched(data, bounds[:-1], bounds[1:], length, not keep_first)
         hit = windows[earlier if keep_first else earlier | later]
         row = np.searchsorted(bounds, hit, side="right") - 1
         hit, row = hit[need[row]], row[need[row]]
         start = hit - bounds[row] + lo[row]
         row, a, b = merged(row, start, start + length)
-        at = pa.array(row)
-        return pa.RecordBatch.from_arrays([t.column("doc_id").chunk(0).take(at), t.column("d").chunk(0).take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "d", "lo", "hi"])
+        rows = pa.array(row)
+        return pa.RecordBatch.from_arrays([t.column("doc_id").chunk(0).take(rows), t.column("d").chunk(0).take(rows), pa.array(placed(a, b))], ["doc_id", "d", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -282,47 +361,56 @@ def compare(length: int, keep_first: bool, sort_bytes: int = SORT_BYTES) -> Call
 
 
 def window_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row of kind 0 for each window of each stretch, under the hash of its bytes."""
+    """A row of kind 0 for each window of each stretch, under the digest of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "region", SORT_BYTES // 16):
                 data, bounds = utf8(part.column("region"))
-                sums = prefix_hashes(data)
                 count = np.diff(bounds) - length + 1
                 row = np.repeat(np.arange(part.num_rows), count)
                 start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + bounds[row]
-                key = pa.array(span_hashes(sums, start, start + length).view(np.int64))
-                lo = start - bounds[row] + part.column("lo").to_numpy()[row]
-                at, zero = pa.array(row), np.zeros(len(row), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(zero, pa.int8()), key, key, part.column("doc_id").take(at), part.column("d").take(at), *(pa.array(x, pa.int32()) for x in (lo, lo + length, zero, zero + 1))], ["kind", "h", "g", "doc_id", "d", "lo", "hi", "left", "n"])
+                g, g2 = (pa.array(x.view(np.int64)) for x in digests(data.tobytes(), start, start + length))
+                lo = start - bounds[row] + place(part.column("at").to_numpy())[0][row]
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row)), pa.int8()), g, g, g2, part.column("doc_id").take(rows), part.column("d").take(rows), pa.array(placed(lo, lo + length))], ["kind", "h", "g", "g2", "doc_id", "d", "at"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", hot_rows: int = HOT_ROWS, sort_bytes: int = SORT_BYTES) -> DataFrame:
-    """(doc_id, d, spans): the byte spans to remove from each text that has any; d is its digest.  docs: doc_id, text (no nulls), d."""
+def common_anchors(slim: DataFrame, length: int, anchor: int, kind: str, sampled: int = SAMPLED, common_rows: int = COMMON_ROWS) -> DataFrame:
+    """Anchors that have many different neighbourhoods in a sample of the texts; at most HOT_SHARE of them."""
+    few = slim.filter(F.pmod(F.xxhash64("doc_id", "d"), F.lit(sampled)) == 0).mapInArrow(anchor_rows(length, anchor), ANCHORS.format(id=kind))
+    counts = few.filter("kind <> 1").groupBy("h").agg(F.count_distinct("g").alias("n"))
+    counts = written(counts.filter(F.col("n") >= common_rows), "common")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") * HOT_SHARE > F.lit(total)).select("h")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", hot_rows: int = HOT_ROWS, sort_bytes: int = SORT_BYTES, sampled: int = SAMPLED, common_rows: int = COMMON_ROWS) -> DataFrame:
+    """(doc_id, d, spans): the byte spans to remove from each text that has any.  docs: doc_id, text (no nulls), d (of the text's digest)."""
     first = keep == "first"
     anchor = max(1, min(ANCHOR, length // 4))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    order = ["h", "g", "doc_id", "d", "lo"]
+    order = ["h", "g", "g2", "doc_id", "d", "at"]
     slim = docs.select("doc_id", "d", "text")
-    rows = written(slim.mapInArrow(anchor_rows(length, anchor, not first), ANCHORS.format(id=kind)), "anchors")
-    met = rows.filter("kind = 0").repartition("h").sortWithinPartitions(*order).mapInArrow(meet(first, hot_rows), MET.format(id=kind))
+    rows = slim.mapInArrow(anchor_rows(length, anchor), ANCHORS.format(id=kind))
+    hot = common_anchors(slim, length, anchor, kind, sampled, common_rows).select("h", F.lit(True).alias("common"))
+    rows = rows.join(F.broadcast(hot), "h", "left").withColumn("dealt", F.coalesce("common", F.lit(False))).drop("common")
+    met = rows.repartition("h", F.when(F.col("dealt"), F.col("g"))).sortWithinPartitions(*order).mapInArrow(meet(first, hot_rows), MET.format(id=kind))
     met = written(met, "met")
     on = met.filter("kind <> 1")
     fetched = slim.alias("t").join(on.alias("m"), (F.col("t.d") == F.col("m.d")) & F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")))
-    region = F.expr("substring(cast(t.text AS binary), m.lo + 1, m.hi - m.lo)")
-    fetched = fetched.select("m.kind", "m.h", "m.doc_id", "m.d", "m.lo", "m.need", region.alias("region"))
-    cold = fetched.filter("kind = 0").repartition("h").sortWithinPartitions("h", "doc_id", "d", "lo")
-    spans = "doc_id {id}, d binary, lo int, hi int".format(id=kind)
-    compared = cold.mapInArrow(compare(length, first, sort_bytes), spans)
-    hot = fetched.filter("kind = 2").select("doc_id", "d", "lo", "region").mapInArrow(window_rows(length), ANCHORS.format(id=kind))
+    lo, hi = F.shiftright("m.at", 32), F.col("m.at").bitwiseAND(F.lit(0xFFFFFFFF))
+    region = F.substring(F.col("t.text").cast("binary"), (lo + 1).cast("int"), (hi - lo).cast("int"))
+    fetched = fetched.select("m.kind", "m.h", "m.doc_id", "m.d", "m.at", "m.need", region.alias("region"))
+    cold = fetched.filter("kind = 0").repartition("h").sortWithinPartitions("h", "doc_id", "d", "at")
+    compared = cold.mapInArrow(compare(length, first, sort_bytes), SPANS.format(id=kind))
+    hot = fetched.filter("kind = 2").select("doc_id", "d", "at", "region").mapInArrow(window_rows(length), ANCHORS.format(id=kind)).withColumn("dealt", F.lit(False))
     windows = hot.repartition("h").sortWithinPartitions(*order).mapInArrow(meet(first, hot_rows), MET.format(id=kind))
-    known = [x.filter("kind = 1").select("doc_id", "d", "lo", "hi") for x in (rows, met)]
-    found = compared.union(known[1]).union(windows.filter("kind = 1").select("doc_id", "d", "lo", "hi"))
-    found = found if first else found.union(known[0])
-    return found.groupBy("doc_id", "d").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = [x.filter("kind = 1").select("doc_id", "d", "at") for x in (met, windows)]
+    found = compared.union(spans[0]).union(spans[1])
+    return found.groupBy("doc_id", "d").agg(F.collect_list("at").alias("spans"))
 
 
 CUT = "n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
@@ -337,7 +425,7 @@ def cut_udf(with_text: bool) -> Callable[[Column, Column], Column]:
                 rows.append((0, 0, None, None))
                 continue
             raw = text.as_py().encode()
-            lo, hi = (np.asarray(own.values.field(c)).astype(np.int64) for c in ("lo", "hi"))
+            lo, hi = place(np.asarray(own.values))
             _, lo, hi = merged(np.zeros(len(lo), np.int64), lo, hi)
             kept = b"".join(raw[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(raw)], strict=True))
             # a cut within a character leaves bytes that are no text
@@ -351,7 +439,8 @@ def cut_udf(with_text: bool) -> Callable[[Column, Column], Column]:
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", with_text: bool = True, **limits: int) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept is the text that is left, on request."""
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    plain = docs.select("doc_id", text_or_empty().alias("text")).withColumn("d", F.unhex(F.substring(sha, 1, 32)))
+    # 60 bits of the digest tell texts with one id apart; not null, so that both uses of the texts share a shuffle
+    plain = docs.select("doc_id", text_or_empty().alias("text")).withColumn("d", F.conv(F.substring(sha, 1, 15), 16, 10).cast("bigint")).filter("d IS NOT NULL")
     source = plain.dropDuplicates(["doc_id", "d"]) if keep == "first" else plain
     spans = repeated_spans(source, length, keep, **limits)
     joined = plain.alias("t").join(spans.alias("s"), (F.col("t.d") == F.col("s.d")) & F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")), "left")

@@ -62,7 +62,7 @@ def test_prefix_ranks_order_suffixes(parts, length):
 @given(st.text("ab", max_size=400))
 def test_equal_windows_meet_at_one_anchor(text):
     length, raw = 12, text.encode()
-    row, lo, hi, left, h, _ = suffix_dedup.anchored(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), length, 4)
+    row, lo, hi, left, h, _, _ = suffix_dedup.anchored(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), length, 4)
     windows = {}
     for a, b, offset, key in zip(lo, hi, left, h, strict=True):
         for p in range(a, b - length + 1):

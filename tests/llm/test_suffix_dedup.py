@@ -46,14 +46,16 @@ def made():
             edited[rng.randrange(len(edited))] = "z"
         rows.append((60 + i, "".join(edited)))
     inside = text(220)
+    rows += [(90, "".join(rng.choice("pqrs") for _ in range(suffix_dedup.SCAN_BYTES + 5000)) + passage)]  # longer than a step
     rows += [(80, inside + text(30) + inside), (81, text(40) + text(199)), (5, twin), (82, text(5000))]
     return rows
 
 
 SMALL = {"hot_rows": 6, "sort_bytes": 5000}
+DEALT = {"sampled": 1, "common_rows": 2}
 
 
-@pytest.mark.parametrize(("keep", "length", "limits"), [("none", 200, {}), ("first", 200, SMALL), ("none", 40, SMALL), ("first", 40, SMALL), ("none", 200, {"hot_rows": 2})])
+@pytest.mark.parametrize(("keep", "length", "limits"), [("none", 200, {}), ("first", 200, SMALL), ("none", 40, SMALL), ("first", 40, SMALL), ("none", 200, {"hot_rows": 2}), ("none", 200, DEALT), ("first", 200, DEALT | SMALL)])
 def test_against_brute_force(spark, keep, length, limits):
     rows = made()
     frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lo int").repartition(3)
@@ -70,6 +72,27 @@ def test_kept_text_and_empty_table(spark):
     assert suffix_dedup.without_repeats(frame.limit(0)).collect() == []
 
 
+def test_longest_previous_factors():
+    """Against the definition, for all places of texts with many repeats."""
+    rng = np.random.default_rng(6)
+    for n in (1, 9, 40, 300):
+        data = rng.integers(97, 99, n).astype(np.uint8)
+        raw = bytes(data)
+        for length in (1, 7, 12, 20):
+            windows = np.arange(max(0, n - length + 1))
+            levels = suffix_dedup.ranks_by_length(data, length)
+
+            def shared(i, j, length=length, raw=raw):
+                return next((k for k in range(length) if raw[i + k] != raw[j + k]), length)
+
+            for backwards in (False, True):
+                got = suffix_dedup.longest_previous(data, levels, windows, length, backwards)
+                want = [max((shared(i, j) for j in windows if (j > i if backwards else j < i)), default=0) for i in windows]
+                assert got.tolist() == want
+    values = rng.integers(0, 50, 200)
+    assert suffix_dedup.previous_smaller(values).tolist() == [max((j for j in range(i) if values[j] < values[i]), default=-1) if len(set(values.tolist())) == 200 else next((j for j in range(i - 1, -1, -1) if values[j] <= values[i]), -1) for i in range(200)]
+
+
 def test_meet_over_many_batches():
     """The judgement does not depend on where batches end."""
     import pyarrow as pa
@@ -77,7 +100,8 @@ def test_meet_over_many_batches():
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(0, 6, 400))
     g = np.concatenate([np.sort(rng.integers(0, 9, (h == x).sum())) for x in range(6)])
-    full = pa.RecordBatch.from_arrays([pa.array(np.zeros(400, np.int8)), pa.array(h), pa.array(g), pa.array(np.arange(400)), pa.array([b"d"] * 400), *(pa.array(np.ones(400, np.int32)) for _ in range(4))], ["kind", "h", "g", "doc_id", "d", "lo", "hi", "left", "n"])
+    columns = {"kind": pa.array(rng.choice([0, 0, 0, 1, 2], 400).astype(np.int8)), "h": h, "g": g, "g2": g * 3, "doc_id": np.arange(400), "d": np.arange(400), "at": np.ones(400, np.int64), "dealt": np.zeros(400, bool)}
+    full = pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
     want = sorted(set(str(r) for b in suffix_dedup.meet(False)(iter([full])) for r in b.to_pylist()))
     for size in (1, 7, 50):
         parts = [full.slice(i, size) for i in range(0, 400, size)]
