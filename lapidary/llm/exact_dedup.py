@@ -156,19 +156,21 @@ def _by_text(docs: DataFrame, digest) -> DataFrame:
 def _collisions(docs: DataFrame, ledger: DataFrame, digest) -> bool:
     """Does any row that hits a kept text differ from it in its bytes?
 
-    Each row of a hot group goes to one of the group's parts, and the kept text to all of them.
+    Each row of a hot group goes to one of the group's parts, by its id and its file, and the
+    kept text to all of them.
     """
     total = ledger.agg(F.sum("size")).first()[0] or 0
     shared = ledger.filter("size > 1").withColumn("parts", F.ceil(F.col("size") * HOT_SHARE / max(1, total)).cast("int"))
     hot = F.broadcast(shared.filter("parts > 1").select("digest", "parts"))
     norm = normalised(text_or_empty())
-    texts = docs.select("doc_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("nth"), norm.alias("norm"), digest(norm).alias("digest"))
-    texts = texts.join(hot, "digest", "left").withColumn("part", F.pmod("nth", F.coalesce("parts", F.lit(1))).cast("int")).drop("nth", "parts")
+    texts = docs.select("doc_id", F.input_file_name().alias("file"), norm.alias("norm"), digest(norm).alias("digest"))
+    texts = texts.join(hot, "digest", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "file"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     asked = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     hits = texts.join(asked, ["digest", "part"])
     # Not equalities that a join would take for keys: both uses of the texts then share one shuffle.
     at_place = F.array_contains(F.array("place"), F.col("file")) & F.coalesce(F.array_contains(F.array("keep"), F.col("doc_id")), F.col("doc_id").isNull() & F.col("keep").isNull())
     kept = hits.filter(at_place).groupBy("digest", "parts").agg(F.min("norm").alias("kept"))
     kept = kept.select("digest", "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    compared = hits.select("digest", "part", "norm").join(kept, ["digest", "part"], "left")
-    return bool(compared.filter(~F.col("norm").eqNullSafe(F.col("kept"))).limit(1).count())
+    compared = hits.join(kept, ["digest", "part"], "left").filter(~F.col("norm").eqNullSafe(F.col("kept")))
+    # The first row that differs, and not a count: both uses of the texts then read the same columns.
+    return compared.agg(F.min(F.struct("file", "doc_id")).alias("x")).collect()[0].x is not None
