@@ -45,8 +45,9 @@ LENGTH = 200
 ANCHOR = 48
 #: Rows of one anchor that a task looks at together.
 HOT_ROWS = 20_000
-#: One text in so many is looked at to find anchors to deal out, and the rows that make one so.
-SAMPLED, COMMON_ROWS = 64, 16
+#: One text in so many is looked at to find anchors that have more rows than a task should hold.
+SAMPLED = 64
+COMMON_ROWS = HOT_ROWS // SAMPLED
 #: Bytes of text whose anchors a task looks for together.
 SCAN_BYTES = 512 << 10
 #: Bytes whose suffixes a task sorts together, unless one anchor has more.
@@ -440,7 +441,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first",
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept is the text that is left, on request."""
     sha = F.sha2(F.col("text").cast("binary"), 256)
     # 60 bits of the digest tell texts with one id apart; not null, so that both uses of the texts share a shuffle
-    plain = docs.select("doc_id", text_or_empty().alias("text")).withColumn("d", F.conv(F.substring(sha, 1, 15), 16, 10).cast("bigint")).filter("d IS NOT NULL")
+    plain = docs.select("doc_id", text_or_empty().alias("text")).withColumn("d", F.conv(F.substring(sha, 1, 15), 16, 10).cast("bigint")).filter("d IS NOT NULL").select("doc_id", "d", "text")
     source = plain.dropDuplicates(["doc_id", "d"]) if keep == "first" else plain
     spans = repeated_spans(source, length, keep, **limits)
     joined = plain.alias("t").join(spans.alias("s"), (F.col("t.d") == F.col("s.d")) & F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
