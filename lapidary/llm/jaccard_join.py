@@ -279,7 +279,7 @@ def candidate_blocks(sets: DataFrame, block: int, block_bytes: int) -> DataFrame
     placed = dealt_join(large, hubs.select("hub", "cuts"), "hub", hot_keys(hubs, "hub", "n"))
     cut = F.pmod(F.xxhash64("v", F.lit(1)), F.col("cuts"))
     placed = written(placed.select("v", "root", F.pmod(F.xxhash64("hub", cut), F.col("parts")).cast("int").alias("part")), "placed")
-    shared = banded.join(placed, "v")
+    shared = placed.join(sets.select("v", "bands"), "v").select("v", "root", "part", F.explode("bands").alias("h"))
     present = shared.groupBy("h").agg(F.collect_set("part").alias("there"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     present = written(present, "present")
     around = dealt_join(shared, present.select("h", "there"), "h", hot_keys(present, "h", "n")).groupBy("v", "root", "part").agg(F.collect_set("there").alias("there"))
