@@ -9,12 +9,17 @@ for each language, and grow with the distinct grams of the corpus.  They are bui
 driver and sent whole; only 4-grams are looked up by a 64-bit hash.
 
 The prediction is the language with the lowest cross-entropy per character.  The score is
-a logistic fit, on a bounded sample of training rows, of the lead over the second-best
-language; ``rejected`` marks rows whose score is under :data:`REJECT_UNDER`.
+a logistic fit of the lead over the second-best language, on texts that its model has not
+seen: the counts say how much of each comes from one text in :data:`FOLDS`, a model without
+these is calibrated on a bounded sample of them, and its fit serves the model of all texts.
+``rejected`` marks rows whose score is under :data:`REJECT_UNDER`.
+
+There is no bound on the languages; memory grows with the grams times the languages.
 
 Nulls and ties: a null text, or one without letters, gets ``und`` and score 0.  Of equal
 cross-entropies, the language that sorts first wins.  Without any training row all is
-``und``.  Repeated rows count each; other columns are not looked at.
+``und``.  Repeated rows count each; other columns are kept, whatever their names, but for
+those that are added.
 """
 
 from __future__ import annotations
@@ -25,17 +30,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.llm.common import mixed, steps, text_or_empty, written
+from lapidary.llm.common import free_name, mixed, steps, text_or_empty, written
 
 ORDER = 4
 #: Bits of a code point in a packed key.
 BITS = 21
-MOST_LANGUAGES = 256
 CALIBRATION_ROWS = 4000
+#: One text in so many, by a hash of the text, is left out of the model that is calibrated.
+FOLDS = 8
 REJECT_UNDER = 0.5
 #: Rows of distinct grams that a task holds before it hands them on.
 HELD_GRAMS = 500_000
@@ -118,8 +125,9 @@ def counter(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 last = real + ORDER - 1
                 before, char = packed(codes, last - 1, ORDER - 1), codes[last].astype(np.int64)
                 key = lang_hash(lang[row], gram_hash(before, char))
-                _, at, count = np.unique(key, return_index=True, return_counts=True)
-                held.append(np.stack([key[at], lang[row[at]], before[at], char[at], count]))
+                _, at, of, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                apart = np.bincount(of, weights=part.column("apart").to_numpy(zero_copy_only=False)[row], minlength=len(at)).astype(np.int64)
+                held.append(np.stack([key[at], lang[row[at]], before[at], char[at], count, apart]))
                 size += len(at)
                 if size > HELD_GRAMS:
                     held = [together(held)]
@@ -134,26 +142,32 @@ def counter(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def together(parts: list[np.ndarray]) -> np.ndarray:
-    """One column for each (language, gram), with the sum of its counts."""
+    """One column for each (language, gram), with the sums of its counts."""
     x = np.concatenate(parts, axis=1)
     _, first, inverse = np.unique(x[0], return_index=True, return_inverse=True)
     out = x[:, first]
-    out[-1] = np.bincount(inverse, weights=x[-1]).astype(np.int64)
+    for i in (-2, -1):
+        out[i] = np.bincount(inverse, weights=x[i]).astype(np.int64)
     return out
 
 
 def lang_hash(lang: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return mixed(key.view(np.uint64) ^ (lang.astype(np.uint64) << np.uint64(56))).view(np.int64)
+    return mixed(key.view(np.uint64) ^ mixed(lang.astype(np.uint64) + np.uint64(1))).view(np.int64)
 
 
 def table_of(x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x[1], pa.int32()), pa.array(x[2]), pa.array(x[3], pa.int32()), pa.array(x[4])], ["lang", "before", "char", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(x[1], pa.int32()), pa.array(x[2]), pa.array(x[3], pa.int32()), pa.array(x[4]), pa.array(x[5])], ["lang", "before", "char", "n", "apart"])
+
+
+def left_out() -> Column:
+    """Is a text left out of the model that is calibrated?"""
+    return F.pmod(F.xxhash64(text_or_empty()), F.lit(FOLDS)) == 0
 
 
 def gram_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """(lang, before, char, n): one row for each different 4-gram of each language, by its first three characters and its last."""
-    parts = docs.select(text_or_empty().alias("text"), "lang").mapInArrow(counter(languages), "lang int, before bigint, char int, n bigint")
-    return parts.groupBy("lang", "before", "char").agg(F.sum("n").alias("n"))
+    """(lang, before, char, n, apart): one row for each different 4-gram of each language, by its first three characters and its last; apart counts those of texts that are left out."""
+    parts = docs.select(text_or_empty().alias("text"), "lang", left_out().alias("apart")).mapInArrow(counter(languages), "lang int, before bigint, char int, n bigint, apart bigint")
+    return parts.groupBy("lang", "before", "char").agg(F.sum("n").alias("n"), F.sum("apart").alias("apart"))
 
 
 @dataclass
@@ -290,25 +304,29 @@ def fit(train: DataFrame) -> Model | None:
     """A model of every row of train (text, lang); rows without a language are left out."""
     spark = train.sparkSession
     train = train.select("text", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL")
-    languages = sorted(r[0] for r in train.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    languages = sorted(r[0] for r in train.select("lang").distinct().collect())
     if not languages:
         return None
     counts = written(gram_counts(train, languages), "grams").toArrow()
     if not counts.num_rows:
         return None
+    rest = counts.set_column(3, "n", pc.subtract(counts.column("n"), counts.column("apart"))).filter(pc.less(counts.column("apart"), counts.column("n")))
+    known = calibration_rows(train, spark.sparkContext.broadcast(model_of(rest, languages))) if rest.num_rows else []
     model = model_of(counts, languages)
-    sent = spark.sparkContext.broadcast(model)
-    share = min(1.0, CALIBRATION_ROWS / max(1, train.count()))
-    sample = train.sample(fraction=share, seed=7) if share < 1 else train
-    rows = sample.select("lang", entropy_udf(sent)(text_or_empty()).alias("x")).select("lang", "x.*").collect()
-    known = [(r.best == r.lang, r.lead) for r in rows if r.best is not None]
     model.slope, model.offset = logistic(np.array([x for x, _ in known], bool), np.array([y for _, y in known], float))
-    sent.destroy()
     return model
 
 
+def calibration_rows(train: DataFrame, sent: Broadcast) -> list[tuple[bool, float]]:
+    """(is the best language right, its lead) of a bounded sample of the texts that the model was made without."""
+    apart = train.filter(left_out())
+    share = min(1.0, CALIBRATION_ROWS / max(1, apart.count()))
+    sample = apart.sample(fraction=share, seed=7) if share < 1 else apart
+    rows = sample.select("lang", entropy_udf(sent)(text_or_empty()).alias("x")).select("lang", "x.*").collect()
+    sent.destroy()
+    return [(r.best == r.lang, r.lead) for r in rows if r.best is not None]
+
+
 def logistic(right: np.ndarray, lead: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic fit with softened targets, which stays finite where all are right."""
     if not len(right):
@@ -355,6 +373,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.select(*kept, F.lit("und").alias(new[0]), F.lit(0.0).alias(new[1]), F.lit(True).alias(new[2]), F.lit(None).cast("double").alias(new[3]))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    found = docs.withColumn("_x", entropy_udf(sent)(text_or_empty()))
-    score = F.coalesce(1 / (1 + F.exp(-(F.lit(model.slope) * F.col("_x.lead") + F.lit(model.offset)))), F.lit(0.0))
-    return found.select(*kept, F.coalesce("_x.best", F.lit("und")).alias(new[0]), score.alias(new[1]), (score < REJECT_UNDER).alias(new[2]), F.col("_x.bits").alias(new[3]))
+    own = free_name("x", docs.columns)
+    found = docs.withColumn(own, entropy_udf(sent)(text_or_empty()))
+    score = F.coalesce(1 / (1 + F.exp(-(F.lit(model.slope) * F.col(f"{own}.lead") + F.lit(model.offset)))), F.lit(0.0))
+    return found.select(*kept, F.coalesce(f"{own}.best", F.lit("und")).alias(new[0]), score.alias(new[1]), (score < REJECT_UNDER).alias(new[2]), F.col(f"{own}.bits").alias(new[3]))

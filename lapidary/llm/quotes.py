@@ -10,7 +10,9 @@ is found nowhere is tried line by line.
 A quotation is linked to the latest earlier turn of its conversation that says it, else to
 the first message anywhere before it (by conversation and turn).  The first linked passage
 of level 1 names the message that is replied to.  Threads follow these replies up to a
-message that replies to none; in a thread, replies come right after what they answer.
+message that replies to none.  A message's place in its thread is that of a walk in which
+each message is followed by its answers, with all that answers these, in order of
+conversation and turn; it is found by ranking the list of the walk's steps by doubling.
 
 Joins are by hash with at most one original for each hash and conversation, or sorted
 unions, so that phrases which everybody says do not multiply.  No conversation is gathered
@@ -135,11 +137,34 @@ def threads(replies: DataFrame) -> DataFrame:
     raise RuntimeError(f"replies are nested more than 2**{MOST_ROUNDS} deep")
 
 
+def walked(replies: DataFrame) -> DataFrame:
+    """(conv_id, turn, behind) of each message that replies or is replied to: how many messages of its thread its walk has from it on.
+
+    The walk enters a message, then its answers, and leaves it.  Each step has one next step
+    and is the next of one, so that no key repeats in the joins that double the steps.
+    """
+    at = lambda c, t, leave: F.struct(F.col(c).alias("c"), F.col(t).alias("t"), F.lit(leave).alias("leave"))
+    answers = Window.partitionBy("to_conv", "to_turn").orderBy("conv_id", "turn")
+    edges = replies.select("conv_id", "turn", "to_conv", "to_turn")
+    edges = edges.withColumns({"nth": F.row_number().over(answers), "next": F.lead(at("conv_id", "turn", False)).over(answers)})
+    first = edges.filter("nth = 1").select(F.col("to_conv").alias("conv_id"), F.col("to_turn").alias("turn"), at("conv_id", "turn", False).alias("into"))
+    nodes = edges.select("conv_id", "turn").union(edges.select("to_conv", "to_turn")).distinct()
+    enters = nodes.join(first, ["conv_id", "turn"], "left").select(at("conv_id", "turn", False).alias("step"), F.coalesce("into", at("conv_id", "turn", True)).alias("next"), F.lit(1).cast("long").alias("n"))
+    leaves = edges.select(at("conv_id", "turn", True).alias("step"), F.coalesce("next", at("to_conv", "to_turn", True)).alias("next"), F.lit(0).cast("long").alias("n"))
+    steps = written(enters.unionByName(leaves), "walk")
+    for _ in range(MOST_ROUNDS):
+        after = steps.select(F.col("step").alias("next"), F.col("next").alias("then"), F.col("n").alias("more"))
+        steps = written(steps.join(after, "next", "left").select("step", F.col("then").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "walk")
+        if not steps.filter("next IS NOT NULL").limit(1).count():
+            return steps.filter("NOT step.leave").select(F.col("step.c").alias("conv_id"), F.col("step.t").alias("turn"), F.col("n").alias("behind"))
+    raise RuntimeError(f"threads of more than 2**{MOST_ROUNDS} steps")
+
+
 def linked_messages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, n_quotes, n_linked, reply_conv, reply_turn, thread_conv, thread_turn, depth) of every row.
+    """(conv_id, turn, role, text, n_quotes, n_linked, reply_conv, reply_turn, thread_conv, thread_turn, depth, place) of every row.
 
-    text is what the message itself says.  Sorted by thread_conv, thread_turn, depth, conv_id and turn,
-    the rows are the reply-ordered conversations.
+    text is what the message itself says.  Sorted by thread_conv, thread_turn and place, the
+    rows are the reply-ordered conversations; rows of one message share their place.
     """
     rows = messages.select("conv_id", "turn", "role", parsed_udf()(text_or_empty()).alias("p"))
     rows = written(rows.select("conv_id", "turn", "role", "p.*"), "messages")
@@ -163,7 +188,10 @@ def linked_messages(messages: DataFrame) -> DataFrame:
     )
     replies = per_message.filter("reply IS NOT NULL").select("conv_id", "turn", F.col("reply.to_conv").alias("to_conv"), F.col("reply.to_turn").alias("to_turn"))
     up = threads(replies)
-    marks = per_message.join(up, ["conv_id", "turn"], "left").select("conv_id", "turn", "n_linked", F.col("reply.to_conv").alias("reply_conv"), F.col("reply.to_turn").alias("reply_turn"), "root_conv", "root_turn", "depth")
+    walk = written(walked(replies), "walked")
+    whole = walk.select(F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.col("behind").alias("size"))
+    ranked = up.join(walk, ["conv_id", "turn"]).join(whole, ["root_conv", "root_turn"]).withColumn("place", F.col("size") - F.col("behind"))
+    marks = per_message.join(ranked, ["conv_id", "turn"], "left").select("conv_id", "turn", "n_linked", F.col("reply.to_conv").alias("reply_conv"), F.col("reply.to_turn").alias("reply_turn"), "root_conv", "root_turn", "depth", "place")
     return rows.join(marks, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", F.col("own").alias("text"),
         F.size("quotes").cast("long").alias("n_quotes"),
@@ -172,11 +200,12 @@ def linked_messages(messages: DataFrame) -> DataFrame:
         F.coalesce("root_conv", "conv_id").alias("thread_conv"),
         F.coalesce("root_turn", "turn").alias("thread_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("place", F.lit(0)).cast("long").alias("place"),
     )
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
     """The messages without quotations, dealt out and sorted so that each thread reads in order."""
     linked = linked_messages(messages)
-    order = ["thread_conv", "thread_turn", "depth", "conv_id", "turn"]
+    order = ["thread_conv", "thread_turn", "place", "conv_id", "turn"]
     return linked.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -13,7 +13,10 @@ Spark reaches.  :func:`export` also writes them as files where a path is mounted
 
 Nulls and ties: a null payload is empty.  Of equal payloads the smallest page id is the
 response; every row that repeats that id and payload is a response too.  Pages without an
-id refer to the one with an id; without any id in the group all are responses.
+id refer to the one with an id; without any id in the group all are responses.  A record's
+id names page, payload and address, so it is one record's own unless rows are equal in all
+three; such records say the same, and any of them serves.  Payloads that a large share of
+the pages has are not brought together in one task.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ import hashlib
 import io
 import struct
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.llm.common import shared_path, text_or_empty
+from lapidary.llm.common import dealt_join, hot_keys, shared_path, text_or_empty, written
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
@@ -45,23 +50,32 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object) -> tuple[str, bytes]:
-    """(record id, WARC record) of one page; a revisit carries no payload of its own."""
+def record_id(page_id: object, digest: str, url: str | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}:{zlib.crc32((url or '').encode()):08x}>"
+
+
+#: What a record id says.
+PAGE_OF = r"^<urn:page:(.*):[A-Z2-7]{32}:[0-9a-f]{8}>$"
+
+
+def record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str = "1970-01-01T00:00:00Z") -> tuple[str, bytes]:
+    """(record id, WARC record) of one page; a revisit names the response's record and carries no payload of its own."""
+    own = record_id(page_id, digest, url)
     kind = "response" if refers_to is None else "revisit"
-    record_id = f"<urn:page:{'' if page_id is None else page_id}>"
     body = payload if refers_to is None else b""
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id}",
+        f"WARC-Record-ID: {own}",
+        f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {' '.join(url.split())}"] if url else []),
         f"WARC-Payload-Digest: sha1:{digest}",
-        *([] if refers_to is None else [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
+        *([] if refers_to is None else [f"WARC-Refers-To: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(body)}",
     ]
-    return record_id, "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    return own, "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def parsed(data: bytes, at: int = 0) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -130,59 +144,69 @@ class BundleReader:
         return headers, body
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bundles of the records of (page_id, url, payload, sha1, refers_to) rows."""
+def packer(date: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Bundles of the records of (page_id, url, payload, sha1, first, first_url) rows."""
     schema = pa.schema([("bundle", pa.string()), ("archive", pa.binary()), ("record_ids", pa.list_(pa.string())), ("frames", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64()))])
-    writer = BundleWriter()
-    for batch in batches:
-        for page_id, url, payload, sha1, refers_to in zip(*batch.columns, strict=True):
-            digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
-            writer.add(*record(page_id.as_py(), url.as_py(), payload.as_py().encode(), digest, refers_to.as_py()))
-            if writer.out.tell() >= BUNDLE_BYTES:
-                yield pa.RecordBatch.from_pylist([writer.close()], schema)
-                writer = BundleWriter()
-    if writer.ids:
-        yield pa.RecordBatch.from_pylist([writer.close()], schema)
-
-
-def write(pages: DataFrame, path: str) -> None:
-    """Writes a record for each row of pages (page_id, url, html) as a table of bundles."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = BundleWriter()
+        for batch in batches:
+            for page_id, url, payload, sha1, first, first_url in (tuple(x.as_py() for x in row) for row in zip(*batch.columns, strict=True)):
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                refers_to = None if first is None or first == page_id else record_id(first, digest, first_url)
+                writer.add(*record(page_id, url, payload.encode(), digest, refers_to, date))
+                if writer.out.tell() >= BUNDLE_BYTES:
+                    yield pa.RecordBatch.from_pylist([writer.close()], schema)
+                    writer = BundleWriter()
+        if writer.ids:
+            yield pa.RecordBatch.from_pylist([writer.close()], schema)
+
+    return packed
+
+
+def write(pages: DataFrame, path: str, date: str | None = None) -> None:
+    """Writes a record for each row of pages (page_id, url, html) as a table of bundles; date is that of all records, now if not given."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), text_or_empty("html").alias("payload"))
     # SHA-1 is what WARC states; payloads with one SHA-1 can be made, so they are matched by SHA-256
     rows = rows.withColumns({"sha1": F.sha1(F.col("payload").cast("binary")), "same": F.sha2(F.col("payload").cast("binary"), 256)})
-    firsts = pages.select("page_id", F.sha2(text_or_empty("html").cast("binary"), 256).alias("same")).groupBy("same")
-    firsts = firsts.agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    linked = rows.join(firsts, "same", "left")
-    refers_to = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    linked.select("page_id", "url", "payload", "sha1", refers_to.alias("refers_to")).mapInArrow(packed, BUNDLES).write.parquet(path)
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    firsts = rows.groupBy("same").agg(first, F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    firsts = written(firsts.select("same", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"), "copies"), "first-pages")
+    linked = dealt_join(rows, firsts.drop("copies"), "same", hot_keys(firsts, "same", "copies"), "left")
+    now = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    linked.select("page_id", "url", "payload", "sha1", "first", "first_url").mapInArrow(packer(now), BUNDLES).write.parquet(path)
 
 
 RECORDS = "bundle string, record_id string, frame int, offset bigint, record_type string, refers_to string, target string, payload_bytes bigint, payload_digest string, payload binary"
 
 
 def read(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record of a table of bundles; revisits have no payload.
+    """Every record of a table of bundles, found through the index: its frame is unpacked and read from its offset on.
 
-    The digest is worked out anew from the payload where there is one.
+    Revisits have no payload.  The digest is worked out anew from the payload where there is one.
     """
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
-            for name, archive in zip(batch.column("bundle"), batch.column("archive"), strict=True):
+            for name, archive, ids, frames, offsets in zip(*batch.columns, strict=True):
                 reader = BundleReader(archive.as_py())
-                for k in range(len(reader.frames)):
-                    rows = []
-                    for at, head, body in parsed(reader.frame(k)):
-                        response = head["WARC-Type"] == "response"
-                        stated = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if response and base32_sha1(body) != stated:
-                            raise ValueError(f"{head['WARC-Record-ID']}: the payload differs from its digest")
-                        rows.append((name.as_py(), head["WARC-Record-ID"], k, at, head["WARC-Type"], head.get("WARC-Refers-To"), head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), stated, body if response and with_payload else None))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return bundles.select("bundle", "archive").mapInArrow(unpacked, RECORDS)
+                rows, at, frame = [], -1, b""
+                for own, k, offset in zip(ids.as_py(), frames.as_py(), offsets.as_py(), strict=True):
+                    if k != at:
+                        at, frame = k, reader.frame(k)
+                    _, head, body = next(parsed(frame, offset))
+                    if head["WARC-Record-ID"] != own:
+                        raise ValueError(f"{own}: the index leads to {head['WARC-Record-ID']}")
+                    response = head["WARC-Type"] == "response"
+                    stated = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if response and base32_sha1(body) != stated:
+                        raise ValueError(f"{own}: the payload differs from its digest")
+                    rows.append((name.as_py(), own, k, offset, head["WARC-Type"], head.get("WARC-Refers-To"), head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), stated, body if response and with_payload else None))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return bundles.select("bundle", "archive", "record_ids", "frames", "offsets").mapInArrow(unpacked, RECORDS)
 
 
 def index(bundles: DataFrame) -> DataFrame:
@@ -212,7 +236,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = shared_path(spark, "warc")
     write(pages, path)
     kind = pages.schema["page_id"].dataType
-    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
+    page = lambda c: F.nullif(F.regexp_extract(c, PAGE_OF, 1), F.lit("")).cast(kind)
     return read(spark.read.parquet(path), with_payload=False).select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "bundle", "frame", "offset"
     )

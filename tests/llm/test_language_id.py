@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,57 @@ def test_edges(spark, model):
     assert {r.lang_pred for r in language_id.predicted(frame, None).collect()} == {"und"}
 
 
-def test_probabilities_sum_to_one(model):
-    """Over all characters that the texts have, the probabilities after any seen context sum to 1, but for the unseen rest."""
-    letters = sorted({c for stems in STEMS.values() for s in stems for c in s} | {" "})
-    for context in ("ber", "日本語", "lu "):
-        texts = pa.array([context + c for c in letters if not (context + c).endswith("  ")])
-        logs = []
-        for t in texts.to_pylist():
-            codes, _ = language_id.characters(pa.array([t]))
-            logs.append(model.log_probabilities(codes, np.array([len(codes) - 2 * (language_id.ORDER - 1) - 1]))[0])
-        assert (np.exp(logs).sum(0) < 1.02).all() and (np.exp(logs).sum(0) > 0.5).all()
+def kneser_ney(texts, vocabulary):
+    """log P(character | three before it) by the definition, for one language."""
+    grams = Counter(("\0\0\0" + t)[i : i + 4] for t in texts for i in range(len(t)))
+    counts = {4: grams}
+    for size in (3, 2, 1):
+        counts[size] = Counter(g[-size:] for g in counts[size + 1])
+
+    def discount(size):
+        ones, twos = (sum(c == x for c in counts[size].values()) for x in (1, 2))
+        return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+
+    def p(context, char):
+        size = len(context) + 1
+        lower = 1 / vocabulary if size == 1 else p(context[1:], char)
+        here = {g: c for g, c in counts[size].items() if g[:-1] == context}
+        if not here:
+            return lower
+        total, d = sum(here.values()), discount(size)
+        return max(here.get(context + char, 0) - d, 0) / total + d * len(here) / total * lower
+
+    return p
+
+
+def test_estimates_equal_the_definition(spark):
+    texts = {"aa": ["abab abc", "abca", "cab abab"], "bb": ["bcd bcd", "dab"]}
+    rows = [(t, lang) for lang, own in texts.items() for t in own]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    vocabulary = len({c for own in texts.values() for t in own for c in t}) + 1
+    asked = "abcd dcba bab"
+    codes, _ = language_id.characters(pa.array([asked]))
+    got = model.log_probabilities(codes, np.arange(len(asked)))
+    for i, lang in enumerate(sorted(texts)):
+        p = kneser_ney(texts[lang], vocabulary)
+        padded = "\0\0\0" + asked
+        assert np.allclose(got[:, i], [np.log(p(padded[k : k + 3], padded[k + 3])) for k in range(len(asked))], atol=1e-4)
+        seen = sorted({c for own in texts.values() for t in own for c in t})
+        for context in ("aba", "\0\0\0", "zzz"):
+            assert abs(sum(p(context, c) for c in seen) + p(context, "\1") - 1) < 1e-9
+
+
+def test_many_languages_and_any_names(spark):
+    names = [f"l{i:03}" for i in range(300)]
+    rows = [(chr(0x4E00 + i) * 3 + " " + chr(0x4E00 + i) * 2, lang, "x", "X") for i, lang in enumerate(names)]
+    frame = spark.createDataFrame(rows, "text string, lang string, _x string, x string").repartition(2)
+    got = language_id.predicted(frame, language_id.fit(frame)).collect()
+    assert all(r.lang_pred == r.lang and (r._x, r.x) == ("x", "X") for r in got)
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    frame = spark.createDataFrame([("same words", lang) for lang in ("zz", "bb", "cc")], "text string, lang string")
+    assert {r.lang_pred for r in language_id.predicted(frame, language_id.fit(frame)).collect()} == {"bb"}
 
 
 def test_result_does_not_depend_on_batches(model):

@@ -7,14 +7,42 @@ def words(text):
     return " ".join(text.lower().split())
 
 
+def read(text):
+    """own words, (level, passage, its lines) of each quotation, and all that the message says, by a reading of its own."""
+    lines = []
+    for line in text.split("\n"):
+        level, rest = 0, line
+        while rest.lstrip(" \t").startswith(">"):
+            level, rest = level + 1, rest.lstrip(" \t")[1:]
+            rest = rest[1:] if rest[:1] in (" ", "\t") else rest
+        lines.append((level, rest if level else line))
+    runs = []
+    for level, line in lines:
+        if not runs or runs[-1][0] != level:
+            runs.append((level, []))
+        runs[-1][1].append(line)
+    for i in range(len(runs) - 1):
+        own = [x for x in runs[i][1] if x.strip()]
+        if runs[i + 1][0] > runs[i][0] and own and own[-1].rstrip().endswith("wrote:"):
+            while runs[i][1].pop().rstrip() != own[-1].rstrip():
+                pass
+    runs = [r for r in runs if r[1]]
+    flat = [x for level, own in runs if level == 0 for x in own]
+    said = {words(" ".join(flat)), *map(words, flat)}
+    for level, own in runs:
+        said |= {words(" ".join(p.split("\0"))) for p in "\0".join(x if x.strip() else "" for x in own).split("\0\0")} if level == 0 else set()
+    found = [(level, words(" ".join(own)), [words(x) for x in own if words(x)]) for level, own in runs if level and words(" ".join(own))]
+    return {"own": "\n".join(flat).strip() if found else text, "quotes": [{"level": a, "hash": b, "lines": c} for a, b, c in found], "said": said - {""}}
+
+
 def brute(rows):
     """By direct search, for messages with unique keys."""
     info = {}
     for conv, turn, _, text in rows:
-        info[conv, turn] = quotes.parsed(text or "")
+        info[conv, turn] = read(text or "")
     for conv, turn, role, text in rows:
         if conv is None or turn is None:
-            yield conv, turn, role, info[conv, turn]["own"], len(info[conv, turn]["quotes"]), 0, None, None, conv, turn, 0
+            yield conv, turn, role, info[conv, turn]["own"], len(info[conv, turn]["quotes"]), 0, None, None, conv, turn, 0, 0
             continue
         own, linked, reply = info[conv, turn], 0, None
 
@@ -32,6 +60,16 @@ def brute(rows):
                 reply = found[0]
         info[conv, turn]["reply"] = reply
         info[conv, turn]["row"] = (conv, turn, role, own["own"], len(own["quotes"]), linked)
+    answers = {}
+    for key in info:
+        if None not in key:
+            answers.setdefault(info[key]["reply"], []).append(key)
+
+    def walk(key):
+        yield key
+        for answer in sorted(answers.get(key, ())):
+            yield from walk(answer)
+
     for conv, turn, _, _ in rows:
         if conv is None or turn is None:
             continue
@@ -39,7 +77,7 @@ def brute(rows):
         while info[root]["reply"]:
             root, depth = info[root]["reply"], depth + 1
         reply = info[conv, turn]["reply"] or (None, None)
-        yield (*info[conv, turn]["row"], *reply, *root, depth)
+        yield (*info[conv, turn]["row"], *reply, *root, depth, list(walk(root)).index((conv, turn)))
 
 
 def made():
@@ -75,6 +113,10 @@ def test_order_repeats_and_empty_table(spark):
     rows = [(1, 0, "user", "first"), (1, 1, "user", "second"), (1, 2, "user", "> first\nthird"), (1, 2, "user", "> first\nthird")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert [r.text for r in quotes.reply_ordered(frame).collect()] == ["first", "third", "third", "second"]
+    deep = [(1, 0, "user", "root"), (1, 1, "user", "> root\nA"), (1, 2, "user", "> root\nB"), (1, 3, "user", "> A\nC"), (1, 4, "user", "> C\nD"), (1, 5, "user", "> B\nE")]
+    deep += [(2, i, "user", f"> m{i - 1}\nm{i}" if i else "m0") for i in range(40)]
+    got = quotes.reply_ordered(spark.createDataFrame(deep, frame.schema)).collect()
+    assert [r.text for r in got] == ["root", "A", "C", "D", "B", "E", *(f"m{i}" for i in range(40))] and got[-1].depth == 39
     assert quotes.linked_messages(frame.limit(0)).collect() == []
 
 
@@ -82,3 +124,7 @@ def test_levels_and_announcements():
     text = "Ann wrote:\n> Bob wrote:\n>> old\n> new\nmine\n"
     found = quotes.parsed(text)
     assert [q["level"] for q in found["quotes"]] == [2, 1] and found["own"] == "mine"
+    for _, _, _, text in made():
+        mine, its = read(text or ""), quotes.parsed(text or "")
+        assert its["own"] == mine["own"] and sorted(its["said"]) == sorted(map(quotes.digest, mine["said"]))
+        assert its["quotes"] == [{"level": q["level"], "hash": quotes.digest(q["hash"]), "lines": list(map(quotes.digest, q["lines"]))} for q in mine["quotes"]]
