@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lapidary.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality
 from lapidary.llm.common import table, written
 
-#: Documents whose score for label 1 is under this go.
-REJECT_UNDER = 0.5
+#: Documents that the classifier predicts to be of label 0 go.
+REJECT_UNDER = quality.PREDICT_FROM
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
