@@ -109,7 +109,7 @@ def kept_documents(docs: DataFrame, digest=sha256_of) -> DataFrame:
     """One row of docs for each different text, with the columns of docs: the first of those with the kept id."""
     parts = []
     for marked in _marked(docs, digest):
-        kept = marked.filter(F.col("row.doc_id").eqNullSafe(F.col("keep")))
+        kept = marked.filter(_among("keep", F.col("row.doc_id")))  # the rows stay partitioned by digest
         keys = [c for c in ("digest", "norm") if c in marked.columns]
         first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
         parts.append(kept.withColumn("nth", first).filter("nth = 1").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
@@ -137,6 +137,11 @@ def _verdict(doc_id: Column) -> list[Column]:
     return [F.col("keep").alias("keep_id"), F.col("size").cast("long").alias("group_size"), doc_id.eqNullSafe(F.col("keep")).alias("kept")]
 
 
+def _among(known: str, value: Column) -> Column:
+    """value is the known one, or both are null; not an equality that a join would take for a key and shuffle by."""
+    return F.coalesce(F.array_contains(F.array(known), value), value.isNull() & F.col(known).isNull())
+
+
 def _ledger(docs: DataFrame, digest) -> tuple[DataFrame, DataFrame]:
     """((digest, doc_id) of every row, (digest, keep, place, size) of every group)."""
     spark = docs.sparkSession
@@ -167,8 +172,8 @@ def _collisions(docs: DataFrame, ledger: DataFrame, digest) -> bool:
     texts = texts.join(hot, "digest", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "file"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     asked = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     hits = texts.join(asked, ["digest", "part"])
-    # Not equalities that a join would take for keys: both uses of the texts then share one shuffle.
-    at_place = F.array_contains(F.array("place"), F.col("file")) & F.coalesce(F.array_contains(F.array("keep"), F.col("doc_id")), F.col("doc_id").isNull() & F.col("keep").isNull())
+    # Both uses of the texts share one shuffle.
+    at_place = _among("place", F.col("file")) & _among("keep", F.col("doc_id"))
     kept = hits.filter(at_place).groupBy("digest", "parts").agg(F.min("norm").alias("kept"))
     kept = kept.select("digest", "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     compared = hits.join(kept, ["digest", "part"], "left").filter(~F.col("norm").eqNullSafe(F.col("kept")))
