@@ -4,9 +4,12 @@ Texts are lower-cased; every run of characters that are no letters is one blank.
 training texts are counted: each task counts its character 4-grams, and Spark adds the
 counts up.  A gram is counted as its first three characters, packed into 63 bits, and its
 last; no gram is another one.  Lower orders use continuation counts, from the distinct
-4-grams.  The tables have one row of log probabilities for each distinct gram, with a column
-for each language, and grow with the distinct grams of the corpus.  They are built on the
-driver and sent whole; only 4-grams are looked up by a 64-bit hash.
+4-grams.  Spark makes the estimates with groupings and joins: one row of log probabilities for
+each distinct gram, with a place for each language, in a table that grows with the distinct
+grams of the corpus.  It is sent in blocks of about :data:`BLOCK_BYTES`, one at a time on the
+driver, four to a pass over the texts.  A block has the grams and contexts of the pairs of
+characters that fall to it, sorted by hash; a character of a text is looked up in the block of
+the two before it.  Orders 1 and 2 go with each block.  4-grams are looked up by a 64-bit hash.
 
 The prediction is the language with the lowest cross-entropy per character.  The score is
 a logistic fit of the lead over the second-best language, on texts that its model has not
@@ -14,7 +17,7 @@ seen: the counts say how much of each comes from one text in :data:`FOLDS`, a mo
 these is calibrated on a bounded sample of them, and its fit serves the model of all texts.
 ``rejected`` marks rows whose score is under :data:`REJECT_UNDER`.
 
-There is no bound on the languages; memory grows with the grams times the languages.
+There is no bound on grams or languages: more of them make more blocks.
 
 Nulls and ties: a null text, or one without letters, gets ``und`` and score 0.  Of equal
 cross-entropies, the language that sorts first wins.  Without any training row all is
@@ -26,11 +29,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,14 @@ CALIBRATION_ROWS = 4000
 #: One text in so many, by a hash of the text, is left out of the model that is calibrated.
 FOLDS = 8
 REJECT_UNDER = 0.5
+#: Bytes of a block of the model, and of one of its rows beside four for each language.
+BLOCK_BYTES = 64 << 20
+ROW_BYTES = 28
+#: Blocks that one pass over the texts looks in.
+SENT_BLOCKS = 4
+#: Pairs of characters are dealt to blocks by their number modulo this prime.
+DEALT = 1_000_003
+SUMS = "logs array<double>, size bigint"
 #: Rows of distinct grams that a task holds before it hands them on.
 HELD_GRAMS = 500_000
 
@@ -171,23 +181,30 @@ def gram_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
 
 
 @dataclass
-class Model:
-    languages: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]]  # by order from ORDER down: sorted keys, log probabilities
-    backoffs: list[tuple[np.ndarray, np.ndarray]]  # by order down to 2: sorted contexts, log weights
-    unseen: float  # log probability of a character that no text has
-    slope: float = 1.0
-    offset: float = 0.0
+class Block:
+    """The rows of a model for the pairs of characters that fall to it, and those of orders 1 and 2."""
+
+    number: int
+    blocks: int
+    grams: list[tuple[np.ndarray, np.ndarray]]  # by order from ORDER down: keys, log probabilities
+    backoffs: list[tuple[np.ndarray, np.ndarray]]  # by order down to 2: contexts, log weights
+    unseen: np.ndarray  # log probability of a character that no text has, for each language
 
     def indexed(self) -> list[Index]:
         if not hasattr(self, "_where"):
             self._where = [Index(keys) for keys, _ in [*self.grams, *self.backoffs]]
         return self._where
 
+    def own(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The positions (counted from ORDER - 1 on) whose two characters before fall to this block."""
+        if self.blocks == 1:
+            return at
+        return at[packed(codes, at + ORDER - 2, 2) % DEALT % self.blocks == self.number]
+
     def log_probabilities(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """One row for each position (counted from ORDER - 1 on), one column for each language."""
+        """One row for each position, one column for each language."""
         where = self.indexed()
-        out = np.zeros((len(at), len(self.languages)), np.float32)
+        out = np.zeros((len(at), len(self.unseen)), np.float32)
         open_ = np.arange(len(at))
         for i, size in enumerate(range(ORDER, 0, -1)):
             last = at[open_] + ORDER - 1
@@ -204,126 +221,146 @@ class Model:
         out[open_] += self.unseen
         return out
 
-    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(bits per character in each language, number of characters) of each text; no characters without letters."""
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(log probability of the block's positions in each language, number of characters) of each text; no characters without letters."""
         rows = len(texts)
-        out, sizes = np.zeros((rows, len(self.languages))), np.zeros(rows, np.int64)
+        out, sizes = np.zeros((rows, len(self.unseen))), np.zeros(rows, np.int64)
         done = 0
         for part in steps(pa.RecordBatch.from_arrays([texts], ["t"]), "t"):
             codes, zeros = characters(part.column(0))
             n = part.num_rows
             if len(codes) >= ORDER:
-                at = np.flatnonzero(codes[ORDER - 1 :])
-                row = np.searchsorted(zeros, at + ORDER - 1, side="right") - 1
-                logs = self.log_probabilities(codes, at)
-                first = np.searchsorted(row, np.arange(n))
-                own = np.diff(np.append(first, len(row)))
-                some = np.flatnonzero(own)
-                if len(some):
-                    out[done + some] = -np.add.reduceat(logs.astype(np.float64), first[some], axis=0) / own[some, None] / np.log(2)
-                letter = np.bincount(row, weights=codes[at + ORDER - 1] != 32, minlength=n) > 0
-                sizes[done : done + n] = np.where(letter, own, 0)
+                every = np.flatnonzero(codes[ORDER - 1 :])
+                row_of = lambda at: np.searchsorted(zeros, at + ORDER - 1, side="right") - 1  # noqa: B023, E731
+                whose = row_of(every)
+                letter = np.bincount(whose, weights=codes[every + ORDER - 1] != 32, minlength=n) > 0
+                sizes[done : done + n] = np.where(letter, np.bincount(whose, minlength=n), 0)
+                at = self.own(codes, every)
+                if len(at):
+                    row = row_of(at)
+                    first = np.flatnonzero(np.append(True, np.diff(row) != 0))
+                    out[done + row[first]] = np.add.reduceat(self.log_probabilities(codes, at).astype(np.float64), first, axis=0)
             done += n
         return out, sizes
 
-    def leads(self, entropies: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(best language, its lead over the next, grown with the root of the length)."""
-        best = entropies.argmin(1)
-        if entropies.shape[1] == 1:
-            return best, np.sqrt(sizes)
-        two = np.partition(entropies, 1, axis=1)
-        return best, (two[:, 1] - two[:, 0]) * np.sqrt(np.minimum(sizes, 400))
-
-
-def first_of_each(lang: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one row, number of rows) of each different (lang, key)."""
-    order = np.lexsort((key, lang))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(lang[order]) != 0) | (np.diff(key[order]) != 0)
-    starts = np.flatnonzero(new)
-    return order[starts], np.diff(np.append(starts, len(order)))
-
-
-def model_of(counts: pa.Table, languages: list[str]) -> Model:
-    """Interpolated Kneser-Ney estimates from the counts of 4-grams."""
-    column = {c: counts.column(c).to_numpy().astype(np.int64) for c in counts.column_names}
-    whole = column["before"] << BITS | column["char"]
-    column["g4"] = gram_hash(column["before"], column["char"])
-    for k in range(1, ORDER):
-        column[f"g{k}"] = whole & ((1 << BITS * k) - 1)
-        column[f"c{k}"] = column["before"] & ((1 << BITS * k) - 1)
+
+@dataclass
+class Model:
+    """Where the rows of a model are: a table in the shared folder, read in blocks."""
+
+    languages: list[str]
+    rows: DataFrame  # size, context, char (-1: weight of the context), logs
+    unseen: np.ndarray
+    blocks: int
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def block(self, number: int) -> Block:
+        """One block, gathered on the driver to be sent: about BLOCK_BYTES, beside orders 1 and 2."""
+        pair = F.col("context").bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+        own = self.rows.filter((F.col("size") <= 2) | (pair % DEALT % self.blocks == number)).toArrow()
+        size, context, char = (own.column(c).to_numpy() for c in ("size", "context", "char"))
+        logs = own.column("logs").combine_chunks().flatten().to_numpy().reshape(own.num_rows, len(self.languages))
+        grams, backoffs = [], []
+        for k in range(ORDER, 0, -1):
+            here = (size == k) & (char >= 0)
+            keys = gram_hash(context[here], char[here]) if k == ORDER else context[here] << BITS | char[here]
+            grams.append((keys, logs[here]))
+            if k > 1:
+                here = (size == k) & (char < 0)
+                backoffs.append((context[here], logs[here]))
+        return Block(number, self.blocks, grams, backoffs, self.unseen)
+
+
+def dense(df: DataFrame, keys: list[str], values: dict[str, float], n_lang: int) -> DataFrame:
+    """One row for each of the keys; each value is an array with a place for each language, of the given default where it has none."""
+    entry = F.map_from_entries(F.collect_list(F.struct("lang", F.struct(*values))))
+    place = F.sequence(F.lit(0), F.lit(n_lang - 1))
+
+    def column(name: str, default: float) -> Column:
+        return F.transform(place, lambda i: F.coalesce(F.try_element_at("own", i)[name], F.lit(default))).alias(name)
+
+    return df.groupBy(*keys).agg(entry.alias("own")).select(*keys, *(column(k, v) for k, v in values.items()))
+
+
+def shorter(size: int) -> Column:
+    """The last characters of a context, as many as a gram of this size has before its last."""
+    return F.col("context").bitwiseAND(F.lit((1 << BITS * (size - 1)) - 1))
+
+
+def model_of(counts: DataFrame, languages: list[str], block_bytes: int = BLOCK_BYTES) -> Model:
+    """Interpolated Kneser-Ney estimates from the counts of 4-grams (lang, before, char, n).
+
+    A context, or a gram of the next lower order, has at most as many rows as there are characters.
+    """
     n_lang = len(languages)
-    grams, backoffs = [], []
-    vocabulary = max(1, len(np.unique(column["g1"]))) + 1
-    lower: tuple[np.ndarray, np.ndarray] | None = None
-    lang, weight = column["lang"], column["n"].astype(np.float64)
-    # Orders from below: what a gram of one order builds on is the next lower order.
-    built = []
+    levels = {ORDER: counts.select("lang", F.col("before").alias("context"), "char", "n")}
+    for size in range(ORDER - 1, 0, -1):  # each distinct gram one longer is one continuation
+        levels[size] = written(levels[size + 1].groupBy("lang", shorter(size).alias("context"), "char").agg(F.count(F.lit(1)).alias("n")), "grams")
+    once = [
+        level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).withColumn("size", F.lit(size))
+        for size, level in levels.items()
+    ]
+    found = reduce(DataFrame.unionByName, once).collect()
+    discounts = np.full((ORDER + 1, n_lang), 0.5)
+    for r in found:
+        if r.ones + r.twos:
+            discounts[r.size, r.lang] = min(0.95, max(0.1, r.ones / (r.ones + 2 * r.twos)))
+    vocabulary = levels[1].select("char").distinct().count() + 1
+    unseen = np.full(n_lang, -np.log(vocabulary))
+    for r in found:
+        if r.size == 1:
+            unseen[r.lang] += np.log(discounts[1, r.lang] * r.kinds / r.total)
+
+    parts, lower = [], None
+    places = F.sequence(F.lit(0), F.lit(n_lang - 1))
     for size in range(1, ORDER + 1):
-        if size == ORDER:
-            own_lang, key, count = lang, column[f"g{size}"], weight
-            pick = np.arange(len(lang))
-        else:
-            # distinct grams one longer; each is one continuation
-            pick, _ = first_of_each(lang, column[f"g{size + 1}"])
-            first, number = first_of_each(lang[pick], column[f"g{size}"][pick])
-            pick = pick[first]
-            own_lang, key, count = lang[pick], column[f"g{size}"][pick], number.astype(np.float64)
-        context = column[f"c{size - 1}"][pick] if size > 1 else np.zeros(len(pick), np.int64)
-        discount = np.empty(n_lang)
-        for i in range(n_lang):
-            ones, twos = ((count[own_lang == i] == x).sum() for x in (1, 2))
-            discount[i] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-        contexts, of = np.unique(context, return_inverse=True)
-        total, kinds = np.zeros((len(contexts), n_lang)), np.zeros((len(contexts), n_lang))
-        np.add.at(total, (of, own_lang), count)
-        np.add.at(kinds, (of, own_lang), 1)
-        weights = np.where(total > 0, discount * kinds / np.maximum(total, 1e-9), 1.0)
-        keys, at = np.unique(key, return_inverse=True)
-        row_context = np.zeros(len(keys), np.int64)
-        row_context[at] = of
-        row_lower = np.zeros(len(keys), np.int64)
-        row_lower[at] = column[f"g{size - 1}"][pick] if size > 1 else 0
-        p = np.zeros((len(keys), n_lang))
-        np.add.at(p, (at, own_lang), np.maximum(count - discount[own_lang], 0) / total[of, own_lang])
+        discount = F.array(*(F.lit(float(x)) for x in discounts[size]))
+        sums = levels[size].groupBy("context", "lang").agg(F.sum("n").cast("double").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        sums = sums.withColumn("weight", F.get(discount, F.col("lang")) * F.col("kinds") / F.col("total"))
+        contexts = written(dense(sums, ["context"], {"total": 1.0, "weight": 1.0}, n_lang), "contexts")
+        grams = dense(levels[size].withColumn("n", F.col("n").cast("double")), ["context", "char"], {"n": 0.0}, n_lang).join(contexts, "context")
         if lower is None:
-            base = np.full((len(keys), n_lang), 1 / vocabulary)
+            grams = grams.withColumn("base", F.array_repeat(F.lit(1 / vocabulary), n_lang))
         else:
-            base = lower[1][np.minimum(np.searchsorted(lower[0], row_lower), len(lower[0]) - 1)]
-        p += weights[row_context] * base
-        lower = (keys, p)
-        built.append((contexts, weights))
-        grams.append((keys, np.log(p).astype(np.float32)))
+            grams = grams.withColumn("end", shorter(size - 1)).join(lower.select(F.col("context").alias("end"), "char", F.col("p").alias("base")), ["end", "char"])
+        grams = grams.withColumn("discount", discount)
+        p = F.transform(places, lambda i: F.greatest(F.get("n", i) - F.get("discount", i), F.lit(0.0)) / F.get("total", i) + F.get("weight", i) * F.get("base", i))
+        lower = written(grams.select("context", "char", p.alias("p")), "estimates")
+        parts.append(rows_of(lower, size, F.col("char"), "p"))
         if size > 1:
-            backoffs.append((contexts, np.log(weights).astype(np.float32)))
-    unseen = float(np.log(np.mean(built[0][1]) / vocabulary))
-    return Model(languages, grams[::-1], backoffs[::-1], unseen)
+            parts.append(rows_of(contexts, size, F.lit(-1), "weight"))
+    rows = reduce(DataFrame.unionByName, parts)
+    blocks = max(1, -(-rows.count() * (ROW_BYTES + 4 * n_lang) // block_bytes))
+    return Model(languages, rows, unseen.astype(np.float32), blocks)
+
+
+def rows_of(df: DataFrame, size: int, char: Column, value: str) -> DataFrame:
+    return df.select(F.lit(size).alias("size"), "context", char.alias("char"), F.transform(value, lambda x: F.log(x).cast("float")).alias("logs"))
 
 
-def fit(train: DataFrame) -> Model | None:
+def fit(train: DataFrame, block_bytes: int = BLOCK_BYTES) -> Model | None:
     """A model of every row of train (text, lang); rows without a language are left out."""
-    spark = train.sparkSession
     train = train.select("text", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL")
     languages = sorted(r[0] for r in train.select("lang").distinct().collect())
     if not languages:
         return None
-    counts = written(gram_counts(train, languages), "grams").toArrow()
-    if not counts.num_rows:
+    counts = written(gram_counts(train, languages), "grams")
+    if counts.isEmpty():
         return None
-    rest = counts.set_column(3, "n", pc.subtract(counts.column("n"), counts.column("apart"))).filter(pc.less(counts.column("apart"), counts.column("n")))
-    known = calibration_rows(train, spark.sparkContext.broadcast(model_of(rest, languages))) if rest.num_rows else []
-    model = model_of(counts, languages)
+    rest = counts.withColumn("n", F.col("n") - F.col("apart")).filter("n > 0")
+    known = [] if rest.isEmpty() else calibration_rows(train, model_of(rest, languages, block_bytes))
+    model = model_of(counts, languages, block_bytes)
     model.slope, model.offset = logistic(np.array([x for x, _ in known], bool), np.array([y for _, y in known], float))
     return model
 
 
-def calibration_rows(train: DataFrame, sent: Broadcast) -> list[tuple[bool, float]]:
+def calibration_rows(train: DataFrame, model: Model) -> list[tuple[bool, float]]:
     """(is the best language right, its lead) of a bounded sample of the texts that the model was made without."""
     apart = train.filter(left_out())
     share = min(1.0, CALIBRATION_ROWS / max(1, apart.count()))
     sample = apart.sample(fraction=share, seed=7) if share < 1 else apart
-    rows = sample.select("lang", entropy_udf(sent)(text_or_empty()).alias("x")).select("lang", "x.*").collect()
-    sent.destroy()
+    rows = with_best(sample, model, "x").select("lang", "x.*").collect()
     return [(r.best == r.lang, r.lead) for r in rows if r.best is not None]
 
 
@@ -350,30 +387,61 @@ def logistic(right: np.ndarray, lead: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 1e-3) / unit), float(theta[1])
 
 
-def entropy_udf(model: Broadcast) -> Callable[[Column], Column]:
-    """struct(best, lead, bits): best is null without letters; bits is the cross-entropy per character."""
+def summing_udf(block: Broadcast) -> Callable[[Column, Column], Column]:
+    """struct(logs, size) of a text, to which the logs of earlier blocks are added."""
+
+    @F.arrow_udf(SUMS)
+    def udf(texts: pa.Array, earlier: pa.Array) -> pa.Array:
+        own: Block = block.value
+        logs, sizes = own.sums(texts)
+        if earlier.null_count < len(earlier):
+            logs += earlier.field("logs").flatten().to_numpy().reshape(logs.shape)
+        bounds = pa.array(np.arange(len(texts) + 1) * logs.shape[1], pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(bounds, pa.array(logs.ravel())), pa.array(sizes)], ["logs", "size"])
+
+    return udf
+
+
+def best_udf(languages: list[str]) -> Callable[[Column], Column]:
+    """struct(best, lead, bits): best is null without letters; bits is the cross-entropy per character; the lead grows with the root of the length."""
 
     @F.arrow_udf("best string, lead double, bits double")
-    def udf(texts: pa.Array) -> pa.Array:
-        own: Model = model.value
-        entropies, sizes = own.entropies(texts)
-        best, lead = own.leads(entropies, sizes)
+    def udf(sums: pa.Array) -> pa.Array:
+        sizes = sums.field("size").to_numpy()
         none = sizes == 0
-        names = pa.array(own.languages).take(pa.array(best))
-        masked = [pa.array(x, mask=none) for x in (names.to_numpy(zero_copy_only=False), lead, entropies[np.arange(len(best)), best] if len(best) else lead)]
+        bits = -sums.field("logs").flatten().to_numpy().reshape(len(sums), len(languages)) / np.maximum(sizes, 1)[:, None] / np.log(2)
+        best = bits.argmin(1)
+        if len(languages) == 1:
+            lead = np.sqrt(sizes)
+        else:
+            two = np.partition(bits, 1, axis=1)
+            lead = (two[:, 1] - two[:, 0]) * np.sqrt(np.minimum(sizes, 400))
+        names = pa.array(languages).take(pa.array(best))
+        masked = [pa.array(x, mask=none) for x in (names.to_numpy(zero_copy_only=False), lead, bits[np.arange(len(best)), best])]
         return pa.StructArray.from_arrays([masked[0].cast(pa.string()), *masked[1:]], ["best", "lead", "bits"])
 
     return udf
 
 
+def with_best(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """docs with a struct (best, lead, bits) by the given name; between passes, what was added up is written."""
+    context = docs.sparkSession.sparkContext
+    sums: Column = F.lit(None).cast(f"struct<{SUMS}>")
+    for number in range(model.blocks):
+        if number and number % SENT_BLOCKS == 0:
+            docs = written(docs.withColumn(name, sums), "sums")
+            sums = F.col(name)
+        sums = summing_udf(context.broadcast(model.block(number)))(text_or_empty(), sums)
+    return docs.withColumn(name, best_udf(model.languages)(sums))
+
+
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score, rejected and bits_per_char."""
     new = ("lang_pred", "score", "rejected", "bits_per_char")
     kept = [c for c in docs.columns if c not in new]
     if model is None:
         return docs.select(*kept, F.lit("und").alias(new[0]), F.lit(0.0).alias(new[1]), F.lit(True).alias(new[2]), F.lit(None).cast("double").alias(new[3]))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     own = free_name("x", docs.columns)
-    found = docs.withColumn(own, entropy_udf(sent)(text_or_empty()))
+    found = with_best(docs, model, own)
     score = F.coalesce(1 / (1 + F.exp(-(F.lit(model.slope) * F.col(f"{own}.lead") + F.lit(model.offset)))), F.lit(0.0))
     return found.select(*kept, F.coalesce(f"{own}.best", F.lit("und")).alias(new[0]), score.alias(new[1]), (score < REJECT_UNDER).alias(new[2]), F.col(f"{own}.bits").alias(new[3]))

@@ -70,7 +70,8 @@ def test_estimates_equal_the_definition(spark):
     vocabulary = len({c for own in texts.values() for t in own for c in t}) + 1
     asked = "abcd dcba bab"
     codes, _ = language_id.characters(pa.array([asked]))
-    got = model.log_probabilities(codes, np.arange(len(asked)))
+    assert model.blocks == 1
+    got = model.block(0).log_probabilities(codes, np.arange(len(asked)))
     for i, lang in enumerate(sorted(texts)):
         p = kneser_ney(texts[lang], vocabulary)
         padded = "\0\0\0" + asked
@@ -94,10 +95,27 @@ def test_ties_go_to_the_language_that_sorts_first(spark):
 
 
 def test_result_does_not_depend_on_batches(model):
-    texts = [sentence(random.Random(i), "aa", 5) for i in range(20)]
-    together, _ = model.entropies(pa.array(texts))
-    alone = np.concatenate([model.entropies(pa.array([t]))[0] for t in texts])
-    assert np.allclose(together, alone)
+    texts = [sentence(random.Random(i), "aa", 5) for i in range(20)] + ["", "1"]
+    block = model.block(0)
+    together, sizes = block.sums(pa.array(texts))
+    alone = [block.sums(pa.array([t])) for t in texts]
+    assert np.allclose(together, np.concatenate([x for x, _ in alone])) and sizes.tolist() == [n[0] for _, n in alone]
+
+
+def test_result_does_not_depend_on_blocks(spark):
+    """A model in many blocks, more than a pass takes, says what one block says; each row is in one block, but for orders 1 and 2."""
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, lang, rng.randint(1, 30)), lang) for lang in STEMS for i in range(40)] + [(0, None, None), (1, "", "aa"), (2, "7 7", "bb")]
+    frame = spark.createDataFrame(rows, "k int, text string, lang string").repartition(3)
+    one, many = language_id.fit(frame), language_id.fit(frame, block_bytes=10_000)
+    assert one.blocks == 1 and many.blocks > language_id.SENT_BLOCKS
+    blocks = [many.block(i) for i in range(many.blocks)]
+    for i, (keys, _) in enumerate(one.block(0).grams[:2]):
+        assert sorted(keys.tolist()) == sorted(k for x in blocks for k in x.grams[i][0].tolist())
+    assert max(len(x.grams[0][0]) for x in blocks) < len(one.block(0).grams[0][0]) / 2
+    a, b = (sorted(map(tuple, language_id.predicted(frame, m).select("k", "text", "lang_pred", "score", "bits_per_char").collect()), key=str) for m in (one, many))
+    assert [x[:3] for x in a] == [x[:3] for x in b] and len(a) == len(rows)
+    assert all(x[3] == pytest.approx(y[3], abs=1e-4) and (x[4] is y[4] or x[4] == pytest.approx(y[4], abs=1e-5)) for x, y in zip(a, b))
 
 
 def test_every_gram_has_its_own_row(spark):
@@ -110,9 +128,9 @@ def test_every_gram_has_its_own_row(spark):
     got = language_id.gram_counts(frame, ["aa"])
     assert len(grams | starts) > 1 << 20 and got.count() == len(grams | starts)
     assert got.agg({"n": "sum"}).first()[0] == sum(len(t) for t, _ in rows)
-    model = language_id.model_of(got.toArrow(), ["aa"])
-    assert [len(keys) for keys, _ in model.grams] == [len({g[-k:] for g in grams | starts}) for k in (4, 3, 2, 1)]
+    block = language_id.model_of(got, ["aa"], block_bytes=1 << 30).block(0)
+    assert [len(keys) for keys, _ in block.grams] == [len({g[-k:] for g in grams | starts}) for k in (4, 3, 2, 1)]
     # what no text has is not among the seen grams
     unseen = np.array([ord(c) for c in "一丁丂七"], np.int64)
     key = language_id.gram_hash(language_id.packed(unseen, np.array([2]), 3), unseen[3:])
-    assert (model.indexed()[0].find(key) < 0).all() == ("一丁丂七" not in grams)
+    assert (block.indexed()[0].find(key) < 0).all() == ("一丁丂七" not in grams)
