@@ -58,11 +58,12 @@ def table_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(text.rlike(HEADING) & text.rlike(RATE_HEADER) & text.rlike(QUANTITY_HEADER)).groupBy("document_id").agg(F.min("page").alias("from_page"))
 
 
+FIGURES = ("quantity", "rate", "amount")
+
+
 def figures(frame: DataFrame) -> DataFrame:
-    """Numbers from the three literals, how they agree, and the row's place in its bill."""
-    number = lambda c: T.accounting_number(F.col(f"{c}_literal"), "decimal(20,4)")
-    literals = (F.col(f"{c}_literal") for c in ("quantity", "rate", "amount"))
-    read = frame.select("*", *(number(c).alias(c) for c in ("quantity", "rate", "amount")), calc.consistency(*literals).alias("consistency"))
+    """Numbers from the three figures, how they agree, and the row's place in its bill."""
+    read = frame.select("*", *(F.col(f"{c}_read.value").cast("decimal(20,4)").alias(c) for c in FIGURES), calc.consistency(*(F.col(f"{c}_read") for c in FIGURES)).alias("consistency"))
     return read.withColumn("order", F.row_number().over(Window.partitionBy("document_id").orderBy("place")))
 
 
@@ -104,6 +105,7 @@ def line_rows(pages: DataFrame) -> DataFrame:
     context = F.transform(F.slice("context", 1, MOST_CONTEXT), lambda x: x["piece"])
     shown = F.coalesce(F.trim("row.own"), F.concat_ws(" ", F.array_join(context, " "), F.nullif(F.col("row.head"), F.lit(""))))
     found = blocks.filter("row IS NOT NULL").select("document_id", "row.*", F.left(F.trim(shown), F.lit(MOST_CHARS)).alias("description"))
+    found = found.withColumns({f"{c}_read": calc.figure(F.col(f"{c}_literal")) for c in FIGURES})
     read = figures(found).withColumns({"layout": F.lit("line"), "page": F.col("place.page"), "item": F.coalesce("item", F.concat(F.lit("row "), F.col("order")))})
     return read.select(*ROW)
 
@@ -124,54 +126,75 @@ def line_totals(pages: DataFrame, rows: DataFrame) -> DataFrame:
 
 def accepted_starts(candidates: Column) -> Column:
     """Of (place, number) pairs in order, the places whose numbers go 1, 2, 3, ...; others are numbers within the text."""
-    nothing = F.array().cast("array<int>")
+    nothing = F.array().cast("array<bigint>")
     return F.aggregate(candidates, nothing, lambda done, x: F.when(x["number"] == F.size(done) + 1, F.concat(done, F.array(x["place"]))).otherwise(done))
 
 
-def vertical_lines(pages: DataFrame) -> DataFrame:
-    """Numbered lines from the table's page on, with the places where items start and where the bill's total stands."""
-    lines = page_lines(pages).join(table_pages(pages), "document_id").filter("page >= from_page AND text <> ''").filter(~F.col("text").rlike(PAGE_MARKER))
-    own = Window.partitionBy("document_id")
-    lines = lines.withColumns({"place": (F.row_number().over(own.orderBy("page", "line")) - 1).cast("int"), "parts": groups(F.col("text"), ITEM_LINE, 2)})
-    candidate = F.when(F.col("parts").isNotNull(), F.struct("place", F.get("parts", F.lit(0)).cast("int").alias("number")))
-    lines = lines.withColumn("starts", accepted_starts(F.array_sort(F.collect_list(candidate).over(own))))
-    label = F.col("text").rlike(TOTAL_LABEL) & (F.col("place") > F.coalesce(F.get("starts", F.lit(0)), F.lit(0)))
-    return lines.withColumn("total_at", F.min(F.when(label, F.col("place"))).over(own))
+def table_lines(pages: DataFrame) -> DataFrame:
+    """(document_id, page, place, text, number, rest): lines from the table's page on, with what an item's first line says; places are in order."""
+    lines = page_lines(pages.join(table_pages(pages), "document_id").filter("page >= from_page")).filter("text <> ''").filter(~F.col("text").rlike(PAGE_MARKER))
+    place = F.shiftleft(F.col("page").cast("bigint"), 32) + F.col("line")
+    parts = lines.withColumns({"place": place, "parts": groups(F.col("text"), ITEM_LINE, 2)})
+    return parts.select("document_id", "page", "place", "text", F.get("parts", F.lit(0)).alias("number"), F.get("parts", F.lit(1)).alias("rest"))
+
 
+def outlines(lines: DataFrame) -> DataFrame:
+    """(document_id, starts, total_at): where each document's items start, and the first line behind the first item that labels the total."""
+    candidate = F.when(F.col("number").isNotNull(), F.struct("place", F.col("number").cast("int").alias("number")))
+    label = F.when(F.col("text").rlike(TOTAL_LABEL), F.col("place"))
+    found = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(candidate)).alias("candidates"), F.collect_list(label).alias("labels"))
+    found = found.select("document_id", accepted_starts(F.col("candidates")).alias("starts"), "labels")
+    return found.select("document_id", "starts", F.array_min(F.filter("labels", lambda x: x > F.coalesce(F.get("starts", F.lit(0)), F.lit(0)))).alias("total_at"))
 
-def vertical_blocks(pages: DataFrame) -> DataFrame:
-    """(document_id, block, sub, item, page, place, lines): the lines of each item, or of each sub-item with its heading."""
-    lines = vertical_lines(pages).filter("total_at IS NULL OR place < total_at")
-    begins = F.array_contains("starts", F.col("place"))
+
+def block_lines(pages: DataFrame) -> DataFrame:
+    """(document_id, block, size, sub, place, page, item, mark, rest): the lines of each item up to the total.
+
+    The lines above an item's first sub-item are those of all its sub-items.
+    """
+    lines = table_lines(pages)
+    lines = lines.join(outlines(lines), "document_id").filter("total_at IS NULL OR place < total_at")
+    lines = lines.withColumn("block", F.nullif(F.array_position("starts", F.col("place")), F.lit(0).cast("bigint")))
     order = Window.partitionBy("document_id").orderBy("place")
-    lines = lines.withColumns({"begins": begins, "block": F.sum(begins.cast("int")).over(order)}).filter("block > 0")
-    rest = F.when(F.col("begins"), F.get("parts", F.lit(1))).otherwise(F.col("text"))
-    mark = F.when(~F.col("begins"), F.nullif(F.lower(F.regexp_extract("text", SUB_ITEM, 1)), F.lit("")))
-    lines = lines.withColumns({"rest": rest, "mark": mark}).withColumn("sub", F.count("mark").over(Window.partitionBy("document_id", "block").orderBy("place")))
-    blocks = lines.filter("coalesce(rest, '') <> ''").groupBy("document_id", "block").agg(F.array_sort(F.collect_list(F.struct("place", "page", "rest", "sub", "mark"))).alias("lines"))
-    heads = lines.filter("begins").select("document_id", "block", F.col("page"), F.get("parts", F.lit(0)).alias("item"))
-    blocks = blocks.filter(F.size("lines") <= MOST_BLOCK).join(heads, ["document_id", "block"])
-    most = F.array_max(F.transform("lines", lambda x: x["sub"]))
-    subs = blocks.withColumn("sub", F.explode(F.when(most == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(1).cast("bigint"), most))))
-    letter = F.get(F.filter("lines", lambda x: (x["sub"] == F.col("sub")) & x["mark"].isNotNull()), F.lit(0))["mark"]
-    own = F.filter("lines", lambda x: x["mark"].isNull() & ((x["sub"] == 0) | (x["sub"] == F.col("sub"))))
-    return subs.select("document_id", "block", "sub", "page", F.when(F.col("sub") == 0, F.col("item")).otherwise(F.concat("item", F.lit("("), letter, F.lit(")"))).alias("item"), own.alias("lines"))
+    begins = F.col("block").isNotNull()
+    lines = lines.select(
+        "document_id", "page", "place", F.last("block", ignorenulls=True).over(order).alias("block"), F.when(begins, F.col("number")).alias("item"),
+        F.when(begins, F.col("rest")).otherwise(F.col("text")).alias("rest"), F.when(~begins, F.nullif(F.lower(F.regexp_extract("text", SUB_ITEM, 1)), F.lit(""))).alias("mark"),
+    ).filter("block IS NOT NULL")
+    own = Window.partitionBy("document_id", "block")
+    lines = lines.withColumns({
+        "sub": F.count("mark").over(own.orderBy("place")), "n_subs": F.count("mark").over(own), "size": F.count_if(F.coalesce(F.col("rest"), F.lit("")) != "").over(own),
+        "item": F.max("item").over(own), "page": F.first("page").over(own.orderBy("place")),
+    })
+    one = F.lit(1).cast("bigint")
+    of = F.when((F.col("n_subs") > 0) & (F.col("sub") == 0), F.sequence(one, F.col("n_subs"))).otherwise(F.array("sub"))
+    return lines.select("document_id", "block", "size", F.explode(of).alias("sub"), "place", "page", "item", "mark", "rest")
 
 
 def vertical_read(pages: DataFrame) -> DataFrame:
-    """Blocks with their figures, and why a block is refused: a block with two complete rows is not understood."""
-    blocks = vertical_blocks(pages).withColumn("cells", F.filter("lines", lambda x: x["rest"].rlike(MONEY_LINE))).filter(F.size("cells") >= 3)
-    cell = lambda i: F.get("cells", F.size("cells") - i)["rest"]
-    two = (F.size("cells") >= 6) & F.coalesce(calc.consistency(cell(6), cell(5), cell(4)) != "review", F.lit(False))
-    other = F.filter("lines", lambda x: ~x["rest"].rlike(MONEY_LINE) & ~x["rest"].rlike(UNIT_LINE))
-    tails = F.transform("lines", lambda x: F.regexp_extract(x["rest"], r"(\S+)$", 1))
-    unit = F.coalesce(F.get(F.filter("lines", lambda x: x["rest"].rlike(UNIT_LINE)), F.lit(0))["rest"], F.get(F.filter(tails, lambda x: x.rlike(UNIT_LINE)), F.lit(0)))
-    return blocks.select(
-        "document_id", "item", "page", F.struct("block", "sub").alias("place"), unit.alias("unit"),
-        F.left(F.trim(F.array_join(F.transform(other, lambda x: x["rest"]), " ")), F.lit(MOST_CHARS)).alias("description"),
-        *(cell(3 - i).alias(f"{c}_literal") for i, c in enumerate(("quantity", "rate", "amount"))),
-        F.when(two, "more than one priced row").alias("refused"),
+    """Blocks with their figures, and why a block is refused: one with two complete rows, or with too many lines, is not understood."""
+    rest = F.col("rest")
+    lines = block_lines(pages).withColumns({"is_money": F.col("mark").isNull() & rest.rlike(MONEY_LINE), "is_unit": F.col("mark").isNull() & rest.rlike(UNIT_LINE), "tail": F.regexp_extract("rest", r"(\S+)$", 1)})
+    lines = lines.withColumn("tail", F.when(F.col("mark").isNull() & F.col("tail").rlike(UNIT_LINE), F.col("tail")))
+    plain = F.when(F.col("mark").isNull() & (rest != "") & ~F.col("is_money") & ~F.col("is_unit"), F.struct("place", "rest"))
+    lines = lines.withColumn("figure", F.when(F.col("is_money"), calc.figure(rest)))
+    short = F.col("size") <= MOST_BLOCK
+    found = lines.groupBy("document_id", "block", "sub").agg(
+        F.max("page").alias("page"), F.max("item").alias("number"), F.max("mark").alias("letter"), F.max("size").alias("size"),
+        F.array_sort(F.collect_list(F.when(short & F.col("is_money"), F.struct("place", "rest", "figure")))).alias("cells"),
+        F.array_sort(F.collect_list(F.when(short, plain))).alias("plain"),
+        F.coalesce(F.min_by("rest", F.when(F.col("is_unit"), F.col("place"))), F.min_by("tail", F.when(F.col("tail").isNotNull(), F.col("place")))).alias("unit"),
+    )
+    cell = lambda i: F.get("cells", F.size("cells") - i)
+    item = F.when(F.col("letter").isNull(), F.col("number")).otherwise(F.concat("number", F.lit("("), "letter", F.lit(")")))
+    read = found.filter((F.size("cells") >= 3) | (F.col("size") > MOST_BLOCK)).select(
+        "document_id", item.alias("item"), "page", F.struct("block", "sub").alias("place"), "unit", "size",
+        F.left(F.trim(F.array_join(F.transform("plain", lambda x: x["rest"]), " ")), F.lit(MOST_CHARS)).alias("description"),
+        *(cell(3 - i)["rest"].alias(f"{c}_literal") for i, c in enumerate(FIGURES)), *(cell(3 - i)["figure"].alias(f"{c}_read") for i, c in enumerate(FIGURES)),
+        calc.consistency(*(cell(6 - i)["figure"] for i in range(3))).alias("other"),
     )
+    refused = F.when(F.col("size") > MOST_BLOCK, "more lines than a row has").when(F.col("other") != "review", "more than one priced row")
+    return read.withColumn("refused", refused).drop("size", "other")
 
 
 def vertical_rows(pages: DataFrame) -> DataFrame:
@@ -180,7 +203,8 @@ def vertical_rows(pages: DataFrame) -> DataFrame:
 
 def vertical_totals(pages: DataFrame) -> DataFrame:
     """(document_id, stated_total, literal, page): the first figure behind the total's label."""
-    behind = vertical_lines(pages).filter((F.col("place") > F.col("total_at")) & F.col("text").rlike(MONEY_LINE))
+    lines = table_lines(pages)
+    behind = lines.join(outlines(lines).select("document_id", "total_at"), "document_id").filter(F.col("place") > F.col("total_at")).filter(F.col("text").rlike(MONEY_LINE))
     first = behind.groupBy("document_id").agg(F.min_by(F.struct("text", "page"), "place").alias("first"))
     return first.select("document_id", T.accounting_number(F.col("first.text"), "decimal(20,4)").alias("stated_total"), F.col("first.text").alias("literal"), F.col("first.page").alias("page"))
 

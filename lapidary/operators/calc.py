@@ -59,15 +59,19 @@ def half_unit(literal: Column) -> Column:
     return F.concat(F.lit("0."), F.repeat(F.lit("0"), F.least(places(literal), F.lit(9))), F.lit("5")).cast("decimal(12,10)")
 
 
+def figure(literal: Column) -> Column:
+    """struct(value, half): a printed figure, and half of its last printed place."""
+    return F.struct(T.accounting_number(literal, "decimal(18,6)").alias("value"), half_unit(literal).alias("half"))
+
+
 def consistency(quantity: Column, rate: Column, amount: Column) -> Column:
-    """exact, consistent_with_display_rounding or review, from three printed figures.
+    """exact, consistent_with_display_rounding or review, from three figures.
 
     A rate and an amount stand for all values that print alike; the quantity is what it says.
     """
-    q, r, a = T.accounting_number(quantity, "decimal(16,4)"), *(T.accounting_number(x, "decimal(18,6)") for x in (rate, amount))
-    half = half_unit(rate)
-    ends = [q * (r + sign * half).cast("decimal(20,10)") for sign in (-1, 1)]
-    meets = (F.least(*ends) <= a + half_unit(amount)) & (F.greatest(*ends) >= a - half_unit(amount))
+    q, r, a = quantity["value"].cast("decimal(16,4)"), rate["value"], amount["value"]
+    ends = [q * (r + sign * rate["half"]).cast("decimal(20,10)") for sign in (-1, 1)]
+    meets = (F.least(*ends) <= a + amount["half"]) & (F.greatest(*ends) >= a - amount["half"])
     return F.when(q * r == a, "exact").when(meets, "consistent_with_display_rounding").when(meets.isNotNull(), "review")
 
 
@@ -77,10 +81,12 @@ def implied_rate(quantity: Column, amount: Column) -> Column:
     return F.when(q != 0, F.bround(F.try_divide(a, q), 10).cast(STORED))
 
 
-def row_arithmetic(quantity: str, rate: str, amount: str) -> list[Column]:
-    """consistency and implied_rate of a printed row (the columns are literals)."""
-    q, r, a = map(F.col, (quantity, rate, amount))
-    return [consistency(q, r, a).alias("consistency"), implied_rate(q, a).alias("implied_rate")]
+def row_arithmetic(frame: DataFrame, quantity: str, rate: str, amount: str) -> DataFrame:
+    """frame with consistency and implied_rate of its printed rows (the columns are literals)."""
+    names = ("_quantity", "_rate", "_amount")
+    read = frame.withColumns({n: figure(F.col(c)) for n, c in zip(names, (quantity, rate, amount), strict=True)})
+    read = read.withColumns({"consistency": consistency(*map(F.col, names)), "implied_rate": implied_rate(F.col(quantity), F.col(amount))})
+    return read.drop(*names)
 
 
 def line_sum(rows: DataFrame, key: Sequence[str], amount: Column, order: Sequence[Column], places_shown: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import text as T
@@ -11,7 +11,8 @@ from lapidary.functions import text as T
 REFERENCE_PART = r"[A-Za-z0-9_.\-&'’]*(?: ?\([A-Za-z0-9 _.\-&'’]*\))?"
 REFERENCE = rf"(?i)(?:NIT|Tender|IFB)\s*No\.?\s*[:\-]?\s*([A-Za-z0-9]{REFERENCE_PART}(?:/{REFERENCE_PART})+)"
 RATE_OF = r"(?:[0-9]{1,9}(?:\.[0-9]{1,9})?\s?(?:%|per\s?cent)|(?:one|two|three|four|five|half|quarter)(?:[\s\-]and[\s\-]\w{1,20})?[\s\-]{0,2}(?:%|per\s?cent))\w{0,9}\sof\s(?:the\s)?"
-COST_LABEL = rf"(?i)(?<!{RATE_OF})Estimated\s+Cost"
+#: What stands before the label is looked at only where its first word was found.
+COST_LABEL = rf"(?i)Estimated(?<!{RATE_OF}Estimated)\s+Cost"
 SECURITY_LABEL = r"(?i)Bid\s+Security|Earnest\s+Money|\bEMD\b"
 DOCUMENT_FEE = r"(?i)Cost\s+of\s+Bid\s+Document|Tender\s+Fee|Document\s+Fee|Non-?Refundable"
 TOTAL_LABEL = r"(?i)\bTotals?\b"
@@ -26,49 +27,68 @@ MOST_SHARE = "0.5"
 FIELDS = ("nit_number", "document_date", "estimated_cost", "bid_security", "prescribed_share")
 
 
-def label(text: Column, pattern: str) -> Column:
-    """struct(start, end) of the first match (1-based, end exclusive), or null."""
-    at = F.regexp_instr(text, F.lit(pattern))
-    return F.when(at > 0, F.struct(at.alias("start"), (at + F.char_length(F.regexp_substr(text, F.lit(pattern)))).alias("end")))
+def label_places(pages: DataFrame) -> DataFrame:
+    """pages with the places of the first label of each kind (1-based, end exclusive; 0 where there is none)."""
+    text = F.col("text")
+    found = pages
+    for name, pattern in (("cost", COST_LABEL), ("security", SECURITY_LABEL)):
+        found = found.withColumns({f"{name}_from": F.regexp_instr(text, F.lit(pattern)), f"{name}_label": F.regexp_substr(text, F.lit(pattern))})
+    return found.withColumns({f"{x}_to": F.col(f"{x}_from") + F.char_length(f"{x}_label") for x in ("cost", "security")})
 
 
-def amounts_behind(text: Column, at: Column) -> Column:
-    """Amounts within the window behind a place, those of document fees left out."""
-    region = F.substring(text, at, F.lit(WINDOW))
-    found = T.located_amounts(region)
-    kept = F.filter(found, lambda x: ~F.right(x["before"], F.lit(FEE_WINDOW)).rlike(DOCUMENT_FEE))
-    return F.transform(kept, lambda x: x.withField("start", x["start"] + at))
+def regions(pages: DataFrame) -> DataFrame:
+    """(document_id, page, together, side, at, lead, body): the text behind each label of a page that labels a cost.
 
+    Labels close together are the header of a row, with one region; labels apart have one each,
+    side 0 for the cost and 1 for the security.
+    """
+    text = F.col("text")
+    placed = label_places(pages.filter(F.lower(text).contains("estimated")))
+    together = F.coalesce(F.abs(F.col("security_from") - F.col("cost_to")) <= HEADER_GAP, F.lit(False)) & (F.col("security_from") > 0)
+    placed = placed.withColumn("together", together)
+    first = F.when(F.col("together"), F.greatest("cost_to", "security_to")).otherwise(F.col("cost_to"))
+    second = F.when((F.col("security_from") > 0) & ~F.col("together"), F.col("security_to"))
+    sides = F.when(F.col("cost_from") > 0, F.array(first, second))
+    found = placed.select("document_id", "page", "text", "together", F.posexplode(sides).alias("side", "at")).filter("at IS NOT NULL")
+    lead = F.substring(text, F.greatest(F.lit(1), F.col("at") - TOTAL_WINDOW), F.least(F.lit(TOTAL_WINDOW), F.col("at") - 1))
+    return found.select("document_id", "page", "together", "side", "at", lead.alias("lead"), F.substring(text, F.col("at"), F.lit(WINDOW)).alias("body"))
 
-def stated_total(text: Column, candidates: Column) -> Column:
-    """The first amount that is called a total, without tax, and is the sum of all amounts before it; else null."""
 
-    def fits(x: Column, i: Column) -> Column:
-        called = F.substring(text, F.greatest(F.lit(1), x["start"] - TOTAL_WINDOW), F.least(F.lit(TOTAL_WINDOW), x["start"] - 1))
-        parts = F.aggregate(F.slice(candidates, 1, i), F.lit(0).cast("decimal(38,6)"), lambda s, y: (s + y["value"]).cast("decimal(38,6)"))
-        return (i > 0) & called.rlike(TOTAL_LABEL) & ~called.rlike(WITH_TAX) & (parts == x["value"])
+def region_amounts(pages: DataFrame) -> DataFrame:
+    """(document_id, page, together, side, nth, place, value, is_total): every amount behind a label, those of document fees left out.
 
-    marked = F.transform(candidates, lambda x, i: F.when(fits(x, i), x))
-    return F.get(F.array_compact(marked), F.lit(0))
+    One is the total if it is called that, without tax, and is the sum of all before it.
+    """
+    cells = regions(pages).withColumn("cells", T.amount_cells(F.col("body")))
+    sizes = F.transform("cells", lambda x: F.char_length(T.amount_literal(x)))
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    cells = cells.withColumn("starts", starts).select("document_id", "page", "together", "side", "at", "lead", "body", "starts", F.posexplode("cells").alias("i", "cell"))
+    found = cells.filter("i % 2 = 1").withColumns({"start": F.get("starts", F.col("i")), "value": T.amount_value(F.col("cell"))})
+    start = F.col("start")
+    fee = F.substring("body", F.greatest(F.lit(1), start - FEE_WINDOW + 1), F.least(F.lit(FEE_WINDOW), start)).rlike(DOCUMENT_FEE)
+    found = found.filter(F.col("value").isNotNull()).filter(~fee)
+    place = F.char_length("lead") + start + 1
+    around = F.substring(F.concat("lead", "body"), F.greatest(F.lit(1), place - TOTAL_WINDOW), F.least(F.lit(TOTAL_WINDOW), place - 1))
+    found = found.select("document_id", "page", "together", "side", "i", (F.col("at") + start).alias("place"), "value", (around.rlike(TOTAL_LABEL) & ~around.rlike(WITH_TAX)).alias("called"))
+    order = Window.partitionBy("document_id", "page", "side").orderBy("i")
+    before = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumns({"nth": F.row_number().over(order), "before": before}).withColumn("is_total", F.coalesce(F.col("called") & (F.col("before") == F.col("value")), F.lit(False)))
 
 
 def table_amounts(pages: DataFrame) -> DataFrame:
     """(document_id, page, estimated_cost, bid_security) of pages that label a cost and state it.
 
-    Labels close together are the header of a row: its first amount is the cost, its second
-    the security.  Labels apart own what follows each.
+    Behind a header the first amount is the cost and the second the security.  Labels apart own
+    what follows each; a total of all amounts before it is then the cost.
     """
-    text = F.col("text")
-    named = pages.filter(F.lower(text).contains("estimated")).withColumns({"cost_at": label(text, COST_LABEL), "security_at": label(text, SECURITY_LABEL)}).filter("cost_at IS NOT NULL")
-    together = F.coalesce(F.abs(F.col("security_at.start") - F.col("cost_at.end")) <= HEADER_GAP, F.lit(False))
-    named = named.withColumn("together", together)
-    first_at = F.when(F.col("together"), F.greatest("cost_at.end", "security_at.end")).otherwise(F.col("cost_at.end"))
-    named = named.withColumns({"of_cost": amounts_behind(text, first_at), "of_security": F.when(~F.col("together"), amounts_behind(text, F.col("security_at.end")))})
-    cost = F.when(F.col("together"), F.get("of_cost", F.lit(0))).otherwise(F.coalesce(stated_total(text, F.col("of_cost")), F.get("of_cost", F.lit(0))))
-    security = F.when(F.col("together"), F.get("of_cost", F.lit(1))).otherwise(F.get("of_security", F.lit(0)))
-    read = named.select("document_id", "page", cost.alias("cost"), security.alias("security")).filter("cost IS NOT NULL")
+    nth = lambda side, n: F.max(F.when((F.col("side") == side) & (F.col("nth") == n), F.struct("value", "place")))
+    total = F.min_by(F.struct("value", "place"), F.when((F.col("side") == 0) & F.col("is_total"), F.col("nth")))
+    read = region_amounts(pages).groupBy("document_id", "page", "together").agg(nth(0, 1).alias("first"), nth(0, 2).alias("second"), nth(1, 1).alias("other"), total.alias("total"))
+    cost = F.when(F.col("together"), F.col("first")).otherwise(F.coalesce("total", "first"))
+    security = F.when(F.col("together"), F.col("second")).otherwise(F.col("other"))
+    read = read.select("document_id", "page", cost.alias("cost"), security.alias("security")).filter("cost IS NOT NULL")
     c, s = F.col("cost.value"), F.col("security.value")
-    plausible = (F.col("security.start") != F.col("cost.start")) & (c > 0) & (s < c * F.lit(MOST_SHARE).cast("decimal(2,1)"))
+    plausible = (F.col("security.place") != F.col("cost.place")) & (c > 0) & (s < c * F.lit(MOST_SHARE).cast("decimal(2,1)"))
     return read.select("document_id", "page", c.alias("estimated_cost"), F.when(plausible, s).alias("bid_security"))
 
 

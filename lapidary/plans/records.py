@@ -11,7 +11,7 @@ from lapidary.functions import vocabulary as V
 from lapidary.operators import bands, bills, calc, extract, findings, frontier, latest, notices, resolve, rules, state
 from lapidary.plans.relational import BANDS_SQL, band_rows
 from lapidary.plans.tables import facts, money, registration, retractions, table
-from lapidary.sources import listings, objects, registry
+from lapidary.sources import listings, objects, registry, shared
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,11 +30,11 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_pages(shown: DataFrame, head: str, foot: Column) -> DataFrame:
-    """(document_id, page, text): the shown rows of an order, in order, on two pages."""
+    """(document_id, page, text): the shown rows of an order, in order, on two pages, as a table of their own."""
     rows = shown.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("k", "shown"))).alias("v"), F.sum("a").alias("total"))
     part = lambda odd: F.array_join(F.transform(F.filter("v", lambda x: (x["k"] > 3) if odd else (x["k"] <= 3)), lambda x: x["shown"]), "\n")
     both = F.array(F.struct(F.lit(1).alias("page"), F.concat(F.lit(head), part(False)).alias("text")), F.struct(F.lit(2).alias("page"), F.concat(part(True), foot).alias("text")))
-    return rows.select("document_id", F.explode(both).alias("p")).select("document_id", "p.page", "p.text")
+    return shared.written(rows.select("document_id", F.explode(both).alias("p")).select("document_id", "p.page", "p.text"), "pages")
 
 
 def amount(c: str) -> Column:
@@ -109,6 +109,7 @@ def k01_tender_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notices in four layouts, read back and judged by the share that they prescribe."""
     k, shown = F.col("o_orderkey") % 4, lambda c: F.concat(F.lit("Rs. "), F.format_number(c, 2), F.lit("/-"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", money("o_totalprice").alias("cost"), "o_orderdate")
+    orders = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")  # narrow rows now, long texts soon
     rate = F.lit("0.02").cast("decimal(6,3)") + F.lit("0.003").cast("decimal(6,3)") * k
     security, half = F.round(F.col("cost") * rate, 2), F.round(F.col("cost") / 2, 2).cast("decimal(20,2)")
     far = F.lit(" and so on" * 15)
@@ -121,7 +122,7 @@ def k01_tender_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit("Tender No. AB/Dean (IPS)/"), "o_orderkey", F.lit(". dated "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit("\n"), body)
     rules_page = F.lit("EMD or Retention of 9% of estimated cost. Performance Security @ 5% of estimated cost. EMD @ 2% of estimated cost.")
     both = F.array(F.struct(F.lit(1).alias("page"), head.alias("text")), F.struct(F.lit(2).alias("page"), rules_page.alias("text")))
-    pages = orders.select(F.col("o_orderkey").alias("document_id"), F.explode(both).alias("p")).select("document_id", "p.page", "p.text")
+    pages = shared.written(orders.select(F.col("o_orderkey").alias("document_id"), F.explode(both).alias("p")).select("document_id", "p.page", "p.text"), "pages")
     share = calc.share(F.col("bid_security"), F.col("estimated_cost"))
     return notices.tender_notice(pages).select(
         "document_id", "nit_number", "document_date", F.col("estimated_cost").cast("double").alias("estimated_cost"), F.col("bid_security").cast("double").alias("bid_security"),
@@ -355,11 +356,11 @@ def n10_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT user_id, min(value) AS v FROM events GROUP BY 1), d AS (SELECT user_id, CASE WHEN user_id % 4 > 0 THEN round(v * (user_id % 5), 1) END AS asked FROM u)
+WITH u AS (SELECT user_id, min(value) AS v FROM events GROUP BY 1), d AS (SELECT user_id, CASE WHEN user_id % 4 > 0 THEN CAST(round(CAST(v AS DECIMAL(20,2)) * (user_id % 5), 1) AS DOUBLE) END AS asked FROM u)
 SELECT user_id, CASE WHEN asked > 2 THEN least(30, greatest(1, CAST(floor(60 / asked) AS INT))) ELSE 30 END AS per_minute, CASE WHEN asked > 2 THEN asked ELSE 2.0 END AS delay, coalesce(asked > 2 AND asked > 300, false) AS refused FROM d""")
 def n13_polite_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl delay only slows down, and one that is too long is refused."""
-    asked = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("value").alias("v")).select("user_id", F.when(F.col("user_id") % 4 > 0, F.round(F.col("v") * (F.col("user_id") % 5), 1)).alias("asked"))
+    asked = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("value").alias("v")).select("user_id", F.when(F.col("user_id") % 4 > 0, F.round(money("v") * (F.col("user_id") % 5), 1).cast("double")).alias("asked"))
     x = frontier.polite_limits(F.lit(30), F.lit(4), F.lit(2.0), F.col("asked"))
     return asked.select("user_id", x["per_minute"].alias("per_minute"), x["delay"].alias("delay"), x["refused"].alias("refused"))
 

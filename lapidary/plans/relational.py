@@ -346,7 +346,7 @@ def k02_policy_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT CAST(l_quantity AS DECIMAL(20,2)) AS q, CAST(round(l_extendedprice / l_quantity, 2) AS DECIMAL(20,2)) AS r, CAST(l_extendedprice AS DECIMAL(20,2)) + CASE l_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.3 ELSE 7 END AS a FROM lineitem)
+WITH l AS (SELECT CAST(l_quantity AS DECIMAL(20,2)) AS q, CAST((2 * CAST(CAST(l_extendedprice AS DECIMAL(20,2)) * 100 AS BIGINT) + CAST(l_quantity AS BIGINT)) // (2 * CAST(l_quantity AS BIGINT)) AS DECIMAL(18,0)) * 0.01 AS r, CAST(l_extendedprice AS DECIMAL(20,2)) + CASE l_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.3 ELSE 7 END AS a FROM lineitem)
 SELECT CASE WHEN q * r = a THEN 'exact' WHEN least(q * (r - 0.005), q * (r + 0.005)) <= a + 0.005 AND greatest(q * (r - 0.005), q * (r + 0.005)) >= a - 0.005 THEN 'consistent_with_display_rounding' ELSE 'review' END AS consistency,
        count(*) AS n FROM l GROUP BY 1""")
 def j08_row_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,11 +354,10 @@ def j08_row_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = F.when(F.col("l_orderkey") % 3 == 0, F.lit("0.00")).when(F.col("l_orderkey") % 3 == 1, F.lit("0.30")).otherwise("7.00").cast("decimal(20,2)")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_quantity").cast("int").cast("string").alias("quantity"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(20,2)").cast("string").alias("rate"),
+        F.round(money("l_extendedprice") / money("l_quantity"), 2).cast("decimal(20,2)").cast("string").alias("rate"),
         (money("l_extendedprice") + off).cast("decimal(20,2)").cast("string").alias("amount"),
     )
-    consistency, _ = calc.row_arithmetic("quantity", "rate", "amount")
-    return lines.select(consistency).groupBy("consistency").agg(F.count(F.lit(1)).alias("n"))
+    return calc.row_arithmetic(lines, "quantity", "rate", "amount").groupBy("consistency").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""

@@ -46,6 +46,12 @@ def test_two_rows_in_a_block_are_refused_and_numbers_in_text_are_no_items(spark)
     assert total(spark, text) == []
 
 
+def test_a_block_of_many_lines_is_refused_and_not_lost(spark):
+    text = HEADER + "1\nPlaster\n" + "note\n" * 60 + "Sqm\n2.00\n3.00\n6.00\n2\nPaint\nSqm\n1.00\n4.00\n4.00\n"
+    assert [r.item for r in rows(spark, text)] == ["2"]
+    assert [(r.item, r.refused) for r in bills.refused_blocks(pages(spark, text)).collect()] == [("1", "more lines than a row has")]
+
+
 def test_lines(spark):
     text = """3.6 RCC work
 3.6.1.1 M-25 Grade Cum 115 8,556.65       984,014.26

@@ -73,7 +73,7 @@ ROWS = [
 
 def test_row_arithmetic(spark):
     frame = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(ROWS)], "i int, q string, r string, a string")
-    got = frame.select("i", *calc.row_arithmetic("q", "r", "a")).orderBy("i").collect()
+    got = calc.row_arithmetic(frame, "q", "r", "a").orderBy("i").collect()
     assert [g.consistency for g in got] == [r[3] for r in ROWS]
     assert got[4].implied_rate == Decimal("3238.2104477612") and got[8].implied_rate is None
 
