@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.llm.common import dealt_join, exact_numbers, hot_keys, mixed, ranges, steps, text_or_empty, utf8, written
+from lapidary.llm.common import dealt_join, exact_numbers, free_name, hot_keys, mixed, ranges, steps, text_or_empty, utf8, written
 from lapidary.llm.components import components
 from lapidary.llm.decontaminate import LOWER, words_of
 
@@ -288,12 +288,8 @@ def candidate_blocks(sets: DataFrame, block: int, block_bytes: int) -> DataFrame
     return alone.unionByName(pairs.select("v", g.alias("g"), (F.col("part") > F.col("other")).cast("int").alias("side")))
 
 
-def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = NGRAM, recall: float = RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, class_id, n_links, class_size) of every row of docs.
-
-    n_links counts the other rows whose text has the similarity, copies of the own text
-    among them.
-    """
+def linked_sets(docs: DataFrame, threshold: float, size: int, recall: float, block: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): (doc_id, t, n, k) of every row of docs, t a hash of its text, n its words and k its set; (k, rep, t, n_docs, root, links) of every set with words."""
     bands, rows = bands_and_rows(threshold, recall)
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     same = F.xxhash64("text")
@@ -313,13 +309,23 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int
     compared = written(compared, "compared")
     linked = components(compared.filter("k <> near").select(F.col("k").alias("a"), F.col("near").alias("b"))).withColumnRenamed("v", "k")
     links = compared.groupBy("k").agg(F.sum("links").alias("links"))
-    known = sets.select("k", "rep", "n_docs").join(linked, "k", "left").join(links, "k", "left")
-    known = written(known.select("k", "rep", "n_docs", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "known")
+    known = sets.select("k", "rep", "t", "n_docs").join(linked, "k", "left").join(links, "k", "left")
+    known = written(known.select("k", "rep", "t", "n_docs", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "known")
+    return signed.select("doc_id", "t", "n", "k"), known
+
+
+def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = NGRAM, recall: float = RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, class_id, n_links, class_size) of every row of docs.
+
+    n_links counts the other rows whose text has the similarity, copies of the own text
+    among them.
+    """
+    rows, known = linked_sets(docs, threshold, size, recall, block, block_bytes)
     classes = written(known.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n_docs").alias("class_size"), F.count(F.lit(1)).alias("n")), "classes")
     own = dealt_join(known, classes.select("root", "class_id", "class_size"), "root", hot_keys(classes, "root", "n"))
     own = own.select("k", "class_id", "class_size", (F.col("links") + F.col("n_docs") - 1).alias("links"))
     empty = F.col("n") == 0
-    slim = signed.select("doc_id", "n", "k")
+    slim = rows.select("doc_id", "n", "k")
     return dealt_join(slim, own, "k", hot_keys(known.select("k", "n_docs"), "k", "n_docs"), "left").select(
         "doc_id",
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -329,7 +335,26 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the least of their class; rows without an id stay."""
-    classes = similarity_classes(docs.select("doc_id", "text"))
-    gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of docs: that of the least id, rows without an id last, and of equal ids that with the least hash of its text.
+
+    Rows go, not ids: another row with the id of one that goes is judged by its own text.  Of
+    rows that are equal in id and text one stays.  Rows without words all stay.
+    """
+    rows, known = linked_sets(docs.select("doc_id", "text"), THRESHOLD, NGRAM, RECALL, BLOCK, BLOCK_BYTES)
+    first = F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "t")).alias("first")
+    classes = known.groupBy("root").agg(first, F.sum("n_docs").alias("size"), F.count(F.lit(1)).alias("n")).filter("size > 1")
+    classes = written(classes.select("root", F.col("first.rep").alias("kept_id"), F.col("first.t").alias("kept_t"), "n"), "classes")
+    own = dealt_join(known.select("k", "n_docs", "root"), classes.drop("n"), "root", hot_keys(classes, "root", "n"))
+    own = written(own.drop("root"), "own")
+    met = dealt_join(rows.filter("n > 0").select("doc_id", "t", "k"), own.drop("n_docs"), "k", hot_keys(own, "k", "n_docs"))
+    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_t"))
+    met = written(met.groupBy("doc_id", "t", stays.alias("stays")).agg(F.count(F.lit(1)).alias("n")), "met")
+    id_, t = (free_name(x, docs.columns) for x in ("key", "t"))
+    key = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty()) == F.col(t))
+    named = lambda found: found.select(F.col("doc_id").alias(id_), F.col("t").alias(t))
+    left = docs.join(named(met.filter("NOT stays")), key, "left_anti")
+    repeated = met.filter("stays AND n > 1")
+    if repeated.isEmpty():
+        return left
+    several = left.join(named(repeated), key, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(named(repeated), key, "left_anti").unionByName(several)

@@ -134,3 +134,17 @@ def test_components_of_a_path(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102)]
     got = {r.v: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 102, 103: 102}
+
+
+def test_one_row_of_each_class_stays(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone twentytwo"
+    b = "a text about something else entirely that nobody has ever copied from anywhere at all"
+    c = b.replace("text", "note") + " so " + a[::-1]
+    rows = [(1, a), (5, a + " extra"), (5, b), (None, a + " more"), (None, c), (None, c + " x"), (7, ""), (7, ""), (8, None), (9, "same id same text here"), (9, "same id same text here")]
+    docs = spark.createDataFrame([(d, t, i, "y") for i, (d, t) in enumerate(rows)], "doc_id long, text string, t long, key string").repartition(3)
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, a), (5, b), (7, ""), (7, ""), (8, None), (9, rows[9][1]), next(x for x in kept if x[0] is None)]))
+    assert next(x for x in kept if x[0] is None)[1] in (c, c + " x")
+    assert jaccard_join.one_of_each(docs.limit(0)).collect() == []

@@ -65,3 +65,17 @@ def test_all_stages_but_the_last_keep_the_columns(spark):
     docs = spark.createDataFrame([(1, "one two three four five six", "en", "s", 27)], COLUMNS)
     assert len(corpus_pipeline.STAGES) == 5
     assert decontaminate.decontaminated(docs, spark.createDataFrame([], "item_id long, text string")).columns == docs.columns
+
+
+def test_empty_tables_and_columns_of_their_own(spark, tmp_path):
+    for name, n in (("none", 0), ("some", 8)):
+        at = f"file://{tmp_path}/{name}"
+        rows = [(i % 6, f"text number {i} of a few words that nobody else has {i * i}", "en", "s", 5, 1, "k", "f") for i in range(n)]
+        spark.createDataFrame(rows, COLUMNS + ", t long, key string, found string").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, at)
+            assert docs.columns == [c.split()[0] for c in (COLUMNS + ", t long, key string, found string").split(", ")]
+        assert corpus_pipeline.run(spark, at).count() <= n
