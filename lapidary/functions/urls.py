@@ -55,14 +55,28 @@ def path(url: Column) -> Column:
     return F.when(found == "", "/").otherwise(found)
 
 
+def path_and_query(url: Column) -> Column:
+    return F.concat(path(url), F.regexp_extract(url, r"(\?[^#]*)", 1))
+
+
+#: The ports that are spoken to.
+PORTS = ("80", "443")
+
+
+def ascii_host(url: Column) -> Column:
+    """The host as it goes over the wire: no final dot, other scripts in Punycode; null where a name cannot be written so."""
+    plain = F.regexp_replace(host(url), r"\.$", "")
+    return F.when(plain.rlike(r"[^\x00-\x7F]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), plain)).otherwise(plain)
+
+
 def canonical(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, no fragment; null for other schemes, credentials and odd ports."""
+    """Lower-case scheme and host, no default port, no fragment; null for other schemes, credentials and ports."""
     port = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#@]*:([0-9]+)(?:[/?#]|$)", 1)
     query = F.regexp_extract(url, r"(\?[^#]*)", 1)
     default = F.when(scheme(url) == "https", "443").otherwise("80")
     shown = F.when((port == "") | (port == default), "").otherwise(F.concat(F.lit(":"), port))
-    allowed = scheme(url).isin("http", "https") & ~url.rlike(r"^[A-Za-z]+://[^/?#]*@") & (host(url) != "")
-    return F.when(allowed, F.concat(scheme(url), F.lit("://"), host(url), shown, path(url), query))
+    allowed = scheme(url).isin("http", "https") & ~url.rlike(r"^[A-Za-z]+://[^/?#]*@") & (host(url) != "") & port.isin("", *PORTS)
+    return F.when(allowed, F.concat(scheme(url), F.lit("://"), ascii_host(url), shown, path(url), query))
 
 
 def hrefs(html: Column) -> Column:

@@ -85,13 +85,6 @@ def polite_limits(per_minute: Column, concurrency: Column, delay: Column, asked:
     )
 
 
-def crawl_delays(lines: DataFrame, agent: str) -> DataFrame:
-    """(authority, seconds) of the group that holds for the agent; lines: authority, line, text."""
-    kv, chosen = robots_groups(lines, agent)
-    asked = kv.filter("name = 'crawl-delay'").join(chosen, ["authority", "block"])
-    return asked.groupBy("authority").agg(F.max(F.col("value").try_cast("double")).alias("seconds")).filter("seconds >= 0")
-
-
 def pattern_regex(pattern: str) -> str:
     """A robots path pattern as a regular expression: * is any run, a final $ is the end."""
     body = "".join(".*" if c == "*" else re.escape(c) for c in pattern.removesuffix("$"))
@@ -99,32 +92,61 @@ def pattern_regex(pattern: str) -> str:
 
 
 def robots_decision(path: Column, rules: list[tuple[bool, str]]) -> Column:
-    """The longest matching pattern decides, and of equals one that allows; without a match all is allowed."""
-    hits = [F.when(path.rlike(pattern_regex(p)), F.struct(F.lit(len(p)).alias("length"), F.lit(allow).alias("allow"))) for allow, p in rules if p]
+    """The longest matching pattern decides, a final $ not counted, and of equals one that allows; without a match all is allowed."""
+    hits = [F.when(path.rlike(pattern_regex(p)), F.struct(F.lit(len(p.removesuffix("$"))).alias("length"), F.lit(allow).alias("allow"))) for allow, p in rules if p]
     best = F.array_max(F.array_compact(F.array(*hits)))
     return F.coalesce(best["allow"], F.lit(True))
 
 
-def robots_groups(lines: DataFrame, agent: str) -> tuple[DataFrame, DataFrame]:
-    """(named values with their block, blocks of the most specific group that names the agent); lines: authority, line, text.
+def robots_groups(lines: DataFrame, agent: str) -> DataFrame:
+    """(authority, line, name, value): the lines of the group that holds for the agent; lines: authority, line, text.
 
-    Consecutive agent lines share the rules that follow.
+    Consecutive agent lines share the rules that follow; any other line ends them.  The longest
+    name that is part of the agent's product name holds, and * where none is; of names as long, the first.
     """
-    plain = F.trim(F.regexp_replace("text", r"\s*#.*$", ""))
-    kv = lines.withColumn("name", F.lower(F.trim(F.regexp_extract(plain, r"^([A-Za-z-]+)\s*:", 1)))).withColumn("value", F.trim(F.regexp_extract(plain, r"^[A-Za-z-]+\s*:(.*)$", 1)))
-    kv = kv.filter("name IN ('user-agent', 'allow', 'disallow', 'crawl-delay')")
+    plain = F.trim(F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), r"#.*$", ""))
+    kv = lines.withColumn("plain", plain).filter(F.col("plain").contains(":"))
+    cut = F.instr("plain", ":")
+    kv = kv.select("authority", "line", F.lower(F.trim(F.substring("plain", F.lit(1), cut - 1))).alias("name"), F.trim(F.substring("plain", cut + 1, F.char_length("plain"))).alias("value"))
     order = Window.partitionBy("authority").orderBy("line")
     starts = (F.col("name") == "user-agent") & (F.coalesce(F.lag("name").over(order), F.lit("")) != "user-agent")
     kv = kv.withColumn("starts", starts.cast("int")).withColumn("block", F.sum("starts").over(order))
-    named = kv.filter("name = 'user-agent'").withColumn("who", F.lower("value"))
-    fit = named.filter((F.col("who") == "*") | F.lit(agent.lower()).startswith(F.col("who")))
-    best = fit.groupBy("authority").agg(F.max(F.when(F.col("who") == "*", 0).otherwise(F.length("who"))).alias("length"))
-    chosen = fit.withColumn("length", F.when(F.col("who") == "*", 0).otherwise(F.length("who"))).join(best, ["authority", "length"]).select("authority", "block").distinct()
-    return kv, chosen
+    token = F.lower(F.lit(re.split(r"[/\s]", agent.strip(), maxsplit=1)[0]))
+    who = F.lower("value")
+    fit = kv.filter((F.col("name") == "user-agent") & (F.col("value") != "") & ((who == "*") | token.contains(who))).withColumn("who", who)
+    best = fit.groupBy("authority").agg(F.max_by("who", F.struct(F.when(F.col("who") == "*", 0).otherwise(F.char_length("who")), -F.col("line"))).alias("who"))
+    blocks = fit.join(best, ["authority", "who"]).select("authority", "block").distinct()
+    return kv.filter("name <> 'user-agent'").join(blocks, ["authority", "block"]).select("authority", "line", "name", "value")
 
 
 def parsed_robots(lines: DataFrame, agent: str) -> DataFrame:
-    """(authority, allow, pattern) for the most specific group that names the agent; lines: authority, line, text."""
-    kv, chosen = robots_groups(lines, agent)
-    rules = kv.filter("name IN ('allow', 'disallow') AND value <> ''").join(chosen, ["authority", "block"])
+    """(authority, allow, pattern) for the group that holds for the agent; lines: authority, line, text."""
+    rules = robots_groups(lines, agent).filter("name IN ('allow', 'disallow') AND value <> ''")
     return rules.select("authority", (F.col("name") == "allow").alias("allow"), F.col("value").alias("pattern"))
+
+
+def crawl_delays(lines: DataFrame, agent: str) -> DataFrame:
+    """(authority, seconds): the longest delay that the group asks for; numbers that are not above zero ask for nothing."""
+    asked = robots_groups(lines, agent).filter("name = 'crawl-delay'").withColumn("seconds", F.col("value").try_cast("double"))
+    return asked.filter("seconds > 0 AND NOT isnan(seconds) AND seconds < double('inf')").groupBy("authority").agg(F.max("seconds").alias("seconds"))
+
+
+def robots_decisions(paths: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """(key, allowed) of each row of paths (key, authority, path), by the rules (authority, allow, pattern) of its own authority.
+
+    A pattern begins with literal text, up to its first *.  Each path is cut to the lengths that
+    its authority's patterns have, and meets by equality the patterns that begin like it; what
+    follows a * is checked there.  So a path meets the rules that can match it and no others.
+    """
+    anchored, body = F.col("pattern").endswith("$"), F.regexp_replace("pattern", r"\$$", "")
+    literal = F.substring_index(body, "*", 1)
+    quoted = F.regexp_replace(F.regexp_replace(body, r"[\\^$.|?+()\[\]{}]", r"\\$0"), r"\*", ".*")
+    known = rules.select(
+        "authority", "allow", literal.alias("prefix"), F.char_length(body).alias("length"),
+        F.concat(F.lit("(?s)^"), quoted, F.when(anchored, "$").otherwise("")).alias("regex"), (body.contains("*") | anchored).alias("wild"),
+    ).distinct()
+    cuts = known.groupBy("authority").agg(F.collect_set(F.char_length("prefix")).alias("cuts"))
+    cut = paths.join(cuts, "authority").select(key, "authority", "path", F.explode(F.filter("cuts", lambda n: n <= F.char_length(F.col("path")))).alias("n"))
+    met = cut.withColumn("prefix", F.left("path", F.col("n"))).join(known, ["authority", "prefix"]).filter(~F.col("wild") | F.expr("path RLIKE regex"))
+    every = paths.select(key, F.lit(-1).alias("length"), F.lit(True).alias("allow")).unionByName(met.select(key, "length", "allow"))
+    return every.groupBy(key).agg(F.max(F.struct("length", "allow")).alias("best")).select(key, F.col("best.allow").alias("allowed"))

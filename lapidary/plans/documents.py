@@ -85,7 +85,7 @@ ROBOTS = [(False, "/en/"), (True, "/en/1*"), (False, "/*5$"), (True, "/de")]
 
 @query(r"""
 WITH p AS (SELECT page_id, CASE WHEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END AS path FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(path, '^/en/1') THEN true WHEN regexp_matches(path, '^/en/') THEN false WHEN regexp_matches(path, '^/.*5$') THEN false ELSE true END AS allowed FROM p""")
+SELECT page_id, CASE WHEN regexp_matches(path, '^/en/1') THEN true WHEN regexp_matches(path, '^/en/') THEN false WHEN regexp_matches(path, '^/de') THEN true WHEN regexp_matches(path, '^/.*5$') THEN false ELSE true END AS allowed FROM p""")
 def h25_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest matching pattern decides; of equals one that allows."""
     return table(spark, sf_dir, "pages").select("page_id", frontier.robots_decision(urls.path(F.col("url")), ROBOTS).alias("allowed"))

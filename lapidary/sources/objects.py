@@ -22,16 +22,21 @@ def derived_key(kind: Column, digest: Column, name: Column) -> Column:
     return F.when(kind != "raw", F.concat_ws("/", F.lit("derived"), kind, digest, name))
 
 
-def ingested(found: DataFrame, source: str, most_bytes: int = 256 << 20) -> DataFrame:
-    """One row for each file: digest, key, declared and sniffed format, and why it is refused, if it is."""
+def judged(found: DataFrame, source: str, most_bytes: int = 256 << 20) -> DataFrame:
+    """found (path, length, content, ...) with digest, key, format (declared by the name, or sniffed) and why it is refused, if it is."""
     declared, sniffed = urls.format_of_path(F.col("path")), urls.sniffed(F.col("content"))
     refused = (
         F.when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large")
         .when(declared.isNull() & sniffed.isNull(), "unknown format").when(~urls.compatible(declared, sniffed), "contradiction")
     )
-    digest = F.sha2("content", 256)
     kind = F.coalesce(declared, sniffed)
-    return found.select("path", "length", digest.alias("sha256"), kind.alias("file_format"), raw_key(F.lit(source), digest, F.concat(F.lit("."), kind)).alias("key"), refused.alias("refused"))
+    read = found.withColumns({"sha256": F.sha2("content", 256), "file_format": kind, "refused": refused})
+    return read.withColumn("key", raw_key(F.lit(source), F.col("sha256"), F.concat(F.lit("."), F.col("file_format"))))
+
+
+def ingested(found: DataFrame, source: str, most_bytes: int = 256 << 20) -> DataFrame:
+    """One row for each file: digest, key, declared and sniffed format, and why it is refused, if it is."""
+    return judged(found, source, most_bytes).select("path", "length", "sha256", "file_format", "key", "refused")
 
 
 def new_documents(rows: DataFrame, known: DataFrame) -> DataFrame:
