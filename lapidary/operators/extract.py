@@ -26,11 +26,6 @@ def project_reference(cells: DataFrame) -> DataFrame:
     return named.groupBy("document_id").agg(F.min(F.struct("row", "col", "reference")).alias("x")).select("document_id", "x.reference", "x.row", "x.col")
 
 
-def stamped(method: Column, transcription: Column) -> Column:
-    """How a value was read; one from a transcription names that first."""
-    return F.concat_ws(" | ", transcription, method)
-
-
 def provisions(pages: DataFrame) -> DataFrame:
     """Lettered sub-clauses of a rate schedule as bands: share, and bounds from "up to", "between" and "above"; a sub-clause without both is passed over."""
     even = pages.withColumn("text", T.even_spaces(F.col("text")))

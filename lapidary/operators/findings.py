@@ -41,10 +41,11 @@ def serialised(findings: DataFrame, resolved: DataFrame) -> DataFrame:
     return joined.select("finding_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def project_facts(members: DataFrame, documents: DataFrame, facts: DataFrame, retractions: DataFrame, project: Column) -> DataFrame:
-    """The facts of one project: of its documents, and not withdrawn."""
-    own = members.filter(F.col("project_id") == project).select("document_id").distinct()
-    return facts.join(own, "document_id", "left_semi").join(retractions.select("fact_id"), "fact_id", "left_anti").join(documents, "document_id")
+def project_facts(members: DataFrame, documents: DataFrame, facts: DataFrame, retractions: DataFrame) -> DataFrame:
+    """(project_id, ...): the facts of every project's documents, withdrawn ones left out; a document that is in several projects counts in each."""
+    own = members.select("project_id", "document_id").distinct()
+    kept = facts.drop("project_id").join(retractions.select("fact_id"), "fact_id", "left_anti")
+    return kept.join(documents, "document_id").join(own, "document_id")
 
 
 def share_consistency(shares: DataFrame) -> DataFrame:

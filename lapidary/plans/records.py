@@ -359,7 +359,7 @@ def n10_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH u AS (SELECT user_id, min(value) AS v FROM events GROUP BY 1), d AS (SELECT user_id, CASE WHEN user_id % 4 > 0 THEN CAST(round(CAST(v AS DECIMAL(20,2)) * (user_id % 5), 1) AS DOUBLE) END AS asked FROM u)
 SELECT user_id, CASE WHEN asked > 2 THEN least(30, greatest(1, CAST(floor(60 / asked) AS INT))) ELSE 30 END AS per_minute, CASE WHEN asked > 2 THEN asked ELSE 2.0 END AS delay, coalesce(asked > 2 AND asked > 300, false) AS refused FROM d""")
 def n13_polite_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl delay only slows down, and one that is too long is refused."""
+    """A crawl delay only slows down, and one that is too long is refused."""
     asked = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("value").alias("v")).select("user_id", F.when(F.col("user_id") % 4 > 0, F.round(money("v") * (F.col("user_id") % 5), 1).cast("double")).alias("asked"))
     x = frontier.polite_limits(F.lit(30), F.lit(4), F.lit(2.0), F.col("asked"))
     return asked.select("user_id", x["per_minute"].alias("per_minute"), x["delay"].alias("delay"), x["refused"].alias("refused"))
@@ -415,7 +415,7 @@ def h37_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT c_custkey AS d, c_nationkey + 2 AS item_row FROM customer)
 SELECT d AS document_id, 1 AS n_items, CAST(CASE WHEN d % 3 = 0 THEN -12.50 ELSE 1200.0 END AS DOUBLE) AS quantity, 'BOQ!' || CASE WHEN d % 2 = 0 THEN 'B' ELSE 'AB' END || item_row AS cell, 'PRJ-' || d AS reference FROM c""")
 def i08_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header rows, item rows, cell names and project lines of sheets."""
+    """Header rows, item rows, cell names and project lines of sheets."""
     k, row = F.col("c_custkey"), F.col("c_nationkey")
     cell = lambda r, c, v: F.struct(r.cast("int").alias("row"), F.lit(c).alias("col"), v.cast("string").alias("value"))
     cells = F.array(

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.functions import urls
-from lapidary.operators import frontier
-from lapidary.plans.tables import registration, table
+from lapidary.operators import findings, frontier
+from lapidary.plans.tables import FACTS_SQL, facts, registration, retractions, sources, table
 from lapidary.sources import shared, store, workbooks
 from lapidary.streaming import uploads
 
@@ -134,3 +134,15 @@ def h33_url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
     head = F.when(k % 6 == 0, "http://h.example:22/").when(k % 6 == 1, "HTTP://H.example:443/").when(k % 6 == 2, "https://M\u00fcnchen.example:443/").when(k % 6 == 3, "https://h.example./").when(k % 6 == 4, "https://h.example:8443/").otherwise("http://h.example:80/")
     return table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.concat(head, k)).alias("canonical"))
+
+
+@query(f"""
+WITH {FACTS_SQL}, m AS (SELECT s_suppkey AS document_id, s_nationkey AS project_id FROM supplier UNION SELECT s_suppkey, s_suppkey % 3 FROM supplier)
+SELECT m.project_id AS project_id, fact_id, version_state FROM facts JOIN m USING (document_id) JOIN sources USING (document_id) WHERE fact_id NOT IN (SELECT fact_id FROM retractions)""")
+def a02_project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: what the documents of each project state, withdrawn facts left out, with the state of the document."""
+    documents = sources(spark, sf_dir)
+    nation = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project_id"), F.col("s_suppkey").alias("document_id"))
+    members = nation.unionByName(nation.withColumn("project_id", F.col("document_id") % 3))
+    found = findings.project_facts(members, documents, facts(spark, sf_dir), retractions(spark, sf_dir))
+    return found.select("project_id", "fact_id", "version_state")

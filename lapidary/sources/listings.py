@@ -31,10 +31,3 @@ def detail_documents(pages: DataFrame, formats: tuple[str, ...] = ("pdf", "xlsx"
     kind = format_of_path(F.col("url"))
     reason = F.when(F.col("url").isNull() | (F.trim("url") == ""), "empty").when(kind.isNull(), "no extension").when(~kind.isin(*formats), "format")
     return rows.withColumn("reason", reason)
-
-
-def sheet_window(cells: DataFrame, row: int, around: int = 5, width: int = 64) -> DataFrame:
-    """The cells around a row, and whether the sheet goes on beyond them."""
-    inside = F.col("row").between(row - around, row + around) & (F.col("col") <= width)
-    beyond = cells.groupBy("document_id").agg(F.bool_or(~inside).alias("truncated"))
-    return cells.filter(inside).join(beyond, "document_id")
