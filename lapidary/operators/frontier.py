@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import urls
+from lapidary.sources import shared
 
 MOST_ATTEMPTS = 5
 LEASE_SECONDS = 900
@@ -75,6 +76,44 @@ def redirect(status: Column, location: Column, current: Column, history: Column,
     )
 
 
+def redirect_chains(starts: DataFrame, responses: DataFrame, most_hops: int = MOST_HOPS, downgrade: bool = False) -> DataFrame:
+    """(*starts, final_url, n_hops, reason): each start's url followed through the responses (url, status, location), as far as it may be.
+
+    The reason is null where a chain arrives at a response that leads nowhere else, "no response"
+    where nothing is known of a url, else the first that :func:`redirect` has.  Of several
+    responses of a url the least counts; a start that is no proper url has the reason "location".
+
+    Ways are doubled: 1, 2, 4 hops of every url, so rounds grow with the logarithm of most_hops.
+    Only ways that are as long as they can be so far meet others, and each url has one way, so a
+    target of very many urls repeats one row; what a chain may do is decided on its whole way.
+    """
+    known = responses.groupBy(urls.canonical(F.col("url")).alias("url")).agg(F.min(F.struct("status", F.trim("location").alias("location"))).alias("r")).filter("url IS NOT NULL")
+    followed, given = F.coalesce(F.col("r.status").isin(*FOLLOWED), F.lit(False)), F.coalesce(F.col("r.location"), F.lit("")) != ""
+    to = urls.canonical(urls.resolved(F.col("url"), F.col("r.location")))
+    hops = known.select("url", F.when(~followed, "").when(~given, "no location").when(to.isNull(), "location").alias("ends"), F.when(followed & given, to).alias("to"))
+    hops = shared.written(hops, "hops")
+    ways, length, longest = hops.select("url", F.array_compact(F.array("to")).alias("way")), 1, most_hops + 1
+    while length < longest:
+        going = ways.filter(F.size("way") == length).withColumn("last", F.element_at("way", -1))
+        further = ways.select(F.col("url").alias("last"), F.col("way").alias("more"))
+        doubled = going.join(further, "last", "left").select("url", F.slice(F.concat("way", F.coalesce("more", F.array().cast("array<string>"))), 1, longest).alias("way"))
+        ways, length = shared.written(ways.filter(F.size("way") < length).unionByName(doubled), "ways"), min(2 * length, longest)
+    keyed = starts.withColumn("_url", urls.canonical(F.col("url")))
+    walked = keyed.join(ways.select(F.col("url").alias("_url"), F.col("way").alias("_way")), "_url", "left")
+    walked = walked.withColumn("_nodes", F.concat(F.array("_url"), F.coalesce("_way", F.array().cast("array<string>"))))
+    ended = walked.withColumn("_last", F.element_at("_nodes", -1)).join(hops.select(F.col("url").alias("_last"), F.col("ends").alias("_ends"), F.lit(True).alias("_known")), "_last", "left")
+    here, there = lambda i: F.get("_nodes", i), lambda i: F.get("_nodes", i + 1)
+    lower = lambda i: (urls.scheme(here(i)) == "https") & (urls.scheme(there(i)) == "http") & F.lit(not downgrade)
+    against = lambda i: F.when(i >= most_hops, "hops").when(F.array_position("_nodes", there(i)) <= i + 1, "loop").when(lower(i), "downgrade")
+    n = F.size("_nodes")
+    places = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+    refused = F.filter(F.transform(places, lambda i: F.struct(i.alias("at"), against(i).alias("reason"))), lambda x: x["reason"].isNotNull())
+    at_end = F.when(F.col("_url").isNull(), "location").when(F.col("_known").isNull(), "no response").when((F.col("_ends") == "location") & (n - 1 >= most_hops), "hops").otherwise(F.nullif("_ends", F.lit("")))
+    stop = F.coalesce(F.get(refused, F.lit(0)), F.struct((n - 1).alias("at"), at_end.alias("reason")))
+    kept = ended.withColumn("_stop", stop).withColumn("_final", F.get("_nodes", F.col("_stop.at")))
+    return kept.select(*(F.col(c) for c in starts.columns), F.col("_final").alias("final_url"), F.col("_stop.at").alias("n_hops"), F.col("_stop.reason").alias("reason"))
+
+
 def polite_limits(per_minute: Column, concurrency: Column, delay: Column, asked: Column) -> Column:
     """struct(per_minute, concurrency, delay, refused): limits after a crawl delay, which only ever slows down; one that is too long is refused."""
     slower = F.coalesce(asked > delay, F.lit(False))

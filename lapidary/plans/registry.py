@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapidary.plans import documents, records, relational, shapes, stores
+from lapidary.plans import documents, records, relational, shapes, stores, trails
 
-QUERIES: dict = relational.QUERIES | documents.QUERIES | shapes.QUERIES | records.QUERIES | stores.QUERIES
-SQL: dict[str, str] = relational.SQL | documents.SQL | shapes.SQL | records.SQL | stores.SQL
+QUERIES: dict = relational.QUERIES | documents.QUERIES | shapes.QUERIES | records.QUERIES | stores.QUERIES | trails.QUERIES
+SQL: dict[str, str] = relational.SQL | documents.SQL | shapes.SQL | records.SQL | stores.SQL | trails.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
