@@ -43,7 +43,7 @@ FORMS = """<area href=/a{k}><IFRAME name=f SRC='/f{k}?x=1&amp;y=2'></iframe><!--
 
 @query(r"""
 WITH p AS (SELECT page_id, ['/a' || page_id, '/f' || page_id || '?x=1&y=2', '/s' || page_id, '/u' || page_id, '/v'] || regexp_extract_all(coalesce(html, ''), '<a href="([^"]+)"', 1) AS own FROM pages),
-e AS (SELECT page_id, own || CASE WHEN page_id % 50 = 0 THEN list_transform(range(5000), x -> '/r') ELSE [] END AS l FROM p)
+e AS (SELECT page_id, own || CASE WHEN page_id % 50 = 0 THEN ['/r' for x in range(5000)] ELSE [] END AS l FROM p)
 SELECT page_id, least(5000, len(l)) AS n_links, len(l) > 5000 AS more, sha256(array_to_string(l[:5000], chr(10))) AS links_sha256 FROM e""")
 def a17_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where pages link to, in every form; comments, scripts and other elements are passed over, and a page with too many says so."""

@@ -25,10 +25,12 @@ def resumed(spark: SparkSession, folder: str, path: str, files_per_batch: int =
     """Counts what is new in the folder (Parquet files of :data:`OUTCOME`) since the last run with this path, and returns the counters.
 
     A batch writes the jobs that it changed under its own number: done again, it writes the same.
+    Before anything has come there are no jobs.
     """
+    counted(spark.createDataFrame([], OUTCOME)).write.mode("overwrite").parquet(f"{path}/changed/batch=none")
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/changed/batch={n:012d}")
+        batch.write.mode("overwrite").parquet(f"{path}/changed/batch=b{n:012d}")
 
     found = spark.readStream.schema(OUTCOME).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     writer = counted(found).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state")
