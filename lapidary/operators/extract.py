@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import text as T
@@ -26,21 +26,55 @@ def project_reference(cells: DataFrame) -> DataFrame:
     return named.groupBy("document_id").agg(F.min(F.struct("row", "col", "reference")).alias("x")).select("document_id", "x.reference", "x.row", "x.col")
 
 
-def provisions(pages: DataFrame) -> DataFrame:
-    """Lettered sub-clauses of a rate schedule as bands: share, and bounds from "up to", "between" and "above"; a sub-clause without both is passed over."""
-    even = pages.withColumn("text", T.even_spaces(F.col("text")))
-    schedule = even.filter(F.col("text").rlike(r"(?i)bid security[^.]{0,200}?at the following rates ?:"))
-    body = F.regexp_extract("text", r"(?i)at the following rates ?:(.*)$", 1)
-    parts = schedule.select("document_id", "page", F.regexp_extract("text", r"([0-9]+(?:\.[0-9]+)+)", 1).alias("clause"), F.posexplode(F.regexp_extract_all(body, F.lit(r"\([a-z]\)\s*((?:(?!\([a-z]\)).)*)"), F.lit(1))).alias("place", "body"))
-    scope = F.regexp_extract("body", r"(?i)^(.*?)(?:subject to|maximum|$)", 1)
-    cap = T.the_amount(F.regexp_extract("body", r"(?i)(?:subject to|maximum)(.*)$", 1))
-    found = T.amounts(scope)
-    share = T.percent_as_fraction(F.regexp_extract("body", r"(?i)([0-9./ ]+%|[a-z-]+(?: and [a-z -]+)? ?(?:%|per ?cent))", 1))
+#: How a schedule of rates begins, what it is about, and how a sub-clause words its rate, its band and its cap.
+SCHEDULE = r"(?i)([0-9]+(?:\.[0-9]+)+)\s+[^.]{0,200}?bid security[^.]{0,200}?at the following rates ?:"
+SUBJECT = r"(?i)of the estimated cost"
+RATE = r"(?i)(?<![0-9/])(?:[0-9]+ ?/ ?[0-9]+|[0-9]+(?:\.[0-9]+)?|[a-z]+(?:[ -]and[ -](?:a )?[a-z-]+)?) ?(?:%|per ?cent)"
+CAP = r"(?i)subject to (?:a )?maximum of"
+BETWEEN, ABOVE, UP_TO = r"(?i)\bbetween\b", r"(?i)\b(?:above|exceeding|more than|over)\b", r"(?i)\b(?:up to|upto|not exceeding|below|less than)\b"
+
+
+def band(condition: Column) -> Column:
+    """struct(low, high) of the amounts that a condition names, as they are worded; bounds of "between" are put in order, and null is no band."""
+    found = T.amounts(condition)
     value = lambda i: F.get(found, F.lit(i))["value"]
-    low = F.when(scope.rlike("(?i)between"), value(0)).when(scope.rlike("(?i)above|exceeding|more than"), value(0))
-    high = F.when(scope.rlike("(?i)between"), value(1)).when(scope.rlike("(?i)up ?to"), value(0))
-    rows = parts.select("document_id", "page", "clause", "place", share.alias("share"), low.alias("applies_from"), high.alias("applies_to_max"), cap.alias("cap_amount"))
-    return rows.filter(F.col("share").isNotNull() & (F.col("applies_from").isNotNull() | F.col("applies_to_max").isNotNull()))
+    bounds = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    none = F.lit(None).cast("decimal(30,6)")
+    pair = bounds(F.least(value(0), value(1)), F.greatest(value(0), value(1)))
+    return F.when(condition.rlike(BETWEEN) & (F.size(found) > 1), pair).when(condition.rlike(ABOVE) & (F.size(found) > 0), bounds(value(0), none)).when(condition.rlike(UP_TO) & (F.size(found) > 0), bounds(none, value(0)))
+
+
+def provisions(pages: DataFrame, needs: str = "true") -> DataFrame:
+    """(document_id, page, clause, place, span_start, span_end, snippet, on_estimate, share, applies_from, applies_to_max, cap_amount) of the first page of each document that states a schedule.
+
+    One row for each lettered sub-clause with a rate and a band, that also has what is needed;
+    others are passed over.  Spans count code points of the page with even spaces, from 0, end
+    exclusive.  The cap is the first amount behind its wording, and is no part of the band.
+    """
+    text = T.even_spaces(F.col("text"))
+    head = F.regexp_substr("flat", F.lit(SCHEDULE))
+    stated = pages.select("document_id", "page", text.alias("flat")).filter(F.col("flat").rlike(SCHEDULE)).withColumn("head", head)
+    opened = stated.select("document_id", "page", F.regexp_extract("head", SCHEDULE, 1).alias("clause"), (F.instr("flat", F.col("head")) - 1 + F.char_length("head")).alias("at"), "flat")
+    cut = F.split(F.substring("flat", F.col("at") + 1, F.char_length("flat")), r"(?i)(?=\([a-z]\))")
+    pieces = opened.select("document_id", "page", "clause", "at", F.posexplode(cut).alias("place", "piece"))
+    before = F.sum(F.char_length("piece")).over(Window.partitionBy("document_id", "page").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumn("span_start", (F.col("at") + F.coalesce(before, F.lit(0))).cast("int"))
+    lettered = pieces.select("document_id", "page", "clause", "place", "span_start", F.rtrim("piece").alias("piece")).filter(F.col("piece").rlike(r"(?i)^\([a-z]\)"))
+    parts = F.split(F.trim(F.substring("piece", F.lit(4), F.char_length("piece"))), CAP, 2)
+    bodies = lettered.withColumn("body", F.trim(F.substring("piece", F.lit(4), F.char_length("piece")))).withColumn("condition", F.get(parts, F.lit(0))).withColumn("behind", F.get(parts, F.lit(1)))
+    read = bodies.select(
+        "document_id", "page", F.concat("clause", F.lower(F.left("piece", F.lit(3)))).alias("clause"), "place", "span_start", (F.col("span_start") + F.char_length("piece")).alias("span_end"), F.left("body", F.lit(1000)).alias("snippet"),
+        F.col("body").rlike(SUBJECT).alias("on_estimate"), T.percent_as_fraction(F.regexp_substr("body", F.lit(RATE))).alias("share"), band(F.col("condition")).alias("band"), F.get(T.amounts(F.col("behind")), F.lit(0))["value"].alias("cap_amount"),
+    )
+    good = read.filter("share IS NOT NULL AND band IS NOT NULL").filter(needs)
+    first = good.withColumn("first", F.min("page").over(Window.partitionBy("document_id"))).filter(F.col("page").eqNullSafe(F.col("first")))
+    return first.select(*(c for c in read.columns if c not in ("band", "cap_amount")), F.col("band.low").alias("applies_from"), F.col("band.high").alias("applies_to_max"), "cap_amount")
+
+
+def rate_schedules(pages: DataFrame) -> DataFrame:
+    """Provisions on the estimated cost with the authority whose rule they are; a document of no known authority binds nobody and gives none."""
+    own = provisions(pages, "on_estimate").drop("on_estimate").join(authority(pages), "document_id")
+    return own.withColumns({"provision_type": F.lit("bid_security_share"), "applies_to": F.lit("estimated_cost"), "currency": F.lit("INR")})
 
 
 def sheet_header(cells: DataFrame, aliases: DataFrame, needed: str = "item", one_of: tuple[str, ...] = ("quantity", "rate")) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Job counters over restarts, links of pages, chains of redirects, and findings followed to the bytes that they rest on."""
+"""Job counters over restarts, links of pages, chains of redirects, findings followed to the bytes that they rest on, and rate schedules."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.functions import markup
-from lapidary.operators import findings, frontier
-from lapidary.plans.tables import registration, table
+from lapidary.operators import bands, extract, findings, frontier
+from lapidary.plans.tables import money, registration, table
 from lapidary.sources import shared
 from lapidary.streaming import jobs
 
@@ -102,3 +102,58 @@ def c18_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda condition: table(spark, sf_dir, "supplier").filter(condition).select(F.col("s_suppkey").alias("document_id"))
     broken = findings.trail_breaks(judged, links, derived, inputs, facts, provisions, of("s_nationkey > 3"), of("s_acctbal >= 0"), of("s_suppkey % 6 > 0"))
     return broken.groupBy("finding_id", "break_kind", "fatal").agg(F.count(F.lit(1)).alias("n"))
+
+
+RATES = ("1/2%", "one and one-half percent", "some percent")
+
+
+def schedule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, page, text): a manual for each customer: who issued it, a schedule of rates in most, and another one that counts where the first says nothing."""
+    k = F.col("c_custkey")
+    high = F.concat(F.lit("Rs. "), k % 10 + 10, F.lit(" lakh"))
+    rate = F.when(k % 3 == 0, RATES[0]).when(k % 3 == 1, RATES[1]).otherwise(RATES[2])
+    issuer = F.when(k % 5 > 0, "Issued by the  National Highway\nAuthority of India").otherwise("Issued by the town")
+    first = F.concat(
+        F.lit("See 3.2. 4.14."), k % 9, F.lit(" The  bid\nsecurity shall be taken at the following rates:\n(a) two percent of the estimated cost for works up to "), high, F.lit(" subject to a maximum of Rs. 3 lakh or Rs. 9\n(B) "),
+        rate, F.lit(" of the estimated cost (as sanctioned) between Rs. 50 lakh and "), high, F.lit("; (c) 0.25% of the estimated cost above Rs. 50 lakh (d) 1% of the contract price above Rs. 1 (e) 2% of the estimated cost"),
+    )
+    second = F.lit("4.15.1 Bid security at the following rates : (a) 9 per cent of the estimated cost not exceeding Rs. 70 lakh (b) 8% of the estimated cost below INR 60,00,000")
+    page = lambda n, text: F.struct(F.lit(n).alias("page"), text.alias("text"))
+    pages = F.array(page(1, issuer), page(2, F.when(k % 7 > 0, first)), page(3, second))
+    return table(spark, sf_dir, "customer").select(k.alias("document_id"), F.explode(pages).alias("p")).select("document_id", "p.*")
+
+
+RATES_SQL = """
+k AS (SELECT DISTINCT c_custkey AS k, '4.14.' || c_custkey % 9 AS c, 100000 * (10 + c_custkey % 10) AS h, [0.005, 0.015, NULL][1 + c_custkey % 3] AS b,
+  'See 3.2. 4.14.' || c_custkey % 9 || ' The bid security shall be taken at the following rates:' AS head, ' (a) two percent of the estimated cost for works up to Rs. ' || 10 + c_custkey % 10 || ' lakh subject to a maximum of Rs. 3 lakh or Rs. 9' AS ta,
+  ' (B) ' || ['1/2%', 'one and one-half percent', 'some percent'][1 + c_custkey % 3] || ' of the estimated cost (as sanctioned) between Rs. 50 lakh and Rs. ' || 10 + c_custkey % 10 || ' lakh;' AS tb, ' (c) 0.25% of the estimated cost above Rs. 50 lakh' AS tc FROM customer WHERE c_custkey % 5 > 0),
+p AS (SELECT k, c || '(a)' AS clause, 0.02 AS share, NULL AS low, h AS high, 300000 AS cap, len(head) + 1 AS span_start, len(ta) - 1 AS n FROM k WHERE k % 7 > 0
+  UNION ALL SELECT k, c || '(b)', b, h, 5000000, NULL, len(head || ta) + 1, len(tb) - 1 FROM k WHERE k % 7 > 0 AND b IS NOT NULL
+  UNION ALL SELECT k, c || '(c)', 0.0025, 5000000, NULL, NULL, len(head || ta || tb) + 1, len(tc) - 1 FROM k WHERE k % 7 > 0
+  UNION ALL SELECT k, '4.15.1(a)', 0.09, 7000000, NULL, NULL, len('4.15.1 Bid security at the following rates : '), len('(a) 9 per cent of the estimated cost not exceeding Rs. 70 lakh') FROM k WHERE k % 7 = 0
+  UNION ALL SELECT k, '4.15.1(b)', 0.08, NULL, 6000000, NULL, len('4.15.1 Bid security at the following rates : (a) 9 per cent of the estimated cost not exceeding Rs. 70 lakh '), len('(b) 8% of the estimated cost below INR 60,00,000') FROM k WHERE k % 7 = 0)"""
+
+
+@query(f"""
+WITH {RATES_SQL} SELECT k AS document_id, CASE WHEN k % 7 > 0 THEN 2 ELSE 3 END AS page, clause, 'nhai' AS authority, CAST(share AS DOUBLE) AS share, CAST(low AS DOUBLE) AS applies_from, CAST(high AS DOUBLE) AS applies_to_max, CAST(cap AS DOUBLE) AS cap_amount, span_start, span_start + n AS span_end FROM p""")
+def i19_rate_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedules of rates in manuals as bands, under the authority that issued them, with the place of each in its page."""
+    found = extract.rate_schedules(schedule_pages(spark, sf_dir)).distinct()
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return found.select("document_id", "page", "clause", "authority", *map(number, ("share", "applies_from", "applies_to_max", "cap_amount")), "span_start", "span_end")
+
+
+@query(f"""
+WITH {RATES_SQL}, o AS (SELECT o_orderkey, o_custkey AS k, CAST(o_totalprice AS DECIMAL(20,2)) * 30 AS cost FROM orders),
+j AS (SELECT o_orderkey, cost, clause, share, cap FROM o LEFT JOIN p ON o.k = p.k AND (low IS NULL OR cost >= low) AND (high IS NULL OR cost <= high)),
+n AS (SELECT o_orderkey, count(clause) AS n, min(clause) AS clause, min(cost) AS cost, min(share) AS share, min(cap) AS cap FROM j GROUP BY 1)
+SELECT o_orderkey, n AS n_bands, CASE WHEN n = 1 THEN clause END AS band, CASE n WHEN 0 THEN 'no provision' WHEN 1 THEN 'applicable' ELSE 'ambiguous' END AS verdict, CASE WHEN n = 1 THEN CAST(least(cost * CAST(share AS DECIMAL(12,8)), coalesce(cap, cost)) AS DOUBLE) END AS required FROM n""")
+def c07_schedule_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that governs each order's cost by its customer's manual, and the security that it asks for."""
+    rules = extract.rate_schedules(schedule_pages(spark, sf_dir)).distinct().select("document_id", "clause", "share", "applies_from", "applies_to_max", "cap_amount")
+    rules = shared.written(rules, "rules")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("document_id"), (money("o_totalprice") * 30).alias("cost"))
+    chosen = bands.applicable(orders, ["o_orderkey", "document_id", "cost"], "cost", rules, "applies_from", "applies_to_max", "clause", ["document_id"])
+    governing = chosen.join(rules.withColumnRenamed("clause", "band"), ["document_id", "band"], "left")
+    asked = F.least(F.col("cost") * F.col("share"), F.coalesce("cap_amount", "cost"))
+    return governing.select("o_orderkey", "n_bands", "band", "verdict", F.when(F.col("band").isNotNull(), asked).cast("double").alias("required"))

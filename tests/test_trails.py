@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from lapidary.functions import markup
-from lapidary.operators import findings, frontier
+from lapidary.operators import extract, findings, frontier
 from lapidary.streaming import jobs
 
 
@@ -95,3 +95,16 @@ def test_trails(spark):
     ])
     empty = lambda frame: frame.limit(0)
     assert findings.trail_breaks(*map(empty, (judged, links, derived, inputs, facts, provisions, ids(1), ids(1), ids(1)))).count() == 0
+
+
+def test_rate_schedules(spark):
+    head = "4.1.2 For works, bid security is taken at the following rates: "
+    body = {
+        "x": "(a) 1% of the estimated cost between Rs. 9 crore and Rs. 2 crore (b) 2% of the estimated cost (c) of the estimated cost above Rs. 1 (d) 3% of the contract above Rs. 1 (e) 1/0% of the estimated cost above Rs. 1 (f) two (2) percent of the estimated cost above Rs. 5 subject to a maximum of Rs. 7 or Rs. 8",
+        "town": "(a) 1% of the estimated cost above Rs. 1", "none": None, "empty": "",
+    }
+    pages = [(d, 2, text and head + text) for d, text in body.items()] + [(d, 1, "NHAI") for d in body if d != "town"] + [("x", 3, head + "(a) 7% of the estimated cost above Rs. 7"), (None, 1, "NHAI"), ("x", 1, None)]
+    got = [(r.document_id, r.page, r.clause, float(r.share), *(v and float(v) for v in (r.applies_from, r.applies_to_max, r.cap_amount)), (head + body["x"])[r.span_start : r.span_end][:8]) for r in extract.rate_schedules(spark.createDataFrame(pages, "document_id string, page int, text string")).orderBy("place").collect()]
+    assert got == [("x", 2, "4.1.2(a)", 0.01, 2e7, 9e7, None, "(a) 1% o")]
+    late = [("y", 1, "NHAI"), ("y", 2, head + "(a) 7% of the fee above Rs. 7"), ("y", 4, head + "(a) 7% of the estimated cost above Rs. 7")]
+    assert [r.page for r in extract.rate_schedules(spark.createDataFrame(late, "document_id string, page int, text string")).collect()] == [4]
