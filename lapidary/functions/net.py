@@ -60,7 +60,7 @@ CARRIER = ipaddress.ip_network("100.64.0.0/10")
 
 
 def address_reason(text: str | None) -> str | None:
-    """Why an address must not be fetched from, or null: the first of these that holds."""
+    """Why one address must not be fetched from, or null: the first of these that holds.  Columns of them: :func:`lapidary.functions.addresses.refused`."""
     try:
         ip = ipaddress.ip_address(text or "")
     except ValueError:
@@ -81,10 +81,6 @@ def address_reason(text: str | None) -> str | None:
     return next((why for why, holds in checks.items() if holds), None)
 
 
-def refused_address(address: Column) -> Column:
-    return each(address_reason, address)
-
-
 def shown_name(name: Column) -> Column:
     """A file name as it is shown: the last part of a path without control characters, blanks even; upload where none is left."""
     last = F.element_at(F.split(name, r"[/\\\\]"), -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapidary.functions import net, urls
+from lapidary.functions import addresses, net, urls
 from lapidary.functions import text as T
 from lapidary.functions import vocabulary as V
 from lapidary.operators import bands, bills, calc, extract, findings, frontier, latest, notices, resolve, rules, state
@@ -407,7 +407,7 @@ def h37_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, "Mon, 01 Jan 2024 00:01:00 GMT").otherwise("soon")
     name = F.when(k % 2 == 0, F.concat(F.lit('attachment; filename="a;'), k, F.lit('.pdf"'))).otherwise(F.concat(F.lit("inline; filename*=UTF-8''na%C3%AFve%20"), k))
     return table(spark, sf_dir, "events").select(
-        "event_id", net.refused_address(address).alias("refused"), net.retry_after_seconds(after, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("wait"), net.content_length((k * 2).cast("string")).alias("length"), net.disposition_filename(name).alias("filename")
+        "event_id", addresses.refused(address).alias("refused"), net.retry_after_seconds(after, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("wait"), net.content_length((k * 2).cast("string")).alias("length"), net.disposition_filename(name).alias("filename")
     )
 
 

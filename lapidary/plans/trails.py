@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.functions import markup
+from lapidary.functions import addresses, markup
 from lapidary.operators import bands, extract, findings, frontier
 from lapidary.plans.tables import money, registration, table
 from lapidary.sources import shared
@@ -157,3 +157,22 @@ def c07_schedule_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     governing = chosen.join(rules.withColumnRenamed("clause", "band"), ["document_id", "band"], "left")
     asked = F.least(F.col("cost") * F.col("share"), F.coalesce("cap_amount", "cost"))
     return governing.select("o_orderkey", "n_bands", "band", "verdict", F.when(F.col("band").isNotNull(), asked).cast("double").alias("required"))
+
+
+#: An address of each kind, with {k} for a number of the row's own below 250.
+ADDRESSES = {
+    "::ffff:8.8.{k}.8": "ipv4_mapped", "64:ff9b::8.8.8.{k}": "embedded_ipv4", "2002:{k}::1": "embedded_ipv4", "0.0.0.0": "unspecified", "::": "unspecified", "127.{k}.0.1": "loopback", "0:0:0:0:0:0:0:1": "loopback", "169.254.{k}.7": "link_local",
+    "FE80::{k}%eth0": "link_local", "224.{k}.0.1": "multicast", "ff02::{k}": "multicast", "100.64.{k}.1": "carrier_grade_nat", "203.0.113.{k}": "documentation", "2001:DB8::{k}": "documentation", "240.0.0.{k}": "reserved", "100::{k}": "reserved",
+    "172.16.{k}.1": "private", "fd00::{k}": "private", "192.0.0.9": None, "8.8.{k}.8": None, "2606:4700::{k}": None, "8.8.8.{k}.": "malformed", "1::{k}::1": "malformed", "300.1.1.{k}": "malformed", "08.8.8.{k}": "malformed", "": "malformed",
+}
+
+
+@query(f"""
+WITH r(i, refused) AS (VALUES {", ".join(f"({i}, {'NULL' if why is None else repr(why)})" for i, why in enumerate(ADDRESSES.values()))})
+SELECT event_id, refused FROM events JOIN r ON i = event_id % {len(ADDRESSES)}""")
+def h37_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of every kind, and what is no address, with the reason against them; expressions only."""
+    k = F.col("event_id")
+    forms = F.array(*map(F.lit, ADDRESSES))
+    form = F.get(forms, (k % len(ADDRESSES)).cast("int"))
+    return table(spark, sf_dir, "events").filter("event_id IS NOT NULL").select("event_id", addresses.refused(F.replace(form, F.lit("{k}"), (k % 250).cast("string"))).alias("refused"))
