@@ -27,27 +27,38 @@ V4 = r"\A(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?=[0-9])|\z)){4
 V4_TAIL = r":([0-9]+(?:\.[0-9]+){3})\z"
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once: an expression that is named several times would be computed as often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def v4_digits(text: Column) -> Column:
     """Eight hexadecimal digits; null for what is no IPv4 address."""
-    parts = F.split(text, r"\.")
-    pair = lambda i: F.lpad(F.lower(F.hex(F.get(parts, F.lit(i)).try_cast("int"))), 2, "0")
-    return F.when(text.rlike(V4), F.concat(*map(pair, range(4))))
+    pair = lambda part: F.lpad(F.lower(F.hex(part.try_cast("int"))), 2, "0")
+    return F.when(text.rlike(V4), F.array_join(F.transform(F.split(text, r"\."), pair), ""))
 
 
 def v6_digits(text: Column) -> Column:
     """Thirty-two hexadecimal digits; null for what is no IPv6 address.  A zone is left out, a dotted end counts as two groups."""
-    body = F.lower(F.regexp_replace(text, r"%[^%]+\z", ""))
-    dotted = F.regexp_extract(body, V4_TAIL, 1)
-    end = v4_digits(dotted)
-    plain = F.when(dotted == "", body).otherwise(F.concat(F.left(body, F.char_length(body) - F.char_length(dotted)), F.left(end, F.lit(4)), F.lit(":"), F.right(end, F.lit(4))))
-    halves = F.split(plain, "::", -1)
     none = F.array().cast("array<string>")
-    groups = lambda i: F.when(F.coalesce(F.get(halves, F.lit(i)), F.lit("")) == "", none).otherwise(F.split(F.get(halves, F.lit(i)), ":", -1))
-    missing = 8 - F.size(groups(0)) - F.size(groups(1))
-    whole = F.when(F.size(halves) == 1, missing == 0).when(F.size(halves) == 2, missing > 0).otherwise(False)
-    every = F.concat(groups(0), F.array_repeat(F.lit("0"), missing), groups(1))
-    digits = F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")
-    return F.when(whole & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z")), digits)
+
+    def plain(x: Column) -> Column:
+        colons = lambda end: F.concat(F.left(x["body"], F.char_length(x["body"]) - F.char_length(x["dotted"])), F.left(end, F.lit(4)), F.lit(":"), F.right(end, F.lit(4)))
+        return F.when(x["dotted"] == "", x["body"]).otherwise(bound(v4_digits(x["dotted"]), colons))
+
+    def sides(halves: Column) -> Column:
+        groups = lambda i: F.when(F.coalesce(F.get(halves, F.lit(i)), F.lit("")) == "", none).otherwise(F.split(F.get(halves, F.lit(i)), ":", -1))
+        return F.struct(F.size(halves).alias("n"), groups(0).alias("head"), groups(1).alias("tail"))
+
+    def digits(x: Column) -> Column:
+        missing = 8 - F.size(x["head"]) - F.size(x["tail"])
+        whole = F.when(x["n"] == 1, missing == 0).when(x["n"] == 2, missing > 0).otherwise(False)
+        joined = lambda every: F.when(F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z")), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+        return F.when(whole, bound(F.concat(x["head"], F.array_repeat(F.lit("0"), missing), x["tail"]), joined))
+
+    body = F.lower(F.regexp_replace(text, r"%[^%]+\z", ""))
+    parts = bound(body, lambda b: F.struct(b.alias("body"), F.regexp_extract(b, V4_TAIL, 1).alias("dotted")))
+    return F.when(F.contains(text, F.lit(":")), bound(F.split(bound(parts, plain), "::", -1), lambda h: bound(sides(h), digits)))
 
 
 def within(v4: Column, v6: Column, ranges: tuple[str, ...]) -> Column:
@@ -70,4 +81,4 @@ def refused(text: Column) -> Column:
         reasons = [F.when(within(v4, v6, ranges) & (~public if why == "private" else F.lit(True)), why) for why, ranges in REFUSED.items()]
         return F.when(v4.isNull() & v6.isNull(), "malformed").otherwise(F.coalesce(*reasons))
 
-    return F.get(F.transform(F.array(both), judged), F.lit(0))
+    return bound(both, judged)

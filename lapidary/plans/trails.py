@@ -59,7 +59,7 @@ WITH RECURSIVE r AS (SELECT DISTINCT page_id AS k, CASE WHEN page_id % 23 = 0 TH
   CASE WHEN page_id % 29 = 0 THEN page_id - 3 ELSE page_id + 1 END AS t FROM pages WHERE page_id IS NOT NULL),
 w AS (SELECT k AS start, k AS cur, [k] AS hist, 0 AS n FROM r UNION ALL SELECT start, t, list_append(hist, t), n + 1 FROM w JOIN r ON r.k = w.cur WHERE e = 'go' AND n < 20 AND NOT list_contains(hist, t)),
 l AS (SELECT start, max(n) AS n, arg_max(cur, n) AS cur, arg_max(hist, n) AS hist FROM w GROUP BY 1)
-SELECT start AS page_id, 'https://h.example/' || cur AS final_url, n AS n_hops, CASE WHEN r.k IS NULL THEN 'no response' WHEN e = 'end' THEN NULL WHEN e = 'no location' THEN e WHEN n >= 20 THEN 'hops' WHEN e = 'location' THEN e WHEN list_contains(hist, t) THEN 'loop' ELSE 'downgrade' END AS reason FROM l LEFT JOIN r ON r.k = l.cur""")
+SELECT start AS page_id, 'https://h.example/' || cur AS final_url, n AS n_hops, CASE WHEN r.k IS NULL THEN 'no response' WHEN e = 'end' THEN NULL WHEN e = 'no location' THEN e WHEN n >= 20 THEN 'hops' WHEN e = 'location' THEN e WHEN e = 'go' THEN 'loop' ELSE 'downgrade' END AS reason FROM l LEFT JOIN r ON r.k = l.cur""")
 def n10_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page followed through a table of responses, up to 20 hops, to where its chain ends and why."""
     k = F.col("page_id")
