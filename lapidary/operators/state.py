@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapidary.operators import calc
+
 #: The states that may follow each state of a document.
 TRANSITIONS = {
     "discovered": ["downloading", "failed"],
@@ -116,3 +118,32 @@ def current_reviews(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     joined = findings.join(last, "finding_id", "left")
     open_ = F.col("outcome").isin("fail", "review") & F.col("review").isNull()
     return joined.select(*findings.columns, F.col("review.decision").alias("decision"), F.coalesce("n_current", F.lit(0)).alias("n_current"), open_.alias("reviewable"))
+
+
+#: What a stored value is of: a fact by its row, a value derived for a document or a project, a clause of a reference document.
+FACT_KEY = ("document_id", "fact_type", "extractor_version", "sheet_row")
+DERIVED_KEY = ("document_id", "project_id", "fact_type", "calculation_version")
+PROVISION_KEY = ("document_id", "provision_type", "clause", "extractor_version")
+
+
+def derived_rows(calculated: DataFrame) -> DataFrame:
+    """Calculated values as they are stored, by DERIVED_KEY; ``refused`` says why one is not.
+
+    calculated: document_id, project_id (exactly one), work_item, fact_type, calculation_version,
+    numeric_value, and inputs, an array of struct(role, fact_id, provision_id).  The type of a
+    value of a work item begins with the item, so that items of one project do not meet.  Values
+    have ten places.  Inputs stand in their row, facts before provisions and by role, so that a
+    value never stands beside another run's inputs; a null array is an empty one.
+    """
+    provision = lambda x: x["fact_id"].isNull()
+    shown = lambda x: F.concat(F.when(provision(x), F.concat(F.lit("provision:"), x["role"])).otherwise(x["role"]), F.lit("="), F.coalesce(x["fact_id"], x["provision_id"]))
+    ranked = F.transform(F.coalesce("inputs", F.array().cast(calculated.schema["inputs"].dataType)), lambda x: F.struct(provision(x).alias("p"), x["role"].alias("role"), shown(x).alias("shown"), x.alias("input")))
+    both = F.col("document_id").isNotNull() == F.col("project_id").isNotNull()
+    rows = calculated.withColumn("_ranked", F.array_sort(ranked)).withColumns({
+        "fact_type": F.concat(F.coalesce(F.concat("work_item", F.lit(":")), F.lit("")), "fact_type"),
+        "numeric_value": calc.stored(F.col("numeric_value")),
+        "inputs": F.transform("_ranked", lambda x: x["input"]),
+        "inputs_fingerprint": F.sha2(F.array_join(F.transform("_ranked", lambda x: x["shown"]), "|").cast("binary"), 256),
+        "refused": F.when(both, "exactly one of a document or a project"),
+    })
+    return rows.drop("_ranked", "work_item")

@@ -182,7 +182,7 @@ def n08_retry_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH k AS (SELECT l_orderkey, l_linenumber, max(l_shipdate) FILTER (l_returnflag <> 'N') AS old, max(l_shipdate) FILTER (l_returnflag = 'N') AS new FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, CAST(coalesce(new, old) AS DATE) AS day FROM k""")
 def m02_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2 M7 M8: an incoming row replaces the known one with its key, the last of them winning."""
+    """M2: an incoming row replaces the known one with its key, the last of them winning (without a store: `m02_facts_store` keeps one)."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")
     rows = state.upserted(lines.filter("l_returnflag <> 'N'"), lines.filter("l_returnflag = 'N'"), ["l_orderkey", "l_linenumber"], F.col("l_shipdate"))
     return rows.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))

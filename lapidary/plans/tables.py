@@ -31,9 +31,9 @@ def money(column: str):
     return F.col(column).cast("decimal(20,2)")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """Order lines as facts: a line number of an order is a work item, suppliers are documents, ship dates are versions."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").filter(where)
     return lines.select(
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("fact_id"),
         F.col("l_orderkey").alias("project_id"),
