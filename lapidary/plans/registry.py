@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapidary.plans import documents, merges, records, relational, shapes, stores, trails
+from lapidary.plans import documents, merges, records, relational, serving, shapes, stores, trails
 
-QUERIES: dict = relational.QUERIES | documents.QUERIES | shapes.QUERIES | records.QUERIES | stores.QUERIES | trails.QUERIES | merges.QUERIES
-SQL: dict[str, str] = relational.SQL | documents.SQL | shapes.SQL | records.SQL | stores.SQL | trails.SQL | merges.SQL
+QUERIES: dict = relational.QUERIES | documents.QUERIES | shapes.QUERIES | records.QUERIES | stores.QUERIES | trails.QUERIES | merges.QUERIES | serving.QUERIES
+SQL: dict[str, str] = relational.SQL | documents.SQL | shapes.SQL | records.SQL | stores.SQL | trails.SQL | merges.SQL | serving.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

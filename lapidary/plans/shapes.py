@@ -77,7 +77,7 @@ def h22_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT o_orderkey, CAST('{"id":' || o_orderkey || ',"total":"' || CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR) || '","note":null}' AS VARCHAR) AS json FROM orders""")
 def a28_json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as JSON with decimals as text and absent values shown."""
+    """Rows as JSON with decimals as text and absent values shown."""
     body = F.struct(F.col("o_orderkey").alias("id"), money("o_totalprice").cast("string").alias("total"), F.lit(None).cast("string").alias("note"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
