@@ -22,7 +22,8 @@ def band_join(rows: DataFrame, value: str, bands: DataFrame, low: str, high: str
     """Every pair of a row and a band that holds its value; rows without a band keep nulls.
 
     Few bands are broadcast after a count.  Else each value falls in one part of the range of
-    bounds and each band in all parts that it meets, and they meet there, and on the keys.
+    bounds and each band in all parts that it meets, and they meet there, and on the keys; the
+    bands are then shuffled, however small the files are that they come from.
     """
     few = bands.limit(sent + 1).count() <= sent
     if few:
@@ -33,7 +34,7 @@ def band_join(rows: DataFrame, value: str, bands: DataFrame, low: str, high: str
         edges = F.array(*(F.lit(x).cast("double") for x in sorted(set(found))))
         part = lambda c, none: F.when(c.isNull(), none).otherwise(F.size(F.filter(edges, lambda e: e <= c.cast("double"))))
         first, last = part(F.col(low), F.lit(0)), part(F.col(high), F.size(edges))
-        side = bands.withColumn("_part", F.explode(F.sequence(first, F.greatest(first, last))))
+        side = bands.withColumn("_part", F.explode(F.sequence(first, F.greatest(first, last)))).hint("merge")
         own, parts = rows.withColumn("_part", part(F.col(value), F.lit(0))), ["_part"]
     match = within(own[value], side[low], side[high])
     for key in [*on, *parts]:

@@ -1,4 +1,8 @@
-"""Rows from pages of text and from sheets of cells."""
+"""Rows from pages of text and from sheets of cells.
+
+What documents say is joined by shuffles: narrow columns of a compressed file look small enough to
+be broadcast, whatever the number of documents.
+"""
 
 from __future__ import annotations
 
@@ -73,7 +77,7 @@ def provisions(pages: DataFrame, needs: str = "true") -> DataFrame:
 
 def rate_schedules(pages: DataFrame) -> DataFrame:
     """Provisions on the estimated cost with the authority whose rule they are; a document of no known authority binds nobody and gives none."""
-    own = provisions(pages, "on_estimate").drop("on_estimate").join(authority(pages), "document_id")
+    own = provisions(pages, "on_estimate").drop("on_estimate").join(authority(pages).hint("merge"), "document_id")
     return own.withColumns({"provision_type": F.lit("bid_security_share"), "applies_to": F.lit("estimated_cost"), "currency": F.lit("INR")})
 
 
