@@ -83,17 +83,17 @@ def rate_schedules(pages: DataFrame) -> DataFrame:
 
 def sheet_header(cells: DataFrame, aliases: DataFrame, needed: str = "item", one_of: tuple[str, ...] = ("quantity", "rate")) -> DataFrame:
     """(document_id, row, col, field) of the first row with an item column and a quantity or rate column; aliases: label, field."""
-    named = cells.withColumn("label", T.header_key(F.col("value"))).join(aliases, "label")
+    named = cells.withColumn("label", T.header_key(F.col("value"))).join(F.broadcast(aliases), "label")
     rows = named.groupBy("document_id", "row").agg(F.collect_set("field").alias("fields"))
     good = rows.filter(F.array_contains("fields", needed) & F.arrays_overlap("fields", F.array(*map(F.lit, one_of))))
     first = good.groupBy("document_id").agg(F.min("row").alias("row"))
-    return named.join(first, ["document_id", "row"]).select("document_id", "row", "col", "field")
+    return named.join(first.hint("merge"), ["document_id", "row"]).select("document_id", "row", "col", "field")
 
 
 def sheet_rows(cells: DataFrame, header: DataFrame) -> DataFrame:
     """One row for each numbered line under the header; numbers are read exactly, other cells stay text."""
     head = header.select("document_id", F.col("row").alias("head"), "col", "field")
-    placed = cells.join(head, ["document_id", "col"]).filter("row > head")
+    placed = cells.join(head.hint("merge"), ["document_id", "col"]).filter("row > head")
     wide = placed.groupBy("document_id", "row").pivot("field", ["item", "description", "unit", "quantity", "rate", "amount"]).agg(F.first("value"))
     numbers = {c: T.accounting_number(F.col(c), "decimal(20,4)") for c in ("quantity", "rate", "amount")}
     return wide.filter(F.col("item").rlike(r"^[0-9]+([.\-(][0-9a-z)]+)*$")).withColumns({f"{c}_value": v for c, v in numbers.items()})

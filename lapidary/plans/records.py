@@ -427,7 +427,7 @@ def i08_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = extract.sheet_header(sheet, aliases)
     rows = extract.sheet_rows(sheet, header).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_items"), F.max("quantity_value").alias("quantity"), F.max("row").alias("row"))
     at = extract.cell_reference(F.lit("BOQ"), F.col("row"), F.when(F.col("document_id") % 2 == 0, 2).otherwise(28))
-    return rows.join(extract.project_reference(sheet).select("document_id", "reference"), "document_id").select("document_id", "n_items", F.col("quantity").cast("double").alias("quantity"), at.alias("cell"), "reference")
+    return rows.join(extract.project_reference(sheet).select("document_id", "reference").hint("merge"), "document_id").select("document_id", "n_items", F.col("quantity").cast("double").alias("quantity"), at.alias("cell"), "reference")
 
 
 @query("""

@@ -25,3 +25,13 @@ def test_rates_of_documents_are_not_broadcast(spark, tmp_path):
     assert not sent_by_document(many)
     shown = lambda x: sorted(map(tuple, x.select(*key, "clause").collect()), key=str)
     assert shown(many) == shown(few)
+
+
+def test_sheets_are_not_broadcast(spark, tmp_path):
+    cells = [(d, r, c, v) for d in range(1, 9) for r, c, v in [(1, 1, f"Project Ref: P-{d}"), (2, 1, "Item No"), (2, 2, "Quantity"), (3, 1, "1.1"), (3, 2, str(d)), (4, 1, "Total"), (4, 2, "9")]]
+    spark.createDataFrame(cells, "document_id long, row int, col int, value string").write.parquet(str(tmp_path / "cells"))
+    sheet = spark.read.parquet(str(tmp_path / "cells"))
+    aliases = spark.createDataFrame([("item no", "item"), ("quantity", "quantity")], "label string, field string")
+    rows = extract.sheet_rows(sheet, extract.sheet_header(sheet, aliases))
+    assert sorted((r.document_id, r.row, int(r.quantity_value)) for r in rows.collect()) == [(d, 3, d) for d in range(1, 9)]
+    assert not sent_by_document(rows)
