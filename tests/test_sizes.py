@@ -2,9 +2,10 @@
 
 import re
 
-import pytest
+import duckdb
 
 from lapidary.operators import bands, extract
+from lapidary.plans import shapes
 
 
 def sent_by_document(frame):
@@ -35,3 +36,16 @@ def test_sheets_are_not_broadcast(spark, tmp_path):
     rows = extract.sheet_rows(sheet, extract.sheet_header(sheet, aliases))
     assert sorted((r.document_id, r.row, int(r.quantity_value)) for r in rows.collect()) == [(d, 3, d) for d in range(1, 9)]
     assert not sent_by_document(rows)
+
+
+def test_far_from_an_estimate_is_exact(spark, tmp_path):
+    """A difference of hardly more than one percent, of exactly one percent where doubles say more, and estimates of nothing."""
+    cases = [(1_000_000.00, 1_010_000.40), (1_000_000.00, 989_999.60), (1_000_000.00, 1_010_000.00), (100.00, 101.01), (110.00, 111.10), (7.00, 7.07), (0.00, 5.00), (-10.00, 5.00)]
+    spark.createDataFrame([(i, e) for i, (e, _) in enumerate(cases)], "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "l_orderkey long, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(map(tuple, shapes.k04_against_estimate(spark, str(tmp_path)).collect()))
+    assert [r[3] for r in got] == [True, True, False, True, False, False, None, None]
+    with duckdb.connect() as duck:
+        for name in ("orders", "lineitem"):
+            duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        assert sorted(duck.execute(shapes.SQL["k04_against_estimate"]).fetchall()) == got
