@@ -3,17 +3,19 @@
 Base kinds are e-mail addresses, IP addresses, card numbers and phone numbers, found as the
 leftmost non-overlapping matches of each kind; a match that fails its check is dropped.
 
-Terms: every base match is an entity, known by its normalised value.  A word that stands
-within :data:`REACH` words of an entity, words in base matches not counted, co-occurs with it.  Over the whole corpus, and counting
+Terms: every base match is an entity, known by its normalised value.  Every word of a text,
+words in base matches not counted, co-occurs with every entity of the text, wherever both stand.  Over the whole corpus, and counting
 documents and not places, pointwise mutual information log2(N * n(t,e) / (n(t) * n(e))) says
 how much of the entity a term discloses.  It is set against the entity's information
 -log2(n(e) / N): a term whose share reaches :data:`DISCLOSURE` is as good as naming the
 entity.  Every pair is judged, also one that a single document has: a term that stands only
 beside an entity that is seen once has all of its information, a common word has little.
-Such terms are marked where they stand in reach of that entity; sanitising replaces base
+Such terms are marked wherever they stand in a text with that entity; sanitising replaces base
 matches by their kind and removes disclosing terms.
 
-Tasks count all words of their batches and Spark adds the counts up.  Pairs are sent to all
+Tasks count all words of their batches and Spark adds the counts up.  A term in more than
+N * (n(e) / N) ** share documents cannot disclose e, even if it stands in all of e's, so only
+rarer words meet the entities of their texts; that leaves no pair out.  Pairs are sent to all
 tasks while they are few (:data:`SENT_ROWS`), and joined beyond that.
 
 Nulls and ties: a null text is empty.  Rows are judged one by one; copies, repeated rows and
@@ -24,20 +26,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable, Container, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.llm.common import free_name, text_or_empty, written
+from lapidary.llm.common import dealt_join, free_name, hot_keys, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 4
 DISCLOSURE = 0.9
 SENT_ROWS = 200_000
 
@@ -109,38 +109,44 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind == "email" else f"{kind}:{''.join(DIGITS.findall(value)) if kind != 'ip' else value}"
 
 
-def context(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of each word in reach of an entity and outside all base spans."""
+def context(text: str, spans: list[tuple[str, int, int]]) -> tuple[set[str], list[tuple[str, int, int]]]:
+    """The entities of a text, and (term, start, end) of each word outside all base spans."""
     if not spans:
-        return
+        return set(), []
     starts = sorted(a for _, a, _ in spans)
     ends = sorted(b for _, _, b in spans)
-    froms, tos = array("q"), array("q")
-    for m in WORD.finditer(text):
-        # as many spans end by its start as begin before its end: none overlaps it
-        if bisect_left(starts, m.end()) == bisect_right(ends, m.start()):
-            froms.append(m.start())
-            tos.append(m.end())
-    for kind, a, b in spans:
-        name = entity_of(kind, text[a:b])
-        at = bisect_left(froms, a)
-        for i in range(max(0, at - REACH), min(len(froms), at + REACH)):
-            yield name, text[froms[i] : tos[i]].lower(), froms[i], tos[i]
-
-
-def context_udf() -> Callable[[Column], Column]:
-    """The different (entity, term) pairs of a text, and all its entities with a null term."""
-
-    @F.arrow_udf("array<struct<entity:string,term:string>>")
-    def udf(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts.to_pylist():
-            spans = base_spans(t)
-            names = {(entity_of(k, t[a:b]), None) for k, a, b in spans}
-            rows.append([{"entity": e, "term": w} for e, w in names | {(e, w) for e, w, _, _ in context(t, spans)}])
-        return pa.array(rows, pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())])))
+    # as many spans end by its start as begin before its end: none overlaps it
+    free = [(m[0].lower(), *m.span()) for m in WORD.finditer(text) if bisect_left(starts, m.end()) == bisect_right(ends, m.start())]
+    return {entity_of(kind, text[a:b]) for kind, a, b in spans}, free
 
-    return udf
+
+READ = "entities array<string>, words array<string>"
+#: Code points of text after which a task hands on what it read.
+READ_CHARS = 1 << 20
+
+
+def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different entities and words of each text (first column) that has an entity, after the other columns."""
+    for batch in batches:
+        texts, at, size = batch.column(0), 0, 0
+        rows: list[tuple[int, list[str], list[str]]] = []
+        for i in range(len(texts)):
+            text = texts[i].as_py()
+            names, words = context(text, base_spans(text))
+            if names:
+                rows.append((i, sorted(names), sorted({w for w, _, _ in words})))
+            size += len(text)
+            if size >= READ_CHARS or i + 1 == len(texts):
+                kept = batch.take(pa.array([x[0] for x in rows], pa.int64())).columns[1:]
+                lists = [pa.array([x[j] for x in rows], pa.list_(pa.string())) for j in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*kept, *lists], [*batch.schema.names[1:], "entities", "words"])
+                rows, size = [], 0
+
+
+def with_contexts(texts: DataFrame, keys: str = "") -> DataFrame:
+    """What :func:`contexts` reads of texts (text, and columns of these keys)."""
+    marked = texts.filter(F.col("text").contains("@") | F.col("text").rlike("[0-9]"))
+    return marked.mapInArrow(contexts, f"{keys}{READ}")
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,30 +161,41 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, sent_rows: int = SENT_ROWS) -> DataFrame:
     """(entity, term) of every term that gives an entity away, from all of docs (text)."""
     texts = docs.select(text_or_empty().alias("text"))
-    marked = texts.filter(F.col("text").contains("@") | F.col("text").rlike("[0-9]"))
-    found = marked.select(F.explode(context_udf()(F.col("text"))).alias("x"))
-    pairs = written(found.groupBy("x.entity", "x.term").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    entities = pairs.filter("term IS NULL").select("entity", F.col("n").alias("n_e"))
-    close = pairs.filter("term IS NOT NULL").select("entity", "term", F.col("n").alias("n_te")).join(entities, "entity")
-    n_pairs = pairs.count()
-    if not n_pairs:
-        return close.select("entity", "term")
-    everywhere = texts.mapInArrow(word_counts, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
-    scored = everywhere.join(F.broadcast(close) if n_pairs <= sent_rows else close, "term")
+    read = written(with_contexts(texts).select(F.monotonically_increasing_id().alias("row"), "*"), "contexts")
+    named = read.select("row", F.explode("entities").alias("entity"))
+    entities = written(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entities")
+    most = entities.agg(F.max("n_e")).first()[0]
+    if not most:
+        return entities.select("entity", F.col("entity").alias("term"))
     n_all = docs.count()
+    terms = texts.mapInArrow(word_counts, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
+    terms = written(terms, "words")
+    rarer = lambda n_e: F.col("n_t") <= F.lit(n_all * (1 + 1e-9)) * F.pow(n_e / F.lit(n_all), F.lit(max(disclosure, 0.0)))
+    words = dealt_join(read.select("row", F.explode("words").alias("term")), terms.filter(rarer(F.lit(most))), "term", hot_keys(terms, "term", "n_t"))
+    named = dealt_join(named, entities, "entity", hot_keys(entities, "entity", "n_e"))
+    pairs = words.join(named.hint("merge"), "row").filter(rarer(F.col("n_e"))).groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
     information = F.log2(F.lit(n_all) / F.col("n_e"))
     shared = F.log2(F.lit(n_all) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return written(scored.filter((information > 0) & (shared >= disclosure * information)).select("entity", "term"), "terms")
+    return written(pairs.filter((information > 0) & (shared >= disclosure * information)).select("entity", "term"), "terms")
 
 
 FOUND = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, clean string"
 
 
-def all_spans(text: str, disclosing: Container[tuple[str, str]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def by_term(pairs: Iterable[tuple[str, str]]) -> dict[str, set[str]]:
+    """The entities that each term gives away."""
+    found: dict[str, set[str]] = {}
+    for entity, term in pairs:
+        found.setdefault(term, set()).add(entity)
+    return found
+
+
+def all_spans(text: str, disclosing: dict[str, set[str]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, term spans) of a text."""
     base = base_spans(text)
-    terms = {(a, b) for e, w, a, b in context(text, base) if (e, w) in disclosing}
-    return base, [("term", a, b) for a, b in sorted(terms)]
+    names, words = context(text, base)
+    telling = {w for w in {w for w, _, _ in words} & disclosing.keys() if not names.isdisjoint(disclosing[w])}
+    return base, [("term", a, b) for w, a, b in words if w in telling]
 
 
 def sanitised_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -200,7 +217,7 @@ def found_udf(sent: Broadcast | None, clean: bool) -> Callable[[Column, Column],
     def udf(texts: pa.Array, own: pa.Array) -> pa.Array:
         rows = []
         for t, pairs in zip(texts.to_pylist(), own.to_pylist(), strict=True):
-            disclosing = sent.value if sent else {(p["entity"], p["term"]) for p in pairs or ()}
+            disclosing = sent.value if sent else by_term((p["entity"], p["term"]) for p in pairs or ())
             base, terms = all_spans(t, disclosing)
             shown = [",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in (base, base + terms)]
             count = Counter(k for k, _, _ in base)
@@ -218,13 +235,15 @@ def personal_data(docs: DataFrame, clean: bool = False, disclosure: float = DISC
     some = terms.limit(sent_rows + 1).collect()
     pairs = F.lit(None).cast("array<struct<entity:string,term:string>>")
     if len(some) <= sent_rows:
-        sent = docs.sparkSession.sparkContext.broadcast({(r.entity, r.term) for r in some})
+        sent = docs.sparkSession.sparkContext.broadcast(by_term((r.entity, r.term) for r in some))
         return docs.withColumn(name, found_udf(sent, clean)(text_or_empty(), pairs))
     # Too many pairs to send: each text gets those of its own pairs that disclose, by the text's digest.
     text = text_or_empty()
     key, own = (free_name(x, [*docs.columns, name]) for x in ("key", "pairs"))
-    texts = docs.select(F.sha2(text.cast("binary"), 256).alias(key), F.explode(context_udf()(text)).alias("x"))
-    listed = texts.select(key, "x.*").distinct().join(terms, ["entity", "term"]).groupBy(key).agg(F.collect_set(F.struct("entity", "term")).alias(own))
+    texts = docs.select(text.alias("text"), F.sha2(text.cast("binary"), 256).alias(key))
+    read = written(with_contexts(texts, f"{key} string, ").dropDuplicates([key]), "contexts")
+    told = read.select(key, F.explode("words").alias("term")).join(terms.hint("merge"), "term")
+    listed = told.join(read.select(key, F.explode("entities").alias("entity")), [key, "entity"], "left_semi").groupBy(key).agg(F.collect_set(F.struct("entity", "term")).alias(own))
     joined = docs.withColumn(key, F.sha2(text.cast("binary"), 256)).join(listed, key, "left")
     return joined.withColumn(name, found_udf(None, clean)(text, F.col(own))).drop(key, own)
 
