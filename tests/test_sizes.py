@@ -6,6 +6,7 @@ import duckdb
 
 from lapidary.operators import bands, extract
 from lapidary.plans import shapes
+from lapidary.sources import workbooks
 
 
 def sent_by_document(frame):
@@ -49,3 +50,16 @@ def test_far_from_an_estimate_is_exact(spark, tmp_path):
         for name in ("orders", "lineitem"):
             duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
         assert sorted(duck.execute(shapes.SQL["k04_against_estimate"]).fetchall()) == got
+
+
+def test_workbooks_are_made_and_read_one_at_a_time(spark):
+    """Neither a task's workbooks nor their cells are held at once: both are steps over rows, and sheets are read once."""
+    rows = spark.range(3000).selectExpr("id % 60 AS k", "CAST(id DIV 60 + 1 AS int) AS row", "1 AS col", "CAST(id AS string) AS value", "'number' AS kind")
+    books = workbooks.made(rows, "k")
+    found = workbooks.cells(books, "k")
+    assert found.count() == 3000 and found.filter("reason IS NOT NULL OR truncated").isEmpty()
+    around = spark.range(60).selectExpr("id AS k", "CAST(id AS int) AS at")
+    near = workbooks.window(found, "k", around)
+    assert near.count() == sum(1 for k in range(60) for row in range(1, 51) if abs(row - k) <= 12) and near.filter("NOT more").isEmpty()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan
