@@ -3,7 +3,10 @@
 import re
 
 import duckdb
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from lapidary.functions import markup
 from lapidary.operators import bands, extract
 from lapidary.plans import shapes
 from lapidary.sources import workbooks
@@ -63,3 +66,19 @@ def test_workbooks_are_made_and_read_one_at_a_time(spark):
     assert near.count() == sum(1 for k in range(60) for row in range(1, 51) if abs(row - k) <= 12) and near.filter("NOT more").isEmpty()
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan
+
+
+def test_pages_are_scanned_in_small_steps(spark, monkeypatch):
+    """Links of a batch of pages are not all held as Python objects: they go to Arrow every so many."""
+    pages = [("<a href=/x>" * n,) for n in (0, 3, 5000, 5001, 1)] + [(None,)]
+    sizes = []
+    monkeypatch.setattr(markup, "STEP_LINKS", 4)
+    made = pa.array
+    scan = markup.links_of
+    monkeypatch.setattr(markup.pa, "array", lambda x, *kind: sizes.append(sum(len(y["links"]) for y in x)) or made(x, *kind))
+    got = scan(made([p for p, in pages]), 5000)
+    monkeypatch.undo()
+    assert [(len(x["links"]), x["more"]) for x in got.to_pylist()] == [(0, False), (3, False), (5000, False), (5000, True), (1, False), (0, False)]
+    assert max(sizes) == 5000 and len(sizes) > 3
+    frame = spark.createDataFrame(pages, "html string").select(markup.links(F.col("html")).alias("x")).select(F.size("x.links"), "x.more")
+    assert sorted(map(tuple, frame.collect())) == [(0, False), (0, False), (1, False), (3, False), (5000, False), (5000, True)]
