@@ -3,7 +3,7 @@
 Writing is a Spark data source: tasks put contents into a folder of their own attempt and report
 what they wrote; the commit moves each content to its key, and an abort removes the folders.
 A key that is there already is left alone if its bytes are the same, and is an error if they
-are not.  So a task that runs twice, a second run and two writers of the same content end alike.
+are not.  Tasks stage only what is not stored yet, so a second run leaves nothing to move.  So a task that runs twice, a second run and two writers of the same content end alike.
 What the driver moves in a commit is names: contents never pass it.
 
 The store is a folder that driver and tasks can open as files.  :func:`audited` reads every
@@ -48,6 +48,18 @@ def placed(staged: str, final: str) -> bool:
         return False
 
 
+def is_stored(content: bytes, final: str) -> bool:
+    """Whether the key has these bytes already; other bytes under it are an error."""
+    try:
+        with open(final, "rb") as file:
+            same = file.read(len(content) + 1) == content
+    except FileNotFoundError:
+        return False
+    if not same:
+        raise ValueError(f"another content is stored under {final}")
+    return True
+
+
 class StoreWriter(DataSourceWriter):
     def __init__(self, root: str) -> None:
         self.root = root.removeprefix("file://")
@@ -61,6 +73,8 @@ class StoreWriter(DataSourceWriter):
             content = bytes(row["content"])
             if hashlib.sha256(content).hexdigest() != row["key"].rsplit("/", 1)[-1].split(".")[0]:
                 raise ValueError(f"content does not have the digest of {row['key']}")
+            if is_stored(content, os.path.join(self.root, row["key"])):
+                continue
             path = os.path.join(folder, str(len(keys)))
             with open(path, "wb") as file:
                 file.write(content)

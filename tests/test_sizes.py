@@ -1,15 +1,17 @@
 """What must not depend on how large the tables are."""
 
+import hashlib
 import re
 
 import duckdb
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lapidary.functions import markup
 from lapidary.operators import bands, extract
 from lapidary.plans import shapes
-from lapidary.sources import workbooks
+from lapidary.sources import store, workbooks
 
 
 def sent_by_document(frame):
@@ -82,3 +84,17 @@ def test_pages_are_scanned_in_small_steps(spark, monkeypatch):
     assert max(sizes) == 5000 and len(sizes) > 3
     frame = spark.createDataFrame(pages, "html string").select(markup.links(F.col("html")).alias("x")).select(F.size("x.links"), "x.more")
     assert sorted(map(tuple, frame.collect())) == [(0, False), (0, False), (1, False), (3, False), (5000, False), (5000, True)]
+
+
+def test_a_second_run_stages_nothing(monkeypatch, tmp_path):
+    contents = [f"page {i}".encode() for i in range(5)]
+    rows = [{"key": f"raw/x/{hashlib.sha256(c).hexdigest()}.html", "content": c} for c in contents]
+    monkeypatch.setattr(store.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    for expected in (5, 0):
+        writer = store.StoreWriter(str(tmp_path))
+        message = writer.write(iter(rows))
+        writer.commit([message])
+        assert len(message.keys) == expected
+    (tmp_path / rows[0]["key"]).write_bytes(b"other")
+    with pytest.raises(ValueError, match="another content"):
+        store.StoreWriter(str(tmp_path)).write(iter(rows))
