@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lapidary.llm.common import dealt_join, free_name, hot_keys, text_or_empty, written
 
@@ -143,10 +144,14 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, size = [], 0
 
 
+def has_digit_or_at(text: Column) -> Column:
+    """No text without either has an entity."""
+    return text.contains("@") | text.rlike("[0-9]")
+
+
 def with_contexts(texts: DataFrame, keys: str = "") -> DataFrame:
     """What :func:`contexts` reads of texts (text, and columns of these keys)."""
-    marked = texts.filter(F.col("text").contains("@") | F.col("text").rlike("[0-9]"))
-    return marked.mapInArrow(contexts, f"{keys}{READ}")
+    return texts.filter(has_digit_or_at(F.col("text"))).mapInArrow(contexts, f"{keys}{READ}")
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,25 +163,37 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"])
 
 
-def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, sent_rows: int = SENT_ROWS) -> DataFrame:
-    """(entity, term) of every term that gives an entity away, from all of docs (text)."""
+def judged_pairs(docs: DataFrame, disclosure: float) -> tuple[DataFrame, DataFrame]:
+    """(key, entity, term) of each text and each of its pairs that are rare enough to disclose, and (entity, term) of all that do; key is the text's digest."""
     texts = docs.select(text_or_empty().alias("text"))
-    read = written(with_contexts(texts).select(F.monotonically_increasing_id().alias("row"), "*"), "contexts")
-    named = read.select("row", F.explode("entities").alias("entity"))
+    keyed = texts.select("text", digest_of(F.col("text")).alias("key"))
+    read = written(with_contexts(keyed, "key string, ").select(F.monotonically_increasing_id().alias("row"), "*"), "contexts")
+    named = read.select("row", "key", F.explode("entities").alias("entity"))
     entities = written(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entities")
     most = entities.agg(F.max("n_e")).first()[0]
     if not most:
-        return entities.select("entity", F.col("entity").alias("term"))
+        return entities.select(F.col("entity").alias("key"), "entity", F.col("entity").alias("term")), entities.select("entity", F.col("entity").alias("term"))
     n_all = docs.count()
     terms = texts.mapInArrow(word_counts, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
     terms = written(terms, "words")
     rarer = lambda n_e: F.col("n_t") <= F.lit(n_all * (1 + 1e-9)) * F.pow(n_e / F.lit(n_all), F.lit(max(disclosure, 0.0)))
     words = dealt_join(read.select("row", F.explode("words").alias("term")), terms.filter(rarer(F.lit(most))), "term", hot_keys(terms, "term", "n_t"))
     named = dealt_join(named, entities, "entity", hot_keys(entities, "entity", "n_e"))
-    pairs = words.join(named.hint("merge"), "row").filter(rarer(F.col("n_e"))).groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
+    pairs = written(words.join(named.hint("merge"), "row").filter(rarer(F.col("n_e"))).select("key", "entity", "term", "n_e", "n_t"), "pairs")
+    counted = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
     information = F.log2(F.lit(n_all) / F.col("n_e"))
     shared = F.log2(F.lit(n_all) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return written(pairs.filter((information > 0) & (shared >= disclosure * information)).select("entity", "term"), "terms")
+    disclosing = written(counted.filter((information > 0) & (shared >= disclosure * information)).select("entity", "term"), "terms")
+    return pairs.select("key", "entity", "term"), disclosing
+
+
+def digest_of(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """(entity, term) of every term that gives an entity away, from all of docs (text)."""
+    return judged_pairs(docs, disclosure)[1]
 
 
 FOUND = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, clean string"
@@ -229,23 +246,35 @@ def found_udf(sent: Broadcast | None, clean: bool) -> Callable[[Column, Column],
     return udf
 
 
+@F.arrow_udf(BooleanType())
+def has_entity(texts: pa.Array) -> pa.Array:
+    return pa.array([bool(base_spans(t)) for t in texts.to_pylist()], pa.bool_())
+
+
+def nothing_found(text: Column, clean: bool) -> Column:
+    """What is found in a text without an entity."""
+    values = [*["0"] * 4, hashlib.sha256(b"").hexdigest(), ""]
+    cells = [*map(F.lit, values), text if clean else F.lit(None)]
+    return F.struct(*(c.cast(kind).alias(name) for c, (name, kind) in zip(cells, map(str.split, FOUND.split(", ")), strict=True)))
+
+
 def personal_data(docs: DataFrame, clean: bool = False, disclosure: float = DISCLOSURE, sent_rows: int = SENT_ROWS, name: str = "found") -> DataFrame:
     """docs with a struct (``found``, or by another name): counts by kind, digest of the base spans, all spans and, on request, the sanitised text."""
-    terms = disclosing_terms(docs, disclosure, sent_rows)
+    judged, terms = judged_pairs(docs, disclosure)
     some = terms.limit(sent_rows + 1).collect()
     pairs = F.lit(None).cast("array<struct<entity:string,term:string>>")
     if len(some) <= sent_rows:
         sent = docs.sparkSession.sparkContext.broadcast(by_term((r.entity, r.term) for r in some))
         return docs.withColumn(name, found_udf(sent, clean)(text_or_empty(), pairs))
-    # Too many pairs to send: each text gets those of its own pairs that disclose, by the text's digest.
+    # Too many pairs to send: texts with an entity get those of their own pairs that disclose, by the text's digest.  Other texts are not shuffled.
     text = text_or_empty()
     key, own = (free_name(x, [*docs.columns, name]) for x in ("key", "pairs"))
-    texts = docs.select(text.alias("text"), F.sha2(text.cast("binary"), 256).alias(key))
-    read = written(with_contexts(texts, f"{key} string, ").dropDuplicates([key]), "contexts")
-    told = read.select(key, F.explode("words").alias("term")).join(terms.hint("merge"), "term")
-    listed = told.join(read.select(key, F.explode("entities").alias("entity")), [key, "entity"], "left_semi").groupBy(key).agg(F.collect_set(F.struct("entity", "term")).alias(own))
-    joined = docs.withColumn(key, F.sha2(text.cast("binary"), 256)).join(listed, key, "left")
-    return joined.withColumn(name, found_udf(None, clean)(text, F.col(own))).drop(key, own)
+    told = judged.join(terms.hint("merge"), ["entity", "term"])
+    listed = told.groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("entity", "term")).alias(own))
+    has = F.coalesce(has_digit_or_at(text) & has_entity(text), F.lit(False))
+    plain = docs.filter(~has).withColumn(name, nothing_found(text, clean))
+    joined = docs.filter(has).withColumn(key, digest_of(text)).join(listed.hint("merge"), key, "left")
+    return plain.unionByName(joined.withColumn(name, found_udf(None, clean)(text, F.col(own))).drop(key, own))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
