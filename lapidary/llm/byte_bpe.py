@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -199,18 +200,28 @@ def digested(text: Column, path: str, pattern: str) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256): encodes each text, then decodes its ids, without returning either."""
 
     @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def udf(texts: pa.Array) -> pa.Array:
-        own, counts, ids_sha, back_sha = encoder(path, pattern), [], [], []
-        for t in texts:
-            ids = own.encode(t.as_py())
-            counts.append(ids.count(" ") + 1 if ids else 0)
-            ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-            back_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from digests(batches, encoder(path, pattern))
 
     return udf(text)
 
 
+def digests(batches: Iterator[pa.Array], own: Encoder) -> Iterator[pa.Array]:
+    """What :func:`digested` says of each batch of a task; what was remembered goes with the task, as its worker lives on for other steps."""
+    try:
+        for texts in batches:
+            counts, ids_sha, back_sha = [], [], []
+            for t in texts:
+                ids = own.encode(t.as_py())
+                counts.append(ids.count(" ") + 1 if ids else 0)
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                back_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+    finally:
+        own.pieces.clear()
+        own.pairs.clear()
+
+
 def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs."""
     own_path, own_pattern = public_vocabulary()

@@ -2,6 +2,7 @@ import base64
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -54,3 +55,12 @@ def test_frames(spark, pair):
     back = back.select("text", byte_bpe.decoded(F.col("e.ids"), path, pattern).cast("string").alias("again"))
     assert all(r.text == r.again for r in back.collect())
     assert byte_bpe.token_digests(docs.limit(0)).collect() == []
+
+
+def test_a_task_leaves_nothing_behind(pair):
+    """A worker is used again by other steps, so what a task remembered does not stay in it."""
+    own = pair[0]
+    own.encode("left from before, unlikelyword")
+    found = byte_bpe.digests(iter([pa.array(["unlikelyword otherword", ""]), pa.array(["thirdword"])]), own)
+    assert next(found).to_pylist()[1]["n_tokens"] == 0 and own.pieces
+    assert len(list(found)) == 1 and not own.pieces and not own.pairs
