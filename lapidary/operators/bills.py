@@ -2,13 +2,16 @@
 
 Two layouts: in the vertical one, under a heading with column headers, every part of a row
 has a line of its own; else a row is one line that ends in unit, quantity, rate and amount.
-Documents are independent of each other, and bounded by what a page reader hands on, so
-windows run within one document.  Nothing is left out for its arithmetic: rows say how
-their figures agree, and a block that holds two rows is refused with a reason.
+Documents are independent of each other, and bounded by what a page reader hands on, so each
+is read as one row with an array of its lines, in order: pages are shuffled once, and lines are
+neither sorted nor shuffled.  Nothing is left out for its arithmetic: rows say how their figures
+agree, and a block that holds two rows is refused with a reason.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +26,15 @@ QUANTITY = r"\(?[0-9][0-9,]*(?:\.[0-9]+)?\)?"
 MONEY = r"\(?[0-9][0-9,]*\.[0-9]{2}\)?"
 MONEY_LINE = r"^\(?[0-9,]+\.[0-9]{2}\)?$"
 UNIT_LINE = rf"(?i)^(?:{WORD_UNITS}|{UNITS})\.?$"
-ROW_LINE = rf"(?i)^(.*?)((?<![A-Za-z])(?:{WORD_UNITS})|{UNITS})\.?\s*({QUANTITY})\s+({MONEY})\s+({MONEY})\s*$"
+#: A unit is tried only where letters stand before a figure.
+ROW_LINE = rf"(?i)^(.*?)(?=[a-z]{{1,7}}[23]?\.?\s*\(?[0-9])((?<![A-Za-z])(?:{WORD_UNITS})|{UNITS})\.?\s*({QUANTITY})\s+({MONEY})\s+({MONEY})\s*$"
 BARE_TRIPLE = rf"^({QUANTITY})\s+({MONEY})\s+({MONEY})\s*$"
 HEADING = r"(?i)Bill\s+of\s+Quantities\s*\(BOQ\)|Priced\s+Bill\s+of\s+Quantit"
 RATE_HEADER, QUANTITY_HEADER = r"(?m)^\s*Rate(\s+per)?\s*$", r"(?m)^\s*Quantity\s*$"
+MONEY_END = r"\.[0-9]{2}\)?\s*$"
 ITEM_LINE = r"^([0-9]{1,3})(?:\s+(\S.*))?$"
 NESTED_ITEM = r"^([0-9]+(?:\.[0-9]+)*)(?=\s|[A-Za-z])\s*(.*)$"
-SUB_ITEM = r"(?i)^\(([a-z])\)$"
+SUB_ITEM = r"(?i)^\([a-z]\)$"
 PAGE_MARKER = r"^[IVXL]+-[0-9]+$"
 TOTAL_LABEL = r"(?i)^(?:Grand\s+)?Total(?:\s+(?:Estimated\s+)?(?:Cost|Amount|Price))?$"
 SECTION_TOTAL = r"(?i)^(?:Sub-?)?Total\b.*?[0-9,]+\.[0-9]{2}\s*$"
@@ -41,172 +46,203 @@ ROW = ("document_id", "layout", "order", "item", "description", "unit", "quantit
 
 
 def groups(text: Column, pattern: str, n: int) -> Column:
-    """The n groups of a pattern that spans the whole text, from one match; null where it does not match."""
-    marked = F.split(F.regexp_replace(text, pattern, "\x01".join(f"${i + 1}" for i in range(n)) + "\x01"), "\x01")
-    return F.when(F.size(marked) == n + 1, marked)
+    """The n groups of a pattern that spans the whole text, from one match; one element where it does not match."""
+    return F.split(F.regexp_replace(text, pattern, "\x01".join(f"${i + 1}" for i in range(n)) + "\x01"), "\x01")
+
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once; within a lambda Spark would do it for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """(document_id, page, line, text): every line of every page, blanks at its ends cut off."""
-    split = pages.select("document_id", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r\f\x0B]")).alias("line", "text"))
-    return split.withColumn("text", F.btrim(F.translate("text", "\x01", " "), F.lit(" \t\xa0")))
 
+def documents(pages: DataFrame) -> DataFrame:
+    """(document_id, from_page, lines): the lines of each document in order, as struct(page, text) with blanks at the ends cut off.
 
-def table_pages(pages: DataFrame) -> DataFrame:
-    """(document_id, from_page): where a vertical table begins, in documents that have one."""
+    Where there is a vertical table, from_page is its first page and lines begin there; else it is null.
+    """
     text = F.col("text")
-    return pages.filter(text.rlike(HEADING) & text.rlike(RATE_HEADER) & text.rlike(QUANTITY_HEADER)).groupBy("document_id").agg(F.min("page").alias("from_page"))
+    table = text.rlike(HEADING) & text.rlike(RATE_HEADER) & text.rlike(QUANTITY_HEADER)
+    together = pages.select("document_id", "page", "text").repartition("document_id")
+    found = together.groupBy("document_id").agg(F.min(F.when(table, F.col("page"))).alias("from_page"), F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))).alias("pages"))
+    own = F.filter(F.array_sort("pages"), lambda p: F.col("from_page").isNull() | (p["page"] >= F.col("from_page")))
+    shown = lambda x: F.btrim(F.translate(x, "\x01", " "), F.lit(" \t\xa0"))
+    lines = F.transform(own, lambda p: F.transform(F.split(p["text"], r"\r\n|[\n\r\f\x0B]"), lambda x: F.struct(p["page"].alias("page"), shown(x).alias("text"))))
+    return found.select("document_id", "from_page", F.flatten(lines).alias("lines"))
 
 
 FIGURES = ("quantity", "rate", "amount")
 
 
+def read_figures(literals: Column) -> Column:
+    """Printed figures as numbers.  They are read before rows are exploded, so that no later use of a number reads it again."""
+    return F.transform(literals, calc.figure)
+
+
 def figures(frame: DataFrame) -> DataFrame:
-    """Numbers from the three figures, how they agree, and the row's place in its bill."""
-    read = frame.select("*", *(F.col(f"{c}_read.value").cast("decimal(20,4)").alias(c) for c in FIGURES), calc.consistency(*(F.col(f"{c}_read") for c in FIGURES)).alias("consistency"))
-    return read.withColumn("order", F.row_number().over(Window.partitionBy("document_id").orderBy("place")))
+    """Numbers from the three figures in ``read``, and how they agree."""
+    read = [F.get("read", F.lit(i)) for i in range(3)]
+    return frame.select("*", *(x["value"].cast("decimal(20,4)").alias(c) for c, x in zip(FIGURES, read, strict=True)), calc.consistency(*read).alias("consistency"))
 
 
 # One row on each line.
 
 
-def line_kinds(pages: DataFrame) -> DataFrame:
-    """Lines of documents without a vertical table, with what each of them is."""
-    lines = page_lines(pages).join(table_pages(pages), "document_id", "left_anti")
-    order = Window.partitionBy("document_id").orderBy("page", "line")
-    text = F.col("text")
-    skipped = (text == "") | text.rlike(PAGE_MARKER) | text.rlike(SECTION_TOTAL)
-    read = lines.withColumns({"skipped": skipped, "parts": F.when(~skipped, groups(text, ROW_LINE, 5))})
-    is_unit = ~F.col("skipped") & F.col("parts").isNull() & text.rlike(UNIT_LINE)
-    read = read.withColumn("unit_above", F.lag(F.when(is_unit, text)).over(order))
-    bare = F.when(~F.col("skipped") & F.col("parts").isNull() & F.col("unit_above").isNotNull(), groups(text, BARE_TRIPLE, 3))
-    read = read.withColumn("bare", bare)
-    priced = F.col("parts").isNotNull() | F.col("bare").isNotNull()
-    head = F.trim(F.get("parts", F.lit(0)))
-    read = read.withColumns({"priced": priced, "head": head, "numbered": F.when(~F.col("skipped") & F.col("bare").isNull(), groups(F.coalesce(head, text), NESTED_ITEM, 2))})
-    begins = (F.col("numbered").isNotNull() & ~F.col("priced")).cast("int") + F.coalesce(F.lag(F.col("priced").cast("int")).over(order), F.lit(0))
-    return read.withColumns({"item": F.last(F.get("numbered", F.lit(0)), ignorenulls=True).over(order), "block": F.sum(begins).over(order)})
+def line_kinds(lines: Column) -> Column:
+    """Lines of a document without a vertical table, with what each of them may be: a row, the figures of one, a unit, a numbered text."""
+    skipped = lambda t: (t == "") | t.rlike(PAGE_MARKER) | t.rlike(SECTION_TOTAL)
+    matched = lambda text, pattern, n, may: F.when(may, let(groups(text, pattern, n), lambda g: F.when(F.size(g) == n + 1, g)))
+    # A row ends in money, and so do figures below a unit.
+    rows = F.transform(lines, lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"), skipped(x["text"]).alias("skipped"), x["text"].rlike(MONEY_END).alias("ends")))
+    rows = F.transform(rows, lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"), x["skipped"].alias("skipped"), x["ends"].alias("ends"), matched(x["text"], ROW_LINE, 5, ~x["skipped"] & x["ends"]).alias("parts")))
 
+    def kind(x: Column) -> Column:
+        open_ = ~x["skipped"] & x["parts"].isNull()
+        head = F.trim(F.get(x["parts"], F.lit(0)))
+        return F.struct(
+            x["page"].alias("page"), x["text"].alias("text"), x["skipped"].alias("skipped"), x["parts"].alias("parts"), head.alias("head"),
+            matched(x["text"], BARE_TRIPLE, 3, open_ & x["ends"]).alias("bare"), F.when(open_ & x["text"].rlike(UNIT_LINE), x["text"]).alias("unit"),
+            matched(F.coalesce(head, x["text"]), NESTED_ITEM, 2, ~x["skipped"]).alias("numbered"),
+        )
 
-def line_rows(pages: DataFrame) -> DataFrame:
-    """Rows of the one-line layout: an item number holds until the next, and lines since the last row describe the row."""
-    lines = line_kinds(pages)
-    piece = F.when(~F.col("skipped") & ~F.col("priced"), F.coalesce(F.get("numbered", F.lit(1)), F.col("text")))
-    place = F.struct("page", "line")
-    cell = lambda i: F.coalesce(F.get("parts", F.lit(i + 2)), F.get("bare", F.lit(i)))
-    row = F.struct(
-        place.alias("place"), "item", "head", F.when(F.col("parts").isNotNull(), F.get("numbered", F.lit(1))).alias("own"),
-        F.regexp_replace(F.coalesce(F.get("parts", F.lit(1)), F.col("unit_above")), r"\.+$", "").alias("unit"),
-        *(cell(i).alias(f"{c}_literal") for i, c in enumerate(("quantity", "rate", "amount"))),
-    )
-    blocks = lines.groupBy("document_id", "block").agg(
-        F.array_sort(F.collect_list(F.when(piece != "", F.struct("page", "line", piece.alias("piece"))))).alias("context"), F.max(F.when(F.col("priced"), row)).alias("row")
-    )
-    context = F.transform(F.slice("context", 1, MOST_CONTEXT), lambda x: x["piece"])
-    shown = F.coalesce(F.trim("row.own"), F.concat_ws(" ", F.array_join(context, " "), F.nullif(F.col("row.head"), F.lit(""))))
-    found = blocks.filter("row IS NOT NULL").select("document_id", "row.*", F.left(F.trim(shown), F.lit(MOST_CHARS)).alias("description"))
-    found = found.withColumns({f"{c}_read": calc.figure(F.col(f"{c}_literal")) for c in FIGURES})
-    read = figures(found).withColumns({"layout": F.lit("line"), "page": F.col("place.page"), "item": F.coalesce("item", F.concat(F.lit("row "), F.col("order")))})
-    return read.select(*ROW)
+    return F.transform(rows, kind)
 
 
-def line_totals(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """(document_id, stated_total, literal, page): the first bare total that is not less than the sum of the rows, which can only total the whole."""
-    lines = page_lines(pages).join(table_pages(pages), "document_id", "left_anti")
-    value = T.accounting_number(F.regexp_extract("text", INLINE_TOTAL, 1), "decimal(20,4)")
-    stated = lines.filter(F.col("text").rlike(INLINE_TOTAL)).select("document_id", F.struct("page", "line").alias("place"), F.col("text").alias("literal"), value.alias("value")).filter("value > 0")
-    sums = rows.groupBy("document_id").agg(F.sum("amount").alias("sum"))
-    fit = stated.join(sums, "document_id", "left").filter(F.col("value") >= F.coalesce("sum", F.lit(0)))
-    first = fit.groupBy("document_id").agg(F.min_by(F.struct("value", "literal", "place"), "place").alias("first"))
-    return first.select("document_id", F.col("first.value").alias("stated_total"), F.col("first.literal").alias("literal"), F.col("first.place.page").alias("page"))
+LINE_ROW = "page int, item string, head string, own string, unit string, quantity_literal string, rate_literal string, amount_literal string, context array<string>"
 
 
-# Every part of a row on its own line.
+def folded_rows(kinds: Column) -> Column:
+    """The rows in the kinds of a document's lines: an item number holds until the next, and lines since the last row or item describe the row."""
+    nothing = F.struct(F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("item"), F.array().cast("array<string>").alias("pieces"), F.array().cast(f"array<struct<{LINE_ROW.replace(' ', ':').replace(',:', ',')}>>").alias("rows"))
 
+    def read(done: Column, x: Column) -> Column:
+        bare = done["unit"].isNotNull() & x["bare"].isNotNull()
+        priced = bare | x["parts"].isNotNull()
+        number = lambda i: F.when(~bare, F.get(x["numbered"], F.lit(i)))
+        above = F.when(number(0).isNotNull() & ~priced, F.array().cast("array<string>")).otherwise(done["pieces"])
+        piece = F.coalesce(number(1), x["text"])
+        more = F.when(x["skipped"] | (piece == "") | (F.size(above) >= MOST_CONTEXT), above).otherwise(F.concat(above, F.array(piece)))
+        item = F.coalesce(number(0), done["item"])
+        cell = lambda i: F.coalesce(F.get(x["parts"], F.lit(i + 2)), F.get(x["bare"], F.lit(i)))
+        row = F.struct(
+            x["page"].cast("int").alias("page"), item.alias("item"), x["head"].alias("head"), F.when(x["parts"].isNotNull(), number(1)).alias("own"),
+            F.regexp_replace(F.coalesce(F.get(x["parts"], F.lit(1)), done["unit"]), r"\.+$", "").alias("unit"), *(cell(i).alias(f"{c}_literal") for i, c in enumerate(FIGURES)), above.alias("context"),
+        )
+        return F.struct(
+            x["unit"].alias("unit"), item.alias("item"), F.when(priced, F.array().cast("array<string>")).otherwise(more).alias("pieces"), F.when(priced, F.concat(done["rows"], F.array(row))).otherwise(done["rows"]).alias("rows")
+        )
+
+    return F.aggregate(kinds, nothing, read, lambda done: done["rows"])
 
-def accepted_starts(candidates: Column) -> Column:
-    """Of (place, number) pairs in order, the places whose numbers go 1, 2, 3, ...; others are numbers within the text."""
-    nothing = F.array().cast("array<bigint>")
-    return F.aggregate(candidates, nothing, lambda done, x: F.when(x["number"] == F.size(done) + 1, F.concat(done, F.array(x["place"]))).otherwise(done))
 
+def line_rows(pages: DataFrame) -> DataFrame:
+    """Rows of the one-line layout."""
+    literals = lambda row: F.array(*(row[f"{c}_literal"] for c in FIGURES))
+    rows = F.transform(folded_rows(line_kinds(F.col("lines"))), lambda row: F.struct(row.alias("row"), read_figures(literals(row)).alias("read")))
+    found = documents(pages).filter("from_page IS NULL").select("document_id", F.posexplode(rows).alias("place", "found"))
+    found = found.select("document_id", (F.col("place") + 1).alias("order"), "found.row.*", "found.read")
+    shown = F.coalesce(F.trim("own"), F.concat_ws(" ", F.array_join("context", " "), F.nullif(F.col("head"), F.lit(""))))
+    found = figures(found).withColumns({"description": F.left(F.trim(shown), F.lit(MOST_CHARS)), "layout": F.lit("line"), "item": F.coalesce("item", F.concat(F.lit("row "), F.col("order")))})
+    return found.select(*ROW)
+
+
+def line_totals(found: DataFrame) -> DataFrame:
+    """(document_id, total) of documents without a vertical table: struct(page, text, value) of the first bare total that is not less than the sum of the rows, which can only total the whole."""
+    number = lambda text: T.accounting_number(text, "decimal(20,4)")
+    stated = F.transform(F.filter("lines", lambda x: x["text"].rlike(INLINE_TOTAL)), lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"), number(F.regexp_extract(x["text"], INLINE_TOTAL, 1)).alias("value")))
+    rows = F.transform(folded_rows(line_kinds(F.col("lines"))), lambda row: T.accounting_number(row["amount_literal"], "decimal(18,6)").cast("decimal(20,4)"))
+    # Exploded, so that rows are read once, and only where a total is stated.
+    read = found.filter("from_page IS NULL").select("document_id", stated.alias("stated"), "lines")
+    read = read.select("document_id", F.explode(F.transform(F.filter(F.array("stated"), lambda x: F.size(x) > 0), lambda x: F.struct(x.alias("stated"), rows.alias("amounts")))).alias("x"))
+    zero = F.lit(0).cast("decimal(30,4)")
+    least = F.aggregate("x.amounts", zero, lambda done, v: F.coalesce((done + v).cast("decimal(30,4)"), done))
+    return read.select("document_id", "x.stated", least.alias("least")).select("document_id", F.explode(F.slice(F.filter("stated", lambda x: (x["value"] > 0) & (x["value"] >= F.col("least"))), 1, 1)).alias("total"))
 
-def table_lines(pages: DataFrame) -> DataFrame:
-    """(document_id, page, place, text, number, rest): lines from the table's page on, with what an item's first line says; places are in order."""
-    lines = page_lines(pages.join(table_pages(pages), "document_id").filter("page >= from_page")).filter("text <> ''").filter(~F.col("text").rlike(PAGE_MARKER))
-    place = F.shiftleft(F.col("page").cast("bigint"), 32) + F.col("line")
-    parts = lines.withColumns({"place": place, "parts": groups(F.col("text"), ITEM_LINE, 2)})
-    return parts.select("document_id", "page", "place", "text", F.get("parts", F.lit(0)).alias("number"), F.get("parts", F.lit(1)).alias("rest"))
 
+# Every part of a row on its own line.
 
-def outlines(lines: DataFrame) -> DataFrame:
-    """(document_id, starts, total_at): where each document's items start, and the first line behind the first item that labels the total."""
-    candidate = F.when(F.col("number").isNotNull(), F.struct("place", F.col("number").cast("int").alias("number")))
-    label = F.when(F.col("text").rlike(TOTAL_LABEL), F.col("place"))
-    found = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(candidate)).alias("candidates"), F.collect_list(label).alias("labels"))
-    found = found.select("document_id", accepted_starts(F.col("candidates")).alias("starts"), "labels")
-    return found.select("document_id", "starts", F.array_min(F.filter("labels", lambda x: x > F.coalesce(F.get("starts", F.lit(0)), F.lit(0)))).alias("total_at"))
 
+def accepted_starts(candidates: Column) -> Column:
+    """Of (place, number) pairs in order, the places whose numbers go 1, 2, 3, ...; others are numbers within the text."""
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(candidates, nothing, lambda done, x: F.when(x["number"] == F.size(done) + 1, F.concat(done, F.array(x["place"]))).otherwise(done))
 
-def block_lines(pages: DataFrame) -> DataFrame:
-    """(document_id, block, size, sub, place, page, item, mark, rest): the lines of each item up to the total.
 
-    The lines above an item's first sub-item are those of all its sub-items.
-    """
-    lines = table_lines(pages)
-    lines = lines.join(outlines(lines), "document_id").filter("total_at IS NULL OR place < total_at")
-    lines = lines.withColumn("block", F.nullif(F.array_position("starts", F.col("place")), F.lit(0).cast("bigint")))
-    order = Window.partitionBy("document_id").orderBy("place")
-    begins = F.col("block").isNotNull()
-    lines = lines.select(
-        "document_id", "page", "place", F.last("block", ignorenulls=True).over(order).alias("block"), F.when(begins, F.col("number")).alias("item"),
-        F.when(begins, F.col("rest")).otherwise(F.col("text")).alias("rest"), F.when(~begins, F.nullif(F.lower(F.regexp_extract("text", SUB_ITEM, 1)), F.lit(""))).alias("mark"),
-    ).filter("block IS NOT NULL")
-    own = Window.partitionBy("document_id", "block")
-    lines = lines.withColumns({
-        "sub": F.count("mark").over(own.orderBy("place")), "n_subs": F.count("mark").over(own), "size": F.count_if(F.coalesce(F.col("rest"), F.lit("")) != "").over(own),
-        "item": F.max("item").over(own), "page": F.first("page").over(own.orderBy("place")),
-    })
-    one = F.lit(1).cast("bigint")
-    of = F.when((F.col("n_subs") > 0) & (F.col("sub") == 0), F.sequence(one, F.col("n_subs"))).otherwise(F.array("sub"))
-    return lines.select("document_id", "block", "size", F.explode(of).alias("sub"), "place", "page", "item", "mark", "rest")
+def table_lines(found: DataFrame) -> DataFrame:
+    """documents that have a vertical table with lines(page, text, number, rest), the last two of what may be an item's first line, and where
+    items start and the first line behind the first item labels the total: starts and total_at are places in lines, from 1."""
+    kept = F.filter("lines", lambda x: (x["text"] != "") & ~x["text"].rlike(PAGE_MARKER))
+    item = lambda text: let(groups(text, ITEM_LINE, 2), lambda g: F.when(F.size(g) == 3, g))
+    lines = F.transform(kept, lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"), item(x["text"]).alias("parts")))
+    found = found.filter("from_page IS NOT NULL").select("document_id", lines.alias("lines"))
+    number = F.transform("lines", lambda x, i: F.struct((i + 1).alias("place"), F.get(x["parts"], F.lit(0)).cast("int").alias("number")))
+    found = found.withColumn("starts", accepted_starts(F.filter(number, lambda x: x["number"].isNotNull())))
+    label = F.transform("lines", lambda x, i: F.when((i + 1 > F.coalesce(F.get("starts", F.lit(0)), F.lit(0))) & x["text"].rlike(TOTAL_LABEL), i + 1))
+    return found.withColumn("total_at", F.array_min(label))
+
+
+def blocks(found: DataFrame) -> DataFrame:
+    """(document_id, block, number, page, size, lines): the lines(mark, rest) of each item up to the total, its number cut off from the first."""
+    end = F.coalesce("total_at", F.size("lines") + 1)
+    begun = F.filter("starts", lambda x: x < end)
+    spans = F.transform(begun, lambda x, i: F.slice(F.col("lines"), x, F.coalesce(F.get(begun, i + 1), end) - x))
+    block = found.select("document_id", F.posexplode(spans).alias("block", "own"))
+    mark = lambda x: F.when(x["text"].startswith("(") & x["text"].rlike(SUB_ITEM), F.lower(F.substring(x["text"], 2, 1)))
+    line = lambda x, i: F.struct(F.when(i > 0, mark(x)).alias("mark"), F.when(i == 0, F.get(x["parts"], F.lit(1))).otherwise(x["text"]).alias("rest"))
+    first = F.get("own", F.lit(0))
+    read = block.select("document_id", (F.col("block") + 1).alias("block"), F.get(first["parts"], F.lit(0)).alias("number"), first["page"].alias("page"), F.transform("own", line).alias("lines"))
+    return read.withColumn("size", F.size(F.filter("lines", lambda x: x["rest"] != "")))
+
+
+def sub_items(found: DataFrame) -> DataFrame:
+    """blocks with one row for each sub-item: sub, letter, and the lines above the first sub-item with those of its own."""
+    marked = F.filter(F.transform("lines", lambda x, i: F.when(x["mark"].isNotNull(), i + 1)), lambda i: i.isNotNull())
+    one = lambda letter, lines: F.struct(letter.alias("letter"), lines.alias("lines"))
+    lines = F.col("lines")
+    above = F.slice(lines, F.lit(1), F.get("marked", F.lit(0)) - 1)
+    own = lambda at, i: F.slice(lines, at + 1, F.coalesce(F.get("marked", i + 1), F.size(lines) + 1) - at - 1)
+    subs = F.when(F.size("marked") > 0, F.transform("marked", lambda at, i: one(F.get(lines, at - 1)["mark"], F.concat(above, own(at, i))))).otherwise(F.array(one(F.lit(None).cast("string"), lines)))
+    return found.withColumn("marked", marked).select("document_id", "block", "number", "page", "size", F.posexplode(subs).alias("sub", "own")).select("document_id", "block", "number", "page", "size", "sub", "own.*")
 
 
 def vertical_read(pages: DataFrame) -> DataFrame:
     """Blocks with their figures, and why a block is refused: one with two complete rows, or with too many lines, is not understood."""
-    rest = F.col("rest")
-    lines = block_lines(pages).withColumns({"is_money": F.col("mark").isNull() & rest.rlike(MONEY_LINE), "is_unit": F.col("mark").isNull() & rest.rlike(UNIT_LINE), "tail": F.regexp_extract("rest", r"(\S+)$", 1)})
-    lines = lines.withColumn("tail", F.when(F.col("mark").isNull() & F.col("tail").rlike(UNIT_LINE), F.col("tail")))
-    plain = F.when(F.col("mark").isNull() & (rest != "") & ~F.col("is_money") & ~F.col("is_unit"), F.struct("place", "rest"))
-    lines = lines.withColumn("figure", F.when(F.col("is_money"), calc.figure(rest)))
+    found = sub_items(blocks(table_lines(documents(pages))))
+    rests = F.filter(F.transform("lines", lambda x: x["rest"]), lambda x: x != "")
+    kinds = F.transform(rests, lambda x: F.struct(x.alias("rest"), F.when(x.rlike(MONEY_LINE), "money").when(x.rlike(UNIT_LINE), "unit").alias("kind")))
     short = F.col("size") <= MOST_BLOCK
-    found = lines.groupBy("document_id", "block", "sub").agg(
-        F.max("page").alias("page"), F.max("item").alias("number"), F.max("mark").alias("letter"), F.max("size").alias("size"),
-        F.array_sort(F.collect_list(F.when(short & F.col("is_money"), F.struct("place", "rest", "figure")))).alias("cells"),
-        F.array_sort(F.collect_list(F.when(short, plain))).alias("plain"),
-        F.coalesce(F.min_by("rest", F.when(F.col("is_unit"), F.col("place"))), F.min_by("tail", F.when(F.col("tail").isNotNull(), F.col("place")))).alias("unit"),
-    )
-    cell = lambda i: F.get("cells", F.size("cells") - i)
+
+    def read(kinds: Column) -> Column:
+        of = lambda kind: F.transform(F.filter(kinds, lambda x: x["kind"].eqNullSafe(F.lit(kind))), lambda x: x["rest"])
+        tails = F.transform(kinds, lambda x: F.regexp_extract(x["rest"], r"(\S+)$", 1))
+        unit = F.coalesce(F.get(of("unit"), F.lit(0)), F.get(F.filter(tails, lambda x: x.rlike(UNIT_LINE)), F.lit(0)))
+        shown = F.when(short, F.array_join(of(None), " ")).otherwise("")
+        cells = lambda money: F.slice(money, F.greatest(F.size(money) - 5, F.lit(1)), F.lit(6))
+        row = lambda cells: F.struct(cells.alias("cells"), read_figures(cells).alias("figures"), unit.alias("unit"), F.left(F.trim(shown), F.lit(MOST_CHARS)).alias("description"))
+        none = F.array().cast("array<string>")
+        return let(cells(F.when(short, of("money")).otherwise(none)), lambda x: F.when((F.size(x) >= 3) | ~short, row(x)))
+
     item = F.when(F.col("letter").isNull(), F.col("number")).otherwise(F.concat("number", F.lit("("), "letter", F.lit(")")))
-    read = found.filter((F.size("cells") >= 3) | (F.col("size") > MOST_BLOCK)).select(
-        "document_id", item.alias("item"), "page", F.struct("block", "sub").alias("place"), "unit", "size",
-        F.left(F.trim(F.array_join(F.transform("plain", lambda x: x["rest"]), " ")), F.lit(MOST_CHARS)).alias("description"),
-        *(cell(3 - i)["rest"].alias(f"{c}_literal") for i, c in enumerate(FIGURES)), *(cell(3 - i)["figure"].alias(f"{c}_read") for i, c in enumerate(FIGURES)),
-        calc.consistency(*(cell(6 - i)["figure"] for i in range(3))).alias("other"),
-    )
-    refused = F.when(F.col("size") > MOST_BLOCK, "more lines than a row has").when(F.col("other") != "review", "more than one priced row")
-    return read.withColumn("refused", refused).drop("size", "other")
+    found = found.select("document_id", item.alias("item"), "page", F.struct("block", "sub").alias("place"), "size", F.explode(F.array_compact(F.array(let(kinds, read)))).alias("row"))
+    last, figure = (lambda x, i: F.get(x, F.size(x) - i)), F.col("row.figures")
+    other = calc.consistency(*(last(figure, 6 - i) for i in range(3)))
+    refused = F.when(F.col("size") > MOST_BLOCK, "more lines than a row has").when(other != "review", "more than one priced row")
+    return found.select(
+        "document_id", "item", "page", "place", "row.unit", "row.description", *(last(F.col("row.cells"), 3 - i).alias(f"{c}_literal") for i, c in enumerate(FIGURES)),
+        F.slice(figure, F.greatest(F.size(figure) - 2, F.lit(1)), F.lit(3)).alias("read"), refused.alias("refused"),
+    )
 
 
 def vertical_rows(pages: DataFrame) -> DataFrame:
-    return figures(vertical_read(pages).filter("refused IS NULL")).withColumn("layout", F.lit("vertical")).select(*ROW)
+    read = figures(vertical_read(pages).filter("refused IS NULL"))
+    order = F.row_number().over(Window.partitionBy("document_id").orderBy("place"))
+    return read.withColumns({"order": order, "layout": F.lit("vertical")}).select(*ROW)
 
 
-def vertical_totals(pages: DataFrame) -> DataFrame:
-    """(document_id, stated_total, literal, page): the first figure behind the total's label."""
-    lines = table_lines(pages)
-    behind = lines.join(outlines(lines).select("document_id", "total_at"), "document_id").filter(F.col("place") > F.col("total_at")).filter(F.col("text").rlike(MONEY_LINE))
-    first = behind.groupBy("document_id").agg(F.min_by(F.struct("text", "page"), "place").alias("first"))
-    return first.select("document_id", T.accounting_number(F.col("first.text"), "decimal(20,4)").alias("stated_total"), F.col("first.text").alias("literal"), F.col("first.page").alias("page"))
+def vertical_totals(found: DataFrame) -> DataFrame:
+    """(document_id, total) of documents that have a vertical table: struct(page, text, value) of the first figure behind the total's label."""
+    behind = F.filter(F.slice(F.col("lines"), F.col("total_at") + 1, F.size("lines")), lambda x: x["text"].rlike(MONEY_LINE))
+    first = table_lines(found).select("document_id", F.explode(F.slice(behind, 1, 1)).alias("first"))
+    return first.select("document_id", F.struct("first.page", "first.text", T.accounting_number(F.col("first.text"), "decimal(20,4)").alias("value")).alias("total"))
 
 
 # Both.
@@ -219,7 +255,8 @@ def bill_rows(pages: DataFrame) -> DataFrame:
 
 def bill_totals(pages: DataFrame) -> DataFrame:
     """The total that each bill states for itself; bills that state none have no row."""
-    return vertical_totals(pages).unionByName(line_totals(pages, line_rows(pages)))
+    found = documents(pages)
+    return vertical_totals(found).unionByName(line_totals(found)).select("document_id", F.col("total.value").alias("stated_total"), F.col("total.text").alias("literal"), "total.page")
 
 
 def refused_blocks(pages: DataFrame) -> DataFrame:

@@ -97,3 +97,13 @@ def test_facts_and_empty_tables(spark):
         ("item_identifier", "1", None, None), ("line_amount", "6.00", None, "INR"), ("stated_bill_total", "Total 6.00", None, "INR"),
     ]
     assert bills.bill_rows(both.limit(0)).collect() == [] == bills.bill_totals(both.limit(0)).collect()
+
+
+def test_lines_are_neither_sorted_nor_shuffled(spark, tmp_path):
+    """Pages are shuffled once, and nothing is kept that could spill: a document is one row."""
+    pages(spark, HEADER + "1\nWork\nSqm\n2.00\n3.00\n6.00\n", name="a").union(pages(spark, "1 Work\nCum 2 3.00 6.00\nTotal 6.00", name="b")).write.parquet(str(tmp_path / "pages"))
+    own = spark.read.parquet(str(tmp_path / "pages"))
+    for found in (bills.vertical_rows(own).drop("order"), bills.line_rows(own), bills.vertical_totals(bills.documents(own)), bills.line_totals(bills.documents(own))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Sort " not in plan and "Window" not in plan and "MergeJoin" not in plan and "HashJoin" not in plan
+    assert [r.item for r in bills.bill_rows(own).orderBy("document_id").collect()] == ["1", "1"]
