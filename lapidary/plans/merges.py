@@ -58,12 +58,13 @@ def m07_derived_store(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(line < 6, F.col("l_partkey").cast("string")).alias("work_item"), F.lit("levy").alias("fact_type"), F.lit("1").alias("calculation_version"),
             (price * F.lit(rate).cast("decimal(12,11)")).alias("numeric_value"), inputs.alias("inputs"),
         )
-        return state.derived_rows(made).filter("refused IS NULL").drop("refused")
+        rows = state.derived_rows(made).filter("refused IS NULL").drop("refused")
+        return rows.withColumn("inputs_fingerprint", F.unhex("inputs_fingerprint"))  # half the bytes, in the same order
 
     runs = [calculated(lines, "0.00000000125", F.array(fact)), calculated(lines.filter("l_returnflag = 'N'"), "0.00000000250", F.array(levy, fact))]
     found = merged(spark, runs, state.DERIVED_KEY, ("numeric_value", "inputs_fingerprint"))
     units = (F.col("numeric_value") * F.lit(10_000_000_000)).cast("long")
-    return found.select("document_id", "project_id", "fact_type", units.alias("ten_places"), "inputs_fingerprint", F.size("inputs").alias("n_inputs"))
+    return found.select("document_id", "project_id", "fact_type", units.alias("ten_places"), F.lower(F.hex("inputs_fingerprint")).alias("inputs_fingerprint"), F.size("inputs").alias("n_inputs"))
 
 
 @query("""

@@ -1,10 +1,10 @@
 """A table with one row for each key, in buckets of keys; a merge rewrites the buckets whose rows change, and no others.
 
 A merge has three steps.  It compares what comes in with the stored rows of the buckets that it
-falls into, writes the changed buckets whole beside the table, and then puts them in place of
-the old ones by a dynamic partition overwrite.  A run that ends after the second step has lost
-nothing: whoever opens the table next does the third step again.  A merge of rows that are
-stored already writes nothing.
+falls into, writes the changed buckets whole beside the table, and then moves their folders to
+the place of the old ones, so a changed bucket is written once.  A run that ends after the second
+step has lost nothing: whoever opens the table next moves the folders that are left.  A merge of
+rows that are stored already writes nothing.
 
 There is one writer at a time, and a reader must not run during the third step.  Null is a key like others.  Of incoming rows with one key the
 greatest by ``order`` stays, then by the remaining columns.  Columns must be of types that can
@@ -72,25 +72,27 @@ class Keyed:
     def merge(self, incoming: DataFrame, order: Sequence[str] = ()) -> list[int]:
         """Incoming rows replace stored ones with their key; the numbers of the buckets that were rewritten."""
         self.redo()
-        self._write(self._bucketed(self._one_of_each(incoming, order)), self.incoming)
+        placed = self._bucketed(self._one_of_each(incoming, order))
+        if not self._exists(self.table):
+            self._write(placed, self.pending)
+            return self._swap()
+        self._write(placed, self.incoming)
         new = self._read(self.incoming)  # worked out once, whatever it came from
         changed = self._merge(new)
         self._delete(self.incoming)
         return changed
 
     def _merge(self, new: DataFrame) -> list[int]:
-        if not self._exists(self.table):
-            self._write(new, self.pending)
-            return self._swap()
         known = self.placed()
         if not known.filter(F.col("buckets") != self.buckets).isEmpty():  # decided by the names of folders
             raise ValueError(f"the table was not made with {self.buckets} buckets")
         near = self._numbers(new)
         known = known.filter(F.col("bucket").isin(near))  # only these folders are read
         same = self._same_key(known, new)
-        replaced = known.join(new.select(*self.key).alias("new"), same, "left_semi")
-        signs = replaced.withColumn("_n", F.lit(-1)).unionByName(new.withColumn("_n", F.lit(1)))
-        unlike = signs.groupBy(*known.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+        stored = known.select(*(F.col(f.name) for f in self.schema), F.lit(True).alias("_stored")).alias("known")
+        equal = [stored[f.name].eqNullSafe(F.col(f"new.{f.name}")) for f in self.schema if f.name not in self.key]
+        found = reduce(lambda a, b: a & b, equal, F.col("_stored").isNotNull())
+        unlike = new.alias("new").join(stored, self._same_key(stored, new), "left").filter(~found).select("new.bucket")
         changed = self._numbers(unlike)
         if not changed:
             return []
@@ -120,14 +122,22 @@ class Keyed:
 
     def _write(self, rows: DataFrame, path: str) -> None:
         """A bucket goes to as many tasks as its size asks for."""
-        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy(*PLACES).parquet(path)
+        rows.hint("rebalance", "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy(*PLACES).parquet(path)
 
     def _swap(self) -> list[int]:
-        made = self._read(self.pending)
-        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACES).parquet(self.table)
-        numbers = self._numbers(made)
+        files, made = self._path(f"{self.pending}/buckets={self.buckets}")
+        _, place = self._path(f"{self.table}/buckets={self.buckets}")
+        files.mkdirs(place)
+        folders = [x.getPath() for x in files.listStatus(made)] if files.exists(made) else []
+        Path, numbers = self.spark._jvm.org.apache.hadoop.fs.Path, []
+        for folder in folders:
+            old = Path(place, folder.getName())
+            files.delete(old, True)
+            if not files.rename(folder, old):
+                raise OSError(f"{folder} was not moved")
+            numbers.append(int(folder.getName().split("=")[1]))
         self._delete(self.pending)
-        return numbers
+        return sorted(numbers)
 
     def _read(self, path: str) -> DataFrame:
         places = StructType([*self.schema.fields]).add("buckets", "integer").add("bucket", "integer")

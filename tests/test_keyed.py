@@ -110,3 +110,23 @@ def test_derived_rows(spark):
     assert [x["role"] for x in got[0]["inputs"]] == ["area", "cost", "rate"] and got[1]["inputs"] == []
     listed = rows.filter("work_item = 'a' AND project_id = 1").selectExpr("project_id AS derived_id", "explode(inputs) AS i").selectExpr("derived_id", "i.*")
     assert got[0]["inputs_fingerprint"] == state.inputs_fingerprint(listed, ["derived_id"]).first()["fingerprint"] == hashlib.sha256(b"area=f1|cost=f2|provision:rate=p1").hexdigest()
+
+
+def test_a_changed_bucket_is_written_once(spark, store):
+    """Folders are moved, not copied; one that was moved before a run was cut off stays, and the others follow."""
+    s = store()
+    written = []
+    write = s._write
+    s._write = lambda rows, path: written.append(path) or write(rows, path)
+    s.merge(spark.createDataFrame([(i, "a", i) for i in range(50)], SCHEMA))
+    assert written == [s.pending]
+    moved = []
+    s._swap = lambda: moved.extend(r["f"].rsplit("/", 1)[1] for r in s._read(s.pending).selectExpr("_metadata.file_path AS f").distinct().collect())
+    s.merge(spark.createDataFrame([(i, "a", -i) for i in range(50)], SCHEMA))
+    again = Keyed(spark, s.root, s.schema, s.key, s.buckets)
+    files_, folder = again._path(f"{s.pending}/buckets=8")
+    one = files_.listStatus(folder)[0].getPath()
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{s.table}/buckets=8/{one.getName()}")
+    assert files_.delete(old, True) and files_.rename(one, old)
+    assert content(again) == sorted([(i, "a", -i) for i in range(50)], key=str)
+    assert {f.rsplit("/", 1)[1] for _, f in files(again)} == {*moved}
