@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 PLACES = ("buckets", "bucket")
+#: Parts that a merge deals each bucket into.
+PARTS = 16
 
 
 @dataclass
@@ -36,7 +38,7 @@ class Keyed:
     near: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
-        clash = {*PLACES} & {f.name.lower() for f in self.schema}
+        clash = {*PLACES, "part", "_new"} & {f.name.lower() for f in self.schema}
         if clash:
             raise ValueError(f"{sorted(clash)} are names of the table's own columns")
         if not {*self.near} <= {*self.key}:
@@ -76,7 +78,7 @@ class Keyed:
         if not self._exists(self.table):
             self._write(placed, self.pending)
             return self._swap()
-        self._write(placed, self.incoming)
+        placed.write.mode("overwrite").option("compression", "zstd").parquet(self.incoming)
         new = self._read(self.incoming)  # worked out once, whatever it came from
         changed = self._merge(new)
         self._delete(self.incoming)
@@ -96,8 +98,8 @@ class Keyed:
         changed = self._numbers(unlike)
         if not changed:
             return []
-        kept = known.filter(F.col("bucket").isin(changed)).join(new.select(*self.key).alias("new"), same, "left_anti")
-        self._write(kept.unionByName(new.filter(F.col("bucket").isin(changed))), self.pending)
+        both = known.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).filter(F.col("bucket").isin(changed))
+        self._write(self._newest(both), self.pending, dealt=True)
         return self._swap()
 
     def _one_of_each(self, incoming: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -110,6 +112,14 @@ class Keyed:
         best = typed.groupBy(*self.key).agg(F.max(F.struct(*ranked)).alias("_best"))
         return best.select(*(F.col(f.name) if f.name in self.key else F.col("_best")[f.name].alias(f.name) for f in self.schema))
 
+    def _newest(self, both: DataFrame) -> DataFrame:
+        """The new row of each key, else the stored one.  Rows are dealt by parts of buckets, so that they are shuffled once for this and for their folders."""
+        rest = [f.name for f in self.schema if f.name not in self.key]
+        part = F.pmod(F.hash(*self.key), F.lit(PARTS))
+        dealt = both.withColumn("part", part).repartition("bucket", "part")
+        best = dealt.groupBy(*PLACES, "part", *self.key).agg(F.max(F.struct("_new", *rest)).alias("_best"))
+        return best.select(*(F.col(f.name) if f.name in self.key else F.col("_best")[f.name].alias(f.name) for f in self.schema), *PLACES)
+
     def _bucketed(self, rows: DataFrame) -> DataFrame:
         place = F.pmod(F.xxhash64(*(self.near or self.key)), F.lit(self.buckets)).cast("int")
         return rows.withColumns({"buckets": F.lit(self.buckets), "bucket": place})
@@ -120,9 +130,9 @@ class Keyed:
     def _numbers(self, rows: DataFrame) -> list[int]:
         return sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
 
-    def _write(self, rows: DataFrame, path: str) -> None:
-        """A bucket goes to as many tasks as its size asks for."""
-        rows.hint("rebalance", "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy(*PLACES).parquet(path)
+    def _write(self, rows: DataFrame, path: str, dealt: bool = False) -> None:
+        """A bucket goes to as many tasks as its size asks for, unless rows are dealt by parts of buckets already."""
+        (rows if dealt else rows.hint("rebalance", "bucket")).write.mode("overwrite").option("compression", "zstd").partitionBy(*PLACES).parquet(path)
 
     def _swap(self) -> list[int]:
         files, made = self._path(f"{self.pending}/buckets={self.buckets}")

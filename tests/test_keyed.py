@@ -117,7 +117,7 @@ def test_a_changed_bucket_is_written_once(spark, store):
     s = store()
     written = []
     write = s._write
-    s._write = lambda rows, path: written.append(path) or write(rows, path)
+    s._write = lambda rows, path, **how: written.append(path) or write(rows, path, **how)
     s.merge(spark.createDataFrame([(i, "a", i) for i in range(50)], SCHEMA))
     assert written == [s.pending]
     moved = []
