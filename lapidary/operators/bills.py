@@ -10,64 +10,40 @@ agree, and a block that holds two rows is refused with a reason.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import text as T
+from lapidary.operators import bill_lines as L
 from lapidary.operators import calc
 
-#: Units of priced rows, and units that count only where no letter stands before them.
-UNITS = "Cumt|Cum|Sqmt|Sqm|Rmt|Mtrs|Metre|Meter|Mtr|Litres|Litre|Ltr|Quintal|Tonne|Km|MT|Nos|No|Each|Kg|Set|Job|LS|Pair|Points|Point|Joint|Month|Day|CM|m2|m3"
-WORD_UNITS = "Sets|Pts|Pt|Rmtr|RM"
-#: Figures, headings, headers, totals and numbers as bills print them.
-QUANTITY = r"\(?[0-9][0-9,]*(?:\.[0-9]+)?\)?"
-MONEY = r"\(?[0-9][0-9,]*\.[0-9]{2}\)?"
-MONEY_LINE = r"^\(?[0-9,]+\.[0-9]{2}\)?$"
-UNIT_LINE = rf"(?i)^(?:{WORD_UNITS}|{UNITS})\.?$"
-#: A unit is tried only where letters stand before a figure.
-ROW_LINE = rf"(?i)^(.*?)(?=[a-z]{{1,7}}[23]?\.?\s*\(?[0-9])((?<![A-Za-z])(?:{WORD_UNITS})|{UNITS})\.?\s*({QUANTITY})\s+({MONEY})\s+({MONEY})\s*$"
-BARE_TRIPLE = rf"^({QUANTITY})\s+({MONEY})\s+({MONEY})\s*$"
+#: What heads a vertical table.
 HEADING = r"(?i)Bill\s+of\s+Quantities\s*\(BOQ\)|Priced\s+Bill\s+of\s+Quantit"
 RATE_HEADER, QUANTITY_HEADER = r"(?m)^\s*Rate(\s+per)?\s*$", r"(?m)^\s*Quantity\s*$"
-MONEY_END = r"\.[0-9]{2}\)?\s*$"
-ITEM_LINE = r"^([0-9]{1,3})(?:\s+(\S.*))?$"
-NESTED_ITEM = r"^([0-9]+(?:\.[0-9]+)*)(?=\s|[A-Za-z])\s*(.*)$"
-SUB_ITEM = r"(?i)^\([a-z]\)$"
-PAGE_MARKER = r"^[IVXL]+-[0-9]+$"
-TOTAL_LABEL = r"(?i)^(?:Grand\s+)?Total(?:\s+(?:Estimated\s+)?(?:Cost|Amount|Price))?$"
-SECTION_TOTAL = r"(?i)^(?:Sub-?)?Total\b.*?[0-9,]+\.[0-9]{2}\s*$"
-INLINE_TOTAL = r"(?i)^(?:Grand\s+)?Total\s+(\(?[0-9,]+\.[0-9]{2}\)?)$"
-#: Lines of context that a description takes, lines of a block, characters of a description.
-MOST_CONTEXT, MOST_BLOCK, MOST_CHARS = 41, 48, 2000
+#: Lines of a block, characters of a description.
+MOST_BLOCK, MOST_CHARS = 48, 2000
 
 ROW = ("document_id", "layout", "order", "item", "description", "unit", "quantity", "rate", "amount", "quantity_literal", "rate_literal", "amount_literal", "page", "consistency")
 
 
-def groups(text: Column, pattern: str, n: int) -> Column:
-    """The n groups of a pattern that spans the whole text, from one match; one element where it does not match."""
-    return F.split(F.regexp_replace(text, pattern, "\x01".join(f"${i + 1}" for i in range(n)) + "\x01"), "\x01")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value worked out once; within a lambda Spark would do it for each use."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def documents(pages: DataFrame) -> DataFrame:
-    """(document_id, from_page, lines): the lines of each document in order, as struct(page, text) with blanks at the ends cut off.
+    """(document_id, from_page, pages): the pages of each document in order, as struct(page, text).
 
-    Where there is a vertical table, from_page is its first page and lines begin there; else it is null.
+    Where there is a vertical table, from_page is its first page and pages begin there; else it is null.
     """
     text = F.col("text")
     table = text.rlike(HEADING) & text.rlike(RATE_HEADER) & text.rlike(QUANTITY_HEADER)
     together = pages.select("document_id", "page", "text").repartition("document_id")
     found = together.groupBy("document_id").agg(F.min(F.when(table, F.col("page"))).alias("from_page"), F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))).alias("pages"))
-    own = F.filter(F.array_sort("pages"), lambda p: F.col("from_page").isNull() | (p["page"] >= F.col("from_page")))
-    shown = lambda x: F.btrim(F.translate(x, "\x01", " "), F.lit(" \t\xa0"))
-    lines = F.transform(own, lambda p: F.transform(F.split(p["text"], r"\r\n|[\n\r\f\x0B]"), lambda x: F.struct(p["page"].alias("page"), shown(x).alias("text"))))
-    return found.select("document_id", "from_page", F.flatten(lines).alias("lines"))
+    own = F.filter(F.sort_array("pages"), lambda p: F.col("from_page").isNull() | (p["page"] >= F.col("from_page")))
+    return found.select("document_id", "from_page", own.alias("pages"))
 
 
 FIGURES = ("quantity", "rate", "amount")
@@ -78,143 +54,46 @@ def read_figures(literals: Column) -> Column:
     return F.transform(literals, calc.figure)
 
 
-def figures(frame: DataFrame) -> DataFrame:
-    """Numbers from the three figures in ``read``, and how they agree."""
-    read = [F.get("read", F.lit(i)) for i in range(3)]
+def figures(frame: DataFrame, read: Sequence[Column]) -> DataFrame:
+    """Numbers from three figures that were read, and how they agree."""
     return frame.select("*", *(x["value"].cast("decimal(20,4)").alias(c) for c, x in zip(FIGURES, read, strict=True)), calc.consistency(*read).alias("consistency"))
 
 
 # One row on each line.
 
 
-def line_kinds(lines: Column) -> Column:
-    """Lines of a document without a vertical table, with what each of them may be: a row, the figures of one, a unit, a numbered text."""
-    skipped = lambda t: (t == "") | t.rlike(PAGE_MARKER) | t.rlike(SECTION_TOTAL)
-    matched = lambda text, pattern, n, may: F.when(may, let(groups(text, pattern, n), lambda g: F.when(F.size(g) == n + 1, g)))
-    # A row ends in money, and so do figures below a unit.
-    rows = F.transform(lines, lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"), skipped(x["text"]).alias("skipped"), x["text"].rlike(MONEY_END).alias("ends")))
-    rows = F.transform(rows, lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"), x["skipped"].alias("skipped"), x["ends"].alias("ends"), matched(x["text"], ROW_LINE, 5, ~x["skipped"] & x["ends"]).alias("parts")))
-
-    def kind(x: Column) -> Column:
-        open_ = ~x["skipped"] & x["parts"].isNull()
-        head = F.trim(F.get(x["parts"], F.lit(0)))
-        return F.struct(
-            x["page"].alias("page"), x["text"].alias("text"), x["skipped"].alias("skipped"), x["parts"].alias("parts"), head.alias("head"),
-            matched(x["text"], BARE_TRIPLE, 3, open_ & x["ends"]).alias("bare"), F.when(open_ & x["text"].rlike(UNIT_LINE), x["text"]).alias("unit"),
-            matched(F.coalesce(head, x["text"]), NESTED_ITEM, 2, ~x["skipped"]).alias("numbered"),
-        )
-
-    return F.transform(rows, kind)
-
-
-LINE_ROW = "page int, item string, head string, own string, unit string, quantity_literal string, rate_literal string, amount_literal string, context array<string>"
-
-
-def folded_rows(kinds: Column) -> Column:
-    """The rows in the kinds of a document's lines: an item number holds until the next, and lines since the last row or item describe the row."""
-    nothing = F.struct(F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("item"), F.array().cast("array<string>").alias("pieces"), F.array().cast(f"array<struct<{LINE_ROW.replace(' ', ':').replace(',:', ',')}>>").alias("rows"))
-
-    def read(done: Column, x: Column) -> Column:
-        bare = done["unit"].isNotNull() & x["bare"].isNotNull()
-        priced = bare | x["parts"].isNotNull()
-        number = lambda i: F.when(~bare, F.get(x["numbered"], F.lit(i)))
-        above = F.when(number(0).isNotNull() & ~priced, F.array().cast("array<string>")).otherwise(done["pieces"])
-        piece = F.coalesce(number(1), x["text"])
-        more = F.when(x["skipped"] | (piece == "") | (F.size(above) >= MOST_CONTEXT), above).otherwise(F.concat(above, F.array(piece)))
-        item = F.coalesce(number(0), done["item"])
-        cell = lambda i: F.coalesce(F.get(x["parts"], F.lit(i + 2)), F.get(x["bare"], F.lit(i)))
-        row = F.struct(
-            x["page"].cast("int").alias("page"), item.alias("item"), x["head"].alias("head"), F.when(x["parts"].isNotNull(), number(1)).alias("own"),
-            F.regexp_replace(F.coalesce(F.get(x["parts"], F.lit(1)), done["unit"]), r"\.+$", "").alias("unit"), *(cell(i).alias(f"{c}_literal") for i, c in enumerate(FIGURES)), above.alias("context"),
-        )
-        return F.struct(
-            x["unit"].alias("unit"), item.alias("item"), F.when(priced, F.array().cast("array<string>")).otherwise(more).alias("pieces"), F.when(priced, F.concat(done["rows"], F.array(row))).otherwise(done["rows"]).alias("rows")
-        )
-
-    return F.aggregate(kinds, nothing, read, lambda done: done["rows"])
-
-
 def line_rows(pages: DataFrame) -> DataFrame:
     """Rows of the one-line layout."""
-    literals = lambda row: F.array(*(row[f"{c}_literal"] for c in FIGURES))
-    rows = F.transform(folded_rows(line_kinds(F.col("lines"))), lambda row: F.struct(row.alias("row"), read_figures(literals(row)).alias("read")))
-    found = documents(pages).filter("from_page IS NULL").select("document_id", F.posexplode(rows).alias("place", "found"))
-    found = found.select("document_id", (F.col("place") + 1).alias("order"), "found.row.*", "found.read")
-    shown = F.coalesce(F.trim("own"), F.concat_ws(" ", F.array_join("context", " "), F.nullif(F.col("head"), F.lit(""))))
-    found = figures(found).withColumns({"description": F.left(F.trim(shown), F.lit(MOST_CHARS)), "layout": F.lit("line"), "item": F.coalesce("item", F.concat(F.lit("row "), F.col("order")))})
-    return found.select(*ROW)
+    found = documents(pages).filter("from_page IS NULL").select("document_id", F.explode(L.read(F.col("pages"), L.LINE_ROW, L.line_rows)).alias("row")).select("document_id", "row.*")
+    shown = F.coalesce(F.trim("own"), F.concat_ws(" ", "context", F.nullif(F.col("head"), F.lit(""))))
+    found = found.withColumns({"unit": F.regexp_replace("unit", r"\.+$", ""), "description": F.left(F.trim(shown), F.lit(MOST_CHARS)), "layout": F.lit("line"), "item": F.coalesce("item", F.concat(F.lit("row "), F.col("order")))})
+    return figures(found, [calc.figure(F.col(f"{c}_literal")) for c in FIGURES]).select(*ROW)
 
 
-def line_totals(found: DataFrame) -> DataFrame:
-    """(document_id, total) of documents without a vertical table: struct(page, text, value) of the first bare total that is not less than the sum of the rows, which can only total the whole."""
-    number = lambda text: T.accounting_number(text, "decimal(20,4)")
-    stated = F.transform(F.filter("lines", lambda x: x["text"].rlike(INLINE_TOTAL)), lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"), number(F.regexp_extract(x["text"], INLINE_TOTAL, 1)).alias("value")))
-    rows = F.transform(folded_rows(line_kinds(F.col("lines"))), lambda row: T.accounting_number(row["amount_literal"], "decimal(18,6)").cast("decimal(20,4)"))
-    # Exploded, so that rows are read once, and only where a total is stated.
-    read = found.filter("from_page IS NULL").select("document_id", stated.alias("stated"), "lines")
-    read = read.select("document_id", F.explode(F.transform(F.filter(F.array("stated"), lambda x: F.size(x) > 0), lambda x: F.struct(x.alias("stated"), rows.alias("amounts")))).alias("x"))
-    zero = F.lit(0).cast("decimal(30,4)")
-    least = F.aggregate("x.amounts", zero, lambda done, v: F.coalesce((done + v).cast("decimal(30,4)"), done))
-    return read.select("document_id", "x.stated", least.alias("least")).select("document_id", F.explode(F.slice(F.filter("stated", lambda x: (x["value"] > 0) & (x["value"] >= F.col("least"))), 1, 1)).alias("total"))
+def stated_totals(found: DataFrame) -> DataFrame:
+    """(document_id, total) of documents that state one: struct(page, text, value), by the layout of each."""
+    total = found.select("document_id", F.explode(L.read(F.col("pages"), L.STATED, L.line_total, F.col("from_page").isNotNull(), L.table_total)).alias("x"))
+    return total.select("document_id", F.struct("x.page", "x.text", T.accounting_number(F.col("x.literal"), "decimal(20,4)").alias("value")).alias("total"))
 
 
-# Every part of a row on its own line.
+def line_totals(found: DataFrame) -> DataFrame:
+    """(document_id, total) of documents without a vertical table: the first bare total that is not less than the sum of the rows, which can only total the whole."""
+    return stated_totals(found.filter("from_page IS NULL"))
 
 
-def accepted_starts(candidates: Column) -> Column:
-    """Of (place, number) pairs in order, the places whose numbers go 1, 2, 3, ...; others are numbers within the text."""
-    nothing = F.array().cast("array<int>")
-    return F.aggregate(candidates, nothing, lambda done, x: F.when(x["number"] == F.size(done) + 1, F.concat(done, F.array(x["place"]))).otherwise(done))
-
-
-def table_lines(found: DataFrame) -> DataFrame:
-    """documents that have a vertical table with lines(page, text, number, rest), the last two of what may be an item's first line, and where
-    items start and the first line behind the first item labels the total: starts and total_at are places in lines, from 1."""
-    kept = F.filter("lines", lambda x: (x["text"] != "") & ~x["text"].rlike(PAGE_MARKER))
-    item = lambda text: let(groups(text, ITEM_LINE, 2), lambda g: F.when(F.size(g) == 3, g))
-    lines = F.transform(kept, lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text"), item(x["text"]).alias("parts")))
-    found = found.filter("from_page IS NOT NULL").select("document_id", lines.alias("lines"))
-    number = F.transform("lines", lambda x, i: F.struct((i + 1).alias("place"), F.get(x["parts"], F.lit(0)).cast("int").alias("number")))
-    found = found.withColumn("starts", accepted_starts(F.filter(number, lambda x: x["number"].isNotNull())))
-    label = F.transform("lines", lambda x, i: F.when((i + 1 > F.coalesce(F.get("starts", F.lit(0)), F.lit(0))) & x["text"].rlike(TOTAL_LABEL), i + 1))
-    return found.withColumn("total_at", F.array_min(label))
-
-
-def blocks(found: DataFrame) -> DataFrame:
-    """(document_id, block, number, page, size, lines): the lines(mark, rest) of each item up to the total, its number cut off from the first."""
-    end = F.coalesce("total_at", F.size("lines") + 1)
-    begun = F.filter("starts", lambda x: x < end)
-    spans = F.transform(begun, lambda x, i: F.slice(F.col("lines"), x, F.coalesce(F.get(begun, i + 1), end) - x))
-    block = found.select("document_id", F.posexplode(spans).alias("block", "own"))
-    mark = lambda x: F.when(x["text"].startswith("(") & x["text"].rlike(SUB_ITEM), F.lower(F.substring(x["text"], 2, 1)))
-    line = lambda x, i: F.struct(F.when(i > 0, mark(x)).alias("mark"), F.when(i == 0, F.get(x["parts"], F.lit(1))).otherwise(x["text"]).alias("rest"))
-    first = F.get("own", F.lit(0))
-    read = block.select("document_id", (F.col("block") + 1).alias("block"), F.get(first["parts"], F.lit(0)).alias("number"), first["page"].alias("page"), F.transform("own", line).alias("lines"))
-    return read.withColumn("size", F.size(F.filter("lines", lambda x: x["rest"] != "")))
-
-
-def sub_items(found: DataFrame) -> DataFrame:
-    """blocks with one row for each sub-item: sub, letter, and the lines above the first sub-item with those of its own."""
-    marked = F.filter(F.transform("lines", lambda x, i: F.when(x["mark"].isNotNull(), i + 1)), lambda i: i.isNotNull())
-    one = lambda letter, lines: F.struct(letter.alias("letter"), lines.alias("lines"))
-    lines = F.col("lines")
-    above = F.slice(lines, F.lit(1), F.get("marked", F.lit(0)) - 1)
-    own = lambda at, i: F.slice(lines, at + 1, F.coalesce(F.get("marked", i + 1), F.size(lines) + 1) - at - 1)
-    subs = F.when(F.size("marked") > 0, F.transform("marked", lambda at, i: one(F.get(lines, at - 1)["mark"], F.concat(above, own(at, i))))).otherwise(F.array(one(F.lit(None).cast("string"), lines)))
-    return found.withColumn("marked", marked).select("document_id", "block", "number", "page", "size", F.posexplode(subs).alias("sub", "own")).select("document_id", "block", "number", "page", "size", "sub", "own.*")
+# Every part of a row on its own line.
 
 
 def vertical_read(pages: DataFrame) -> DataFrame:
     """Blocks with their figures, and why a block is refused: one with two complete rows, or with too many lines, is not understood."""
-    found = sub_items(blocks(table_lines(documents(pages))))
-    rests = F.filter(F.transform("lines", lambda x: x["rest"]), lambda x: x != "")
-    kinds = F.transform(rests, lambda x: F.struct(x.alias("rest"), F.when(x.rlike(MONEY_LINE), "money").when(x.rlike(UNIT_LINE), "unit").alias("kind")))
+    found = documents(pages).filter("from_page IS NOT NULL").select("document_id", F.explode(L.read(F.col("pages"), L.SUB_BLOCK, L.sub_blocks)).alias("own")).select("document_id", "own.*")
+    kinds = F.transform("lines", lambda x: F.struct(x.alias("rest"), F.when(x.rlike(L.MONEY_LINE), "money").when(x.rlike(L.UNIT_LINE), "unit").alias("kind")))
     short = F.col("size") <= MOST_BLOCK
 
     def read(kinds: Column) -> Column:
         of = lambda kind: F.transform(F.filter(kinds, lambda x: x["kind"].eqNullSafe(F.lit(kind))), lambda x: x["rest"])
         tails = F.transform(kinds, lambda x: F.regexp_extract(x["rest"], r"(\S+)$", 1))
-        unit = F.coalesce(F.get(of("unit"), F.lit(0)), F.get(F.filter(tails, lambda x: x.rlike(UNIT_LINE)), F.lit(0)))
+        unit = F.coalesce(F.get(of("unit"), F.lit(0)), F.get(F.filter(tails, lambda x: x.rlike(L.UNIT_LINE)), F.lit(0)))
         shown = F.when(short, F.array_join(of(None), " ")).otherwise("")
         cells = lambda money: F.slice(money, F.greatest(F.size(money) - 5, F.lit(1)), F.lit(6))
         row = lambda cells: F.struct(cells.alias("cells"), read_figures(cells).alias("figures"), unit.alias("unit"), F.left(F.trim(shown), F.lit(MOST_CHARS)).alias("description"))
@@ -233,16 +112,14 @@ def vertical_read(pages: DataFrame) -> DataFrame:
 
 
 def vertical_rows(pages: DataFrame) -> DataFrame:
-    read = figures(vertical_read(pages).filter("refused IS NULL"))
+    read = figures(vertical_read(pages).filter("refused IS NULL"), [F.get("read", F.lit(i)) for i in range(3)])
     order = F.row_number().over(Window.partitionBy("document_id").orderBy("place"))
     return read.withColumns({"order": order, "layout": F.lit("vertical")}).select(*ROW)
 
 
 def vertical_totals(found: DataFrame) -> DataFrame:
-    """(document_id, total) of documents that have a vertical table: struct(page, text, value) of the first figure behind the total's label."""
-    behind = F.filter(F.slice(F.col("lines"), F.col("total_at") + 1, F.size("lines")), lambda x: x["text"].rlike(MONEY_LINE))
-    first = table_lines(found).select("document_id", F.explode(F.slice(behind, 1, 1)).alias("first"))
-    return first.select("document_id", F.struct("first.page", "first.text", T.accounting_number(F.col("first.text"), "decimal(20,4)").alias("value")).alias("total"))
+    """(document_id, total) of documents that have a vertical table: the first figure behind the total's label."""
+    return stated_totals(found.filter("from_page IS NOT NULL"))
 
 
 # Both.
@@ -255,8 +132,7 @@ def bill_rows(pages: DataFrame) -> DataFrame:
 
 def bill_totals(pages: DataFrame) -> DataFrame:
     """The total that each bill states for itself; bills that state none have no row."""
-    found = documents(pages)
-    return vertical_totals(found).unionByName(line_totals(found)).select("document_id", F.col("total.value").alias("stated_total"), F.col("total.text").alias("literal"), "total.page")
+    return stated_totals(documents(pages)).select("document_id", F.col("total.value").alias("stated_total"), F.col("total.text").alias("literal"), "total.page")
 
 
 def refused_blocks(pages: DataFrame) -> DataFrame:
@@ -274,7 +150,7 @@ def bill_facts(rows: DataFrame) -> DataFrame:
         fact("item_identifier", F.col("item")), F.when(F.col("description") != "", fact("item_description", F.col("description"))), fact("contracted_quantity", F.col("quantity_literal"), "quantity", "unit"),
         fact("contract_rate", F.col("rate_literal"), "rate", currency="INR"), fact("line_amount", F.col("amount_literal"), "amount", currency="INR"),
     ]
-    return rows.select("document_id", "page", F.col("order").alias("sheet_row"), F.explode(F.array_compact(F.array(*made))).alias("f")).select("document_id", "page", "sheet_row", "f.*")
+    return rows.select("document_id", "page", F.col("order").alias("sheet_row"), F.explode(F.array(*made)).alias("f")).filter("f IS NOT NULL").select("document_id", "page", "sheet_row", "f.*")
 
 
 def stated_total_facts(totals: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_pages(shown: DataFrame, head: str, foot: Column) -> DataFrame:
     """(document_id, page, text): the shown rows of an order, in order, on two pages, as a table of their own."""
-    rows = shown.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("k", "shown"))).alias("v"), F.sum("a").alias("total"))
-    part = lambda odd: F.array_join(F.transform(F.filter("v", lambda x: (x["k"] > 3) if odd else (x["k"] <= 3)), lambda x: x["shown"]), "\n")
+    rows = shown.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.sort_array(F.collect_list(F.struct("k", "shown"))).alias("v"), F.sum("a").alias("total"))
+    part = lambda odd: F.array_join(F.slice(F.col("v")["shown"], 4 if odd else 1, F.size("v") if odd else F.lit(3)), "\n")
     both = F.array(F.struct(F.lit(1).alias("page"), F.concat(F.lit(head), part(False)).alias("text")), F.struct(F.lit(2).alias("page"), F.concat(part(True), foot).alias("text")))
     return shared.written(rows.select("document_id", F.explode(both).alias("p")).select("document_id", "p.page", "p.text"), "pages")
 

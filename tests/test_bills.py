@@ -107,3 +107,13 @@ def test_lines_are_neither_sorted_nor_shuffled(spark, tmp_path):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Sort " not in plan and "Window" not in plan and "MergeJoin" not in plan and "HashJoin" not in plan
     assert [r.item for r in bills.bill_rows(own).orderBy("document_id").collect()] == ["1", "1"]
+
+
+def test_lines_are_read_in_one_pass_and_not_by_functions_on_arrays(spark):
+    """Folding an array with expressions is interpreted, line by line; totals of both layouts take one pass over the documents."""
+    both = pages(spark, HEADER + "1\nWork\nSqm\n2.00\n3.00\n6.00\nTotal\n6.00", name="a").union(pages(spark, "1 Work\nCum 2 3.00 6.00\nTotal 6.00", name="b"))
+    for found in (bills.line_rows(both), bills.bill_totals(both)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 == plan.count("Exchange") and "aggregate(" not in plan and "transform(" not in plan
+    assert sorted(total(spark, HEADER + "1\nWork\nSqm\n2.00\n3.00\n6.00\nTotal\n6.00") + total(spark, "1 Work\nCum 2 3.00 6.00\nTotal 6.00")) == [(Decimal("6.00"), "6.00", 1), (Decimal("6.00"), "Total 6.00", 1)]
+    assert [(r.item, r.unit, r.description) for r in rows(spark, "1 Work of soil\nCum 2 3.00 6.00\nxRM 2 3.00 6.00\n2 DepthM2 Nos 2 3.00 6.00")] == [("1", "Cum", "Work of soil"), ("2", "Nos", "DepthM2")]
