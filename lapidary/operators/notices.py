@@ -27,13 +27,19 @@ MOST_SHARE = "0.5"
 FIELDS = ("nit_number", "document_date", "estimated_cost", "bid_security", "prescribed_share")
 
 
+def once(frame: DataFrame, **columns: Column) -> DataFrame:
+    """frame with columns that are worked out once for each row: filters and later uses do not go behind an explode and repeat them."""
+    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+    return frame.select("*", made.alias("made")).select(*frame.columns, "made.*")
+
+
 def label_places(pages: DataFrame) -> DataFrame:
-    """pages with the places of the first label of each kind (1-based, end exclusive; 0 where there is none)."""
+    """pages that label a cost, with the places of the first label of each kind (1-based, end exclusive; a security's is 0 where there is none)."""
     text = F.col("text")
-    found = pages
-    for name, pattern in (("cost", COST_LABEL), ("security", SECURITY_LABEL)):
-        found = found.withColumns({f"{name}_from": F.regexp_instr(text, F.lit(pattern)), f"{name}_label": F.regexp_substr(text, F.lit(pattern))})
-    return found.withColumns({f"{x}_to": F.col(f"{x}_from") + F.char_length(f"{x}_label") for x in ("cost", "security")})
+    halves = once(once(pages, cost=F.split(text, COST_LABEL, 2)).filter(F.size("cost") == 2), security=F.split(text, SECURITY_LABEL, 2))
+    labelled = F.size("security") == 2
+    begin, end = (lambda x: F.char_length(F.get(x, F.lit(0))) + 1), (lambda x: F.char_length(text) - F.char_length(F.get(x, F.lit(1))) + 1)
+    return once(halves, cost_from=begin("cost"), cost_to=end("cost"), security_from=F.when(labelled, begin("security")).otherwise(0), security_to=F.when(labelled, end("security"))).drop("cost", "security")
 
 
 def regions(pages: DataFrame) -> DataFrame:
@@ -43,13 +49,12 @@ def regions(pages: DataFrame) -> DataFrame:
     side 0 for the cost and 1 for the security.
     """
     text = F.col("text")
-    placed = label_places(pages.filter(F.lower(text).contains("estimated")))
+    placed = label_places(pages)
     together = F.coalesce(F.abs(F.col("security_from") - F.col("cost_to")) <= HEADER_GAP, F.lit(False)) & (F.col("security_from") > 0)
     placed = placed.withColumn("together", together)
     first = F.when(F.col("together"), F.greatest("cost_to", "security_to")).otherwise(F.col("cost_to"))
     second = F.when((F.col("security_from") > 0) & ~F.col("together"), F.col("security_to"))
-    sides = F.when(F.col("cost_from") > 0, F.array(first, second))
-    found = placed.select("document_id", "page", "text", "together", F.posexplode(sides).alias("side", "at")).filter("at IS NOT NULL")
+    found = placed.select("document_id", "page", "text", "together", F.posexplode(F.array(first, second)).alias("side", "at")).filter("at IS NOT NULL")
     lead = F.substring(text, F.greatest(F.lit(1), F.col("at") - TOTAL_WINDOW), F.least(F.lit(TOTAL_WINDOW), F.col("at") - 1))
     return found.select("document_id", "page", "together", "side", "at", lead.alias("lead"), F.substring(text, F.col("at"), F.lit(WINDOW)).alias("body"))
 
@@ -59,11 +64,11 @@ def region_amounts(pages: DataFrame) -> DataFrame:
 
     One is the total if it is called that, without tax, and is the sum of all before it.
     """
-    cells = regions(pages).withColumn("cells", T.amount_cells(F.col("body")))
+    cells = once(regions(pages), cells=T.amount_cells(F.col("body")))
     sizes = F.transform("cells", lambda x: F.char_length(T.amount_literal(x)))
     starts = F.aggregate(sizes, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-    cells = cells.withColumn("starts", starts).select("document_id", "page", "together", "side", "at", "lead", "body", "starts", F.posexplode("cells").alias("i", "cell"))
-    found = cells.filter("i % 2 = 1").withColumns({"start": F.get("starts", F.col("i")), "value": T.amount_value(F.col("cell"))})
+    cells = once(cells, starts=starts).select("document_id", "page", "together", "side", "at", "lead", "body", "starts", F.posexplode("cells").alias("i", "cell"))
+    found = once(cells.filter("i % 2 = 1"), start=F.get("starts", F.col("i")), value=T.amount_value(F.col("cell")))
     start = F.col("start")
     fee = F.substring("body", F.greatest(F.lit(1), start - FEE_WINDOW + 1), F.least(F.lit(FEE_WINDOW), start)).rlike(DOCUMENT_FEE)
     found = found.filter(F.col("value").isNotNull()).filter(~fee)
@@ -105,12 +110,12 @@ def reference(text: Column) -> Column:
 
 def tender_notice(pages: DataFrame) -> DataFrame:
     """One row for each document of pages (document_id, page, text), with the fields that are missing; pages without text say nothing."""
-    even = pages.select("document_id", "page", T.even_spaces(F.coalesce("text", F.lit(""))).alias("text"))
+    even = lambda own: once(own.select("document_id", "page", F.coalesce("text", F.lit("")).alias("shown")), text=T.even_spaces(F.col("shown"))).drop("shown")
     text = F.col("text")
-    read = even.select("document_id", "page", reference(text).alias("nit_number"), T.document_date(text).alias("document_date"), prescribed_share(text).alias("prescribed_share"))
+    read = even(pages).select("document_id", "page", reference(text).alias("nit_number"), T.document_date(text).alias("document_date"), prescribed_share(text).alias("prescribed_share"))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("page"))).alias(c)
     fields = read.groupBy("document_id").agg(*(first(c) for c in ("nit_number", "document_date", "prescribed_share")))
-    money = table_amounts(even).groupBy("document_id").agg(F.min_by(F.struct("estimated_cost", "bid_security"), "page").alias("money"))
+    money = table_amounts(even(pages.filter(F.lower("text").contains("estimated")))).groupBy("document_id").agg(F.min_by(F.struct("estimated_cost", "bid_security"), "page").alias("money"))
     out = fields.join(money, "document_id", "left").select("document_id", "nit_number", "document_date", "money.estimated_cost", "money.bid_security", "prescribed_share")
     missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in FIELDS)))
     return out.withColumn("missing", missing)

@@ -45,3 +45,11 @@ def test_authority_project_and_columns(spark):
     named = {1: "A", 26: "Z", 27: "AA", 52: "AZ", 53: "BA", 702: "ZZ", 703: "AAA", 728: "AAZ", 729: "ABA", 16384: "XFD"}
     frame = spark.createDataFrame([(c,) for c in named], "c int")
     assert {r.c: r.n for r in frame.select("c", extract.column_letters(F.col("c")).alias("n")).collect()} == named
+
+
+def test_labels_are_placed_by_characters_and_looked_for_once(spark):
+    """Characters beyond the basic plane count as one; an expression that a filter or a second use repeats is a scan of the page too many."""
+    assert read(spark, "\U0001f600" * 40 + " Estimated Cost Rs. 100 " + "y " * 80 + "EMD Rs. 2").estimated_cost == 100
+    pages = spark.createDataFrame([("d", 1, "Estimated Cost Rs. 5")], "document_id string, page int, text string")
+    plan = notices.table_amounts(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Cost, 2)") == 1 and "regexp_instr" not in plan and plan.count("regexp_replace") == 1
