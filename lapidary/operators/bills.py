@@ -3,8 +3,8 @@
 Two layouts: in the vertical one, under a heading with column headers, every part of a row
 has a line of its own; else a row is one line that ends in unit, quantity, rate and amount.
 Documents are independent of each other, and bounded by what a page reader hands on, so each
-is read as one row with an array of its lines, in order: pages are shuffled once, and lines are
-neither sorted nor shuffled.  Nothing is left out for its arithmetic: rows say how their figures
+is read as one row: pages are shuffled once, and an Arrow batch reads the lines of its documents in
+order (:mod:`bill_lines`), so that lines are neither sorted nor shuffled.  Nothing is left out for its arithmetic: rows say how their figures
 agree, and a block that holds two rows is refused with a reason.
 """
 

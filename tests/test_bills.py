@@ -117,3 +117,11 @@ def test_lines_are_read_in_one_pass_and_not_by_functions_on_arrays(spark):
         assert plan.count("ArrowEvalPython") == 1 == plan.count("Exchange") and "aggregate(" not in plan and "transform(" not in plan
     assert sorted(total(spark, HEADER + "1\nWork\nSqm\n2.00\n3.00\n6.00\nTotal\n6.00") + total(spark, "1 Work\nCum 2 3.00 6.00\nTotal 6.00")) == [(Decimal("6.00"), "6.00", 1), (Decimal("6.00"), "Total 6.00", 1)]
     assert [(r.item, r.unit, r.description) for r in rows(spark, "1 Work of soil\nCum 2 3.00 6.00\nxRM 2 3.00 6.00\n2 DepthM2 Nos 2 3.00 6.00")] == [("1", "Cum", "Work of soil"), ("2", "Nos", "DepthM2")]
+
+
+def test_facts_of_a_row_are_made_without_functions_on_arrays(spark):
+    """A row without a description states four facts; what is left out is filtered as rows, not within an array."""
+    own = bills.line_rows(pages(spark, "Nos 1 2.00 2.00\n1 Work\nCum 2 3.00 6.00"))
+    facts = bills.bill_facts(own)
+    assert "lambdafunction(isnotnull" not in facts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((f.sheet_row, f.fact_type) for f in facts.collect() if f.fact_type.startswith("item")) == [(1, "item_identifier"), (2, "item_description"), (2, "item_identifier")]
