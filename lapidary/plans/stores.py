@@ -42,8 +42,9 @@ UNION ALL SELECT s_suppkey, NULL, 1, NULL, false, 'not a workbook' FROM supplier
 def a15_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workbooks are made, read back from their bytes, and summed by kinds of cells; what is no workbook says so."""
     made = workbooks.made(order_sheets(spark, sf_dir), "k")
-    files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).join(made, "k", "left").select("k", F.coalesce("content", F.lit(BROKEN)).alias("content"))
-    found = workbooks.cells(shared.written(files, "workbooks"), "k")
+    ordered = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")).distinct()
+    broken = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).join(ordered, "k", "left_anti").withColumn("content", F.lit(BROKEN))
+    found = workbooks.cells(shared.written(made.unionByName(broken), "workbooks"), "k")
     value = F.when(F.col("kind") == "number", F.col("value").cast("decimal(20,2)"))
     return found.groupBy(F.col("k").alias("document_id"), "kind").agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum(value).cast("double").alias("total"), F.bool_or("truncated").alias("truncated"), F.min("reason").alias("reason")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lapidary.functions import markup
 from lapidary.operators import bands, extract
-from lapidary.plans import shapes
+from lapidary.plans import shapes, stores
 from lapidary.sources import store, workbooks
 
 
@@ -70,6 +70,34 @@ def test_workbooks_are_made_and_read_one_at_a_time(spark):
     assert plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan
 
 
+def test_a_workbook_is_made_once_over_a_union(spark):
+    """Both sides are dealt by key, and their parts are put together differently: few heads, many cells."""
+    conf = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        cells = spark.range(20_000).selectExpr("id % 40 AS k", "CAST(id DIV 40 + 2 AS int) AS row").groupBy("k", "row").count()
+        body = cells.selectExpr("k", "CAST(row_number() OVER (PARTITION BY k ORDER BY row) + 1 AS int) AS row", "1 AS col", "CAST(count AS string) AS value", "'number' AS kind")
+        heads = spark.range(80).selectExpr("id % 40 AS k").distinct().selectExpr("k", "1 AS row", "1 AS col", "'Parts' AS value", "'text' AS kind")
+        books = workbooks.made(body.unionByName(heads), "k").collect()
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    assert sorted(r.k for r in books) == [*range(40)]
+    assert {len([*workbooks.workbook_cells(bytes(r.content))]) for r in books} == {501}
+
+
+def test_each_workbook_counts_once(spark, tmp_path):
+    """A supplier that is listed twice has one workbook, and lines of a supplier that is not listed have one too."""
+    spark.createDataFrame([(1,), (1,), (2,), (4,)], "s_suppkey long").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(1, 7, 2.0), (1, 7, 3.0), (1, 8, 1.0), (3, 7, 4.0)], "l_suppkey long, l_partkey long, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(map(str, map(tuple, stores.a15_workbooks(spark, str(tmp_path)).collect())))
+    with duckdb.connect() as duck:
+        for name in ("supplier", "lineitem"):
+            duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        assert sorted(map(str, duck.execute(stores.SQL["a15_workbooks"]).fetchall())) == got and len(got) == 8
+
+
 def test_pages_are_scanned_in_small_steps(spark, monkeypatch):
     """Links of a batch of pages are not all held as Python objects: they go to Arrow every so many."""
     pages = [("<a href=/x>" * n,) for n in (0, 3, 5000, 5001, 1)] + [(None,)]
