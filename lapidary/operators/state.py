@@ -135,15 +135,23 @@ def derived_rows(calculated: DataFrame) -> DataFrame:
     have ten places.  Inputs stand in their row, facts before provisions and by role, so that a
     value never stands beside another run's inputs; a null array is an empty one.
     """
-    provision = lambda x: x["fact_id"].isNull()
-    shown = lambda x: F.concat(F.when(provision(x), F.concat(F.lit("provision:"), x["role"])).otherwise(x["role"]), F.lit("="), F.coalesce(x["fact_id"], x["provision_id"]))
-    ranked = F.transform(F.coalesce("inputs", F.array().cast(calculated.schema["inputs"].dataType)), lambda x: F.struct(provision(x).alias("p"), x["role"].alias("role"), shown(x).alias("shown"), x.alias("input")))
+    ranked = F.transform(F.coalesce("inputs", F.array().cast(calculated.schema["inputs"].dataType)), lambda x: F.struct(x["fact_id"].isNull().alias("p"), x["role"].alias("role"), input_shown(x).alias("shown"), x.alias("input")))
     both = F.col("document_id").isNotNull() == F.col("project_id").isNotNull()
-    rows = calculated.withColumn("_ranked", F.array_sort(ranked)).withColumns({
+    rows = calculated.withColumns({
         "fact_type": F.concat(F.coalesce(F.concat("work_item", F.lit(":")), F.lit("")), "fact_type"),
         "numeric_value": calc.stored(F.col("numeric_value")),
-        "inputs": F.transform("_ranked", lambda x: x["input"]),
-        "inputs_fingerprint": F.sha2(F.array_join(F.transform("_ranked", lambda x: x["shown"]), "|").cast("binary"), 256),
+        "inputs": F.transform(F.array_sort(ranked), lambda x: x["input"]),
         "refused": F.when(both, "exactly one of a document or a project"),
     })
-    return rows.drop("_ranked", "work_item")
+    return rows.withColumn("inputs_fingerprint", listed_fingerprint("inputs")).drop("work_item")
+
+
+def input_shown(x: Column) -> Column:
+    """An input with its role, as a fingerprint has it."""
+    role = F.when(x["fact_id"].isNull(), F.concat(F.lit("provision:"), x["role"])).otherwise(x["role"])
+    return F.concat(role, F.lit("="), F.coalesce(x["fact_id"], x["provision_id"]))
+
+
+def listed_fingerprint(inputs: str) -> Column:
+    """The fingerprint of a row's inputs in the order of :func:`derived_rows`, so a store of these need not hold it."""
+    return F.sha2(F.array_join(F.transform(inputs, input_shown), "|").cast("binary"), 256)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.operators import state
@@ -15,9 +15,9 @@ SQL: dict[str, str] = {}
 query = registration(QUERIES, SQL)
 
 
-def merged(spark: SparkSession, runs: list[DataFrame], key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """A new store after the runs, the last of which is made twice."""
-    store = Keyed(spark, shared.new_path(spark, "keyed"), runs[0].schema, key)
+def merged(spark: SparkSession, runs: list[DataFrame], key: tuple[str, ...], order: tuple[str | Column, ...], constant: str) -> DataFrame:
+    """A new store after the runs, the last of which is made twice; one column of the key is constant, and Spark does not group or shuffle by it."""
+    store = Keyed(spark, shared.new_path(spark, "keyed"), runs[0].schema, key, near=tuple(c for c in key if c != constant))
     for rows in [*runs, runs[-1]]:
         rewritten = store.merge(rows, order)
     if rewritten:
@@ -33,7 +33,7 @@ SELECT document_id, sheet_row, extractor_version, s.f AS fact_id, CAST(s.v AS DO
 def m02_facts_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: facts by document, type, version and row; a second reading replaces the rows that it states again, a third changes nothing."""
     runs = [facts(spark, sf_dir, f"coalesce(l_returnflag, '') {sign} 'N'") for sign in ("<>", "=")]
-    found = merged(spark, runs, state.FACT_KEY, ("fact_id",))
+    found = merged(spark, runs, state.FACT_KEY, ("fact_id",), "fact_type")
     return found.select("document_id", "sheet_row", "extractor_version", "fact_id", F.col("numeric_value").cast("double").alias("amount"))
 
 
@@ -58,13 +58,12 @@ def m07_derived_store(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(line < 6, F.col("l_partkey").cast("string")).alias("work_item"), F.lit("levy").alias("fact_type"), F.lit("1").alias("calculation_version"),
             (price * F.lit(rate).cast("decimal(12,11)")).alias("numeric_value"), inputs.alias("inputs"),
         )
-        rows = state.derived_rows(made).filter("refused IS NULL").drop("refused")
-        return rows.withColumn("inputs_fingerprint", F.unhex("inputs_fingerprint"))  # half the bytes, in the same order
+        return state.derived_rows(made).filter("refused IS NULL").drop("refused", "inputs_fingerprint")  # it is told from the inputs that are stored
 
     runs = [calculated(lines, "0.00000000125", F.array(fact)), calculated(lines.filter("l_returnflag = 'N'"), "0.00000000250", F.array(levy, fact))]
-    found = merged(spark, runs, state.DERIVED_KEY, ("numeric_value", "inputs_fingerprint"))
+    found = merged(spark, runs, state.DERIVED_KEY, ("numeric_value", state.listed_fingerprint("inputs")), "calculation_version")
     units = (F.col("numeric_value") * F.lit(10_000_000_000)).cast("long")
-    return found.select("document_id", "project_id", "fact_type", units.alias("ten_places"), F.lower(F.hex("inputs_fingerprint")).alias("inputs_fingerprint"), F.size("inputs").alias("n_inputs"))
+    return found.select("document_id", "project_id", "fact_type", units.alias("ten_places"), state.listed_fingerprint("inputs").alias("inputs_fingerprint"), F.size("inputs").alias("n_inputs"))
 
 
 @query("""
@@ -83,5 +82,5 @@ def m08_provision_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     runs = [read("l_orderkey % 2 = 0", F.lit("1"), 0), read("l_orderkey % 3 = 0 OR l_orderkey % 10 = 1", F.when(order % 3 == 0, "2").otherwise("1"), 1)]
-    found = merged(spark, runs, state.PROVISION_KEY, ("page", "share"))
+    found = merged(spark, runs, state.PROVISION_KEY, ("page", "share"), "provision_type")
     return found.select("document_id", "clause", "extractor_version", "page", F.col("share").cast("double").alias("share"))

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lapidary.operators import state
 from lapidary.sources import shared
@@ -130,3 +131,32 @@ def test_a_changed_bucket_is_written_once(spark, store):
     assert files_.delete(old, True) and files_.rename(one, old)
     assert content(again) == sorted([(i, "a", -i) for i in range(50)], key=str)
     assert {f.rsplit("/", 1)[1] for _, f in files(again)} == {*moved}
+
+
+def test_stored_rows_are_not_shuffled(spark, store):
+    """Incoming rows are shuffled once, and before that reduced if keys repeat; what is compared and rewritten lies in the same parts."""
+    s = store()
+    write, plans = s._write, []
+
+    def seen(rows, path, **how):
+        parts = rows._jdf.queryExecution().executedPlan().toString().split("Exchange hash")
+        plans.append((path, len(parts) - 1, len(parts) > 1 and "partial_max" in parts[-1]))  # shuffles, and whether rows are reduced before the first
+        write(rows, path, **how)
+
+    s._write = seen
+    s.merge(spark.range(500).selectExpr("CAST(id AS int) AS k", "CAST(id % 7 AS string) AS n", "1 AS v"))
+    s.merge(spark.range(300).selectExpr("CAST(id * 5 AS int) AS k", "CAST(id * 5 % 7 AS string) AS n", "2 AS v"))
+    assert plans == [(s.pending, 1, False), (s.incoming, 1, False), (s.pending, 0, False)]
+    assert content(s) == sorted([(k, str(k % 7), 1 + (k % 5 == 0)) for k in range(1500) if k < 500 or k % 5 == 0], key=str)
+    plans.clear()
+    s.merge(spark.range(1000).selectExpr("CAST(id % 3 AS int) AS k", "CAST(id % 3 AS string) AS n", "CAST(id AS int) AS v"), (-F.col("v"),))
+    assert plans == [(s.incoming, 1, True), (s.pending, 0, False)]
+    assert [r for r in content(s) if r[0] < 3] == [(0, "0", 0), (1, "1", 1), (2, "2", 2)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("keyed_")]
+
+
+def test_a_fingerprint_is_told_from_stored_inputs(spark):
+    inputs = [("rate", None, "p1"), ("cost", "f2", None), ("area", "f1", None)]
+    schema = "document_id long, project_id long, work_item string, fact_type string, calculation_version string, numeric_value decimal(25,12), inputs array<struct<role string, fact_id string, provision_id string>>"
+    rows = state.derived_rows(spark.createDataFrame([(1, None, None, "v", "1", decimal.Decimal(1), inputs), (2, None, None, "v", "1", None, None)], schema))
+    assert rows.filter(state.listed_fingerprint("inputs") == F.col("inputs_fingerprint")).count() == 2
