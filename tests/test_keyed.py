@@ -160,3 +160,13 @@ def test_a_fingerprint_is_told_from_stored_inputs(spark):
     schema = "document_id long, project_id long, work_item string, fact_type string, calculation_version string, numeric_value decimal(25,12), inputs array<struct<role string, fact_id string, provision_id string>>"
     rows = state.derived_rows(spark.createDataFrame([(1, None, None, "v", "1", decimal.Decimal(1), inputs), (2, None, None, "v", "1", None, None)], schema))
     assert rows.filter(state.listed_fingerprint("inputs") == F.col("inputs_fingerprint")).count() == 2
+
+
+def test_a_constant_of_the_key_costs_no_shuffle(spark, store):
+    """Spark neither groups nor shuffles by a constant, so it is left out of what deals rows (facts of one type)."""
+    s = store(near=("k",))
+    write, plans = s._write, []
+    s._write = lambda rows, path, **how: plans.append(rows._jdf.queryExecution().executedPlan().toString().count("Exchange hash")) or write(rows, path, **how)
+    for part in (0, 1):
+        s.merge(spark.range(100).filter(f"id % 2 = {part}").selectExpr("CAST(id AS int) AS k", "'amount' AS n", "CAST(id AS int) AS v"))
+    assert plans == [1, 1, 0] and sorted(content(s)) == [(k, "amount", k) for k in range(100)]
